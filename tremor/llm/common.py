@@ -142,3 +142,26 @@ def spans_of(inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the runs of true values."""
     edge = np.flatnonzero(np.diff(np.concatenate(([False], inside, [False])).view(np.int8)))
     return edge[0::2], edge[1::2]
+
+
+def append_columns(df: DataFrame, text_col: str, fn: Callable[[list], dict], fields: list) -> DataFrame:
+    """df with further columns that fn makes from lists of texts, inside tasks and without a shuffle.
+
+    The new names must not clash with df's; callers use names that start with two underscores.
+    """
+    schema = StructType([*df.schema.fields, *fields])
+    arrow = to_arrow_schema(schema)
+    at, new = df.columns.index(text_col), [arrow.field(f.name) for f in fields]
+
+    def run(batches):
+        for batch in batches:
+            texts = batch.select([at])
+            done = 0
+            for (lists,) in chunks(texts, 0):
+                out = fn(lists)
+                piece = batch.slice(done, len(lists))
+                done += len(lists)
+                columns = [*piece.columns, *(pa.array(out[f.name], type=f.type) for f in new)]
+                yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
+
+    return df.mapInArrow(run, schema)
