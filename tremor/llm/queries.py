@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tremor.llm import ann, langid, licenses, linededup, media, mixing, pieces, secrets, toxicity
+from tremor.llm import ann, jaccard, langid, licenses, linededup, media, mixing, pieces, secrets, toxicity
 from tremor.llm.common import table
 
 
@@ -18,6 +18,10 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_pieces(table(spark, sf_dir, "documents"))
 
 
+def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_report(table(spark, sf_dir, "documents"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.language_report(table(spark, sf_dir, "documents"))
 
@@ -46,6 +50,6 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op2_sentencepiece, op4_language_id, op5_nearest_neighbours, op6_license_scan, op7_source_mix, op8_media_columns, op9_line_dedup, op10_toxicity)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op2_sentencepiece, op3_ngram_jaccard, op4_language_id, op5_nearest_neighbours, op6_license_scan, op7_source_mix, op8_media_columns, op9_line_dedup, op10_toxicity)}
 
 ORACLE_SQL: dict[str, str] = {}
