@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tremor.llm.common import map_texts, mix64, span_hashes, spans_of
+from tremor.llm.common import map_texts, materialize, mix64, span_hashes, spans_of
 
 GRAM_WORDS = 25
 WINDOW_WORDS = 50
@@ -104,7 +104,7 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             grams.append(_signed(gram))
         return {"__doc": keys, "__lines": lines, "__at": places, "__gram": grams}
 
-    lined = map_texts(rows, run, schema).filter(F.size("__at") > 0)
+    lined = materialize(map_texts(rows, run, schema).filter(F.size("__at") > 0), "lines")  # read four times below
     marks = lined.select("__doc", F.explode(F.arrays_zip("__at", "__gram")).alias("m")).select("__doc", F.col("m.__at").alias("__at"), F.col("m.__gram").alias("__gram"))
     firsts = marks.groupBy("__gram").agg(F.min(F.struct("__doc", "__at")).alias("__first"), F.count("*").alias("__n")).filter("__n > 1").drop("__n")
     later = marks.join(firsts, "__gram").filter(F.struct("__doc", "__at") > F.col("__first"))
