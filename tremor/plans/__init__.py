@@ -1 +1 @@
-
+"""The registered queries of the library."""
