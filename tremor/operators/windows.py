@@ -9,15 +9,21 @@ from pyspark.sql import functions as F
 
 from tremor.functions.expressions import kurtosis_pearson, ratio, skewness_corrected
 
-BY = Window.partitionBy("recording_id")
-ORDER = BY.orderBy("n")
+
+
+def per_recording():
+    return Window.partitionBy("recording_id")
+
+
+def in_order():
+    return Window.partitionBy("recording_id").orderBy("n")
 
 
 def sliding_windows(signal: DataFrame, length: int, hop: int) -> DataFrame:
     """Each sample once for every window [k * hop, k * hop + length) that holds it; a rest that fills no window is left out."""
     if length < 2 or hop < 1:
         raise ValueError("a window needs at least two samples and a positive hop")
-    n, total = F.col("n"), F.count("*").over(BY)
+    n, total = F.col("n"), F.count("*").over(per_recording())
     lo = F.greatest(F.lit(0), F.ceil((n - length + 1) / hop))
     hi = F.least(F.floor(n / hop), F.floor((total - length) / hop))
     return signal.withColumns({"__lo": lo, "__hi": hi}).filter("__lo <= __hi").withColumn("window_index", F.explode(F.sequence("__lo", "__hi"))).drop("__lo", "__hi")
@@ -79,8 +85,8 @@ def time_features(windowed: DataFrame) -> DataFrame:
 
 def max_energy_segment(signal: DataFrame, points: int) -> DataFrame:
     """The first stretch of `points` samples with the most energy; the whole signal where it is no longer."""
-    total = F.count("*").over(BY)
-    rolled = signal.select("recording_id", "n", F.sum(F.col("x") * F.col("x")).over(ORDER.rowsBetween(0, points - 1)).alias("energy"), total.alias("total"))
+    total = F.count("*").over(per_recording())
+    rolled = signal.select("recording_id", "n", F.sum(F.col("x") * F.col("x")).over(in_order().rowsBetween(0, points - 1)).alias("energy"), total.alias("total"))
     starts = rolled.filter((F.col("n") <= F.col("total") - points) | ((F.col("total") <= points) & (F.col("n") == 0)))
     best = starts.groupBy("recording_id").agg(F.max_by(F.struct("n", "energy", "total"), F.struct(F.round("energy", 9), -F.col("n"))).alias("b"))
     return best.select("recording_id", F.col("b.n").alias("start_index"), F.least(F.col("b.n") + points, F.col("b.total")).alias("end_index"), F.col("b.energy").alias("energy"))
@@ -88,12 +94,12 @@ def max_energy_segment(signal: DataFrame, points: int) -> DataFrame:
 
 def moving_average(signal: DataFrame, length: int, value: str = "x", name: str = "smoothed") -> DataFrame:
     """Centred sum over a fixed length; outside the signal counts as zeros."""
-    return signal.withColumn(name, F.sum(value).over(ORDER.rowsBetween(-(length // 2), (length - 1) // 2)) / length)
+    return signal.withColumn(name, F.sum(value).over(in_order().rowsBetween(-(length // 2), (length - 1) // 2)) / length)
 
 
 def gradient(signal: DataFrame, dt: float, value: str = "x", name: str = "gradient") -> DataFrame:
     """Central differences inside, one-sided at the ends."""
-    x, before, after = F.col(value), F.lag(value).over(ORDER), F.lead(value).over(ORDER)
+    x, before, after = F.col(value), F.lag(value).over(in_order()), F.lead(value).over(in_order())
     return signal.withColumn(name, F.when(before.isNull(), (after - x) / dt).when(after.isNull(), (x - before) / dt).otherwise((after - before) / (2 * dt)))
 
 
@@ -108,11 +114,11 @@ def running_median(scores: DataFrame, width: int, value: str = "p", name: str =
     if width < 2:
         return scores.withColumn(name, F.col(value))
     before, after = width // 2, width - 1 - width // 2
-    frame = F.collect_list(value).over(ORDER.rowsBetween(-before, after))
-    rank = F.row_number().over(ORDER)
+    frame = F.collect_list(value).over(in_order().rowsBetween(-before, after))
+    rank = F.row_number().over(in_order())
     left = F.greatest(F.lit(0), F.lit(before + 1) - rank)
-    right = F.greatest(F.lit(0), rank + after - F.count("*").over(BY)).cast("int")
-    full = F.concat(F.array_repeat(F.first(value).over(BY.orderBy("n")), left), frame, F.array_repeat(F.last(value).over(ORDER.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)), right))
+    right = F.greatest(F.lit(0), rank + after - F.count("*").over(per_recording())).cast("int")
+    full = F.concat(F.array_repeat(F.first(value).over(in_order()), left), frame, F.array_repeat(F.last(value).over(in_order().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)), right))
     sorted_ = F.array_sort(full)
     middle = (F.element_at(sorted_, (width + 1) // 2) + F.element_at(sorted_, width // 2 + 1)) / 2
     return scores.withColumn("__m", middle).withColumn(name, F.col("__m")).drop("__m")
@@ -123,13 +129,13 @@ def hysteresis(scores: DataFrame, enter: float, exit_: float, value: str = "smoo
     if not 0 <= exit_ < enter <= 1:
         raise ValueError("0 <= exit < enter <= 1 is needed")
     mark = F.when(F.col(value) >= enter, 1).when(F.col(value) < exit_, 0)
-    return scores.withColumn(name, F.coalesce(F.last(mark, ignorenulls=True).over(ORDER.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)))
+    return scores.withColumn(name, F.coalesce(F.last(mark, ignorenulls=True).over(in_order().rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)))
 
 
 def minimum_run(scores: DataFrame, least: int, value: str = "state", name: str = "label") -> DataFrame:
     """Runs of 1 shorter than `least` become 0."""
-    changed = scores.withColumn("__new", (F.col(value) != F.coalesce(F.lag(value).over(ORDER), F.lit(-1))).cast("int"))
-    run = changed.withColumn("__run", F.sum("__new").over(ORDER))
+    changed = scores.withColumn("__new", (F.col(value) != F.coalesce(F.lag(value).over(in_order()), F.lit(-1))).cast("int"))
+    run = changed.withColumn("__run", F.sum("__new").over(in_order()))
     size = F.count("*").over(Window.partitionBy("recording_id", "__run"))
     return run.withColumn(name, F.when((F.col(value) == 1) & (size >= least), 1).otherwise(0)).drop("__new", "__run")
 
@@ -140,10 +146,10 @@ def smooth_labels(scores: DataFrame, enter: float = 0.75, exit_: float = 0.40, l
 
 def onset(signal: DataFrame, width: int = 50) -> DataFrame:
     """First sample where the smoothed distance from the mean crosses half its range; NULL without one."""
-    centred = signal.withColumn("__d", F.abs(F.col("x") - F.avg("x").over(BY)))
+    centred = signal.withColumn("__d", F.abs(F.col("x") - F.avg("x").over(per_recording())))
     smooth = moving_average(centred, width, "__d", "__s")
-    ranged = smooth.withColumn("__half", (F.min("__s").over(BY) + F.max("__s").over(BY)) / 2).withColumn("__on", (F.col("__s") > F.col("__half")).cast("int"))
-    turned = ranged.withColumn("__was", F.lag("__on").over(ORDER))
+    ranged = smooth.withColumn("__half", (F.min("__s").over(per_recording()) + F.max("__s").over(per_recording())) / 2).withColumn("__on", (F.col("__s") > F.col("__half")).cast("int"))
+    turned = ranged.withColumn("__was", F.lag("__on").over(in_order()))
     return turned.groupBy("recording_id").agg(F.min(F.when(F.col("__on") != F.col("__was"), F.col("n"))).alias("onset_index"))
 
 
@@ -152,5 +158,5 @@ def semisynthetic(signal: DataFrame, fs: float, tone_hz: float, onset_s: float,
     t = F.col("n") / fs
     tone = F.sin(2 * math.pi * tone_hz * t) / (1 + F.exp(-20.0 * (t - onset_s)))
     toned = signal.withColumn("__tone", tone)
-    gain = F.sqrt(ratio(F.var_pop("x").over(BY), F.var_pop("__tone").over(BY) * 10 ** (snr_db / 10)))
+    gain = F.sqrt(ratio(F.var_pop("x").over(per_recording()), F.var_pop("__tone").over(per_recording()) * 10 ** (snr_db / 10)))
     return toned.withColumn("mixed", F.col("x") + gain * F.col("__tone")).drop("__tone")
