@@ -14,6 +14,7 @@ from tremor.operators import spectral as P
 from tremor.operators import wavelets as B
 from tremor.operators import windows as W
 from tremor.operators.spectral import map_arrays
+from tremor.operators.tables import keep
 from tremor.sources import signals as S
 
 _X = T.StructField("x", T.ArrayType(T.DoubleType()))
@@ -80,7 +81,7 @@ def seed_stability(modes: DataFrame) -> DataFrame:
 
     The cost table (1 - |correlation| of every two modes of two seeds) is relational; only its assignment is a kernel.
     """
-    m = modes.filter("NOT is_residual")
+    m = keep(modes, "modes").filter("NOT is_residual")
     a = m.select("recording_id", "n", F.col("seed").alias("s1"), F.col("layer").alias("i"), F.col("x").alias("xa"))
     b = m.select("recording_id", "n", F.col("seed").alias("s2"), F.col("layer").alias("j"), F.col("x").alias("xb"))
     r = F.abs(ratio(F.covar_pop("xa", "xb"), F.stddev_pop("xa") * F.stddev_pop("xb")))
@@ -106,7 +107,7 @@ def cutoff_search(arrays: DataFrame, cutoffs: list[float], seeds: list[int], hig
     packed = cells.select("recording_id", "cutoff", F.concat(F.array("cutoff"), "x").alias("x"))
     filtered = map_arrays(packed, lambda v: (K.detrend(K.bandpass(v[1:], float(v[0]), high, fs, 2)),), [_X])
     named = filtered.select(F.concat_ws("|", F.col("recording_id").cast("string"), F.col("cutoff").cast("string")).alias("recording_id"), "x")
-    modes = ensemble_modes(named, seeds)
+    modes = keep(ensemble_modes(named, seeds), "modes")
     keyed = modes.withColumn("cell", F.concat_ws("|", "recording_id", F.col("seed").cast("string"))).drop("recording_id", "seed").withColumnRenamed("cell", "recording_id")
     mixing = M.adjacent_correlation(keyed).groupBy("recording_id").agg(F.max("correlation").alias("mixing"))
     orth = M.orthogonality(keyed)
@@ -120,9 +121,9 @@ def cutoff_search(arrays: DataFrame, cutoffs: list[float], seeds: list[int], hig
 
 def features(signal_arrays: DataFrame, low: float, high: float, fs: float, chatter: tuple[float, float], forced_hz: float, length: int, hop: int, wavelet: str = "db2", level: int = 2) -> DataFrame:
     """Stages 1 to 4: band-pass, ensemble modes, gates, gated reconstruction, wavelet denoising, window features."""
-    filtered = bandpass(signal_arrays, low, high, fs, 2)
+    filtered = keep(bandpass(signal_arrays, low, high, fs, 2), "filtered")
     source = S.to_rows(filtered)
-    modes = ensemble_modes(filtered).drop("seed")
+    modes = keep(ensemble_modes(filtered), "modes").drop("seed")
     gates = M.gates(M.indicators(source, modes, M.mode_psd(modes, fs, 64), chatter, forced_hz, 4, 0.5))
     clean = B.denoise(S.to_arrays(M.reconstruct(modes, gates, "gate")), wavelet, level, fs, chatter)
     made = W.time_features(W.sliding_windows(S.to_rows(clean), length, hop))
