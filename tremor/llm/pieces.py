@@ -31,7 +31,7 @@ from tremor.llm.common import POWERS, map_texts, mix64
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = 0x2581
 OWN_MARK = 0x110000  # a mark that stood in the text
-CHUNK = 4_000_000
+CHUNK = 1_000_000
 
 
 class HashIndex:
