@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from tremor.functions.expressions import safe_identifier, standard_label
 from tremor.operators import detection as D
+from tremor.operators import learning as L
 from tremor.operators import metadata as J
 from tremor.operators import modes as M
+from tremor.operators import provenance as P
 from tremor.operators import windows as W
 from tremor.sources import files as X
 from tremor.streaming import hysteresis_stream
@@ -132,3 +134,26 @@ def test_streamed_hysteresis_equals_batch(spark, tmp_path):
     got = {(r.recording_id, r.n): r.state for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     expected = {(r.recording_id, r.n): r.state for r in W.hysteresis(rows, 0.75, 0.4, value="p").collect()}
     assert got == expected
+
+
+def test_settings_and_identity():
+    base = {"fs": 100.0, "low": 2, "high": 40, "order": 4, "window_seconds": 1, "overlap": 0.5, "enter": 0.75, "exit": 0.4, "level": 2}
+    assert P.settings_errors(base) == []
+    assert P.settings_errors(P.merged(base, {"high": 60, "exit": 0.9})) == ["0 < low < high < fs / 2 is needed", "0 <= exit < enter <= 1 is needed"]
+    assert P.settings_errors({**base, "order": True}) == ["order is not a number"]
+    assert P.merged({"a": {"b": 1, "c": [1, 2]}}, {"a": {"c": [3]}}) == {"a": {"b": 1, "c": [3]}}
+    one = P.run_id(base, {"a": "1", "b": "2"}, None, {"v": "1"})
+    assert one == P.run_id(dict(reversed(base.items())), {"b": "2", "a": "1"}, None, {"v": "1"})
+    assert len({one, P.run_id(base, {"a": "1"}, None, {"v": "1"}), P.run_id(base, {"a": "1", "b": "2"}, "m", {"v": "1"})}) == 3
+    assert P.plain({"x": float("nan"), "y": (1, float("inf"))}) == {"x": None, "y": [1, None]}
+
+
+def test_groups_stay_whole(spark):
+    rng = np.random.default_rng(0)
+    rows = [(g, float(g % 2 + rng.normal() * 0.2), float(rng.normal()), g % 2) for g in range(12) for _ in range(10)]
+    df = spark.createDataFrame(rows, "g long, a double, b double, y int")
+    p = L.grouped_predictions(df, ["a", "b"], "y", "g", folds=3)
+    assert p.groupBy("group").agg(F.count_distinct("fold").alias("n")).filter("n > 1").count() == 0
+    assert p.count() == 120 and p.filter("label = predicted").count() >= 115
+    steps = [r.calibrated for r in L.calibration(p, "label", "score").orderBy("boundary").collect()]
+    assert steps == sorted(steps) and 0 <= steps[0] and steps[-1] <= 1

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tremor.functions.expressions import label_number, normalise_header, r6, safe_identifier, standard_label
 from tremor.operators import aggregates as A
 from tremor.operators import detection as D
+from tremor.operators import learning as L
 from tremor.operators import metadata as J
 from tremor.operators import validation as V
 from tremor.plans.registry import METADATA, SCORES, query
@@ -271,6 +272,21 @@ def bootstrap_ci(spark, sf_dir):
     return D.bootstrap_accuracy(labelled(spark, sf_dir), "quality", "pa")
 
 
+def _windows_with_label(spark, sf_dir):
+    m = S.machining_metadata(spark, sf_dir).select("recording_id", (F.col("rpm") > 480).cast("int").alias("y"))
+    return features_of(spark, sf_dir).join(m, "recording_id")
+
+
+@query()
+def grouped_cross_validation(spark, sf_dir):
+    return L.fold_metrics(L.grouped_predictions(_windows_with_label(spark, sf_dir), NAMES, "y", "recording_id", folds=3))
+
+
+@query()
+def isotonic_calibration(spark, sf_dir):
+    return L.calibration(labelled(spark, sf_dir), "quality", "score")
+
+
 # --- scorecard ---------------------------------------------------------------------------------------------------------
 
 
