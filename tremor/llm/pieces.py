@@ -37,7 +37,7 @@ CHUNK = 1_000_000
 class HashIndex:
     """Value of each 64-bit key, found in a few array steps; -1 where there is none."""
 
-    def __init__(self, keys: np.ndarray, values: np.ndarray, bits: int = 18) -> None:
+    def __init__(self, keys: np.ndarray, values: np.ndarray, bits: int = 17) -> None:
         self.levels = []
         left = np.arange(len(keys))
         shift = 64 - bits
