@@ -214,6 +214,17 @@ def test_neighbour_cases(spark):
     assert near == list(range(10))  # ties go to smaller ids
 
 
+@pytest.mark.parametrize("size", [1.0, 1e6])
+def test_many_copies_of_long_vectors(spark, size):
+    rng = np.random.default_rng(8)
+    copy = (rng.normal(size=64) * size).tolist()
+    rows = [(i, copy) for i in range(300)] + [(i, (rng.normal(size=64) * size).tolist()) for i in range(300, 600)]
+    found = ann.neighbour_report(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    got = [(r.vec_id, r.score) for r in found.filter("query_id = 100").orderBy("rank").collect()]
+    assert got == [(i, 0.0) for i in range(10)]
+    assert found.groupBy("query_id").count().filter("count <> 10").count() == 0
+
+
 def test_toxicity(spark, sf_dir, docs):
     d, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     got = toxicity.toxicity_report(d, labels).join(labels, "doc_id").join(d.select("doc_id", "text"), "doc_id").collect()

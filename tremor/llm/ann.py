@@ -4,7 +4,7 @@ Vectors are assigned to the nearest of nlist centroids (k-means on a bounded sam
 at most `block_rows` vectors, and each query meets the blocks of its nearest lists: enough lists that they make `probe` of all
 lists and hold more than k vectors. Inside a block the vectors are rotated by one fixed random orthogonal matrix and scanned
 in blocks of columns: after each, a candidate is abandoned when its partial distance, scaled to all dimensions, exceeds the
-current k-th distance by more than the hypothesis test at eps0 allows. Survivors are compared exactly, on the original
+current k-th distance by more than the hypothesis test at eps0 and rounding allow. Survivors are compared exactly, on the original
 vectors in double precision, ties to the smaller id.
 
 Centroids, list sizes and the rotation are of fixed size; vectors and queries are shuffled by (list, block), never gathered.
@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 COLUMNS = 16
+#: Rounding of the rotated vectors, as a share of the squared lengths of query and vector: distances that differ by less are ties.
+SLACK = 1e-12
 
 
 def usable(vectors: DataFrame, id_col: str, vec_col: str) -> tuple[DataFrame, int]:
@@ -82,6 +84,7 @@ def scan(q: np.ndarray, own: int, ids: np.ndarray, rows: np.ndarray, turned: lis
     d = rows.shape[1]
     alive = np.flatnonzero(ids != own)
     partial = np.zeros(len(alive))
+    slack = SLACK * ((q * q).sum() + (rows[alive] ** 2).sum(1))
     limit = np.inf
     done = 0
     for part in turned:
@@ -92,10 +95,11 @@ def scan(q: np.ndarray, own: int, ids: np.ndarray, rows: np.ndarray, turned: lis
             if limit == np.inf:  # the distances of the first k by their partial distances bound the k-th
                 first = alive[np.argpartition(partial, k - 1)[:k]]
                 limit = ((rows[first] - q) ** 2).sum(1).max()
-            keep = partial * (d / done) <= limit * (1.0 + eps0 / math.sqrt(done)) ** 2
-            alive, partial = alive[keep], partial[keep]
+            keep = (partial - slack) * (d / done) <= limit * (1.0 + eps0 / math.sqrt(done)) ** 2
+            keep[np.argpartition(partial, k - 1)[:k]] = True  # never fewer than k
+            alive, partial, slack = alive[keep], partial[keep], slack[keep]
     if len(alive) > k:
-        alive = alive[partial <= np.partition(partial, k - 1)[k - 1] * (1 + 1e-9) + 1e-30]  # ties stay for the exact comparison
+        alive = alive[partial - slack <= np.partition(partial + slack, k - 1)[k - 1] * (1 + 1e-9)]  # ties stay for the exact comparison
     exact = np.sqrt(((rows[alive] - q) ** 2).sum(1))
     order = np.lexsort((ids[alive], exact))[:k]
     return ids[alive][order], exact[order]
