@@ -79,6 +79,27 @@ def test_jaccard_cases(spark, docs):
     assert sorted(tuple(r) for r in jaccard.jaccard_report(docs(twice)).collect()) == [(2, 3, 2), (5, 3, 2), (5, 3, 2), (7, 1, 7), (7, 1, 7)]
 
 
+def test_jaccard_of_null_ids(docs):
+    base = [f"w{i}" for i in range(120)]
+    copy = lambda words, *at: " ".join("x" if i in at else w for i, w in enumerate(words))
+    other = [f"v{i}" for i in range(120)]
+    last = [f"u{i}" for i in range(120)]
+    rows = [(None, copy(base)), (5, copy(base)), (3, copy(base, 0)), (9, copy(base, 119)), (None, copy(base, 119)), (None, copy(base, 0, 119, 118))]
+    rows += [(None, copy(other)), (None, copy(other, 0)), (None, copy(other)), (7, copy(last)), (None, copy(last, 0)), (None, copy(last, 119)), (None, None), (None, "")]
+    assert 100 * len(plain_set(rows[0][1]) & plain_set(rows[5][1])) >= 85 * len(plain_set(rows[0][1]) | plain_set(rows[5][1]))
+    got = [(r.doc_id, r.n_shingles, r.component_id) for r in jaccard.jaccard_report(docs(rows)).collect()]
+    wanted = [3] * 6 + [None] * 3 + [7] * 3 + [None] * 2
+    assert collections.Counter(got) == collections.Counter((i, len(plain_set(t)), c) for (i, t), c in zip(rows, wanted, strict=True))
+
+
+def test_one_of_near_copies_stays_without_ids(spark, docs):
+    text = lambda name, *at: " ".join("x" if i in at else f"{name}{i}" for i in range(120))
+    rows = [(None, text("a")), (5, text("a", 0)), (None, text("b")), (None, text("b", 0)), (None, text("b")), (7, text("c")), (7, text("d", 0)), (2, text("d")), (None, None), (None, "")]
+    kept = {(r.doc_id, r.text) for r in corpus_pipeline.keep_one_of_near_copies(spark, docs(rows), "").collect()}
+    ours = [t for i, t in kept if i is None and t and t.split()[5] == "b5"]
+    assert len(ours) == 1 and kept == {(5, text("a", 0)), (None, ours[0]), (7, text("c")), (2, text("d")), (None, None), (None, "")}
+
+
 def test_components_of_chains(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, 101), (101, 100), (200, 205), (205, 203), (203, 201)]
     got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()}

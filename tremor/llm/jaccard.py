@@ -21,7 +21,8 @@ Exact overlaps come from the texts: pairs are grouped by their first side, split
 pass that holds one text's set at a time.
 
 Defined cases: null, empty and blank texts have no shingles and link with nothing; fewer than four words are one shingle; exact copies link;
-rows that share an id are documents of their own; an empty table gives an empty result; further columns are ignored.
+rows that share an id are documents of their own; so are rows with a null id, whose component is the smallest id they link with, and null where
+all ids linked are null; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -236,15 +237,17 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Da
     arrow = to_arrow_schema(schema)
 
     def run(batches):
-        own = None
+        own = head = None
         for batch in batches:
-            for a, _, b, texts in chunks(batch, 3):
+            for a, salts, b, texts in chunks(batch, 3):
                 got: list[tuple] = []
-                for x, y, t in zip(a, b, texts, strict=True):
+                for x, salt, y, t in zip(a, salts, b, texts, strict=True):
                     h = shingles_of(t, words)
                     if y is None:
-                        own = h
+                        own, head = h, (x, salt)
                         continue
+                    if head != (x, salt):
+                        raise ValueError(f"no text for the set {x}")
                     both = len(np.intersect1d(own, h, assume_unique=True))
                     either = len(own) + len(h) - both
                     got.append((x, y, 100 * both >= percent * either, 1 - both / either))
@@ -304,15 +307,19 @@ def _links(entries: DataFrame, texts: DataFrame, words: int, percent: int) -> Da
 def jaccard_components(docs: DataFrame, percent: int = 85, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, __n (set size) and __component (smallest id reachable by links)."""
     members = materialize(set_table(docs, id_col, text_col, words), "sets")
-    n_docs = members.count()
+    sizes = members.agg(F.count("*").alias("n"), F.count_if(F.col("__id").isNull() & (F.col("__n") > 0)).alias("nulls")).collect()[0]
+    n_docs = sizes["n"]
     if not n_docs:
         return members.select(F.col("__id").alias(id_col), "__n", F.col("__id").alias("__component"))
     frequent = frequent_shingles(docs, id_col, text_col, words, n_docs)
     entries = materialize(index_table(docs, id_col, text_col, words, percent, frequent), "index")
     wanted = entries.select("__node").distinct()
-    owners = members.join(wanted, "__node").groupBy("__node").agg(F.min(F.struct(F.col("__id"))).alias("s")).select("__node", F.col("s.__id").alias("__id"))
+    owners = members.join(wanted, "__node").groupBy("__node").agg(F.min(F.when(F.col("__id").isNotNull(), F.struct("__id"))).alias("s")).select("__node", F.col("s.__id").alias("__id"))
     rows = _rows(docs, id_col, text_col).filter(F.col("__text").isNotNull())
     found = rows.join(owners.hint("shuffle_hash"), "__id").select("__node", "__text")
+    if sizes["nulls"]:  # classes without any id find their text by its set
+        nameless = owners.filter("__id IS NULL").select("__node")
+        found = found.union(_keyed(rows.filter("__id IS NULL"), words).join(nameless, "__node").dropDuplicates(["__node"]))
     texts = materialize(_of_set(found, words), "texts")
     labels = _links(entries, texts, words, percent)
     node = members.filter("__n > 0").groupBy("__node").agg(F.min("__id").alias("__least"))
@@ -327,6 +334,27 @@ def jaccard_components(docs: DataFrame, percent: int = 85, words: int = WORDS, i
     return named.select(F.col("__id").alias(id_col), "__n", component.alias("__component"))
 
 
+def _keyed(rows: DataFrame, words: int) -> DataFrame:
+    """(__node, __text) of rows' texts, one for each set and task."""
+    schema = T.StructType([T.StructField("__node", T.LongType()), rows.schema["__text"]])
+    arrow = to_arrow_schema(schema)
+
+    def run(batches):
+        seen = set()
+        for batch in batches:
+            for _, texts in chunks(batch):
+                kept = []
+                for t in texts:
+                    h = shingles_of(t, words)
+                    if len(h) and (node := set_key(h)) not in seen:
+                        seen.add(node)
+                        kept.append((node, t))
+                if kept:
+                    yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in kept], type=f.type) for k, f in enumerate(arrow)], schema=arrow)
+
+    return rows.mapInArrow(run, schema)
+
+
 def _of_set(found: DataFrame, words: int) -> DataFrame:
     """(__node, __text, __n, __buckets) of the texts whose set is their node's (an id may name several rows), one for each node and task."""
     schema = T.StructType([*found.schema.fields, T.StructField("__n", T.LongType()), T.StructField("__buckets", T.ArrayType(T.LongType()))])
