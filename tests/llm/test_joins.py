@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tremor.llm import ann, components, jaccard, linededup, mixing, toxicity
-from tremor.llm.common import table
+from tremor.llm.common import materialize, table
 
 
 def plain_set(text):
@@ -275,3 +275,24 @@ def test_pipeline(spark, sf_dir):
     assert docs.count() * 0.7 < kept.count() < docs.count()
     assert jaccard.jaccard_components(kept).filter("__component <> doc_id").count() == 0
     assert kept.filter(F.col("n_chars") != F.length("text")).count() == docs.filter(F.col("n_chars") != F.length("text")).count()
+
+
+def test_source_mix_decides_the_order(spark, docs):
+    rows = [(i, f"text {i}", "en", "hot" if i % 10 else f"s{i // 10 % 2}") for i in range(2000)]
+    df = materialize(docs(rows).repartition(7), "docs")
+    mixed = materialize(corpus_pipeline.mix_by_weight(spark, df, ""), "mixed")
+    order = lambda d: [(r.position, r.doc_id) for r in corpus_pipeline.encode(spark, d, "").orderBy("position").collect()]
+    wanted = mixing.mix_sources(df, mixing.tempered_weights(df)).orderBy("__slot", "__place").collect()
+    assert order(mixed) == [(k, r.doc_id) for k, r in enumerate(wanted)]
+    assert [i for _, i in order(df)] != [i for _, i in order(mixed)]  # the rows differ without the stage
+    assert [i for _, i in order(mixed.cache())] == [r.doc_id for r in wanted]
+    hot = np.mean([r.source == "hot" for r in wanted[:200]])
+    assert abs(hot - 1800**0.5 / (1800**0.5 + 2 * 100**0.5)) < 0.1  # and not its share of the documents, 0.9
+    assert corpus_pipeline.encode(spark, docs([]), "").count() == 0
+
+
+def test_pipeline_drops_copies_at_five_words(spark, docs):
+    words = [f"w{i}" for i in range(50)]
+    rows = [(1, " ".join(words)), (2, " ".join(["x" if i == 25 else w for i, w in enumerate(words)]))]  # 0.80 at five words, 0.84 at four
+    assert jaccard.jaccard_components(docs(rows)).filter("__component = 1").count() == 1
+    assert [r.doc_id for r in corpus_pipeline.keep_one_of_near_copies(spark, docs(rows), "").collect()] == [1]

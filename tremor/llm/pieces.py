@@ -282,20 +282,21 @@ def encode_texts(keys: list, texts: list[str | None], vocabulary: Vocabulary, al
     return out
 
 
-def encode_pieces(docs: DataFrame, model: str = MODEL, alpha: float = 0.8, seed: int = 1, id_col: str = "doc_id", text_col: str = "text", check: bool = True) -> DataFrame:
-    """One row per document: id, ids (sampled segmentation), n_pieces, and with check whether decoding gives the text back."""
+def encode_pieces(docs: DataFrame, model: str = MODEL, alpha: float = 0.8, seed: int = 1, id_col: str = "doc_id", text_col: str = "text", check: bool = True, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per document: id, ids (sampled segmentation), n_pieces, with check whether decoding gives the text back, and the columns to carry."""
     vocabulary = load_vocabulary(model)
     fields = [T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("n_pieces", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType()))]
     fields += [T.StructField("lossless", T.BooleanType())] if check else []
+    fields += [docs.schema[c] for c in carry]
 
-    def run(keys, texts):
+    def run(keys, texts, *carried):
         ids = encode_texts(keys, texts, vocabulary, alpha, seed)
-        out = {id_col: keys, "n_pieces": [0 if x is None else len(x) for x in ids], "ids": ids}
+        out = {id_col: keys, "n_pieces": [0 if x is None else len(x) for x in ids], "ids": ids, **dict(zip(carry, carried, strict=True))}
         if check:
             out["lossless"] = [t is None or decode_ids(x.tolist(), vocabulary) == t for x, t in zip(ids, texts, strict=True)]
         return out
 
-    return map_texts(docs.select(id_col, text_col), run, T.StructType(fields))
+    return map_texts(docs.select(id_col, text_col, *carry), run, T.StructType(fields))
 
 
 def decode_pieces(encoded: DataFrame, model: str = MODEL, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
