@@ -1,7 +1,9 @@
 """Secret scan, license scan and language id against plain versions and on the defined cases."""
 
 import hashlib
+import random
 import re
+import textwrap
 
 import numpy as np
 import pytest
@@ -85,6 +87,43 @@ def test_license_report(docs):
     assert licenses.license_digest(docs([])).count() == 0
 
 
+@pytest.mark.parametrize("mark", ["", "# ", " * "])
+def test_license_notices_wrapped_over_lines(mark):
+    index = licenses.TemplateIndex(licenses.TEMPLATES, {}, 0.85)
+    for k, (label, t) in enumerate(licenses.TEMPLATES):
+        lines = [mark + x for x in textwrap.wrap(t, 30)]
+        n, _, blocks = licenses.scan_text("\n".join(["zzz " * 40, *lines, "yyy " * 40, *lines]), index)
+        size = len(plain_words(t))
+        for start in (40, 80 + size):  # a repeated first word may stay outside
+            assert any((b, c) == (label, 1.0) and start <= w and w + m <= start + size for w, m, b, c in blocks), k
+        assert n == 80 + 2 * size
+        scattered = (" zzz" * 60).join(plain_words(t))
+        assert licenses.scan_text(scattered, index)[2] == []
+
+
+def test_license_blocks_match_brute_force():
+    rng = random.Random(6)
+    templates = [("a", "one two three four five six seven"), ("b", "one one two eight nine ten"), ("c", "three nine")]
+    index = licenses.TemplateIndex(templates, {b"three": 2}, 0.85)
+    vocabulary = "one two three four five six seven eight nine ten".split()
+    hits = 0
+    for _ in range(600):
+        words = [rng.choice(vocabulary) if rng.random() < 0.6 else "x" for _ in range(rng.randrange(60))]
+        if rng.random() < 0.5:
+            words[5:5] = templates[0][1].split()
+        got = licenses.scan_text("\n".join(words), index)[2]
+        for label, t in templates:
+            need, width = set(t.split()), licenses.WINDOW * len(t.split())
+            share = lambda i, n: len(need & set(words[i : i + n])) / len(need)  # noqa: B023, E731
+            fits = [i for i in range(len(words)) if share(i, width) >= 0.85 - 1e-9]
+            mine = sorted((w, n, c) for w, n, b, c in got if b == label)
+            assert all(n <= width and abs(share(w, n) - c) < 1e-12 and c >= 0.85 - 1e-9 for w, n, c in mine)
+            assert all(w + n <= v for (w, n, _), (v, _, _) in zip(mine, mine[1:], strict=False))
+            assert all(any(w < i + width and i < w + n for w, n, _ in mine) for i in fits)  # no block is far from a reported one
+            hits += len(mine)
+    assert hits > 300
+
+
 def test_language_profiles_by_hand():
     keys = langid.gram_keys("Ab a!")
     c = lambda *x: sum(v << langid._BITS * (len(x) - 1 - k) for k, v in enumerate(x))

@@ -1,12 +1,13 @@
 """License scan: exact containment join of text blocks with license templates.
 
-A block is a line of a text and a template a license notice; both are sets of words. A block matches a template when it
-holds at least `threshold` of the template's words. The join is exact and filters before it verifies:
+A template is a license notice, and a block any run of words of a text, across line ends, of at most WINDOW times the template's length; both
+are sets of words. A block matches a template when it holds at least `threshold` of the template's words. Of matches that overlap, the one
+with most of the template's words counts, then the first, from its first to its last such word. The join is exact and filters before it verifies:
 
 * global frequency order: the corpus counts of all template words (over every document) order them, rarest first;
 * prefix filter: with overlap o = ceil(threshold * |template|), a match must hold one of the template's first |template| - o + 1 words;
-* length filter: a block of fewer than o distinct words cannot match;
-* positional filter: at the first shared word, the words that remain in the template must still reach o.
+* length filter: a text of fewer than o words cannot match;
+* positional filter: only words within a block's length of such a word are looked at.
 
 Templates are a fixed, small parameter, so their prefix index goes to every task and the documents are never shuffled; the
 only shuffle is the count of template words, at most one row for each word and task.
@@ -20,6 +21,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 
 from pyspark.sql import DataFrame
@@ -28,6 +30,9 @@ from pyspark.sql import types as T
 
 from tremor.llm.common import map_texts
 
+#: Longest block, as a multiple of the template's words: leaves room for names, years and words of comment marks between them.
+WINDOW = 2
+
 # Fixed values of the base scan: phrase and label.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
@@ -60,39 +65,92 @@ def words_of(text: str) -> list[bytes]:
 
 
 class TemplateIndex:
-    """Templates with their words in global frequency order, and which templates a prefix word starts."""
+    """Templates with their words in global frequency order, and which templates a prefix word belongs to."""
 
     def __init__(self, templates: list[tuple[str, str]], counts: dict[bytes, int], threshold: float) -> None:
         self.threshold = threshold
         self.order = {w: (counts.get(w, 0), w) for _, t in templates for w in words_of(t)}
-        self.rows = []  # label, words in order, overlap needed
-        self.prefix: dict[bytes, list[tuple[int, int]]] = {}
+        self.rows = []  # label, words in order, overlap needed, most words of a block
+        self.prefix: dict[bytes, list[int]] = {}
         for k, (label, text) in enumerate(templates):
             words = sorted(set(words_of(text)), key=self.order.__getitem__)
             need = max(1, math.ceil(threshold * len(words) - 1e-9))
-            self.rows.append((label, words, need))
-            for at, w in enumerate(words[: len(words) - need + 1]):
-                self.prefix.setdefault(w, []).append((k, at))
+            self.rows.append((label, words, need, WINDOW * len(words_of(text))))
+            for w in words[: len(words) - need + 1]:
+                self.prefix.setdefault(w, []).append(k)
         self.probe = [(w, w.decode("utf-8", "surrogatepass")) for w in self.prefix]
         self.starts = sorted(self.prefix)
 
-    def matches(self, block: set[bytes]) -> list[tuple[int, float]]:
-        """Templates that the block contains to the threshold, with the containment."""
-        tried: dict[int, int] = {}
-        for w in block & self.prefix.keys():
-            for k, at in self.prefix[w]:
-                tried[k] = min(at, tried.get(k, at))
+    def matches(self, words: list[bytes]) -> list[tuple[int, int, int, float]]:
+        """Blocks that contain a template to the threshold: first word, words, template, containment."""
+        found = self.prefix.keys() & set(words)
         out = []
-        for k, at in tried.items():
-            _, words, need = self.rows[k]
-            if len(block) < need or len(words) - at < need:
+        if not found:
+            return out
+        tried = sorted({k for w in found for k in self.prefix[w]})
+        places: dict[bytes, list[int]] = {w: [] for k in tried for w in self.rows[k][1]}
+        for at, w in enumerate(words):
+            if w in places:
+                places[w].append(at)
+        for k in tried:
+            _, wanted, need, width = self.rows[k]
+            if len(words) < need:
                 continue
-            both = sum(w in block for w in words)
-            if both >= need:
-                out.append((k, both / len(words)))
+            hits = sorted((at, w) for w in wanted for at in places[w])
+            opened = sorted(at for w in wanted[: len(wanted) - need + 1] for at in places[w])
+            lo = 0
+            while lo < len(opened):  # prefix words whose blocks may overlap go together
+                hi = lo + 1
+                while hi < len(opened) and opened[hi] - opened[hi - 1] < 2 * width:
+                    hi += 1
+                near = hits[bisect_left(hits, (opened[lo] - width + 1,)) : bisect_left(hits, (opened[hi - 1] + width,))]
+                out += [(at, n, k, both / len(wanted)) for at, n, both in best_blocks(near, need, width)]
+                lo = hi
         return out
 
 
+def best_blocks(hits: list[tuple[int, bytes]], need: int, width: int) -> list[tuple[int, int, int]]:
+    """Blocks of at most width words with at least need different ones of hits (place, word), as first word, words and different hits."""
+    both = []  # different words of the block that starts at each hit
+    inside: Counter = Counter()
+    end = 0
+    for at, w in hits:
+        while end < len(hits) and hits[end][0] < at + width:
+            inside[hits[end][1]] += 1
+            end += 1
+        both.append(len(inside))
+        inside[w] -= 1
+        if not inside[w]:
+            del inside[w]
+    out = []
+    i = 0
+    while i < len(hits):
+        if both[i] < need:
+            i += 1
+            continue
+        last = _block_end(hits, i, both[i])
+        best = max(range(i, last + 1), key=lambda j: (both[j], -j))
+        last = _block_end(hits, best, both[best])
+        held = Counter(w for _, w in hits[best : last + 1])
+        first = best
+        while held[hits[first][1]] > 1:  # the word comes again: the block can start later
+            held[hits[first][1]] -= 1
+            first += 1
+        out.append((hits[first][0], hits[last][0] - hits[first][0] + 1, both[best]))
+        i = last + 1
+    return out
+
+
+def _block_end(hits: list[tuple[int, bytes]], i: int, both: int) -> int:
+    """The first hit by which the block that starts at hit i holds this many different words."""
+    seen = set()
+    while True:
+        seen.add(hits[i][1])
+        if len(seen) == both:
+            return i
+        i += 1
+
+
 def template_word_counts(docs: DataFrame, templates: list[tuple[str, str]], text_col: str = "text", id_col: str = "doc_id") -> dict[bytes, int]:
     """How often each template word occurs in all documents: partial counts in tasks, then one small aggregation."""
     vocabulary = frozenset(w for _, t in templates for w in words_of(t))
@@ -117,20 +175,15 @@ def scan_text(text: str | None, index: TemplateIndex) -> tuple[int, list[tuple[i
     if not text:
         return 0, [], []
     folded = text.encode("utf-8", "surrogatepass").translate(_FOLD_LINES)
-    n_words = len(folded.split())
+    words = folded.split()
     base = []
     for pattern, label, first in _BASE:
         if first in folded:
             base += [(len(folded[: m.start()].split()), label) for m in pattern.finditer(folded)]
     blocks = []
     if any(w in folded for w in index.starts):
-        at = 0
-        for line in folded.split(b"\n"):
-            words = line.split()
-            if words and any(w in line for w in index.starts):
-                blocks += [(at, len(words), index.rows[k][0], c) for k, c in index.matches(set(words))]
-            at += len(words)
-    return n_words, sorted(base), blocks
+        blocks = [(at, n, index.rows[k][0], c) for at, n, k, c in index.matches(words)]
+    return len(words), sorted(base), blocks
 
 
 def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = 0.85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
