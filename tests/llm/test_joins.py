@@ -61,8 +61,8 @@ def corpus(rng, n=260):
 def test_components_match_brute_force(docs, monkeypatch, seed):
     rows = [*corpus(random.Random(seed)), (900, None), (901, ""), (902, " \n\t"), (903, "one two"), (904, "ONE two"), (905, "b " * 30_000)]
     if seed == 2:  # make frequent shingles and many rounds happen on small data
-        monkeypatch.setattr(jaccard, "frequent_shingles", lambda d, i, t, w, n: _often(rows, w))
-        monkeypatch.setattr(jaccard, "PAIRS_PER_ROW", 0.5)
+        monkeypatch.setattr(jaccard, "frequent_shingles", lambda sets, n: _often(rows, 4))
+        monkeypatch.setattr(jaccard, "SMALL", 2)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_report(docs(rows, extra=True)).collect()}
     assert got == plain_components(rows)
 

@@ -80,7 +80,7 @@ def test_license_base(text):
 def test_license_report(docs):
     rows = [(1, "Intro.\nLicensed under CC BY-NC 4.0.\nAll rights reserved"), (2, None), (3, ""), (4, "Released under the MIT License.")]
     got = {r.doc_id: r for r in licenses.license_digest(docs(rows, extra=True)).collect()}
-    assert (got[1].n_words, got[1].n_base, got[1].first_word, got[1].last_word, got[1].base_labels, got[1].score) == (10, 2, 3, 7, "cc-by,reserved", 1.0)
+    assert (got[1].n_words, got[1].n_base, got[1].first_word, got[1].last_word, got[1].base_labels, got[1].score) == (11, 2, 3, 8, "cc-by,reserved", 1.0)
     assert "cc-by-nc" in got[1].labels.split(",")
     assert (got[2].n_words, got[2].labels, got[2].first_word, got[2].score) == (0, "", None, 0.0)
     assert (got[4].labels, got[4].n_base, got[4].score) == ("mit", 0, 1.0)

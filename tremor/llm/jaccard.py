@@ -8,17 +8,21 @@ component. No link is lost:
   global order of shingles, a prefix whose classes of shingles promise more than tau must share, in some class, as many shingles with the
   partner's prefix as the class asks for.
 * The order: first the shingles of a fixed part of the hash range by their document frequency (counted over all documents), then
-  the other rare ones, last the frequent ones. Rare shingles are classes of their own and are indexed alone. Frequent ones (in 1 % of a bounded
-  sample; they number at most 100 times the mean set size) fall into groups by hash, and only pairs of them in one group are
-  indexed, in families of neighbouring set sizes; a group of x promises x - 1. Prefixes are extended until they promise tau + 1.
-* Lists of an index entry are not expanded into pairs. In rounds, each open list's likely original (the class with the fewest shingles
-  that nobody shares) meets the others of the list that are not yet in its component; exact overlaps decide; lists that lie in one
-  component are closed. Once what is left is no more than PAIRS_PER_ROW pairs for each list row, or after STAR_ROUNDS rounds, all of them are compared, but for those
-  that bounds refute before any text is read: the triangle inequality over distances to the original, and counts of shingles in 63 parts
-  of the hash range, whose smaller ones bound an overlap from above.
+  the other rare ones, last the frequent ones. Rare shingles are classes of their own and are indexed alone. Frequent ones (about FREQUENT of
+  all sets hold them, so they number at most 2 / FREQUENT times the mean set size) fall into groups by hash, and only pairs of them in one
+  group are indexed, in families of neighbouring set sizes; a group of x promises x - 1. Prefixes are extended until they promise tau + 1.
+* Lists of an index entry are not expanded into pairs. Each list's likely original, its head (the class with the fewest shingles that nobody
+  shares), meets the others of the list, and exact overlaps decide. Lists that lie in one component are closed.
+* What is left of a list is indexed again, by what each set differs in from the head. Let e be the size of such a difference. Two sets x and y
+  link when the symmetric difference of theirs, e_x + e_y - 2 * shared, is at most D = (1 - t) / (1 + t) * (|x| + |y|). So their
+  differences share at least (e_x + e_y - D) / 2 shingles; where that is 0 or less, both link with the head. A shingle in which
+  one set of the head's alone differs is shared with nobody and uses up the prefix, so sets with changes of their own leave few
+  entries or none. Entries are kept by bands of both sizes, which bound the overlap from below. The new lists go the same way, pairs
+  of at most SMALL sets directly, until none is left: every list loses its head in each round.
+* A set that shares less than half with the head stays in the list for another head; so does one within a link's reach of such sets.
 
 Exact overlaps come from the texts: pairs are grouped by their first side, split into salted groups, and compared in a sorted
-pass that holds one text's set at a time.
+pass that holds one text's set at a time. Lists with over HOT of all rows (at most 1 / HOT of them) meet their heads in a broadcast join.
 
 Defined cases: null, empty and blank texts have no shingles and link with nothing; fewer than four words are one shingle; exact copies link;
 rows that share an id are documents of their own; so are rows with a null id, whose component is the smallest id they link with, and null where
@@ -27,11 +31,9 @@ all ids linked are null; an empty table gives an empty result; further columns a
 
 from __future__ import annotations
 
-import itertools
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -42,13 +44,16 @@ from tremor.llm.components import components
 WORDS = 4
 #: Share of the hash range whose shingles are ordered by document frequency.
 COUNTED = 0.22
-SAMPLE_DOCS = 5000
-FREQUENT = 0.01
-SALT_ROWS = 400
-BUCKETS = 63
-#: All pairs of what is left are compared, under the bounds, once they are no more than this for each row of the lists, or after so many rounds.
-PAIRS_PER_ROW = 60
-STAR_ROUNDS = 2
+#: Share of all sets from which on a shingle is frequent.
+FREQUENT = 0.005
+#: A head's partners in one group of comparisons.
+SALT_ROWS = 64
+#: Share of all list rows from which on a list is hot.
+HOT = 0.001
+#: Rows of a list that are compared with one another without a head.
+SMALL = 12
+#: Distance to a head up to which a set is indexed by its differences.
+NEAR = 0.5
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -132,35 +137,53 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def set_table(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """(__id, __n, __node): size and key of each document's set."""
+    """(__id, __n, __node): size and key of each document's set; and (__h, __c), shingles that many sets of a task hold, and in how many.
+
+    A task counts its distinct sets chunk by chunk and leaves out what a chunk holds once, so a count is too small by at most one a chunk.
+    """
     rows = _rows(docs, id_col, text_col)
-    schema = T.StructType([rows.schema["__id"], T.StructField("__n", T.LongType()), T.StructField("__node", T.LongType())])
+    schema = T.StructType([
+        T.StructField("__id", rows.schema["__id"].dataType), T.StructField("__n", T.LongType()), T.StructField("__node", T.LongType()),
+        T.StructField("__h", T.LongType()), T.StructField("__c", T.LongType()),
+    ])
+    arrow = to_arrow_schema(schema)
+    batch_of = lambda n, columns: pa.RecordBatch.from_arrays([pa.array(columns[f.name], type=f.type) if f.name in columns else pa.nulls(n, f.type) for f in arrow], schema=arrow)
 
-    def run(ids, texts):
-        sets = [shingles_of(t, words) for t in texts]
-        return {"__id": ids, "__n": [len(h) for h in sets], "__node": [set_key(h) for h in sets]}
+    def run(batches):
+        seen = set()
+        often = (np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64))
+        for batch in batches:
+            for ids, texts in chunks(batch):
+                sets = [shingles_of(t, words) for t in texts]
+                keys = [set_key(h) for h in sets]
+                yield batch_of(len(ids), {"__id": ids, "__n": [len(h) for h in sets], "__node": keys})
+                new = {k: h for k, h in zip(keys, sets, strict=True) if len(h) and k not in seen}
+                seen.update(new)
+                if new:
+                    h, c = np.unique(np.concatenate(list(new.values())), return_counts=True)
+                    often = _merged(often, (h[c > 1], c[c > 1]), len(seen) * FREQUENT / 8)
+        h, c = (x[often[1] >= len(seen) * FREQUENT / 2] for x in often)
+        if len(h):
+            yield batch_of(len(h), {"__h": h.view(np.int64), "__c": c})
 
-    return map_texts(rows, run, schema)
+    return rows.mapInArrow(run, schema)
 
 
-def frequent_shingles(docs: DataFrame, id_col: str, text_col: str, words: int, n_docs: int) -> np.ndarray:
-    """Sorted shingles in FREQUENT of the distinct sets of a bounded sample; at most the mean set size / FREQUENT of them."""
-    rows = _rows(docs, id_col, text_col)
-    share = min(1.0, SAMPLE_DOCS / max(1, n_docs))
-    some = rows.filter(F.pmod(F.xxhash64("__id", F.lit(5)), F.lit(1 << 20)) <= F.lit(int(share * (1 << 20)))).limit(2 * SAMPLE_DOCS)
-    schema = T.StructType([T.StructField("__node", T.LongType()), T.StructField("__h", T.ArrayType(T.LongType()))])
+def _merged(a: tuple, b: tuple, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of two counts by key, without those under least."""
+    h, at = np.unique(np.concatenate([a[0], b[0]]), return_inverse=True)
+    c = np.bincount(at, weights=np.concatenate([a[1], b[1]]), minlength=len(h)).astype(np.int64)
+    return h[c >= least], c[c >= least]
 
-    def run(_, texts):
-        sets = [h for t in texts if len(h := shingles_of(t, words))]
-        return {"__node": [set_key(h) for h in sets], "__h": [h.view(np.int64) for h in sets]}
 
-    sets = map_texts(some, run, schema).dropDuplicates(["__node"])
-    counted = sets.select(F.explode("__h").alias("h")).groupBy("h").count().filter(F.col("count") >= max(50, int(FREQUENT * min(n_docs, SAMPLE_DOCS)))).select("h")
-    return np.sort(np.array([r["h"] for r in counted.collect()], dtype=np.int64).view(np.uint64))
+def frequent_shingles(sets: DataFrame, n_sets: int) -> np.ndarray:
+    """Sorted shingles that at least FREQUENT / 2 of all sets hold (as counted by set_table); at most 2 / FREQUENT times the mean set size."""
+    counted = sets.filter("__h IS NOT NULL").groupBy("__h").agg(F.sum("__c").alias("c")).filter(F.col("c") >= max(50, n_sets * FREQUENT / 2)).select("__h")
+    return np.sort(np.array([r["__h"] for r in counted.collect()], dtype=np.int64).view(np.uint64))
 
 
 def index_table(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int, frequent: np.ndarray) -> DataFrame:
-    """(__sig, __node, __n, __own): index entries that at least two classes share; __own: counted shingles that the class shares with nobody."""
+    """(__sig, __node, __n, __own): index entries; __own: counted shingles that the class shares with nobody."""
     rows = _rows(docs, id_col, text_col)
     cut = np.uint64(int(COUNTED * 2.0**64))
     schema = T.StructType([
@@ -192,136 +215,155 @@ def index_table(docs: DataFrame, id_col: str, text_col: str, words: int, percent
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
 
     found = rows.mapInArrow(run, schema)
-    by_sig = "PARTITION BY __sig"
-    shared = found.repartition("__sig").dropDuplicates(["__sig", "__node"]).withColumn("__df", F.expr(f"count(*) OVER ({by_sig})")).filter("__df > 1")
+    # entries of frequent shingles are dealt by class as well: their lists may be long, and they need no counting
+    dealt = found.withColumn("__salt", F.when(F.col("__need") < 0, F.pmod("__node", F.lit(1024))).otherwise(0)).repartition("__sig", "__salt")
+    counted = dealt.dropDuplicates(["__sig", "__salt", "__node"]).withColumn("__df", F.expr("count(*) OVER (PARTITION BY __sig, __salt)")).filter("__df > 1 OR __need < 0")
     # of a class's counted shingles those in one set only come first in the order, and meet nobody
     rank = F.expr("row_number() OVER (PARTITION BY __node ORDER BY __need < 0, __df, __sig)")
-    ranked = shared.withColumn("__k", rank).withColumn("__shared", F.expr("count_if(__need >= 0) OVER (PARTITION BY __node)"))
-    entries = ranked.filter("__need < 0 OR __k <= __need - (__m - __shared)").select("__sig", "__node", "__n", (F.col("__m") - F.col("__shared")).alias("__own"))
-    return entries.withColumn("__size", F.expr(f"count(*) OVER ({by_sig})")).filter("__size > 1").select("__sig", "__node", "__n", "__own")
-
-
-def bucket_counts(h: np.ndarray) -> list[int] | None:
-    """Shingles in each of 63 parts of the hash range, seven counts to a long; None where a count exceeds 127."""
-    counts = np.bincount(((h >> np.uint64(32)) * np.uint64(BUCKETS) >> np.uint64(32)).astype(np.int64), minlength=BUCKETS)
-    if counts.max(initial=0) > 127:
-        return None
-    return (counts.reshape(-1, 7) << (8 * np.arange(7))).sum(axis=1).tolist()
-
-
-def may_link(percent: int):
-    """Whether the bucket counts of two sides (__buckets, __n and __ab, __an) leave room for an overlap at the threshold.
-
-    The smaller of two counts is taken for seven of them at a time, in the lanes of a long.
-    """
-    terms = []
-    for k in range(BUCKETS // 7):
-        x, y = f"__buckets[{k}]", f"__ab[{k}]"
-        over = f"((({x} | 36170086419038336L) - {y}) & 36170086419038336L)"  # 0x80 in the lanes where x >= y
-        mask = f"(shiftleft({over}, 1) - shiftrightunsigned({over}, 7))"
-        low = f"(({y} & {mask}) | ({x} & ~{mask}))"
-        terms.append(f"({low} & 71777214294589695L) + (shiftrightunsigned({low}, 8) & 71777214294589695L)")  # lanes of 16 bits
-    bound = f"(({' + '.join(terms)}) % 65535L)"  # the sum of the lanes: 65536 is 1 modulo 65535, and the sum is smaller
-    return F.expr(f"coalesce(({100 + percent}L) * ({bound}) >= {percent}L * (__n + __an), true)")
+    ranked = counted.withColumn("__k", rank).withColumn("__shared", F.expr("count_if(__need >= 0) OVER (PARTITION BY __node)"))
+    return ranked.filter("__need < 0 OR __k <= __need - (__m - __shared)").select("__sig", "__node", "__n", (F.col("__m") - F.col("__shared")).alias("__own"))
+
+
+def keyed_join(rows: DataFrame, facts: DataFrame, key: list[str], size: str, total: int) -> DataFrame:
+    """rows with the facts of their key. Keys of over HOT of total rows (by facts' column size) go by broadcast, so they load no single task."""
+    found = facts.filter(F.col(size) > max(1000, total * HOT)).collect()
+    if not found:
+        return rows.join(facts, key)
+    hot = F.broadcast(rows.sparkSession.createDataFrame(found, facts.schema))
+    return rows.join(hot, key).unionByName(rows.join(hot.select(*key), key, "left_anti").join(facts, key))
+
+
+def with_heads(lists: DataFrame) -> DataFrame:
+    """Rows of the lists (__sig, __node, __n, __own, __label) that hold several labels, with their list's size __c and its head."""
+    total = lists.count()
+    over = Window.partitionBy("__sig")
+    facts = {
+        "__c": F.count("*"), "__s": F.min(F.struct("__own", F.col("__node").alias("__head"), F.col("__n").alias("__hn"))),
+        "__lo": F.min("__label"), "__hi": F.max("__label"),
+    }
+    found = lists.groupBy("__sig").count().filter(F.col("count") > max(1000, total * HOT)).select("__sig").collect()  # at most 1 / HOT
+    cold, parts = lists, []
+    if found:
+        keys = F.broadcast(lists.sparkSession.createDataFrame([(r["__sig"],) for r in found], "__sig long"))
+        hot, cold = lists.join(keys, "__sig"), lists.join(keys, "__sig", "left_anti")
+        parts.append(hot.join(F.broadcast(hot.groupBy("__sig").agg(*(f.alias(name) for name, f in facts.items()))), "__sig"))
+    parts.append(cold.withColumns({name: f.over(over) for name, f in facts.items()}))
+    wanted = ["__sig", "__node", "__n", "__own", "__label", "__c", "__s.__head", "__s.__hn"]
+    kept = [p.filter("__lo <> __hi").select(*wanted) for p in parts]
+    return kept[0].union(kept[1]) if len(kept) > 1 else kept[0]
 
 
 def verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """pairs (__a, __b) with __link, whether the sets of their texts reach the threshold, and their distance __d. texts: (__node, __text)."""
+    """pairs (__a, __b, __star) with __link, whether the sets of their texts reach the threshold; of stars that are NEAR also __delta, what __b's set differs in."""
     salts = pairs.groupBy("__a").agg(F.count("*").alias("__c")).withColumn("__salts", F.ceil(F.col("__c") / SALT_ROWS).cast("int")).drop("__c")
-    members = pairs.join(salts, "__a").select("__a", F.pmod(F.xxhash64("__b"), F.col("__salts")).cast("int").alias("__salt"), "__b")
-    heads = salts.select("__a", F.explode(F.sequence(F.lit(0), F.col("__salts") - 1)).alias("__salt"), F.lit(None).cast("long").alias("__b"))
+    members = pairs.join(salts, "__a").select("__a", F.pmod(F.xxhash64("__b"), F.col("__salts")).cast("int").alias("__salt"), "__b", "__star")
+    heads = salts.select("__a", F.explode(F.sequence(F.lit(0), F.col("__salts") - 1)).alias("__salt"), F.lit(None).cast("long").alias("__b"), F.lit(False).alias("__star"))
     asked = members.withColumn("__node", F.col("__b")).union(heads.withColumn("__node", F.col("__a")))
-    joined = texts.join(asked.hint("shuffle_hash"), "__node").select("__a", "__salt", "__b", "__text")
+    joined = texts.join(asked.hint("shuffle_hash"), "__node").select("__a", "__salt", "__b", "__star", "__text")
     dealt = joined.repartition("__a", "__salt").sortWithinPartitions("__a", "__salt", F.col("__b").asc_nulls_first())
-    schema = T.StructType([T.StructField("__a", T.LongType()), T.StructField("__b", T.LongType()), T.StructField("__link", T.BooleanType()), T.StructField("__d", T.DoubleType())])
+    schema = T.StructType([
+        T.StructField("__a", T.LongType()), T.StructField("__b", T.LongType()), T.StructField("__star", T.BooleanType()), T.StructField("__link", T.BooleanType()),
+        T.StructField("__d", T.DoubleType()), T.StructField("__delta", T.ArrayType(T.LongType())),
+    ])
     arrow = to_arrow_schema(schema)
 
     def run(batches):
         own = head = None
         for batch in batches:
-            for a, salts, b, texts in chunks(batch, 3):
+            for a, salts, b, stars, texts in chunks(batch, 4):
                 got: list[tuple] = []
-                for x, salt, y, t in zip(a, salts, b, texts, strict=True):
+                for x, salt, y, star, t in zip(a, salts, b, stars, texts, strict=True):
                     h = shingles_of(t, words)
                     if y is None:
                         own, head = h, (x, salt)
                         continue
                     if head != (x, salt):
                         raise ValueError(f"no text for the set {x}")
-                    both = len(np.intersect1d(own, h, assume_unique=True))
-                    either = len(own) + len(h) - both
-                    got.append((x, y, 100 * both >= percent * either, 1 - both / either))
+                    delta = np.setxor1d(own, h, assume_unique=True)
+                    both = (len(own) + len(h) - len(delta)) // 2
+                    far = len(delta) / (len(delta) + both)
+                    got.append((x, y, star, 100 * both >= percent * (both + len(delta)), far, delta.view(np.int64) if star and far <= NEAR else None))
                 if got:
                     yield pa.RecordBatch.from_arrays([pa.array([g[k] for g in got], type=f.type) for k, f in enumerate(arrow)], schema=arrow)
 
     return dealt.mapInArrow(run, schema)
 
 
-def _links(entries: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame | None:
-    """(__node, __label) of all classes that link with another one."""
-    fits = F.expr(f"100 * least(__n, __an) >= {percent} * greatest(__n, __an)")
-    far = (100 - percent) / 100 + 1e-9
-    near = F.coalesce(F.abs(F.col("__far") - F.col("__afar")) <= far, F.lit(True))  # distances to one text differ by no more than their own
-    labels = tested = links = None
-    entries = entries.withColumn("__far", F.lit(None).cast("double"))
-    plain = texts.select("__node", "__text")
-    for round_ in itertools.count():
-        if labels is None:
-            lists = entries.withColumn("__label", F.col("__node"))
-        else:
-            lists = entries.join(labels, "__node", "left").withColumn("__label", F.coalesce("__label", "__node"))
-            mixed = lists.groupBy("__sig").agg(F.min("__label").alias("lo"), F.max("__label").alias("hi")).filter("lo <> hi").select("__sig")
-            lists = materialize(lists.join(mixed, "__sig"), "lists")
-        counts = lists.groupBy("__sig", "__label").agg(F.count("*").cast("double").alias("c")).groupBy("__sig").agg(F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("cc"))
-        left = counts.agg(F.sum("c").alias("rows"), F.sum((F.col("c") * F.col("c") - F.col("cc")) / 2).alias("pairs")).collect()[0]
-        if not left["rows"] or not left["pairs"]:
-            break
-        last = round_ >= STAR_ROUNDS or (round_ > 0 and left["pairs"] <= PAIRS_PER_ROW * left["rows"])
-        if last:  # bucket counts go along, so that refuted pairs never leave the join
-            lists = materialize(lists.join(texts.select("__node", "__buckets"), "__node"), "lists")
-        side = lists.select("__sig", F.col("__node").alias("__a"), F.col("__n").alias("__an"), F.col("__label").alias("__al"), F.col("__far").alias("__afar"), "__own", *([F.col("__buckets").alias("__ab")] if last else []))
-        if not last:  # the text with the fewest shingles of its own is likely what the others were copied from
-            side = side.groupBy("__sig").agg(F.min_by(F.struct("__a", "__an", "__al", "__afar"), F.struct("__own", "__a")).alias("s")).select("__sig", "s.*")
-        wanted = (F.col("__label") != F.col("__al")) & fits & near & ((F.col("__node") > F.col("__a")) & may_link(percent) if last else F.col("__node") != F.col("__a"))
-        met = lists.drop("__own").join(side.drop("__own"), "__sig").filter(wanted)
-        pairs = met.select("__a", F.col("__node").alias("__b")).distinct()
-        if tested is not None:
-            both = tested.union(tested.select(F.col("__b").alias("__a"), F.col("__a").alias("__b")))
-            pairs = pairs.join(both, ["__a", "__b"], "left_anti")
-        done = materialize(verified(materialize(pairs, "pairs"), plain, words, percent), "verified")
-        tested = done.select("__a", "__b") if tested is None else tested.union(done.select("__a", "__b"))
+def difference_lists(near: DataFrame, percent: int) -> DataFrame:
+    """Lists (__sig, __node, __n, __own) of sets that may link, by their differences from a head: near has __head, __hn, __node, __n, __own and __delta."""
+    near = near.withColumn("__e", F.size("__delta")).filter("__e > 0")
+    key = ["__head", "__node"]
+    tokens = near.select(*key, F.explode("__delta").alias("__t"))
+    counts = tokens.groupBy("__head", "__t").agg(F.count("*").alias("__df")).filter("__df > 1")  # partial counts first: a hot head is no hot task
+    ranked = keyed_join(tokens, counts, ["__head", "__t"], "__df", near.count())
+    shared = ranked.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("__df", "__t"))).alias("__shared"))
+    rows = near.join(shared, key)
+    reach = F.expr(f"cast(floor(__n * {100 - percent} / {percent}) AS int)")  # most a partner may differ in: it has at most n / t shingles
+    rows = rows.withColumns({"__reach": reach, "__w": F.expr(f"greatest(1, cast(floor(__hn * {100 - percent} / {4 * percent}) AS int))")})
+    rows = rows.withColumn("__other", F.explode(F.expr("sequence(cast(greatest(1, __e - __reach) / __w AS int), cast((__e + __reach) / __w AS int))")))
+    least = F.expr("greatest(1, cast(ceil((__e + greatest(1, __other * __w) - __reach) / 2) AS int))")
+    keep = F.expr("__e - __least + 1 - (__e - size(__shared))")
+    rows = rows.withColumn("__least", least).withColumn("__keep", keep).filter("__keep > 0").withColumn("__mine", F.expr("cast(__e / __w AS int)"))
+    entries = rows.select("__head", "__node", "__n", "__own", F.least("__mine", "__other").alias("__b1"), F.greatest("__mine", "__other").alias("__b2"), F.explode(F.expr("slice(__shared, 1, __keep)")).alias("__s"))
+    return entries.select(F.xxhash64("__head", "__b1", "__b2", "__s.__t").alias("__sig"), "__node", "__n", "__own")
+
+
+def _links(open_lists: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame | None:
+    """(__node, __label) of all classes that link with another one. open_lists: rows of with_heads."""
+    labels = links = None
+    first = True
+    while open_lists.count():
+        stars = open_lists if first else open_lists.filter(F.col("__c") > SMALL)
+        reached = stars.filter(f"__node <> __head AND {NEAR} * greatest(__n, __hn) <= least(__n, __hn)")
+        pairs = reached.select(F.col("__head").alias("__a"), F.col("__node").alias("__b")).distinct().withColumn("__star", F.lit(True))
+        if not first:
+            held = open_lists.filter(F.col("__c") <= SMALL).groupBy("__sig").agg(F.collect_list(F.struct("__node", "__n", "__label")).alias("__all"))
+            one = held.select("__all", F.explode("__all").alias("x")).select("x", F.explode(F.filter("__all", lambda y: y["__node"] > F.col("x.__node"))).alias("y"))
+            fit = one.filter(f"x.__label <> y.__label AND 100 * least(x.__n, y.__n) >= {percent} * greatest(x.__n, y.__n)")
+            pairs = pairs.union(fit.select("x.__node", "y.__node").distinct().withColumn("__star", F.lit(False)))
+        done = materialize(verified(materialize(pairs, "pairs"), texts, words, percent), "verified")
         new = done.filter("__link").select("__a", "__b")
         links = new if links is None else links.union(new)
         labels = materialize(components(links, "__a", "__b").select(F.col("node").alias("__node"), F.col("root").alias("__label")), "labels")
-        if last:
-            break
-        heads = side.select("__sig", F.col("__a").alias("__head"))
-        rest = lists.join(heads, "__sig").filter("__node <> __head").select("__sig", "__node", "__n", "__own", "__far", "__head")
-        if round_ == 0:
-            known = done.select(F.col("__a").alias("__head"), F.col("__b").alias("__node"), "__d")
-            rest = rest.join(known, ["__head", "__node"], "left").withColumn("__far", F.col("__d"))
-        entries = rest.select("__sig", "__node", "__n", "__own", "__far")
+        # sets near a head go by their differences, the others of its lists to another head
+        met = done.filter("__star").select(F.col("__a").alias("__head"), F.col("__b").alias("__node"), "__d", "__delta")
+        rows = stars.filter("__node <> __head").drop("__label").join(met.drop("__delta"), ["__head", "__node"], "left")
+        far = rows.filter(F.coalesce(F.col("__d") > NEAR - (100 - percent) / 100 - 1e-9, F.lit(True)))
+        sized = stars.select("__head", "__hn", "__node", "__n", "__own").distinct()
+        near = sized.join(met.filter("__delta IS NOT NULL"), ["__head", "__node"])
+        near = materialize(_open_heads(near, labels).select("__head", "__hn", "__node", "__n", "__own", "__delta"), "near")
+        lists = far.select("__sig", "__node", "__n", "__own").union(difference_lists(near, percent))
+        lists = materialize(lists.join(labels, "__node", "left").withColumn("__label", F.coalesce("__label", "__node")), "lists")
+        open_lists = materialize(with_heads(lists), "open")
+        texts = materialize(texts.join(open_lists.select("__node").distinct().union(open_lists.select("__head").distinct()).distinct(), "__node", "left_semi"), "texts")
+        first = False
     return labels
 
 
+def _open_heads(near: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rows of near whose head has partners of different labels."""
+    rows = near.join(labels, "__node", "left").withColumn("l", F.coalesce("__label", "__node"))
+    heads = rows.groupBy("__head").agg(F.count("*").alias("c"), F.min("l").alias("lo"), F.max("l").alias("hi")).filter("lo <> hi").select("__head", "c")
+    return keyed_join(near, heads, ["__head"], "c", near.count())
+
+
 def jaccard_components(docs: DataFrame, percent: int = 85, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, __n (set size) and __component (smallest id reachable by links)."""
-    members = materialize(set_table(docs, id_col, text_col, words), "sets")
+    sets = materialize(set_table(docs, id_col, text_col, words), "sets")
+    members = sets.filter("__h IS NULL").drop("__h", "__c")
     sizes = members.agg(F.count("*").alias("n"), F.count_if(F.col("__id").isNull() & (F.col("__n") > 0)).alias("nulls")).collect()[0]
-    n_docs = sizes["n"]
-    if not n_docs:
+    if not sizes["n"]:
         return members.select(F.col("__id").alias(id_col), "__n", F.col("__id").alias("__component"))
-    frequent = frequent_shingles(docs, id_col, text_col, words, n_docs)
-    entries = materialize(index_table(docs, id_col, text_col, words, percent, frequent), "index")
-    wanted = entries.select("__node").distinct()
+    entries = materialize(index_table(docs, id_col, text_col, words, percent, frequent_shingles(sets, sizes["n"])), "index")
+    lists = materialize(with_heads(entries.withColumn("__label", F.col("__node"))), "open")
+    wanted = lists.select("__node").distinct()
     owners = members.join(wanted, "__node").groupBy("__node").agg(F.min(F.when(F.col("__id").isNotNull(), F.struct("__id"))).alias("s")).select("__node", F.col("s.__id").alias("__id"))
     rows = _rows(docs, id_col, text_col).filter(F.col("__text").isNotNull())
     found = rows.join(owners.hint("shuffle_hash"), "__id").select("__node", "__text")
     if sizes["nulls"]:  # classes without any id find their text by its set
         nameless = owners.filter("__id IS NULL").select("__node")
         found = found.union(_keyed(rows.filter("__id IS NULL"), words).join(nameless, "__node").dropDuplicates(["__node"]))
-    texts = materialize(_of_set(found, words), "texts")
-    labels = _links(entries, texts, words, percent)
+    labels = _links(lists, materialize(_of_set(found, words), "texts"), words, percent)
     node = members.filter("__n > 0").groupBy("__node").agg(F.min("__id").alias("__least"))
     if labels is not None:
         node = node.join(labels, "__node", "left").withColumn("__label", F.coalesce("__label", "__node"))
@@ -356,8 +398,8 @@ def _keyed(rows: DataFrame, words: int) -> DataFrame:
 
 
 def _of_set(found: DataFrame, words: int) -> DataFrame:
-    """(__node, __text, __n, __buckets) of the texts whose set is their node's (an id may name several rows), one for each node and task."""
-    schema = T.StructType([*found.schema.fields, T.StructField("__n", T.LongType()), T.StructField("__buckets", T.ArrayType(T.LongType()))])
+    """(__node, __text) of the texts whose set is their node's (an id may name several rows), one for each node and task."""
+    schema = found.schema
     arrow = to_arrow_schema(schema)
 
     def run(batches):
@@ -368,10 +410,9 @@ def _of_set(found: DataFrame, words: int) -> DataFrame:
                 for node, t in zip(nodes, texts, strict=True):
                     if node in seen:
                         continue
-                    h = shingles_of(t, words)
-                    if set_key(h) == node:
+                    if set_key(shingles_of(t, words)) == node:
                         seen.add(node)
-                        kept.append((node, t, len(h), bucket_counts(h)))
+                        kept.append((node, t))
                 if kept:
                     yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in kept], type=f.type) for k, f in enumerate(arrow)], schema=arrow)
 
