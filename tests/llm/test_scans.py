@@ -40,6 +40,42 @@ def test_literals_follow_names_and_constants():
     assert secrets.scan_text("secret = key\nkey = secret\n")[0] == []  # names that only name each other end
 
 
+def literals(text):
+    return {text[lo:hi] for lo, k, hi in secrets.scan_text(text)[0] if secrets.KINDS[k] == "literal"}
+
+
+def test_secrets_follow_chains_of_any_length():
+    rng = random.Random(3)
+    word = lambda n: "".join(rng.choice("ABCDEFGHJKLMNPQRSTUVWXYZabcdefghjkmnpqrstuvwxyz23456789") for _ in range(n))
+    parts = [word(7) for _ in range(300)]
+    assert literals("secret_key = " + " + ".join(f'"{x}"' for x in parts)) == set(parts)
+    assert literals("secret_key = (\n" .replace("(", "") + "") == set()
+    broken = 'client_secret = "' + parts[0] + '" +\n    "' + parts[1] + '"\n    + "' + parts[2] + '" \\\n    "' + parts[3] + '"\nother = 1'
+    assert literals(broken) == set(parts[:4])
+    long = word(6000)
+    assert literals(f'a = "{long}"\nmy_password = a') == {long}
+    name = lambda i: "v_" + "".join("abcdefghij"[int(c)] for c in str(i))
+    chain = [f"{name(i)} = {name(i + 1)}" for i in range(5000)] + [f'{name(5000)} = "{parts[0]}"', f"password = {name(0)}"]
+    for order in (chain, chain[::-1], rng.sample(chain, len(chain))):
+        assert literals("\n".join(order)) == {parts[0]}
+    assert literals("password = b\nb = a\na = password\nc = c") == set()  # a circle
+    doubled = [f'{name(0)} = "{parts[5]}"'] + [f"{name(i + 1)} = {name(i)} + {name(i)}" for i in range(2000)] + [f"password = {name(2000)}"]
+    assert literals("\n".join(doubled)) == {parts[5]}
+    summed = [f'{name(0)} = "ab"'] + [f'{name(i + 1)} = {name(i)} + "{word(9)}"' for i in range(3000)] + [f"my_secret = {name(3000)}"]
+    assert len(literals("\n".join(summed))) == 3001
+
+
+def test_value_of_concatenations():
+    rng = random.Random(5)
+    for _ in range(200):
+        parts = ["".join(rng.choice("abcX*.") for _ in range(rng.choice([0, 1, 5, 40, 90]))) for _ in range(rng.randrange(1, 5))]
+        whole, got = "".join(parts), secrets.concatenated([secrets.value_of(x) for x in parts])
+        assert (got.n, got.head, got.tail) == (len(whole), whole[:32], whole[-32:]) and dict(got.counts) == {c: whole.count(c) for c in set(whole)}
+        bits = -sum(whole.count(c) / len(whole) * np.log2(whole.count(c) / len(whole)) for c in set(whole)) if whole else 0
+        expected = 0.0 if len(whole) < 6 or secrets.PLACEHOLDER.match(whole) else min(1.0, len(whole) * bits / 64)
+        assert abs(secrets.value_weight(got) - expected) < 1e-9
+
+
 def test_secret_report(spark, docs):
     rows = [(1, 'token = "04dbebab91ab85687d33eeaaf9ac699e1188f962"'), (2, None), (3, ""), (4, "plain"), (4, "plain"), (None, "x"), (7, "z" * 200_000 + " password=abcdefgh1")]
     got = {(r.doc_id, r.n_assign): r for r in secrets.secret_digest(docs(rows, extra=True)).collect()}
