@@ -203,8 +203,18 @@ def test_mix(spark, docs):
     again = {(r.doc_id, r.text): r["__slot"] for r in mixing.mix_sources(df.repartition(5), weights, block_docs=4, bucket_docs=50).collect()}
     assert again == {(r.doc_id, r.text): r["__slot"] for r in got}
     assert mixing.mix_report(docs([])).count() == 0
+    with pytest.raises(ValueError, match="small"):  # a source without a weight loses no document silently
+        mixing.mix_sources(df, {"big": 1.0, mixing.NO_SOURCE: 1.0})
+    with pytest.raises(ValueError):
+        mixing.mix_sources(df, {})
+    assert mixing.mix_sources(df, {**weights, "absent": 3.0}).count() == 501
     with pytest.raises(ValueError):
         mixing.integer_weights({"a": 0.0, "b": 1.0})
+    with pytest.raises(ValueError):
+        mixing.integer_weights({"a": 1e-9, "b": 1.0})
+    for weights in ({"a": 1e-4, "b": 1.0}, {f"s{i}": 1.0 + i % 7 for i in range(3000)}):
+        got = mixing.integer_weights(weights)
+        assert all(abs(got[s] / sum(got.values()) / (w / sum(weights.values())) - 1) <= 0.05 for s, w in weights.items())
 
 
 def test_neighbours(spark, sf_dir):

@@ -3,63 +3,70 @@
 Each source's documents, in a fixed pseudo-random order, form blocks of `block_docs`. With integer weights m_s that sum to M, block
 k of source s may not start before slot floor(k * M / m_s) (its release) and must be placed before slot ceil((k + 1) * M / m_s)
 (its deadline). Earliest deadline first over released blocks then keeps every source within one block of its share at every slot.
-The schedule repeats after M slots, so one period (M is a parameter) is scheduled once and every block's slot follows by
-arithmetic: period number * M + place in the period. No source is ranked in one task: documents are dealt to buckets of the
-hash of their id, buckets are counted, and a document's number is its place in the bucket plus the counts of earlier buckets.
+The schedule repeats after M slots, so one period is scheduled once (with heaps of released and waiting sources) and every block's slot
+follows by arithmetic: period number * M + place in the period. M grows from PERIOD by powers of two until every source's slots are
+within TOLERANCE of its weight; weights that need more than MOST_SLOTS raise. No source is ranked in one task: documents are dealt to
+buckets of the hash of their id, buckets are counted, and a document's number is its place in the bucket plus the counts of earlier buckets.
 
 A source that ends early leaves its slots empty; the others keep theirs, so every document is kept exactly once and the weights
-hold up to the slot where the first source ends ("strict_slots" tells which rows are before it).
+hold up to the slot where the first source ends.
 
-Defined cases: null sources are a source of their own, with its own weight; rows that share an id are ordered by the hash of
-their text; a source without a weight gets weight 0 and raises; an empty table gives an empty result; further columns stay.
+Defined cases: null sources are a source of their own, with its own weight (key NO_SOURCE); rows that share an id are ordered by the hash of
+their text; documents of a source without a weight raise a ValueError that names it, and none is dropped; weights of sources
+without documents leave their slots empty; an empty table gives an empty result; further columns stay.
 """
 
 from __future__ import annotations
 
 from fractions import Fraction
+from heapq import heappop, heappush
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Slots of a period: the resolution of the weights.
+#: Slots of the shortest period.
 PERIOD = 1000
+#: Slots of the longest period: what the driver schedules and the join with the schedule holds.
+MOST_SLOTS = 1 << 20
+#: How far a source's slots may be from its weight, as a share of the weight.
+TOLERANCE = 0.05
+#: Rows up to which the schedule is broadcast.
+BROADCAST_ROWS = 50_000
 NO_SOURCE = "\x00none"
 
 
 def integer_weights(weights: dict[str, float], period: int = PERIOD) -> dict[str, int]:
-    """Slots of each source in a period by largest remainders; at least one each."""
-    period = max(period, 4 * len(weights))
-    total = sum(weights.values())
+    """Slots of each source in a period by largest remainders; the period doubles until all are within TOLERANCE."""
+    total = sum(Fraction(w) for w in weights.values())
     if total <= 0 or min(weights.values()) <= 0:
         raise ValueError("weights must be positive")
-    exact = {s: Fraction(w).limit_denominator(10**9) * period / Fraction(total).limit_denominator(10**9) for s, w in weights.items()}
-    got = {s: max(1, int(x)) for s, x in exact.items()}
-    by_rest = sorted(exact, key=lambda s: (int(exact[s]) - exact[s], s))
-    k = 0
-    while (gap := period - sum(got.values())) != 0:
-        s = by_rest[k % len(by_rest)] if gap > 0 else max(got, key=lambda x: (got[x], x))
-        got[s] += 1 if gap > 0 else -1
-        k += 1
-    return got
+    while period <= MOST_SLOTS:
+        exact = {s: Fraction(w) * period / total for s, w in weights.items()}
+        got = {s: int(x) for s, x in exact.items()}
+        for s in sorted(exact, key=lambda s: (got[s] - exact[s], s))[: period - sum(got.values())]:
+            got[s] += 1
+        if all(abs(got[s] - x) <= TOLERANCE * x for s, x in exact.items()):
+            return got
+        period *= 2
+    least = min(weights, key=lambda s: (weights[s], s))
+    raise ValueError(f"{MOST_SLOTS} slots are too few for the weight of {least!r}")
 
 
 def pfair_period(slots: dict[str, int]) -> list[tuple[str, int, int]]:
     """One period as (source, number of the block in the period, slot), earliest deadline first among the released."""
     period = sum(slots.values())
-    done = dict.fromkeys(slots, 0)
+    waiting = [(0, s, 0) for s in sorted(slots) if slots[s]]  # release, source, block: a heap as it stands
+    ready: list[tuple[int, str, int]] = []
     out = []
     for t in range(period):
-        best = None
-        for s, m in slots.items():
-            k = done[s]
-            if k < m and k * period // m <= t:
-                key = (-(-(k + 1) * period // m), s)
-                if best is None or key < best:
-                    best = key
-        s = best[1]
-        out.append((s, done[s], t))
-        done[s] += 1
+        while waiting and waiting[0][0] <= t:
+            _, s, k = heappop(waiting)
+            heappush(ready, (-(-(k + 1) * period // slots[s]), s, k))
+        _, s, k = heappop(ready)
+        out.append((s, k, t))
+        if k + 1 < slots[s]:
+            heappush(waiting, ((k + 1) * period // slots[s], s, k + 1))
     return out
 
 
@@ -73,26 +80,30 @@ def mix_sources(docs: DataFrame, weights: dict[str, float], block_docs: int = 8,
     """docs with __block (in its source), __slot (in the mix) and __place (in the block)."""
     spark = docs.sparkSession
     new = T.StructType([*docs.schema.fields, T.StructField("__block", T.LongType()), T.StructField("__slot", T.LongType()), T.StructField("__place", T.LongType())])
-    if not weights:
+    source = F.coalesce(F.col(source_col).cast("string"), F.lit(NO_SOURCE))
+    slots = integer_weights(weights, period) if weights else {}
+    share = spark.createDataFrame(list(slots.items()), "__source string, __m long")
+    known = docs.groupBy(source.alias("__source")).count().join(share, "__source", "left")
+    facts = known.agg(F.sum("count").alias("n"), F.min(F.when(F.col("__m").isNull(), F.col("__source"))).alias("missing")).collect()[0]
+    if facts["missing"] is not None:
+        raise ValueError(f"no weight for source {facts['missing']!r}")
+    if not facts["n"]:
         return spark.createDataFrame([], new)
-    slots = integer_weights(weights, period)
     plan = pfair_period(slots)
     length = len(plan)
-    source = F.coalesce(F.col(source_col).cast("string"), F.lit(NO_SOURCE))
     order = F.xxhash64(F.col(id_col).cast("string"))
-    buckets = 1 << max(0, docs.count() // bucket_docs).bit_length()
+    buckets = 1 << max(0, facts["n"] // bucket_docs).bit_length()
     keyed = docs.withColumns({"__source": source, "__h": order, "__bucket": F.shiftrightunsigned(order, 44).cast("long") * buckets / F.lit(1 << 20)}).withColumn("__bucket", F.floor("__bucket").cast("long"))
     counts = keyed.groupBy("__source", "__bucket").agg(F.count("*").alias("__n"))
-    before = counts.withColumn("__before", F.sum("__n").over(Window.partitionBy("__source").orderBy("__bucket")) - F.col("__n")).drop("__n")
+    before = counts.withColumn("__before", F.sum("__n").over(Window.partitionBy("__source").orderBy("__bucket")) - F.col("__n")).drop("__n").join(share, "__source")
     ties = [F.xxhash64(text_col)] if text_col else []
     place = F.row_number().over(Window.partitionBy("__source", "__bucket").orderBy("__h", F.col(id_col), *ties)) - 1
     ranked = keyed.withColumn("__at", place).join(before, ["__source", "__bucket"]).withColumn("__rank", F.col("__before") + F.col("__at"))
-    period_table = F.broadcast(spark.createDataFrame([(s, k, t, slots[s]) for s, k, t in plan], "__source string, __k long, __t long, __m long"))  # a row per slot of one period
-    block = F.floor(F.col("__rank") / block_docs).cast("long")
-    share = F.broadcast(spark.createDataFrame(list(slots.items()), "__source string, __m long"))
-    placed = ranked.withColumn("__block", block).withColumn("__place", F.col("__rank") % block_docs).join(share, "__source")
+    placed = ranked.withColumn("__block", F.floor(F.col("__rank") / block_docs).cast("long")).withColumn("__place", F.col("__rank") % block_docs)
     placed = placed.withColumn("__k", F.col("__block") % F.col("__m")).withColumn("__turn", F.floor(F.col("__block") / F.col("__m")))
-    placed = placed.join(period_table.drop("__m"), ["__source", "__k"]).withColumn("__slot", (F.col("__turn") * length + F.col("__t")).cast("long"))
+    table = spark.createDataFrame(plan, "__source string, __k long, __t long")
+    placed = placed.join(F.broadcast(table) if length <= BROADCAST_ROWS else table, ["__source", "__k"])
+    placed = placed.withColumn("__slot", (F.col("__turn") * length + F.col("__t")).cast("long"))
     return placed.select(*docs.columns, "__block", "__slot", F.col("__place").cast("long").alias("__place"))
 
 
