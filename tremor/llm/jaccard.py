@@ -19,7 +19,8 @@ component. No link is lost:
   one set of the head's alone differs is shared with nobody and uses up the prefix, so sets with changes of their own leave few
   entries or none. Entries are kept by bands of both sizes, which bound the overlap from below. The new lists go the same way, pairs
   of at most SMALL sets directly, until none is left: every list loses its head in each round.
-* A set that shares less than half with the head stays in the list for another head; so does one within a link's reach of such sets.
+* A set far from the head is indexed in the same way by all its shingles, as if the head were empty; sets on the border go both ways, so
+  that any two within a link's reach meet in one of them.
 
 Exact overlaps come from the texts: pairs are grouped by their first side, split into salted groups, and compared in a sorted
 pass that holds one text's set at a time. Lists with over HOT of all rows (at most 1 / HOT of them) meet their heads in a broadcast join.
@@ -51,8 +52,8 @@ SALT_ROWS = 64
 #: Share of all list rows from which on a list is hot.
 HOT = 0.001
 #: Rows of a list that are compared with one another without a head.
-SMALL = 12
-#: Distance to a head up to which a set is indexed by its differences.
+SMALL = 64
+#: Distance to a head up to which a set is indexed by its differences from it.
 NEAR = 0.5
 
 _SPACE = np.zeros(256, dtype=bool)
@@ -254,7 +255,12 @@ def with_heads(lists: DataFrame) -> DataFrame:
 
 
 def verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """pairs (__a, __b, __star) with __link, whether the sets of their texts reach the threshold; of stars that are NEAR also __delta, what __b's set differs in."""
+    """pairs (__a, __b, __star) with __link, whether the sets of their texts reach the threshold.
+
+    Of stars also __delta: where the two are near (__far false) what __b's set differs in, where they are far (__far true) its whole set;
+    a pair on the border has a row for each.
+    """
+    border = NEAR - (100 - percent) / 100 - 1e-9
     salts = pairs.groupBy("__a").agg(F.count("*").alias("__c")).withColumn("__salts", F.ceil(F.col("__c") / SALT_ROWS).cast("int")).drop("__c")
     members = pairs.join(salts, "__a").select("__a", F.pmod(F.xxhash64("__b"), F.col("__salts")).cast("int").alias("__salt"), "__b", "__star")
     heads = salts.select("__a", F.explode(F.sequence(F.lit(0), F.col("__salts") - 1)).alias("__salt"), F.lit(None).cast("long").alias("__b"), F.lit(False).alias("__star"))
@@ -263,7 +269,7 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Da
     dealt = joined.repartition("__a", "__salt").sortWithinPartitions("__a", "__salt", F.col("__b").asc_nulls_first())
     schema = T.StructType([
         T.StructField("__a", T.LongType()), T.StructField("__b", T.LongType()), T.StructField("__star", T.BooleanType()), T.StructField("__link", T.BooleanType()),
-        T.StructField("__d", T.DoubleType()), T.StructField("__delta", T.ArrayType(T.LongType())),
+        T.StructField("__far", T.BooleanType()), T.StructField("__delta", T.ArrayType(T.LongType())),
     ])
     arrow = to_arrow_schema(schema)
 
@@ -281,58 +287,56 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Da
                         raise ValueError(f"no text for the set {x}")
                     delta = np.setxor1d(own, h, assume_unique=True)
                     both = (len(own) + len(h) - len(delta)) // 2
-                    far = len(delta) / (len(delta) + both)
-                    got.append((x, y, star, 100 * both >= percent * (both + len(delta)), far, delta.view(np.int64) if star and far <= NEAR else None))
+                    gap = len(delta) / (len(delta) + both)
+                    link = 100 * both >= percent * (both + len(delta))
+                    if not star or gap <= NEAR:
+                        got.append((x, y, star, link, False, delta.view(np.int64) if star else None))
+                    if star and gap > border:
+                        got.append((x, y, star, link, True, h.view(np.int64)))
                 if got:
                     yield pa.RecordBatch.from_arrays([pa.array([g[k] for g in got], type=f.type) for k, f in enumerate(arrow)], schema=arrow)
 
     return dealt.mapInArrow(run, schema)
 
 
-def difference_lists(near: DataFrame, percent: int) -> DataFrame:
-    """Lists (__sig, __node, __n, __own) of sets that may link, by their differences from a head: near has __head, __hn, __node, __n, __own and __delta."""
-    near = near.withColumn("__e", F.size("__delta")).filter("__e > 0")
-    key = ["__head", "__node"]
-    tokens = near.select(*key, F.explode("__delta").alias("__t"))
-    counts = tokens.groupBy("__head", "__t").agg(F.count("*").alias("__df")).filter("__df > 1")  # partial counts first: a hot head is no hot task
-    ranked = keyed_join(tokens, counts, ["__head", "__t"], "__df", near.count())
+def difference_lists(groups: DataFrame, percent: int) -> DataFrame:
+    """Lists (__sig, __node, __n, __own) of sets that may link, from groups of sets (__head, __far, __hn, __node, __n, __own) and their __delta."""
+    rows = groups.withColumn("__e", F.size("__delta")).filter("__e > 0")
+    group, key = ["__head", "__far"], ["__head", "__far", "__node"]
+    tokens = rows.select(*key, F.explode("__delta").alias("__t"))
+    counts = tokens.groupBy(*group, "__t").agg(F.count("*").alias("__df")).filter("__df > 1")  # partial counts first: a hot head is no hot task
+    ranked = keyed_join(tokens, counts, [*group, "__t"], "__df", groups.count())
     shared = ranked.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("__df", "__t"))).alias("__shared"))
-    rows = near.join(shared, key)
+    step = np.log(100 / percent) / 4
     reach = F.expr(f"cast(floor(__n * {100 - percent} / {percent}) AS int)")  # most a partner may differ in: it has at most n / t shingles
-    rows = rows.withColumns({"__reach": reach, "__w": F.expr(f"greatest(1, cast(floor(__hn * {100 - percent} / {4 * percent}) AS int))")})
-    rows = rows.withColumn("__other", F.explode(F.expr("sequence(cast(greatest(1, __e - __reach) / __w AS int), cast((__e + __reach) / __w AS int))")))
-    least = F.expr("greatest(1, cast(ceil((__e + greatest(1, __other * __w) - __reach) / 2) AS int))")
-    keep = F.expr("__e - __least + 1 - (__e - size(__shared))")
-    rows = rows.withColumn("__least", least).withColumn("__keep", keep).filter("__keep > 0").withColumn("__mine", F.expr("cast(__e / __w AS int)"))
-    entries = rows.select("__head", "__node", "__n", "__own", F.least("__mine", "__other").alias("__b1"), F.greatest("__mine", "__other").alias("__b2"), F.explode(F.expr("slice(__shared, 1, __keep)")).alias("__s"))
-    return entries.select(F.xxhash64("__head", "__b1", "__b2", "__s.__t").alias("__sig"), "__node", "__n", "__own")
+    rows = rows.join(shared, key).withColumns({"__reach": reach, "__w": F.expr(f"greatest(1, cast(floor(__hn * {100 - percent} / {4 * percent}) AS int))")})
+    band = lambda x: f"IF(__far, cast(floor(ln({x}) / {step}) AS int), cast({x} / __w AS int))"  # noqa: E731  bands of equal width, or of equal ratio
+    rows = rows.withColumn("__mine", F.expr(band("__e"))).withColumn("__other", F.explode(F.expr(f"sequence({band('greatest(1, __e - __reach)')}, {band('(__e + __reach)')})")))
+    least = f"greatest(1, IF(__far, cast(floor(exp(__other * {step}) - 1e-6) AS int), __other * __w))"  # a partner of that band differs in no fewer
+    rows = rows.withColumn("__least", F.expr(f"greatest(1, cast(ceil((__e + {least} - __reach) / 2) AS int))"))
+    rows = rows.withColumn("__keep", F.expr("size(__shared) - __least + 1")).filter("__keep > 0")
+    entries = rows.select(*group, "__node", "__n", "__own", F.least("__mine", "__other").alias("__b1"), F.greatest("__mine", "__other").alias("__b2"), F.explode(F.expr("slice(__shared, 1, __keep)")).alias("__s"))
+    return entries.select(F.xxhash64(*group, "__b1", "__b2", "__s.__t").alias("__sig"), "__node", "__n", "__own")
 
 
 def _links(open_lists: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame | None:
-    """(__node, __label) of all classes that link with another one. open_lists: rows of with_heads."""
-    labels = links = None
+    """(__node, __label) of all classes that link with another one. open_lists: rows of with_heads; those of the index are large or small alike met through heads."""
+    labels = None
     first = True
     while open_lists.count():
         stars = open_lists if first else open_lists.filter(F.col("__c") > SMALL)
-        reached = stars.filter(f"__node <> __head AND {NEAR} * greatest(__n, __hn) <= least(__n, __hn)")
-        pairs = reached.select(F.col("__head").alias("__a"), F.col("__node").alias("__b")).distinct().withColumn("__star", F.lit(True))
+        pairs = stars.filter("__node <> __head").select(F.col("__head").alias("__a"), F.col("__node").alias("__b")).distinct().withColumn("__star", F.lit(True))
         if not first:
             held = open_lists.filter(F.col("__c") <= SMALL).groupBy("__sig").agg(F.collect_list(F.struct("__node", "__n", "__label")).alias("__all"))
             one = held.select("__all", F.explode("__all").alias("x")).select("x", F.explode(F.filter("__all", lambda y: y["__node"] > F.col("x.__node"))).alias("y"))
             fit = one.filter(f"x.__label <> y.__label AND 100 * least(x.__n, y.__n) >= {percent} * greatest(x.__n, y.__n)")
             pairs = pairs.union(fit.select("x.__node", "y.__node").distinct().withColumn("__star", F.lit(False)))
         done = materialize(verified(materialize(pairs, "pairs"), texts, words, percent), "verified")
-        new = done.filter("__link").select("__a", "__b")
-        links = new if links is None else links.union(new)
-        labels = materialize(components(links, "__a", "__b").select(F.col("node").alias("__node"), F.col("root").alias("__label")), "labels")
-        # sets near a head go by their differences, the others of its lists to another head
-        met = done.filter("__star").select(F.col("__a").alias("__head"), F.col("__b").alias("__node"), "__d", "__delta")
-        rows = stars.filter("__node <> __head").drop("__label").join(met.drop("__delta"), ["__head", "__node"], "left")
-        far = rows.filter(F.coalesce(F.col("__d") > NEAR - (100 - percent) / 100 - 1e-9, F.lit(True)))
+        labels = _relabelled(labels, done.filter("__link").select("__a", "__b"))
+        met = done.filter("__star").select(F.col("__a").alias("__head"), F.col("__b").alias("__node"), "__far", "__delta")
         sized = stars.select("__head", "__hn", "__node", "__n", "__own").distinct()
-        near = sized.join(met.filter("__delta IS NOT NULL"), ["__head", "__node"])
-        near = materialize(_open_heads(near, labels).select("__head", "__hn", "__node", "__n", "__own", "__delta"), "near")
-        lists = far.select("__sig", "__node", "__n", "__own").union(difference_lists(near, percent))
+        groups = materialize(_open_groups(sized.join(met, ["__head", "__node"]), labels, done.count()), "groups")
+        lists = difference_lists(groups, percent)
         lists = materialize(lists.join(labels, "__node", "left").withColumn("__label", F.coalesce("__label", "__node")), "lists")
         open_lists = materialize(with_heads(lists), "open")
         texts = materialize(texts.join(open_lists.select("__node").distinct().union(open_lists.select("__head").distinct()).distinct(), "__node", "left_semi"), "texts")
@@ -340,11 +344,26 @@ def _links(open_lists: DataFrame, texts: DataFrame, words: int, percent: int) ->
     return labels
 
 
-def _open_heads(near: DataFrame, labels: DataFrame) -> DataFrame:
-    """Rows of near whose head has partners of different labels."""
-    rows = near.join(labels, "__node", "left").withColumn("l", F.coalesce("__label", "__node"))
-    heads = rows.groupBy("__head").agg(F.count("*").alias("c"), F.min("l").alias("lo"), F.max("l").alias("hi")).filter("lo <> hi").select("__head", "c")
-    return keyed_join(near, heads, ["__head"], "c", near.count())
+def _relabelled(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """labels (__node, __label) with further links (__a, __b): only links between labels take part."""
+    named = lambda df: df.select(F.col("node").alias("__node"), F.col("root").alias("__label"))
+    if labels is None:
+        return materialize(named(components(links, "__a", "__b")), "labels")
+    for side in ("__a", "__b"):
+        links = links.join(labels.withColumnRenamed("__node", side), side, "left").withColumn(side, F.coalesce("__label", side)).drop("__label")
+    links = materialize(links.filter("__a <> __b").distinct(), "links")
+    if links.isEmpty():
+        return labels
+    roots = named(components(links, "__a", "__b"))
+    moved = labels.join(roots.select(F.col("__node").alias("__label"), F.col("__label").alias("__root")), "__label", "left").select("__node", F.coalesce("__root", "__label").alias("__label"))
+    return materialize(moved.union(roots.join(labels, "__node", "left_anti")), "labels")
+
+
+def _open_groups(rows: DataFrame, labels: DataFrame, total: int) -> DataFrame:
+    """Rows of the groups (__head, __far) that hold several labels."""
+    labelled = rows.drop("__delta").join(labels, "__node", "left").withColumn("l", F.coalesce("__label", "__node"))
+    mixed = labelled.groupBy("__head", "__far").agg(F.count("*").alias("__size"), F.min("l").alias("lo"), F.max("l").alias("hi")).filter("lo <> hi").select("__head", "__far", "__size")
+    return keyed_join(rows, mixed, ["__head", "__far"], "__size", total).drop("__size")
 
 
 def jaccard_components(docs: DataFrame, percent: int = 85, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
