@@ -44,6 +44,22 @@ def materialize(df: DataFrame, label: str = "t") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Share of all rows from which on a key is hot.
+HOT = 0.001
+
+
+def keyed_join(rows: DataFrame, facts: DataFrame, key: list[str], size: str, total: int) -> DataFrame:
+    """rows with the facts of their key. Keys of over HOT of total rows (by facts' column size) go by broadcast, so they load no single task.
+
+    There are at most 1 / HOT such keys, and their facts are a few numbers each.
+    """
+    found = facts.filter(F.col(size) > max(1000, total * HOT)).collect()
+    if not found:
+        return rows.join(facts, key)
+    hot = F.broadcast(rows.sparkSession.createDataFrame(found, facts.schema))
+    return rows.join(hot, key).unionByName(rows.join(hot.select(*key), key, "left_anti").join(facts, key))
+
+
 def held_out(id_col: str, mod: int, rest: int):
     """crc32 of the id as text, modulo mod, equals rest (false for a null id)."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % mod == rest, F.lit(False))

@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from tremor.llm.common import chunks, map_texts, materialize, mix64, span_hashes, spans_of
+from tremor.llm.common import HOT, chunks, keyed_join, materialize, mix64, span_hashes, spans_of
 from tremor.llm.components import components
 
 WORDS = 4
@@ -49,8 +49,6 @@ COUNTED = 0.22
 FREQUENT = 0.005
 #: A head's partners in one group of comparisons.
 SALT_ROWS = 64
-#: Share of all list rows from which on a list is hot.
-HOT = 0.001
 #: Rows of a list that are compared with one another without a head.
 SMALL = 64
 #: Distance to a head up to which a set is indexed by its differences from it.
@@ -225,15 +223,6 @@ def index_table(docs: DataFrame, id_col: str, text_col: str, words: int, percent
     return ranked.filter("__need < 0 OR __k <= __need - (__m - __shared)").select("__sig", "__node", "__n", (F.col("__m") - F.col("__shared")).alias("__own"))
 
 
-def keyed_join(rows: DataFrame, facts: DataFrame, key: list[str], size: str, total: int) -> DataFrame:
-    """rows with the facts of their key. Keys of over HOT of total rows (by facts' column size) go by broadcast, so they load no single task."""
-    found = facts.filter(F.col(size) > max(1000, total * HOT)).collect()
-    if not found:
-        return rows.join(facts, key)
-    hot = F.broadcast(rows.sparkSession.createDataFrame(found, facts.schema))
-    return rows.join(hot, key).unionByName(rows.join(hot.select(*key), key, "left_anti").join(facts, key))
-
-
 def with_heads(lists: DataFrame) -> DataFrame:
     """Rows of the lists (__sig, __node, __n, __own, __label) that hold several labels, with their list's size __c and its head."""
     total = lists.count()
