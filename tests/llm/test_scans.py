@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import textwrap
+import time
 
 import numpy as np
 import pytest
@@ -113,6 +114,18 @@ def test_license_base(text):
     assert sorted((w, b) for w, _, b, _ in blocks) == sorted(found)
 
 
+def test_long_texts_of_notices_take_no_long_time():
+    index = licenses.TemplateIndex(licenses.TEMPLATES, {}, 0.85)
+    for unit in ("cc by ", "all rights reserved ", "Licensed under the MIT License ", "the of and this ", "permission notice shall be included in "):
+        text = unit * (1_000_000 // len(unit))
+        began = time.process_time()
+        n, base, _ = licenses.scan_text(text, index)
+        assert time.process_time() - began < 4, unit
+        assert n == len(text.split())
+        if unit == "cc by ":
+            assert base == [(k, "cc-by") for k in range(0, n, 2)]
+
+
 def test_license_report(docs):
     rows = [(1, "Intro.\nLicensed under CC BY-NC 4.0.\nAll rights reserved"), (2, None), (3, ""), (4, "Released under the MIT License.")]
     got = {r.doc_id: r for r in licenses.license_digest(docs(rows, extra=True)).collect()}

@@ -24,11 +24,12 @@ import re
 from bisect import bisect_left
 from collections import Counter
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tremor.llm.common import map_texts
+from tremor.llm.common import map_texts, spans_of
 
 #: Longest block, as a multiple of the template's words: leaves room for names, years and words of comment marks between them.
 WINDOW = 2
@@ -177,9 +178,11 @@ def scan_text(text: str | None, index: TemplateIndex) -> tuple[int, list[tuple[i
     folded = text.encode("utf-8", "surrogatepass").translate(_FOLD_LINES)
     words = folded.split()
     base = []
-    for pattern, label, first in _BASE:
-        if first in folded:
-            base += [(len(folded[: m.start()].split()), label) for m in pattern.finditer(folded)]
+    places = [(m.start(), label) for pattern, label, first in _BASE if first in folded for m in pattern.finditer(folded)]
+    if places:
+        data = np.frombuffer(folded, dtype=np.uint8)
+        starts, _ = spans_of((data != 32) & (data != 10))
+        base = [(int(np.searchsorted(starts, at)), label) for at, label in places]
     blocks = []
     if any(w in folded for w in index.starts):
         blocks = [(at, n, index.rows[k][0], c) for at, n, k, c in index.matches(words)]
