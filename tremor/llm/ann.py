@@ -1,13 +1,14 @@
 """Approximate nearest neighbours: inverted lists scanned by adaptive dimension sampling.
 
-Vectors are assigned to the nearest of nlist centroids (k-means on a bounded sample, `sample_rows`). Lists are split into blocks of
-at most `block_rows` vectors, and each query meets the blocks of its nearest lists: enough lists that they make `probe` of all
+Vectors are assigned to the nearest of nlist centroids, by default as many as the square root of the rows, so lists grow no faster than
+that. The centroids come from k-means in two levels on a sample of `sample_rows` rows, or four rows a list where that is more. Lists are
+split into blocks of at most `block_rows` vectors, and each query meets the blocks of its nearest lists: enough lists that they make `probe` of all
 lists and hold more than k vectors. Inside a block the vectors are rotated by one fixed random orthogonal matrix and scanned
 in blocks of columns: after each, a candidate is abandoned when its partial distance, scaled to all dimensions, exceeds the
 current k-th distance by more than the hypothesis test at eps0 and rounding allow. Survivors are compared exactly, on the original
 vectors in double precision, ties to the smaller id.
 
-Centroids, list sizes and the rotation are of fixed size; vectors and queries are shuffled by (list, block), never gathered.
+Centroids and list sizes are as many as the square root of the rows; vectors and queries are shuffled by (list, block), never gathered.
 
 Defined cases: vectors that are null, zero, hold null or non-finite components, or are not of the most common length take no
 part; with no more than k candidates all are returned; repeated vectors are candidates of their own; the query's own id
@@ -25,6 +26,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 COLUMNS = 16
+#: Centroids up to which k-means has one level.
+FLAT_LISTS = 512
+#: Distances to centroids that a task holds at a time.
+CELLS = 4_000_000
 #: Rounding of the rotated vectors, as a share of the squared lengths of query and vector: distances that differ by less are ties.
 SLACK = 1e-12
 
@@ -57,8 +62,20 @@ def kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 3) -> np.ndarray
     return c
 
 
+def two_level_kmeans(x: np.ndarray, k: int) -> np.ndarray:
+    """About k centroids: where they are many, first their square root, then each cluster's share of k inside it."""
+    if k <= FLAT_LISTS:
+        return kmeans(x, k)
+    top = nearest(x, kmeans(x, round(math.sqrt(k))), 1)[:, 0]
+    parts = [x[top == i] for i in np.unique(top)]
+    return np.concatenate([kmeans(p, max(1, min(len(p), round(k * len(p) / len(x))))) for p in parts])
+
+
 def nearest(x: np.ndarray, c: np.ndarray, m: int) -> np.ndarray:
     """Indices of the m nearest centroids of each row, nearest first."""
+    step = max(1, CELLS // len(c))  # rows whose distances are held at a time
+    if len(x) > step:
+        return np.concatenate([nearest(x[i : i + step], c, m) for i in range(0, len(x), step)])
     gap = (c * c).sum(1) - 2.0 * (x @ c.T)
     if m == 1:
         return gap.argmin(1)[:, None]
@@ -117,12 +134,13 @@ def nearest_neighbours(
     if not n:
         return spark.createDataFrame([], out)
     asked = asked.filter(F.size("__v") == d)
-    lists = nlist or max(1, min(4096, round(math.sqrt(n))))
+    lists = nlist or max(1, round(math.sqrt(n)))
+    sample_rows = max(sample_rows, 4 * lists)
     share = min(1.0, sample_rows / n)
     part = rows.filter(F.pmod(F.xxhash64("__id"), F.lit(1 << 20)) <= F.lit(int(share * (1 << 20)))).select("__v").limit(2 * sample_rows).toArrow()
     x = np.array(part["__v"].to_pylist(), dtype=np.float64).reshape(-1, d)
-    lists = max(1, min(lists, len(x) // 4))
-    centroids = kmeans(x, lists)
+    centroids = two_level_kmeans(x, max(1, min(lists, len(x) // 4)))  # fewer only where the table itself is tiny
+    lists = len(centroids)
     turn = rotation(d)
 
     def assign(batches):
@@ -162,17 +180,18 @@ def nearest_neighbours(
     key = ["__list", "__block", "__turn"]
 
     def block(_, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        got: list[pd.DataFrame] = []
+        got: list[tuple[np.ndarray, ...]] = []
         if len(left) and len(right):
             ids = left["__id"].to_numpy()
             v = np.array(left["__v"].tolist(), dtype=np.float64).reshape(-1, d)
             t = v @ turn
             turned = [np.ascontiguousarray(t[:, c : c + COLUMNS]) for c in range(0, d, COLUMNS)]
-            for own, q in zip(right["__id"].to_numpy(), right["__v"], strict=True):
-                q = np.asarray(q, dtype=np.float64)
-                found, far = scan(q, own, ids, v, turned, q @ turn, k, eps0)
-                got.append(pd.DataFrame({"query_id": own, "vec_id": found, "score": far}))
-        return pd.concat(got) if got else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+            asks = np.array(right["__v"].tolist(), dtype=np.float64).reshape(-1, d)
+            for own, q, q_turned in zip(right["__id"].to_numpy(), asks, asks @ turn, strict=True):
+                found, far = scan(q, own, ids, v, turned, q_turned, k, eps0)
+                got.append((np.full(len(found), own), found, far))
+        names = ("query_id", "vec_id", "score")
+        return pd.DataFrame(dict(zip(names, map(np.concatenate, zip(*got, strict=True)), strict=True)) if got else {name: [] for name in names})
 
     near = spread(listed, "__block", "__turn").groupBy(*key).cogroup(spread(routed, "__turn", "__block").groupBy(*key)).applyInPandas(block, "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
