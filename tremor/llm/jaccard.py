@@ -17,8 +17,8 @@ component. No link is lost:
   link when the symmetric difference of theirs, e_x + e_y - 2 * shared, is at most D = (1 - t) / (1 + t) * (|x| + |y|). So their
   differences share at least (e_x + e_y - D) / 2 shingles; where that is 0 or less, both link with the head. A shingle in which
   one set of the head's alone differs is shared with nobody and uses up the prefix, so sets with changes of their own leave few
-  entries or none. Entries are kept by bands of both sizes, which bound the overlap from below. The new lists go the same way, pairs
-  of at most SMALL sets directly, until none is left: every list loses its head in each round.
+  entries or none. Entries are kept by bands of both sizes, which bound the overlap from below. In new lists of at most SMALL sets the
+  differences tell which pairs link; longer ones go through a head again, until none is left: every list loses its head in each round.
 * A set far from the head is indexed in the same way by all its shingles, as if the head were empty; sets on the border go both ways, so
   that any two within a link's reach meet in one of them.
 
@@ -49,7 +49,7 @@ COUNTED = 0.22
 FREQUENT = 0.005
 #: A head's partners in one group of comparisons.
 SALT_ROWS = 64
-#: Rows of a list that are compared with one another without a head.
+#: Rows of a list whose differences are compared with one another, without a head.
 SMALL = 64
 #: Distance to a head up to which a set is indexed by its differences from it.
 NEAR = 0.5
@@ -224,7 +224,7 @@ def index_table(docs: DataFrame, id_col: str, text_col: str, words: int, percent
 
 
 def with_heads(lists: DataFrame) -> DataFrame:
-    """Rows of the lists (__sig, __node, __n, __own, __label) that hold several labels, with their list's size __c and its head."""
+    """Rows of the lists (__sig, __node, __n, __own, __label, __group) that hold several labels, with their list's size __c and its head."""
     total = lists.count()
     over = Window.partitionBy("__sig")
     facts = {
@@ -238,26 +238,26 @@ def with_heads(lists: DataFrame) -> DataFrame:
         hot, cold = lists.join(keys, "__sig"), lists.join(keys, "__sig", "left_anti")
         parts.append(hot.join(F.broadcast(hot.groupBy("__sig").agg(*(f.alias(name) for name, f in facts.items()))), "__sig"))
     parts.append(cold.withColumns({name: f.over(over) for name, f in facts.items()}))
-    wanted = ["__sig", "__node", "__n", "__own", "__label", "__c", "__s.__head", "__s.__hn"]
+    wanted = ["__sig", "__node", "__n", "__own", "__label", "__group", "__c", "__s.__head", "__s.__hn"]
     kept = [p.filter("__lo <> __hi").select(*wanted) for p in parts]
     return kept[0].union(kept[1]) if len(kept) > 1 else kept[0]
 
 
 def verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """pairs (__a, __b, __star) with __link, whether the sets of their texts reach the threshold.
+    """pairs (__a, __b) with __link, whether the sets of their texts reach the threshold, and __delta.
 
-    Of stars also __delta: where the two are near (__far false) what __b's set differs in, where they are far (__far true) its whole set;
-    a pair on the border has a row for each.
+    Where the two are near (__far false) that is what __b's set differs in, where they are far (__far true) its whole set; a pair on the border
+    has a row for each.
     """
     border = NEAR - (100 - percent) / 100 - 1e-9
     salts = pairs.groupBy("__a").agg(F.count("*").alias("__c")).withColumn("__salts", F.ceil(F.col("__c") / SALT_ROWS).cast("int")).drop("__c")
-    members = pairs.join(salts, "__a").select("__a", F.pmod(F.xxhash64("__b"), F.col("__salts")).cast("int").alias("__salt"), "__b", "__star")
-    heads = salts.select("__a", F.explode(F.sequence(F.lit(0), F.col("__salts") - 1)).alias("__salt"), F.lit(None).cast("long").alias("__b"), F.lit(False).alias("__star"))
+    members = pairs.join(salts, "__a").select("__a", F.pmod(F.xxhash64("__b"), F.col("__salts")).cast("int").alias("__salt"), "__b")
+    heads = salts.select("__a", F.explode(F.sequence(F.lit(0), F.col("__salts") - 1)).alias("__salt"), F.lit(None).cast("long").alias("__b"))
     asked = members.withColumn("__node", F.col("__b")).union(heads.withColumn("__node", F.col("__a")))
-    joined = texts.join(asked.hint("shuffle_hash"), "__node").select("__a", "__salt", "__b", "__star", "__text")
+    joined = texts.join(asked.hint("shuffle_hash"), "__node").select("__a", "__salt", "__b", "__text")
     dealt = joined.repartition("__a", "__salt").sortWithinPartitions("__a", "__salt", F.col("__b").asc_nulls_first())
     schema = T.StructType([
-        T.StructField("__a", T.LongType()), T.StructField("__b", T.LongType()), T.StructField("__star", T.BooleanType()), T.StructField("__link", T.BooleanType()),
+        T.StructField("__a", T.LongType()), T.StructField("__b", T.LongType()), T.StructField("__link", T.BooleanType()),
         T.StructField("__far", T.BooleanType()), T.StructField("__delta", T.ArrayType(T.LongType())),
     ])
     arrow = to_arrow_schema(schema)
@@ -265,9 +265,9 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Da
     def run(batches):
         own = head = None
         for batch in batches:
-            for a, salts, b, stars, texts in chunks(batch, 4):
+            for a, salts, b, texts in chunks(batch, 3):
                 got: list[tuple] = []
-                for x, salt, y, star, t in zip(a, salts, b, stars, texts, strict=True):
+                for x, salt, y, t in zip(a, salts, b, texts, strict=True):
                     h = shingles_of(t, words)
                     if y is None:
                         own, head = h, (x, salt)
@@ -278,58 +278,72 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Da
                     both = (len(own) + len(h) - len(delta)) // 2
                     gap = len(delta) / (len(delta) + both)
                     link = 100 * both >= percent * (both + len(delta))
-                    if not star or gap <= NEAR:
-                        got.append((x, y, star, link, False, delta.view(np.int64) if star else None))
-                    if star and gap > border:
-                        got.append((x, y, star, link, True, h.view(np.int64)))
+                    if gap <= NEAR:
+                        got.append((x, y, link, False, delta.view(np.int64)))
+                    if gap > border:
+                        got.append((x, y, link, True, h.view(np.int64)))
                 if got:
                     yield pa.RecordBatch.from_arrays([pa.array([g[k] for g in got], type=f.type) for k, f in enumerate(arrow)], schema=arrow)
 
     return dealt.mapInArrow(run, schema)
 
 
-def difference_lists(groups: DataFrame, percent: int) -> DataFrame:
-    """Lists (__sig, __node, __n, __own) of sets that may link, from groups of sets (__head, __far, __hn, __node, __n, __own) and their __delta."""
+def difference_lists(groups: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Lists (__sig, __node, __n, __own, __group) of sets that may link, from groups of sets (__head, __far, __hn, __node, __n, __own) and their __delta.
+
+    Also (__group, __node, __e, __t): the size of each difference and the part that others of the group share.
+    """
     rows = groups.withColumn("__e", F.size("__delta")).filter("__e > 0")
     group, key = ["__head", "__far"], ["__head", "__far", "__node"]
     tokens = rows.select(*key, F.explode("__delta").alias("__t"))
     counts = tokens.groupBy(*group, "__t").agg(F.count("*").alias("__df")).filter("__df > 1")  # partial counts first: a hot head is no hot task
     ranked = keyed_join(tokens, counts, [*group, "__t"], "__df", groups.count())
     shared = ranked.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("__df", "__t"))).alias("__shared"))
+    rows = materialize(rows.drop("__delta").join(shared, key).withColumn("__group", F.xxhash64(*group)), "shared")
     step = np.log(100 / percent) / 4
     reach = F.expr(f"cast(floor(__n * {100 - percent} / {percent}) AS int)")  # most a partner may differ in: it has at most n / t shingles
-    rows = rows.join(shared, key).withColumns({"__reach": reach, "__w": F.expr(f"greatest(1, cast(floor(__hn * {100 - percent} / {4 * percent}) AS int))")})
+    parts = rows.select("__group", "__node", "__e", F.col("__shared.__t").alias("__t"))
+    rows = rows.withColumns({"__reach": reach, "__w": F.expr(f"greatest(1, cast(floor(__hn * {100 - percent} / {4 * percent}) AS int))")})
     band = lambda x: f"IF(__far, cast(floor(ln({x}) / {step}) AS int), cast({x} / __w AS int))"  # noqa: E731  bands of equal width, or of equal ratio
     rows = rows.withColumn("__mine", F.expr(band("__e"))).withColumn("__other", F.explode(F.expr(f"sequence({band('greatest(1, __e - __reach)')}, {band('(__e + __reach)')})")))
     least = f"greatest(1, IF(__far, cast(floor(exp(__other * {step}) - 1e-6) AS int), __other * __w))"  # a partner of that band differs in no fewer
     rows = rows.withColumn("__least", F.expr(f"greatest(1, cast(ceil((__e + {least} - __reach) / 2) AS int))"))
     rows = rows.withColumn("__keep", F.expr("size(__shared) - __least + 1")).filter("__keep > 0")
-    entries = rows.select(*group, "__node", "__n", "__own", F.least("__mine", "__other").alias("__b1"), F.greatest("__mine", "__other").alias("__b2"), F.explode(F.expr("slice(__shared, 1, __keep)")).alias("__s"))
-    return entries.select(F.xxhash64(*group, "__b1", "__b2", "__s.__t").alias("__sig"), "__node", "__n", "__own")
+    entries = rows.select("__group", "__node", "__n", "__own", F.least("__mine", "__other").alias("__b1"), F.greatest("__mine", "__other").alias("__b2"), F.explode(F.expr("slice(__shared, 1, __keep)")).alias("__s"))
+    return entries.select(F.xxhash64("__group", "__b1", "__b2", "__s.__t").alias("__sig"), "__node", "__n", "__own", "__group"), parts
+
+
+def small_links(lists: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
+    """(__a, __b) of the pairs in one list that link, by the sizes and shared parts of their differences from one set; texts aren't needed."""
+    rows = lists.join(parts, ["__group", "__node"]).groupBy("__sig").agg(F.collect_list(F.struct("__node", "__n", "__label", "__e", "__t")).alias("__all"))
+
+    def links(x, y):
+        gap = x["__e"] + y["__e"] - 2 * F.size(F.array_intersect(x["__t"], y["__t"]))
+        return (y["__node"] > x["__node"]) & (y["__label"] != x["__label"]) & ((100 + percent) * gap <= (100 - percent) * (x["__n"] + y["__n"]))
+
+    of_one = lambda x: F.transform(F.filter("__all", lambda y: links(x, y)), lambda y: F.struct(x["__node"].alias("__a"), y["__node"].alias("__b")))
+    return rows.select(F.explode(F.flatten(F.transform("__all", of_one))).alias("p")).select("p.__a", "p.__b").distinct()
 
 
 def _links(open_lists: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame | None:
-    """(__node, __label) of all classes that link with another one. open_lists: rows of with_heads; those of the index are large or small alike met through heads."""
-    labels = None
-    first = True
+    """(__node, __label) of all classes that link with another one. open_lists: rows of with_heads over the index."""
+    labels = parts = None
     while open_lists.count():
-        stars = open_lists if first else open_lists.filter(F.col("__c") > SMALL)
-        pairs = stars.filter("__node <> __head").select(F.col("__head").alias("__a"), F.col("__node").alias("__b")).distinct().withColumn("__star", F.lit(True))
-        if not first:
-            held = open_lists.filter(F.col("__c") <= SMALL).groupBy("__sig").agg(F.collect_list(F.struct("__node", "__n", "__label")).alias("__all"))
-            one = held.select("__all", F.explode("__all").alias("x")).select("x", F.explode(F.filter("__all", lambda y: y["__node"] > F.col("x.__node"))).alias("y"))
-            fit = one.filter(f"x.__label <> y.__label AND 100 * least(x.__n, y.__n) >= {percent} * greatest(x.__n, y.__n)")
-            pairs = pairs.union(fit.select("x.__node", "y.__node").distinct().withColumn("__star", F.lit(False)))
+        stars, small = (open_lists, None) if parts is None else (open_lists.filter(F.col("__c") > SMALL), open_lists.filter(F.col("__c") <= SMALL))
+        if stars.isEmpty():
+            return _relabelled(labels, small_links(small, parts, percent))
+        pairs = stars.filter("__node <> __head").select(F.col("__head").alias("__a"), F.col("__node").alias("__b")).distinct()
         done = materialize(verified(materialize(pairs, "pairs"), texts, words, percent), "verified")
-        labels = _relabelled(labels, done.filter("__link").select("__a", "__b"))
-        met = done.filter("__star").select(F.col("__a").alias("__head"), F.col("__b").alias("__node"), "__far", "__delta")
+        found = done.filter("__link").select("__a", "__b")
+        labels = _relabelled(labels, found if small is None else found.union(small_links(small, parts, percent)))
+        met = done.select(F.col("__a").alias("__head"), F.col("__b").alias("__node"), "__far", "__delta")
         sized = stars.select("__head", "__hn", "__node", "__n", "__own").distinct()
         groups = materialize(_open_groups(sized.join(met, ["__head", "__node"]), labels, done.count()), "groups")
-        lists = difference_lists(groups, percent)
+        lists, parts = difference_lists(groups, percent)
         lists = materialize(lists.join(labels, "__node", "left").withColumn("__label", F.coalesce("__label", "__node")), "lists")
         open_lists = materialize(with_heads(lists), "open")
-        texts = materialize(texts.join(open_lists.select("__node").distinct().union(open_lists.select("__head").distinct()).distinct(), "__node", "left_semi"), "texts")
-        first = False
+        long = open_lists.filter(F.col("__c") > SMALL)
+        texts = materialize(texts.join(long.select("__node").union(long.select("__head")).distinct(), "__node", "left_semi"), "texts")
     return labels
 
 
@@ -363,7 +377,7 @@ def jaccard_components(docs: DataFrame, percent: int = 85, words: int = WORDS, i
     if not sizes["n"]:
         return members.select(F.col("__id").alias(id_col), "__n", F.col("__id").alias("__component"))
     entries = materialize(index_table(docs, id_col, text_col, words, percent, frequent_shingles(sets, sizes["n"])), "index")
-    lists = materialize(with_heads(entries.withColumn("__label", F.col("__node"))), "open")
+    lists = materialize(with_heads(entries.withColumns({"__label": F.col("__node"), "__group": F.lit(None).cast("long")})), "open")
     wanted = lists.select("__node").distinct()
     owners = members.join(wanted, "__node").groupBy("__node").agg(F.min(F.when(F.col("__id").isNotNull(), F.struct("__id"))).alias("s")).select("__node", F.col("s.__id").alias("__id"))
     rows = _rows(docs, id_col, text_col).filter(F.col("__text").isNotNull())
