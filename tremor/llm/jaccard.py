@@ -17,8 +17,9 @@ component. No link is lost:
   link when the symmetric difference of theirs, e_x + e_y - 2 * shared, is at most D = (1 - t) / (1 + t) * (|x| + |y|). So their
   differences share at least (e_x + e_y - D) / 2 shingles; where that is 0 or less, both link with the head. A shingle in which
   one set of the head's alone differs is shared with nobody and uses up the prefix, so sets with changes of their own leave few
-  entries or none. Entries are kept by bands of both sizes, which bound the overlap from below. In new lists of at most SMALL sets the
-  differences tell which pairs link; longer ones go through a head again, until none is left: every list loses its head in each round.
+  entries or none. Entries are kept by bands of both sizes, which bound the overlap from below. New lists of at most SMALL sets
+  meet pair by pair, but for pairs that the differences' counts in parts of the hash range refute; longer ones go through a head
+  again, until none is left: every list loses its head in each round.
 * A set far from the head is indexed in the same way by all its shingles, as if the head were empty; sets on the border go both ways, so
   that any two within a link's reach meet in one of them.
 
@@ -49,16 +50,20 @@ COUNTED = 0.22
 FREQUENT = 0.005
 #: A head's partners in one group of comparisons.
 SALT_ROWS = 64
-#: Rows of a list whose differences are compared with one another, without a head.
+#: Rows of a list that meet pair by pair, without a head.
 SMALL = 64
 #: Distance to a head up to which a set is indexed by its differences from it.
 NEAR = 0.5
+#: Parts of the hash range that bound an overlap, three counts of 16 bits to a long.
+BUCKETS = 63
+_TOP = 0x8000_8000_8000
+_LOWEST = 0x7FFF
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_STEP = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], dtype=np.uint64)
+_STEP = mix64(np.arange(1, 65, dtype=np.uint64))  # one for each place in a shingle
 
 
 def shingles_of(text: str | None, words: int = WORDS) -> np.ndarray:
@@ -74,7 +79,7 @@ def shingles_of(text: str | None, words: int = WORDS) -> np.ndarray:
     n = len(h) - k + 1
     total = np.full(n, np.uint64(k), dtype=np.uint64)
     for i in range(k):
-        total += mix64(h[i : i + n] + _STEP[i % 4] * np.uint64(1 + i // 4))
+        total += mix64(h[i : i + n] + _STEP[i : i + 1])
     return np.unique(mix64(total))
 
 
@@ -244,20 +249,20 @@ def with_heads(lists: DataFrame) -> DataFrame:
 
 
 def verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """pairs (__a, __b) with __link, whether the sets of their texts reach the threshold, and __delta.
+    """pairs (__a, __b, __star) with __link, whether the sets of their texts reach the threshold; and of stars __delta.
 
     Where the two are near (__far false) that is what __b's set differs in, where they are far (__far true) its whole set; a pair on the border
     has a row for each.
     """
     border = NEAR - (100 - percent) / 100 - 1e-9
     salts = pairs.groupBy("__a").agg(F.count("*").alias("__c")).withColumn("__salts", F.ceil(F.col("__c") / SALT_ROWS).cast("int")).drop("__c")
-    members = pairs.join(salts, "__a").select("__a", F.pmod(F.xxhash64("__b"), F.col("__salts")).cast("int").alias("__salt"), "__b")
-    heads = salts.select("__a", F.explode(F.sequence(F.lit(0), F.col("__salts") - 1)).alias("__salt"), F.lit(None).cast("long").alias("__b"))
+    members = pairs.join(salts, "__a").select("__a", F.pmod(F.xxhash64("__b"), F.col("__salts")).cast("int").alias("__salt"), "__b", "__star")
+    heads = salts.select("__a", F.explode(F.sequence(F.lit(0), F.col("__salts") - 1)).alias("__salt"), F.lit(None).cast("long").alias("__b"), F.lit(False).alias("__star"))
     asked = members.withColumn("__node", F.col("__b")).union(heads.withColumn("__node", F.col("__a")))
-    joined = texts.join(asked.hint("shuffle_hash"), "__node").select("__a", "__salt", "__b", "__text")
+    joined = texts.join(asked.hint("shuffle_hash"), "__node").select("__a", "__salt", "__b", "__star", "__text")
     dealt = joined.repartition("__a", "__salt").sortWithinPartitions("__a", "__salt", F.col("__b").asc_nulls_first())
     schema = T.StructType([
-        T.StructField("__a", T.LongType()), T.StructField("__b", T.LongType()), T.StructField("__link", T.BooleanType()),
+        T.StructField("__a", T.LongType()), T.StructField("__b", T.LongType()), T.StructField("__star", T.BooleanType()), T.StructField("__link", T.BooleanType()),
         T.StructField("__far", T.BooleanType()), T.StructField("__delta", T.ArrayType(T.LongType())),
     ])
     arrow = to_arrow_schema(schema)
@@ -265,9 +270,9 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Da
     def run(batches):
         own = head = None
         for batch in batches:
-            for a, salts, b, texts in chunks(batch, 3):
+            for a, salts, b, stars, texts in chunks(batch, 4):
                 got: list[tuple] = []
-                for x, salt, y, t in zip(a, salts, b, texts, strict=True):
+                for x, salt, y, star, t in zip(a, salts, b, stars, texts, strict=True):
                     h = shingles_of(t, words)
                     if y is None:
                         own, head = h, (x, salt)
@@ -278,10 +283,10 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Da
                     both = (len(own) + len(h) - len(delta)) // 2
                     gap = len(delta) / (len(delta) + both)
                     link = 100 * both >= percent * (both + len(delta))
-                    if gap <= NEAR:
-                        got.append((x, y, link, False, delta.view(np.int64)))
-                    if gap > border:
-                        got.append((x, y, link, True, h.view(np.int64)))
+                    if gap <= NEAR or not star:
+                        got.append((x, y, star, link, False, delta.view(np.int64) if star else None))
+                    if gap > border and star:
+                        got.append((x, y, star, link, True, h.view(np.int64)))
                 if got:
                     yield pa.RecordBatch.from_arrays([pa.array([g[k] for g in got], type=f.type) for k, f in enumerate(arrow)], schema=arrow)
 
@@ -291,18 +296,20 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Da
 def difference_lists(groups: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """Lists (__sig, __node, __n, __own, __group) of sets that may link, from groups of sets (__head, __far, __hn, __node, __n, __own) and their __delta.
 
-    Also (__group, __node, __e, __t): the size of each difference and the part that others of the group share.
+    Also (__group, __node, __e, __counts): the size of each difference, and of the part that others of the group share the counts by BUCKETS.
     """
     rows = groups.withColumn("__e", F.size("__delta")).filter("__e > 0")
     group, key = ["__head", "__far"], ["__head", "__far", "__node"]
     tokens = rows.select(*key, F.explode("__delta").alias("__t"))
     counts = tokens.groupBy(*group, "__t").agg(F.count("*").alias("__df")).filter("__df > 1")  # partial counts first: a hot head is no hot task
     ranked = keyed_join(tokens, counts, [*group, "__t"], "__df", groups.count())
-    shared = ranked.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("__df", "__t"))).alias("__shared"))
+    bucket = F.pmod("__t", F.lit(BUCKETS))
+    lanes = [F.expr(f"sum(CASE __bucket WHEN {b} THEN 1L WHEN {b + 1} THEN {1 << 16}L WHEN {b + 2} THEN {1 << 32}L ELSE 0L END)") for b in range(0, BUCKETS, 3)]
+    shared = ranked.withColumn("__bucket", bucket).groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("__df", "__t"))).alias("__shared"), F.array(*lanes).alias("__counts"))
     rows = materialize(rows.drop("__delta").join(shared, key).withColumn("__group", F.xxhash64(*group)), "shared")
     step = np.log(100 / percent) / 4
     reach = F.expr(f"cast(floor(__n * {100 - percent} / {percent}) AS int)")  # most a partner may differ in: it has at most n / t shingles
-    parts = rows.select("__group", "__node", "__e", F.col("__shared.__t").alias("__t"))
+    parts = rows.select("__group", "__node", "__e", F.when(F.size("__shared") <= _LOWEST, F.col("__counts")).alias("__counts"))
     rows = rows.withColumns({"__reach": reach, "__w": F.expr(f"greatest(1, cast(floor(__hn * {100 - percent} / {4 * percent}) AS int))")})
     band = lambda x: f"IF(__far, cast(floor(ln({x}) / {step}) AS int), cast({x} / __w AS int))"  # noqa: E731  bands of equal width, or of equal ratio
     rows = rows.withColumn("__mine", F.expr(band("__e"))).withColumn("__other", F.explode(F.expr(f"sequence({band('greatest(1, __e - __reach)')}, {band('(__e + __reach)')})")))
@@ -313,15 +320,22 @@ def difference_lists(groups: DataFrame, percent: int) -> tuple[DataFrame, DataFr
     return entries.select(F.xxhash64("__group", "__b1", "__b2", "__s.__t").alias("__sig"), "__node", "__n", "__own", "__group"), parts
 
 
-def small_links(lists: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
-    """(__a, __b) of the pairs in one list that link, by the sizes and shared parts of their differences from one set; texts aren't needed."""
-    rows = lists.join(parts, ["__group", "__node"]).groupBy("__sig").agg(F.collect_list(F.struct("__node", "__n", "__label", "__e", "__t")).alias("__all"))
+def small_pairs(lists: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
+    """(__a, __b) of the pairs in one list whose differences from one set leave room for a link."""
+    rows = lists.join(parts, ["__group", "__node"]).groupBy("__sig").agg(F.collect_list(F.struct("__node", "__n", "__label", "__e", "__counts")).alias("__all"))
 
-    def links(x, y):
-        gap = x["__e"] + y["__e"] - 2 * F.size(F.array_intersect(x["__t"], y["__t"]))
-        return (y["__node"] > x["__node"]) & (y["__label"] != x["__label"]) & ((100 + percent) * gap <= (100 - percent) * (x["__n"] + y["__n"]))
+    def least(x, y):  # of each two counts in the lanes of two longs
+        over = (x.bitwiseOR(F.lit(_TOP)) - y).bitwiseAND(F.lit(_TOP))
+        mask = over - F.shiftrightunsigned(over, 15)
+        return y.bitwiseAND(mask).bitwiseOR(x.bitwiseAND(F.bitwise_not(mask)))
 
-    of_one = lambda x: F.transform(F.filter("__all", lambda y: links(x, y)), lambda y: F.struct(x["__node"].alias("__a"), y["__node"].alias("__b")))
+    def may_link(x, y):
+        lanes = F.aggregate(F.zip_with(x["__counts"], y["__counts"], least), F.lit(0).cast("long"), lambda s, v: s + v)
+        shared = sum((F.shiftrightunsigned(lanes, 16 * k).bitwiseAND(F.lit(0xFFFF)) for k in range(3)), F.lit(0))  # no less than the overlap
+        room = (100 + percent) * (x["__e"] + y["__e"] - 2 * shared) <= (100 - percent) * (x["__n"] + y["__n"])
+        return (y["__node"] > x["__node"]) & (y["__label"] != x["__label"]) & F.coalesce(room, F.lit(True))
+
+    of_one = lambda x: F.transform(F.filter("__all", lambda y: may_link(x, y)), lambda y: F.struct(x["__node"].alias("__a"), y["__node"].alias("__b")))
     return rows.select(F.explode(F.flatten(F.transform("__all", of_one))).alias("p")).select("p.__a", "p.__b").distinct()
 
 
@@ -329,21 +343,21 @@ def _links(open_lists: DataFrame, texts: DataFrame, words: int, percent: int) ->
     """(__node, __label) of all classes that link with another one. open_lists: rows of with_heads over the index."""
     labels = parts = None
     while open_lists.count():
-        stars, small = (open_lists, None) if parts is None else (open_lists.filter(F.col("__c") > SMALL), open_lists.filter(F.col("__c") <= SMALL))
-        if stars.isEmpty():
-            return _relabelled(labels, small_links(small, parts, percent))
-        pairs = stars.filter("__node <> __head").select(F.col("__head").alias("__a"), F.col("__node").alias("__b")).distinct()
+        stars = open_lists if parts is None else open_lists.filter(F.col("__c") > SMALL)
+        pairs = stars.filter("__node <> __head").select(F.col("__head").alias("__a"), F.col("__node").alias("__b")).distinct().withColumn("__star", F.lit(True))
+        if parts is not None:
+            pairs = pairs.union(small_pairs(open_lists.filter(F.col("__c") <= SMALL), parts, percent).withColumn("__star", F.lit(False)))
         done = materialize(verified(materialize(pairs, "pairs"), texts, words, percent), "verified")
-        found = done.filter("__link").select("__a", "__b")
-        labels = _relabelled(labels, found if small is None else found.union(small_links(small, parts, percent)))
-        met = done.select(F.col("__a").alias("__head"), F.col("__b").alias("__node"), "__far", "__delta")
+        labels = _relabelled(labels, done.filter("__link").select("__a", "__b"))
+        if parts is not None and stars.isEmpty():
+            break
+        met = done.filter("__star").select(F.col("__a").alias("__head"), F.col("__b").alias("__node"), "__far", "__delta")
         sized = stars.select("__head", "__hn", "__node", "__n", "__own").distinct()
         groups = materialize(_open_groups(sized.join(met, ["__head", "__node"]), labels, done.count()), "groups")
         lists, parts = difference_lists(groups, percent)
         lists = materialize(lists.join(labels, "__node", "left").withColumn("__label", F.coalesce("__label", "__node")), "lists")
         open_lists = materialize(with_heads(lists), "open")
-        long = open_lists.filter(F.col("__c") > SMALL)
-        texts = materialize(texts.join(long.select("__node").union(long.select("__head")).distinct(), "__node", "left_semi"), "texts")
+        texts = materialize(texts.join(open_lists.select("__node").union(open_lists.select("__head")).distinct(), "__node", "left_semi"), "texts")
     return labels
 
 
