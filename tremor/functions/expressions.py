@@ -65,12 +65,16 @@ def normalise_header(s: Column) -> Column:
 
 
 def safe_identifier(s: Column) -> Column:
-    """A file-system-safe id: runs of other characters become two underscores, outer ones go, an empty rest is 'recording'."""
-    stem = F.regexp_replace(s, r"\.[A-Za-z0-9]+$", "")
-    joined = F.regexp_replace(F.regexp_replace(F.trim(stem), "[^A-Za-z0-9]", "__"), "_{3,}", "__")
+    """A file-system-safe id: every character but letters, digits, - and _ becomes two underscores, of which no more than three stay in a row; outer ones go, an empty rest is 'recording'."""
+    joined = F.regexp_replace(F.regexp_replace(s, r"[^\p{L}\p{N}_-]", "__"), "__(__)+(_?)", "__$2")
     return F.coalesce(F.nullif(F.regexp_replace(joined, "^_+|_+$", ""), F.lit("")), F.lit("recording"))
 
 
+def path_identifier(path: Column) -> Column:
+    """The safe id of a path without its suffix."""
+    return safe_identifier(F.regexp_replace(path, r"([^/])\.[^/.]+$", "$1"))
+
+
 def near_harmonic(freq: Column, fundamental: Column, count: int, tolerance: float) -> Column:
     """Whether a frequency lies within the tolerance of one of the first harmonics (overlapping windows count once)."""
     return F.exists(F.sequence(F.lit(1), F.lit(count)), lambda k: F.abs(freq - k * fundamental) <= tolerance)
@@ -83,10 +87,11 @@ def near_sideband(freq: Column, carrier: Column, offset: Column, count: int, tol
 
 
 def standard_label(s: Column) -> Column:
-    """stable, incipient or chatter, from a free-text state; blank and unknown states are chatter."""
-    t = F.lower(F.trim(F.coalesce(s, F.lit(""))))
-    return F.when(t.isin("no chatter", "stable", "s", "none"), "stable").when(t.rlike("mild|incipient|intermittent"), "incipient").otherwise("chatter")
+    """stable, incipient or chatter, by what a free-text state contains; blank and unknown states are chatter."""
+    t = F.lower(F.coalesce(s, F.lit("")))  # fixed values: the words below
+    return F.when(t.contains("no chatter") | t.contains("nochatter"), "stable").when(t.rlike("mild|incipient|intermittent"), "incipient").otherwise("chatter")
 
 
 def label_number(s: Column) -> Column:
-    return F.lower(F.trim(s.cast("string"))).isin("chatter", "1", "true", "yes", "unstable").cast("int")
+    """1 for the words of chatter (fixed values), else 0, also for NULL."""
+    return F.coalesce(F.lower(F.trim(s.cast("string"))).isin("chatter", "1", "true", "yes", "unstable"), F.lit(False)).cast("int")

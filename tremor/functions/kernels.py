@@ -34,17 +34,34 @@ def bandpass_sections(low: float, high: float, fs: float, order: int) -> tuple[t
     return tuple((g, 0.0, -g, a1, a2) for a1, a2 in dens for g in [abs((1 + a1 * point + a2 * point**2) / (1 - point**2))])
 
 
-def _section(x: list[float], s: tuple[float, ...], state: float) -> list[float]:
-    """One section, started as if the signal had always been `state`."""
+@functools.lru_cache(maxsize=64)
+def _block_form(s: tuple[float, ...], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A section over a block of samples as matrices: outputs from inputs and state, next state from inputs and state."""
+    b0, b1, b2, a1, a2 = s
+    step = np.array([[-a1, 1.0], [-a2, 0.0]])
+    into = np.array([b1 - a1 * b0, b2 - a2 * b0])
+    powers = [np.eye(2)]
+    for _ in range(size):
+        powers.append(powers[-1] @ step)
+    reply = np.array([b0] + [(powers[k] @ into)[0] for k in range(size - 1)])
+    lag = np.arange(size)[:, None] - np.arange(size)[None, :]
+    outputs = np.where(lag >= 0, reply[np.maximum(lag, 0)], 0.0)
+    return outputs, np.array([p[0] for p in powers[:size]]), np.array([powers[size - 1 - k] @ into for k in range(size)]).T, powers[size]
+
+
+def _section(x: np.ndarray, s: tuple[float, ...], state: float, size: int = 64) -> np.ndarray:
+    """One section, started as if the signal had always been `state`; samples go in blocks."""
     b0, b1, b2, a1, a2 = s
     gain = (b0 + b1 + b2) / (1 + a1 + a2)
-    z1, z2 = (gain - b0) * state, (b2 - a2 * gain) * state
-    out = []
-    for v in x:
-        y = b0 * v + z1
-        z1, z2 = b1 * v - a1 * y + z2, b2 * v - a2 * y
-        out.append(y)
-    return out
+    z = np.array([(gain - b0) * state, (b2 - a2 * gain) * state])
+    outputs, from_state, feed, carry = _block_form(s, size)
+    blocks = np.concatenate([x, np.zeros(-len(x) % size)]).reshape(-1, size)
+    fed = blocks @ feed.T
+    states = np.empty((len(blocks), 2))
+    for i in range(len(blocks)):
+        states[i] = z
+        z = carry @ z + fed[i]
+    return (blocks @ outputs.T + states @ from_state.T).reshape(-1)[: len(x)]
 
 
 def bandpass(x: np.ndarray, low: float, high: float, fs: float, order: int = 4) -> np.ndarray:
@@ -53,12 +70,12 @@ def bandpass(x: np.ndarray, low: float, high: float, fs: float, order: int = 4)
     pad = min(3 * (2 * len(sections) + 1), len(x) - 1)
     if pad < 1:
         raise ValueError("the signal is too short to filter")
-    y = np.concatenate([2 * x[0] - x[pad:0:-1], x, 2 * x[-1] - x[-2 : -pad - 2 : -1]]).tolist()
+    y = np.concatenate([2 * x[0] - x[pad:0:-1], x, 2 * x[-1] - x[-2 : -pad - 2 : -1]])
     for _ in range(2):
         for s in sections:
             y = _section(y, s, y[0])
-        y.reverse()
-    return np.array(y[pad : pad + len(x)])
+        y = y[::-1]
+    return y[pad : pad + len(x)].copy()
 
 
 def detrend(x: np.ndarray) -> np.ndarray:
@@ -82,13 +99,15 @@ def envelope(x: np.ndarray) -> np.ndarray:
 
 def energy_growth(x: np.ndarray, fs: float, smooth_s: float = 0.01) -> float | None:
     """Mean positive slope of the smoothed squared envelope, without the smoothing's edges."""
+    if len(x) < 2:
+        return None
     e = envelope(x) ** 2
-    length = max(1, round(smooth_s * fs))
+    length = min(len(e), max(3, round(smooth_s * fs)))
     s = np.convolve(e, np.ones(length) / length, mode="same")
     d = np.gradient(s, 1 / fs)
     cut = length // 2
-    d = d[cut : len(d) - cut] if cut else d
-    return float(np.maximum(d, 0).mean()) if len(d) else None
+    d = d[cut:-cut] if 0 < 2 * cut < len(d) else d
+    return float(np.maximum(d, 0).mean())
 
 
 def short_time_energy(x: np.ndarray, fs: float, seconds: float = 0.05) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -162,8 +181,10 @@ def shrink_threshold(d: np.ndarray, sigma: float) -> float:
     return sigma * sigma / signal if signal > 2.220446049250313e-16 else float(np.abs(d).max(initial=0.0))
 
 
-def wavelet_denoise(x: np.ndarray, name: str, level: int, fs: float, band: tuple[float, float] | None, least_sigma: float = 1e-12) -> np.ndarray:
-    """Soft thresholds per detail band, gentler the more the band overlaps the given one."""
+def wavelet_denoise(x: np.ndarray, name: str, level: int, fs: float, band: tuple[float, float] | None, least_sigma: float = 1e-12, mode: str = "soft") -> np.ndarray:
+    """Soft or hard thresholds per detail band, gentler the more the band overlaps the given one (0.5, 1.4 and 0.6745 are fixed values)."""
+    if mode not in ("soft", "hard"):
+        raise ValueError(f"unknown threshold mode {mode}")
     bands = dwt(x, name, level)
     if len(bands) < 2:
         return np.array(x)
@@ -174,92 +195,135 @@ def wavelet_denoise(x: np.ndarray, name: str, level: int, fs: float, band: tuple
         lo, hi = fs * 2.0 ** -(j + 1), fs * 2.0**-j
         q = min(1.0, max(0.0, (min(hi, band[1]) - max(lo, band[0])) / (hi - lo))) if band else None
         t = shrink_threshold(d, sigma) * (1.0 if q is None else 0.5 * q + 1.4 * (1 - q))
-        out.append(np.sign(d) * np.maximum(np.abs(d) - t, 0))
+        out.append(np.sign(d) * np.maximum(np.abs(d) - t, 0) if mode == "soft" else np.where(np.abs(d) >= t, d, 0.0))
     return idwt(out, name, len(x))
 
 
 # --- mode decomposition ------------------------------------------------------------------------------------------------
 
 
-def _spline(at: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
-    """Natural cubic spline through (at, v) at 0 .. n - 1."""
-    h = np.diff(at)
-    m = len(at)
-    if m < 3:
-        return np.interp(np.arange(n), at, v)
-    a = np.zeros((m, m))
-    r = np.zeros(m)
-    i = np.arange(1, m - 1)
-    a[0, 0] = a[-1, -1] = 1
-    a[i, i - 1], a[i, i], a[i, i + 1] = h[:-1], 2 * (h[:-1] + h[1:]), h[1:]
-    r[1:-1] = 3 * (np.diff(v)[1:] / h[1:] - np.diff(v)[:-1] / h[:-1])
-    c = np.linalg.solve(a, r)
-    x = np.arange(n)
-    k = np.clip(np.searchsorted(at, x, side="right") - 1, 0, m - 2)
-    t = x - at[k]
-    b = np.diff(v) / h - h * (2 * c[:-1] + c[1:]) / 3
-    return v[k] + t * (b[k] + t * (c[k] + t * (c[k + 1] - c[k]) / (3 * h[k])))
-
-
-def local_mean(x: np.ndarray, sifts: int) -> np.ndarray | None:
-    """What a fixed number of sifts leaves below the fastest oscillation; None without enough extrema."""
-    h = x.copy()
+#: Samples (trials times length) that one batch of trials holds.
+BATCH = 2_000_000
+
+
+def _tridiagonal(a: np.ndarray, b: np.ndarray, c: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """Solves rows a x[i-1] + b x[i] + c x[i+1] = d by eliminating neighbours at distances 1, 2, 4, ..
+
+    Spline systems have b >= 2 (a + c), so what is left of a and c falls below rounding after a few steps; systems that
+    follow one another are separated by zeros in a and c.
+    """
+    step = 1
+    while step < len(b) and max(np.abs(a / b).max(), np.abs(c / b).max()) > 1e-17:
+        down, up = np.zeros_like(b), np.zeros_like(b)
+        down[step:] = -a[step:] / b[:-step]
+        up[:-step] = -c[:-step] / b[step:]
+        new = [np.zeros_like(a), b.copy(), np.zeros_like(c), d.copy()]
+        new[0][step:] = down[step:] * a[:-step]
+        new[1][step:] += down[step:] * c[:-step]
+        new[1][:-step] += up[:-step] * a[step:]
+        new[2][:-step] = up[:-step] * c[step:]
+        new[3][step:] += down[step:] * d[:-step]
+        new[3][:-step] += up[:-step] * d[step:]
+        a, b, c, d = new
+        step *= 2
+    return d / b
+
+
+def _spline_rows(mark: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Natural cubic splines through the marked samples of each row, two of them mirrored at both ends; all rows in one system."""
+    rows, n = h.shape
+    r, c = np.nonzero(mark)
+    count = np.bincount(r, minlength=rows)
+    last = np.cumsum(count)
+    first = last - count
+    stop = np.cumsum(count + 4)
+    start = stop - count - 4
+    at, v = np.empty(stop[-1]), np.empty(stop[-1])
+    inner = np.arange(len(r)) + 4 * r + 2
+    at[inner], v[inner] = c, h[r, c]
+    row = np.arange(rows)
+    for to, source, shift in ((start, first + 1, 0), (start + 1, first, 0), (stop - 2, last - 1, 2 * (n - 1)), (stop - 1, last - 2, 2 * (n - 1))):
+        at[to], v[to] = shift - c[source], h[row, c[source]]
+    gap = np.diff(at)
+    slope = np.diff(v) / gap
+    edge = np.zeros(len(at), dtype=bool)
+    edge[start] = edge[stop - 1] = True
+    a, b, u, d = np.zeros(len(at)), np.ones(len(at)), np.zeros(len(at)), np.zeros(len(at))
+    i = np.flatnonzero(~edge)
+    a[i], b[i], u[i], d[i] = gap[i - 1], 2 * (gap[i - 1] + gap[i]), gap[i], 3 * (slope[i] - slope[i - 1])
+    m = _tridiagonal(a, b, u, d)
+    lo, hi = np.maximum(at[:-1], 0), np.minimum(at[1:], n)
+    k = np.repeat(np.arange(len(at) - 1), np.maximum(0, hi - lo).astype(np.int64))
+    x = np.tile(np.arange(n), rows) - at[k]
+    out = v[k] + x * (slope[k] - gap[k] * (2 * m[k] + m[k + 1]) / 3 + x * (m[k] + x * (m[k + 1] - m[k]) / (3 * gap[k])))
+    return out.reshape(rows, n)
+
+
+def local_means(x: np.ndarray, sifts: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each row what a number of sifts leaves below the fastest oscillation, and which rows have the extrema for one."""
+    h = np.array(x, dtype=np.float64)
+    live = np.arange(len(h))
+    found = np.zeros(len(h), dtype=bool)
     for k in range(sifts):
-        d = np.diff(h)
-        top = np.flatnonzero((d[:-1] > 0) & (d[1:] <= 0)) + 1
-        low = np.flatnonzero((d[:-1] < 0) & (d[1:] >= 0)) + 1
-        if len(top) < 2 or len(low) < 2:
-            return None if k == 0 else x - h
-        n = len(h)
-        mirrored = lambda p: (np.concatenate([-p[1::-1], p, 2 * (n - 1) - p[: -len(p) - 1 if len(p) < 3 else -3 : -1]]), np.concatenate([h[p[1::-1]], h[p], h[p[: -len(p) - 1 if len(p) < 3 else -3 : -1]]]))  # noqa: B023, E731
-        sides = []
-        for p in (top, low):
-            at, v = mirrored(p)
-            at, first = np.unique(at, return_index=True)
-            sides.append(_spline(at, v[first], n))
-        h = h - (sides[0] + sides[1]) / 2
-    return x - h
-
-
-def noise_modes(n: int, trials: int, seed: int, modes: int, sifts: int) -> list[list[np.ndarray]]:
-    """Modes of white noise, scaled to unit deviation; zeros where a noise has no further mode."""
-    out = []
-    for i in range(trials):
-        r = np.random.default_rng((seed, i)).normal(size=n)
-        held = []
-        for _ in range(modes + 1):
-            m = local_mean(r, sifts)
-            if m is None:
-                held.append(np.zeros(n))
-                continue
-            e = r - m
-            held.append(e / max(e.std(), 1e-300))
-            r = m
-        out.append(held)
-    return out
-
-
-def ensemble_modes(x: np.ndarray, trials: int = 8, epsilon: float = 0.05, seed: int = 1, sifts: int = 6, max_modes: int = 4) -> list[np.ndarray]:
+        d = np.diff(h[live], axis=1)
+        top, low = np.zeros((2, len(live), h.shape[1]), dtype=bool)
+        top[:, 1:-1] = (d[:, :-1] > 0) & (d[:, 1:] <= 0)
+        low[:, 1:-1] = (d[:, :-1] < 0) & (d[:, 1:] >= 0)
+        enough = (top.sum(1) >= 2) & (low.sum(1) >= 2)
+        live, top, low = live[enough], top[enough], low[enough]
+        if not len(live):
+            break
+        if k == 0:
+            found[live] = True
+        h[live] -= (_spline_rows(top, h[live]) + _spline_rows(low, h[live])) / 2
+    return x - h, found
+
+
+class NoiseModes:
+    """Modes of the trials' white noise, of unit deviation, worked out as far as they are asked for; zeros where a noise has no more."""
+
+    def __init__(self, n: int, trials: int, seed: int, sifts: int) -> None:
+        self.rest = np.array([np.random.default_rng((seed, i)).normal(size=n) for i in range(trials)])
+        self.sifts, self.modes = sifts, []
+
+    def mode(self, k: int) -> np.ndarray:
+        while len(self.modes) <= k:
+            mean, found = local_means(self.rest, self.sifts)
+            e = np.where(found[:, None], self.rest - mean, 0.0)
+            self.modes.append(e / np.maximum(e.std(axis=1, keepdims=True), 1e-300))
+            self.rest = np.where(found[:, None], mean, self.rest)
+        return self.modes[k]
+
+
+def ensemble_modes(x: np.ndarray, trials: int = 300, epsilon: float = 0.05, seed: int = 1, sifts: int = 16, max_modes: int = -1) -> list[np.ndarray]:
     """Modes by complete ensemble decomposition with adaptive noise, residual last: their sum is x up to rounding.
 
-    Each mode is the residue less the mean of local means of noisy copies; the k-th step adds the noise's k-th mode.
+    Each mode is the residue less the mean of local means of noisy copies; the k-th step adds the noise's k-th mode. Without a largest
+    number of modes (max_modes < 0) it goes on until the residue has no two maxima and minima. Trials are worked on in batches.
     """
-    noise = _noise(len(x), trials, seed, max_modes, sifts)
+    n = len(x)
+    size = max(1, BATCH // max(1, n))
+    noise = [_noise(n, min(size, trials - i), seed + 7919 * i, sifts) for i in range(0, trials, size)]
     residue, out = np.array(x, dtype=np.float64), []
-    for k in range(max_modes):
-        if local_mean(residue, 1) is None:
+    while max_modes < 0 or len(out) < max_modes:
+        if not local_means(residue[None], 1)[1][0]:
             break
         beta = epsilon * residue.std()
-        means = [m for w in noise if (m := local_mean(residue + beta * w[k], sifts)) is not None]
-        if not means:
+        total, count = np.zeros(n), 0
+        for w in noise:
+            means, found = local_means(residue + beta * w.mode(len(out)), sifts)
+            total += means[found].sum(axis=0)
+            count += int(found.sum())
+        if not count:
             break
-        nxt = np.mean(means, axis=0)
-        out.append(residue - nxt)
-        residue = nxt
+        out.append(residue - total / count)
+        residue = total / count
     return [*out, residue]
 
 
-_noise = functools.lru_cache(maxsize=32)(noise_modes)
+@functools.lru_cache(maxsize=4)
+def _noise(n: int, trials: int, seed: int, sifts: int) -> NoiseModes:
+    return NoiseModes(n, trials, seed, sifts)
 
 
 # --- assignment --------------------------------------------------------------------------------------------------------

@@ -2,36 +2,27 @@
 
 from __future__ import annotations
 
-import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tremor.functions import kernels as K
-from tremor.functions.expressions import clip, ratio
+from tremor.functions.expressions import ratio
 from tremor.operators import modes as M
-from tremor.operators import spectral as P
-from tremor.operators import wavelets as B
-from tremor.operators import windows as W
+from tremor.operators import search as R
+from tremor.operators import stage4 as S4
 from tremor.operators.spectral import map_arrays
 from tremor.operators.tables import keep
-from tremor.sources import signals as S
 
 _X = T.StructField("x", T.ArrayType(T.DoubleType()))
 
 
-def spread(rows: DataFrame, *keys: str) -> DataFrame:
-    """Rows dealt out by key: a kernel's work per row outweighs moving a small array, and input files may be few and small."""
-    context = rows.sparkSession.sparkContext
-    return rows.repartition(max(2 * context.defaultParallelism, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))), *keys)
-
-
 def bandpass(arrays: DataFrame, low: float, high: float, fs: float, order: int = 4) -> DataFrame:
     """Zero-phase band-pass, then the linear trend removed."""
     return map_arrays(arrays, lambda x: (K.detrend(K.bandpass(x, low, high, fs, order)),), [_X])
 
 
-def envelope_features(arrays: DataFrame, fs: float, smooth_s: float = 0.05) -> DataFrame:
+def envelope_features(arrays: DataFrame, fs: float, smooth_s: float = 0.01) -> DataFrame:
     """Mean and largest envelope and its energy, and the energy's growth rate."""
     names = ("amplitude_mean", "amplitude_max", "energy_mean", "energy_max", "energy_growth")
 
@@ -63,69 +54,67 @@ def ridge(spectrogram: DataFrame) -> DataFrame:
     return frame.groupBy("recording_id").agg(F.median("f").alias("ridge_hz"), ratio(F.max("top"), F.sum("total")).alias("concentration"))
 
 
-def ensemble_modes(arrays: DataFrame, seeds: list[int] | None = None, trials: int = 8, max_modes: int = 4) -> DataFrame:
+def ensemble_modes(arrays: DataFrame, seeds: list[int] | None = None, trials: int = 300, sifts: int = 16, max_modes: int = -1) -> DataFrame:
     """(recording_id, seed, layer, is_residual, n, x) of the ensemble decomposition under each seed.
 
     Recordings and seeds form a grid of independent cells; each is decomposed where its array lies.
     """
-    grid = arrays.withColumn("seed", F.explode(F.array(*[F.lit(s) for s in seeds or [1]])))
-    packed = spread(grid.select("recording_id", "seed", F.concat(F.array(F.col("seed").cast("double")), "x").alias("x")), "recording_id", "seed")
-    made = map_arrays(packed, lambda v: ([list(m) for m in K.ensemble_modes(v[1:], trials, seed=int(v[0]), max_modes=max_modes)],), [T.StructField("modes", T.ArrayType(T.ArrayType(T.DoubleType())))])
-    layers = made.select("recording_id", "seed", F.size("modes").alias("k"), F.posexplode("modes").alias("layer", "x"))
+    grid = arrays.select("recording_id", F.explode(F.array(*[F.lit(s) for s in seeds or [42]])).alias("seed"), F.col("x").alias("source"))
+    made = R.decompose(grid, ["recording_id", "seed"], trials, sifts, max_modes=max_modes, seed="seed")
+    layers = made.select("recording_id", "seed", F.size("layers").alias("k"), F.posexplode("layers").alias("layer", "x"))
     rows = layers.select("recording_id", "seed", (F.col("layer") + 1).alias("layer"), (F.col("layer") == F.col("k") - 1).alias("is_residual"), F.posexplode("x").alias("n", "x"))
     return rows.withColumn("n", F.col("n").cast("long"))
 
 
-def seed_stability(modes: DataFrame) -> DataFrame:
-    """Mean matched correlation over all pairs of seeds; modes are matched by a least-cost assignment.
+def seed_stability(arrays: DataFrame, seeds: list[int], fs: float, chatter: tuple[float, float], trials: int = 15) -> DataFrame:
+    """Structural instability of each recording's decomposition over seeds."""
+    grid = arrays.select("recording_id", F.explode(F.array(*map(F.lit, seeds))).alias("seed"), F.col("x").alias("source"))
+    cells = keep(R.decompose(grid, ["recording_id", "seed"], trials, seed="seed"), "cells")
+    return R.seed_stability(*_rated(cells, fs, chatter))
+
+
+def gate_stability(arrays: DataFrame, seeds: list[int], fs: float, chatter: tuple[float, float], trials: int = 15) -> DataFrame:
+    """Stability of each recording's gates over seeds, modes matched to the first seed's."""
+    grid = arrays.select("recording_id", F.explode(F.array(*map(F.lit, seeds))).alias("seed"), F.col("x").alias("source"))
+    cells = keep(R.decompose(grid, ["recording_id", "seed"], trials, seed="seed"), "cells")
+    packed, keys, fs, _ = _rated(cells, fs, chatter)
+    return R.matched_gate_stability(packed, keys, fs)
+
+
+def _rated(cells: DataFrame, fs: float, chatter: tuple[float, float]):
+    metrics = R.cell_metrics(cells, fs, chatter)
+    key = ["recording_id", "seed"]
+    packed = cells.select(*key, "layers").join(metrics.select(*key, "metrics"), key).withColumn("gates", M.gate_array(F.col("metrics"), chatter))
+    return packed, ["recording_id"], fs, metrics
+
+
+def gated_recordings(signal_arrays: DataFrame, low: float, high: float, fs: float, chatter: tuple[float, float], harmonics: int, tolerance: float, wavelet: str, level: int, order: int = 3, trials: int = 300) -> DataFrame:
+    """Stages 1 to 3 as one row per recording (recording_id, rpm, tooth_count, source, layers, gates, clean): nothing is exploded, nothing joined.
 
-    The cost table (1 - |correlation| of every two modes of two seeds) is relational; only its assignment is a kernel.
+    signal_arrays: (recording_id, x), and rpm and tooth_count where known. The signal is band-passed, split into ensemble modes, the modes weighed
+    by their gates and summed, and the sum denoised by wavelets.
     """
-    m = keep(modes, "modes").filter("NOT is_residual")
-    a = m.select("recording_id", "n", F.col("seed").alias("s1"), F.col("layer").alias("i"), F.col("x").alias("xa"))
-    b = m.select("recording_id", "n", F.col("seed").alias("s2"), F.col("layer").alias("j"), F.col("x").alias("xb"))
-    r = F.abs(ratio(F.covar_pop("xa", "xb"), F.stddev_pop("xa") * F.stddev_pop("xb")))
-    cost = a.join(b, ["recording_id", "n"]).filter("s1 < s2").groupBy("recording_id", "s1", "s2", "i", "j").agg((1 - F.coalesce(r, F.lit(0.0))).alias("cost"))
-    tables = cost.groupBy("recording_id", "s1", "s2").agg(F.array_sort(F.collect_list(F.struct("i", "j", "cost"))).alias("t"))
-    flat = tables.select("recording_id", "s1", "s2", F.flatten(F.transform("t", lambda s: F.array(s["i"].cast("double"), s["j"].cast("double"), s["cost"]))).alias("x"))
+    known = signal_arrays.withColumns({c: F.lit(None).cast("double") for c in ("rpm", "tooth_count") if c not in signal_arrays.columns})
+    filtered = bandpass(known, low, high, fs, order).withColumnRenamed("x", "source")
+    layered = keep(R.decompose(filtered, ["recording_id"], trials), "layers")
+    metrics = S4.layer_metrics(layered, fs, chatter, harmonics, tolerance).select("recording_id", M.gate_array(F.col("metrics"), chatter).alias("gates"))
+    joined = layered.join(metrics, "recording_id")
+    weighted = joined.withColumn("__x", F.concat(F.array(F.size("gates").cast("double")), "gates", F.flatten(F.slice("layers", F.lit(1), F.size("gates")))))
 
     def kernel(v):
-        t = v.reshape(-1, 3)
-        c = np.ones((int(t[:, 0].max()), int(t[:, 1].max())))
-        c[t[:, 0].astype(int) - 1, t[:, 1].astype(int) - 1] = t[:, 2]
-        pairs = K.assign(c)
-        return float(np.mean([1 - c[i, j] for i, j in pairs])), len(pairs), abs(c.shape[0] - c.shape[1])
-
-    fields = [T.StructField("matched_correlation", T.DoubleType()), T.StructField("matched", T.IntegerType()), T.StructField("unmatched", T.IntegerType())]
-    pairs = map_arrays(flat, kernel, fields)
-    return pairs.groupBy("recording_id").agg(F.avg("matched_correlation").alias("stability"), F.count("*").alias("seed_pairs"), F.sum("unmatched").alias("unmatched"))
-
-
-def cutoff_search(arrays: DataFrame, cutoffs: list[float], seeds: list[int], high: float, fs: float) -> DataFrame:
-    """The grid (recording x low cutoff x seed): objective of each cell, lower is better, and the best cutoff of each recording."""
-    cells = arrays.withColumn("cutoff", F.explode(F.array(*[F.lit(float(c)) for c in cutoffs])))
-    packed = cells.select("recording_id", "cutoff", F.concat(F.array("cutoff"), "x").alias("x"))
-    filtered = map_arrays(packed, lambda v: (K.detrend(K.bandpass(v[1:], float(v[0]), high, fs, 2)),), [_X])
-    named = filtered.select(F.concat_ws("|", F.col("recording_id").cast("string"), F.col("cutoff").cast("string")).alias("recording_id"), "x")
-    modes = keep(ensemble_modes(named, seeds), "modes")
-    keyed = modes.withColumn("cell", F.concat_ws("|", "recording_id", F.col("seed").cast("string"))).drop("recording_id", "seed").withColumnRenamed("cell", "recording_id")
-    mixing = M.adjacent_correlation(keyed).groupBy("recording_id").agg(F.max("correlation").alias("mixing"))
-    orth = M.orthogonality(keyed)
-    score = 0.5 * clip(F.coalesce("mixing", F.lit(0.0)), 0.0, 1.0) + 0.5 * clip(F.abs("orthogonality"), 0.0, 1.0)
-    part = lambda k: F.element_at(F.split("recording_id", r"\|"), k)
-    cells = orth.join(mixing, "recording_id", "left").select(part(1).alias("recording_id"), part(2).cast("double").alias("cutoff"), part(3).cast("int").alias("seed"), score.alias("objective"))
-    mean = cells.groupBy("recording_id", "cutoff").agg(F.avg("objective").alias("objective"), F.stddev_pop("objective").alias("seed_std"))
-    w = Window.partitionBy("recording_id").orderBy("objective", "cutoff")
-    return mean.withColumn("place", F.row_number().over(w))
-
-
-def features(signal_arrays: DataFrame, low: float, high: float, fs: float, chatter: tuple[float, float], forced_hz: float, length: int, hop: int, wavelet: str = "db2", level: int = 2) -> DataFrame:
-    """Stages 1 to 4: band-pass, ensemble modes, gates, gated reconstruction, wavelet denoising, window features."""
-    filtered = keep(bandpass(signal_arrays, low, high, fs, 2), "filtered")
-    source = S.to_rows(filtered)
-    modes = keep(ensemble_modes(filtered), "modes").drop("seed")
-    gates = M.gates(M.indicators(source, modes, M.mode_psd(modes, fs, 64), chatter, forced_hz, 4, 0.5))
-    clean = B.denoise(S.to_arrays(M.reconstruct(modes, gates, "gate")), wavelet, level, fs, chatter)
-    made = W.time_features(W.sliding_windows(S.to_rows(clean), length, hop))
-    selected = gates.groupBy("recording_id").agg(F.count("*").alias("imf_count"), F.count_if(F.col("gate") >= 0.5).alias("imf_selected_count"))
-    return made.join(selected, "recording_id")
+        k = int(v[0])
+        made = v[1 : k + 1] @ v[k + 1 :].reshape(k, -1) if k else v[:0]
+        return (K.wavelet_denoise(made, wavelet, level, fs, chatter),) if k else (None,)
+
+    cleaned = map_arrays(weighted, kernel, [T.StructField("clean", T.ArrayType(T.DoubleType()))], "__x")
+    return keep(cleaned.withColumn("clean", F.coalesce("clean", F.transform("source", lambda _: F.lit(0.0)))), "clean")  # without a mode nothing is left
+
+
+def features(
+    signal_arrays: DataFrame, low: float, high: float, fs: float, chatter: tuple[float, float], length: int, hop: int, wavelet: str = "db8", level: int = 4, harmonics: int = 5, tolerance: float = 15.0, trials: int = 300, dynamic: bool = False
+) -> DataFrame:
+    """Stages 1 to 4: the static feature table of every window, or with dynamic the features by mode and wavelet band as rows."""
+    windows = keep(S4.window_rows(gated_recordings(signal_arrays, low, high, fs, chatter, harmonics, tolerance, wavelet, level, trials=trials), length, hop), "windows")
+    if dynamic:
+        return S4.dynamic_features(windows, fs, chatter, harmonics, tolerance, wavelet, level)
+    return S4.stage4_features(windows, fs, chatter, harmonics, tolerance, wavelet=wavelet, level=level)

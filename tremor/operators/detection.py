@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tremor.functions.expressions import ratio
 
@@ -20,30 +25,55 @@ def confusion(rows: DataFrame, truth: str, predicted: str, by: list[str] = []) -
     return made.withColumn("balanced_accuracy", F.coalesce((d(tp, tp + fn) + d(tn, tn + fp)) / 2, F.col("accuracy")))
 
 
-def roc_auc(rows: DataFrame, truth: str, score: str) -> DataFrame:
-    """Area under the curve by average ranks of distinct scores (ties count half); NULL with one class.
+#: Ranges of scores over which cumulated counts are worked out side by side.
+RANGES = 256
+
 
-    Rows are counted per score first, so the running sums see one row per distinct score.
+def _cumulated(rows: DataFrame, truth: str, score: str) -> DataFrame:
+    """(score, pos, neg) of each distinct score with pos_above and neg_above, the counts of higher scores.
+
+    Scores fall into ranges by approximate quantiles (at most RANGES numbers pass the driver); each range is summed in a task of its own, on
+    top of the whole counts of the ranges above it.
     """
-    per = rows.filter(F.col(truth).isNotNull() & F.col(score).isNotNull()).groupBy(score).agg(F.count_if(F.col(truth) == 1).alias("pos"), F.count_if(F.col(truth) != 1).alias("neg"))
-    below = F.sum("neg").over(Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1))
-    won = per.withColumn("w", F.col("pos") * (F.coalesce(below, F.lit(0)) + F.col("neg") / 2))
+    known = rows.filter(F.col(truth).isNotNull() & F.col(score).isNotNull())
+    per = known.groupBy(F.col(score).cast("double").alias("__v"), F.col(score)).agg(F.count_if(F.col(truth) == 1).alias("pos"), F.count_if(F.col(truth) != 1).alias("neg"))
+    cuts = sorted(set(per.approxQuantile("__v", [k / RANGES for k in range(1, RANGES)], 0.5 / RANGES)))
+    part = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col("__v"))) if cuts else F.lit(0)
+    ranged = per.withColumn("__part", part)
+    whole = Window.orderBy(F.desc("__part")).rowsBetween(Window.unboundedPreceding, -1)  # over RANGES rows
+    above = ranged.groupBy("__part").agg(F.sum("pos").alias("p"), F.sum("neg").alias("n")).select("__part", F.coalesce(F.sum("p").over(whole), F.lit(0)).alias("__p"), F.coalesce(F.sum("n").over(whole), F.lit(0)).alias("__n"))
+    inside = Window.partitionBy("__part").orderBy(F.desc("__v")).rowsBetween(Window.unboundedPreceding, -1)
+    made = ranged.join(F.broadcast(above), "__part")
+    return made.select(score, "pos", "neg", *((F.col(f"__{c[0]}") + F.coalesce(F.sum(c).over(inside), F.lit(0))).alias(f"{c}_above") for c in ("pos", "neg")))
+
+
+def roc_auc(rows: DataFrame, truth: str, score: str) -> DataFrame:
+    """Area under the curve over distinct scores (ties count half); NULL with one class."""
+    won = _cumulated(rows, truth, score).withColumn("w", F.col("neg") * (F.col("pos_above") + F.col("pos") / 2))
     return won.agg(ratio(F.sum("w").cast("double"), (F.sum("pos") * F.sum("neg")).cast("double")).alias("auc"), F.sum("pos").alias("positives"), F.sum("neg").alias("negatives"))
 
 
 def roc_curve(rows: DataFrame, truth: str, score: str) -> DataFrame:
     """Cumulated true and false positive rates at each distinct score, highest first."""
-    per = rows.groupBy(score).agg(F.count_if(F.col(truth) == 1).alias("pos"), F.count_if(F.col(truth) != 1).alias("neg"))
-    w, all_ = Window.orderBy(F.desc(score)), Window.partitionBy()
-    return per.select(score, ratio(F.sum("pos").over(w).cast("double"), F.sum("pos").over(all_).cast("double")).alias("tpr"), ratio(F.sum("neg").over(w).cast("double"), F.sum("neg").over(all_).cast("double")).alias("fpr"))
+    made = _cumulated(rows, truth, score)
+    total = F.broadcast(made.agg(F.sum("pos").alias("__p"), F.sum("neg").alias("__n")))  # one row
+    rate = lambda c, t: ratio((F.col(c) + F.col(f"{c}_above")).cast("double"), F.col(t).cast("double"))
+    return made.crossJoin(total).select(score, rate("pos", "__p").alias("tpr"), rate("neg", "__n").alias("fpr"))
 
 
 def mcnemar(rows: DataFrame, truth: str, a: str, b: str) -> DataFrame:
-    """Discordant counts and the continuity-corrected statistic; 0 where nothing is discordant."""
+    """Discordant counts, the continuity-corrected statistic (|b - c| - 1)^2 / (b + c), 0 where nothing is discordant, and its p-value."""
     right = lambda c: F.col(c) == F.col(truth)
     made = rows.agg(F.count_if(right(a) & ~right(b)).alias("b"), F.count_if(~right(a) & right(b)).alias("c"))
     gap = F.abs(F.col("b") - F.col("c")) - 1
-    return made.withColumn("statistic", F.coalesce(ratio((F.greatest(gap, F.lit(0)) * F.greatest(gap, F.lit(0))).cast("double"), (F.col("b") + F.col("c")).cast("double")), F.lit(0.0)))
+    made = made.withColumn("statistic", F.coalesce(ratio((gap * gap).cast("double"), (F.col("b") + F.col("c")).cast("double")), F.lit(0.0)))
+    return made.withColumn("p_value", _chi2_tail(F.col("statistic")))
+
+
+@F.pandas_udf(T.DoubleType())
+def _chi2_tail(x: pd.Series) -> pd.Series:
+    """Upper tail of the chi-square distribution with one degree of freedom (a row or a few)."""
+    return x.map(lambda v: math.erfc(math.sqrt(v / 2)))
 
 
 def split_groups(rows: DataFrame, group: str, label: str, test: float = 0.2, validation: float = 0.2, seed: int = 7) -> DataFrame:
@@ -56,18 +86,23 @@ def split_groups(rows: DataFrame, group: str, label: str, test: float = 0.2, val
     return ranked.select(group, "class", part.alias("part"))
 
 
-def bootstrap_accuracy(rows: DataFrame, truth: str, predicted: str, resamples: int = 200, seed: int = 11) -> DataFrame:
-    """2.5, 50 and 97.5 % points of the balanced accuracy over Poisson resamples.
+def bootstrap_accuracy(rows: DataFrame, truth: str, predicted: str, resamples: int = 2000, seed: int = 11) -> DataFrame:
+    """2.5, 50 and 97.5 % points of the balanced accuracy over resamples with replacement.
 
-    A Poisson(1) weight per row and resample stands for drawing with replacement; the weights come from a hash of (row, resample),
-    so rows are only counted, never gathered: the four cell counts of each resample are all that is shuffled.
+    A resample matters by its four cell counts alone, which are multinomial: the rows are counted once, and draws made from the counts.
     """
-    cell = rows.select(F.xxhash64("*").alias("h"), (F.col(truth) * 2 + F.col(predicted)).alias("cell"))
-    u = lambda b: F.pmod(F.xxhash64(F.col("h"), b, F.lit(seed)), F.lit(1 << 20)) / float(1 << 20)
-    cuts = (0.367879, 0.735759, 0.919699, 0.981012, 0.996340, 0.999406)
-    drawn = cell.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1)))).withColumn("u", u(F.col("b")))
-    weight = sum((F.when(F.col("u") >= c, 1).otherwise(0) for c in cuts), F.lit(0))
-    counts = drawn.groupBy("b").agg(*[F.sum(F.when(F.col("cell") == k, weight).otherwise(0)).cast("double").alias(f"c{k}") for k in range(4)])
-    value = (ratio(F.col("c3"), F.col("c2") + F.col("c3")) + ratio(F.col("c0"), F.col("c0") + F.col("c1"))) / 2
+    cell = lambda t, p: F.count_if((F.col(truth) == t) & (F.col(predicted) == p)).cast("double")
+    counts = rows.agg(F.array(cell(0, 0), cell(0, 1), cell(1, 0), cell(1, 1)).alias("cells"))
+    draws = counts.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1)))).repartition(8, "b")
+
+    def draw(frames):
+        for pdf in frames:
+            out = []
+            for cells, b in zip(pdf["cells"], pdf["b"], strict=True):
+                n = np.asarray(cells).sum()
+                c = np.random.default_rng((seed, int(b))).multinomial(int(n), np.asarray(cells) / n) if n else np.zeros(4)
+                out.append((c[0] / (c[0] + c[1]) + c[3] / (c[2] + c[3])) / 2 if c[0] + c[1] > 0 and c[2] + c[3] > 0 else None)
+            yield pd.DataFrame({"v": pd.array(out, dtype="Float64")})
+
     q = F.percentile("v", F.array(F.lit(0.025), F.lit(0.5), F.lit(0.975)))
-    return counts.withColumn("v", value).agg(q.alias("q"), F.count("v").alias("resamples")).select(F.col("q")[0].alias("low"), F.col("q")[1].alias("median"), F.col("q")[2].alias("high"), "resamples")
+    return draws.mapInPandas(draw, "v double").agg(q.alias("q"), F.count("v").alias("resamples")).select(F.col("q")[0].alias("low"), F.col("q")[1].alias("median"), F.col("q")[2].alias("high"), "resamples")

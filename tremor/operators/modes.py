@@ -5,10 +5,12 @@ Modes are rows (recording_id, layer, is_residual, n, x); the residual is flagged
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tremor.functions.expressions import clip, correlation, gaussian, kurtosis_pearson, near_harmonic, ratio, sigmoid
+from tremor.functions.expressions import clip, correlation, finite, gaussian, kurtosis_pearson, near_harmonic, ratio, sigmoid
 from tremor.operators import spectral
 
 #: Weights of the gate's score (fixed values of the method), and of the four indicator shares.
@@ -51,10 +53,21 @@ def adjacent_correlation(modes: DataFrame) -> DataFrame:
 
 
 def correlation_matrix(modes: DataFrame) -> DataFrame:
-    """Absolute correlations of all pairs of physical modes, i <= j."""
-    a = modes.filter("NOT is_residual").select("recording_id", "n", F.col("layer").alias("i"), F.col("x").alias("xi"))
-    b = modes.filter("NOT is_residual").select("recording_id", "n", F.col("layer").alias("j"), F.col("x").alias("xj"))
-    return a.join(b, ["recording_id", "n"]).filter("i <= j").groupBy("recording_id", "i", "j").agg(F.coalesce(F.abs(correlation(F.col("xi"), F.col("xj"))), F.lit(0.0)).alias("correlation"))
+    """Absolute correlations of all pairs of physical modes, i <= j: one matrix product per recording."""
+    one = mode_arrays(modes).groupBy("recording_id").agg(F.array_sort(F.collect_list(F.struct("layer", "x"))).alias("a"))
+    packed = one.select("recording_id", F.concat(F.array(F.size("a").cast("double")), F.transform("a", lambda m: m["layer"].cast("double")), F.flatten(F.transform("a", lambda m: m["x"]))).alias("x"))
+    pair = T.StructType([T.StructField("i", T.IntegerType()), T.StructField("j", T.IntegerType()), T.StructField("correlation", T.DoubleType())])
+
+    def kernel(v):
+        k = int(v[0])
+        m = v[k + 1 :].reshape(k, -1)
+        m = m - m.mean(1, keepdims=True)
+        size = np.sqrt((m * m).sum(1))
+        r = np.divide(np.abs(m @ m.T), np.outer(size, size), out=np.zeros((k, k)), where=np.outer(size, size) > 0)
+        return ([{"i": int(v[1 + i]), "j": int(v[1 + j]), "correlation": float(r[i, j])} for i in range(k) for j in range(i, k)],)
+
+    made = spectral.map_arrays(packed, kernel, [T.StructField("pairs", T.ArrayType(pair))])
+    return made.select("recording_id", F.explode("pairs").alias("p")).select("recording_id", "p.*")
 
 
 def orthogonality(modes: DataFrame) -> DataFrame:
@@ -76,8 +89,8 @@ def reconstruction_error(signal: DataFrame, modes: DataFrame) -> DataFrame:
     return signal.join(total, ["recording_id", "n"]).groupBy("recording_id").agg(ratio(F.sqrt(F.avg(gap * gap)), F.sqrt(F.avg(F.col("x") * F.col("x")))).alias("nrmse"))
 
 
-def indicators(signal: DataFrame, modes: DataFrame, spectrum: DataFrame, chatter: tuple[float, float], forced_hz: float, harmonics: int, tolerance: float, kurtosis_scale: float = 5.0) -> DataFrame:
-    """Per physical mode: chatter and forced ratios, source correlation, bounded kurtosis, proximity to the chatter band's centre, energy share."""
+def indicators(signal: DataFrame, modes: DataFrame, spectrum: DataFrame, chatter: tuple[float, float], forced_hz: float, harmonics: int, tolerance: float, kurtosis_scale: float = 10.0) -> DataFrame:
+    """Per physical mode: chatter and forced ratios, source correlation, kurtosis (also bounded), proximity of the centroid and of the strongest bin to the chatter band's centre, energy."""
     centre, half = (chatter[0] + chatter[1]) / 2, (chatter[1] - chatter[0]) / 2
     f = F.col("freq")
     w = Window.partitionBy("recording_id", "layer")
@@ -85,6 +98,7 @@ def indicators(signal: DataFrame, modes: DataFrame, spectrum: DataFrame, chatter
         spectral.band_ratio(f.between(*chatter)).alias("chatter_ratio"),
         spectral.band_ratio(near_harmonic(f, F.lit(forced_hz), harmonics, tolerance)).alias("forced_ratio"),
         F.first("__c").alias("centre_hz"),
+        F.max_by("freq", F.struct("p", -F.col("freq"))).alias("dominant_hz"),
     )
     physical = modes.filter("NOT is_residual")
     moments = physical.join(signal.withColumnRenamed("x", "source"), ["recording_id", "n"]).groupBy("recording_id", "layer").agg(
@@ -93,7 +107,9 @@ def indicators(signal: DataFrame, modes: DataFrame, spectrum: DataFrame, chatter
         F.sum(F.col("x") * F.col("x")).alias("energy"),
     )
     joined = bands.join(moments, ["recording_id", "layer"])
-    return joined.withColumn("kurtosis_score", F.coalesce(clip((F.col("kurtosis") - 3.0) / kurtosis_scale, 0.0, 1.0), F.lit(0.0))).withColumn("proximity", gaussian(F.col("centre_hz"), centre, half))
+    return joined.withColumn("kurtosis_score", F.coalesce(clip((F.col("kurtosis") - 3.0) / kurtosis_scale, 0.0, 1.0), F.lit(0.0))).withColumns(
+        {"proximity": gaussian(F.col("centre_hz"), centre, half), "dominant_proximity": gaussian(F.col("dominant_hz"), centre, half)}
+    )
 
 
 def gates(table: DataFrame) -> DataFrame:
@@ -105,16 +121,29 @@ def gates(table: DataFrame) -> DataFrame:
     return table.withColumn("gate", sigmoid(score))
 
 
+def gate_array(metrics, chatter: tuple[float, float], kurtosis_scale: float = 10.0):
+    """The gates of an array of mode metrics (structs with chatter_ratio, forced_ratio, correlation, kurtosis and centre_hz), as an array."""
+    centre, half = (chatter[0] + chatter[1]) / 2, (chatter[1] - chatter[0]) / 2
+    zero = F.lit(0.0)
+
+    def gate(m):
+        bounded = F.coalesce(clip((m["kurtosis"] - 3.0) / kurtosis_scale, 0.0, 1.0), zero)
+        parts = {"chatter": F.coalesce(m["chatter_ratio"], zero), "correlation": F.coalesce(m["correlation"], zero), "kurtosis": bounded, "proximity": gaussian(m["centre_hz"], centre, half), "forced": F.coalesce(m["forced_ratio"], zero)}
+        return sigmoid(sum((GATE[k] * v for k, v in parts.items()), F.lit(GATE["offset"])))
+
+    return F.transform(metrics, gate)
+
+
 def shares(column: str):
-    """A non-negative indicator over its sum in the recording; equal shares where the sum is 0."""
+    """An indicator over its sum in the recording; missing and infinite values count as 0, equal shares where the sum is not positive."""
     w = Window.partitionBy("recording_id")
-    v = F.coalesce(F.when(~F.isnan(column), F.col(column)), F.lit(0.0))
-    return F.coalesce(ratio(v, F.sum(v).over(w)), 1.0 / F.count("*").over(w))
+    v = F.coalesce(finite(F.col(column)), F.lit(0.0))
+    return F.when(F.sum(v).over(w) > 0, v / F.sum(v).over(w)).otherwise(1.0 / F.count("*").over(w))
 
 
-def indicator_weights(table: DataFrame, mix: tuple[float, float, float, float] = (0.4, 0.3, 0.15, 0.15)) -> DataFrame:
-    """Weights that sum to 1: a mix of the shares of correlation, energy, kurtosis score and proximity."""
-    raw = table.withColumns({f"__s{i}": shares(c) for i, c in enumerate(("correlation", "energy", "kurtosis_score", "proximity"))})
+def indicator_weights(table: DataFrame, mix: tuple[float, float, float, float] = (0.25, 0.25, 0.25, 0.25)) -> DataFrame:
+    """Weights that sum to 1: a mix of the shares of correlation, energy, kurtosis and the strongest bin's proximity."""
+    raw = table.withColumns({f"__s{i}": shares(c) for i, c in enumerate(("correlation", "energy", "kurtosis", "dominant_proximity"))})
     raw = raw.withColumn("__w", sum((m * F.col(f"__s{i}") for i, m in enumerate(mix)), F.lit(0.0)))
     return raw.withColumn("weight", F.col("__w") / F.sum("__w").over(Window.partitionBy("recording_id"))).drop("__w", "__s0", "__s1", "__s2", "__s3")
 

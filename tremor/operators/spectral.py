@@ -23,13 +23,21 @@ def map_arrays(arrays: DataFrame, kernel, fields: list, column: str = "x") -> Da
 
     def run(batches):
         for batch in batches:
-            rows = [kernel(np.asarray(v, dtype=np.float64)) if v else (None,) * len(types) for v in batch.column(at).to_pylist()]
+            rows = [kernel(v) if len(v) else (None,) * len(types) for v in list_values(batch.column(at))]
             new = [pa.array([r[k] for r in rows], type=kind) for k, kind in enumerate(types)]
             yield pa.RecordBatch.from_arrays([*(batch.column(i).cast(kind) for i, kind in rest), *new], schema=arrow)
 
     return arrays.mapInArrow(run, schema)
 
 
+def list_values(column: pa.Array) -> list[np.ndarray]:
+    """The arrays of a list column as views of its one buffer of values; a NULL array is empty, a NULL in one is NaN."""
+    values = column.values.to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
+    ends = column.offsets.to_numpy()
+    known = column.is_valid().to_numpy(zero_copy_only=False)
+    return [values[lo:hi] if ok else values[:0] for lo, hi, ok in zip(ends[:-1], ends[1:], known, strict=True)]
+
+
 def welch(x: np.ndarray, fs: float, nperseg: int) -> np.ndarray:
     """One-sided density: periodic Hann window, half overlap, mean removed from each segment."""
     n = min(len(x), nperseg)

@@ -5,13 +5,22 @@ from __future__ import annotations
 import os
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; where it is unset, a folder under the working directory, on one machine only."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if found:
+        return found
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return os.path.join(os.path.abspath("spark-warehouse"), "shared")
 
 
 def keep(df: DataFrame, label: str) -> DataFrame:
     """df written once and read back, so that costly kernels run once however often their rows are used."""
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(os.path.abspath("spark-warehouse"), "shared")
-    path = f"{folder}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -13,8 +13,7 @@ TINY, EPS = 2.2250738585072014e-308, 2.220446049250313e-16
 def timing(signal: DataFrame) -> DataFrame:
     """Per recording: samples, median step, least step, relative jitter and estimated rate."""
     step = signal.select("recording_id", "n", "t", "x", (F.col("t") - F.lag("t").over(Window.partitionBy("recording_id").orderBy("n"))).alias("dt"))
-    median = F.median("dt").over(Window.partitionBy("recording_id"))
-    spread = step.withColumn("__median", median)
+    spread = step.join(step.groupBy("recording_id").agg(F.median("dt").alias("__median")), "recording_id")
     size = spread.groupBy("recording_id").agg(
         F.count("*").alias("samples"),
         F.first("__median", ignorenulls=True).alias("median_dt"),

@@ -145,12 +145,12 @@ def smooth_labels(scores: DataFrame, enter: float = 0.75, exit_: float = 0.40, l
 
 
 def onset(signal: DataFrame, width: int = 50) -> DataFrame:
-    """First sample where the smoothed distance from the mean crosses half its range; NULL without one."""
+    """Last sample before the distance from the mean first crosses half its range; NULL without a crossing. Signals longer than width are smoothed."""
     centred = signal.withColumn("__d", F.abs(F.col("x") - F.avg("x").over(per_recording())))
-    smooth = moving_average(centred, width, "__d", "__s")
+    smooth = moving_average(centred, width, "__d", "__s").withColumn("__s", F.when(F.count("*").over(per_recording()) > width, F.col("__s")).otherwise(F.col("__d")))
     ranged = smooth.withColumn("__half", (F.min("__s").over(per_recording()) + F.max("__s").over(per_recording())) / 2).withColumn("__on", (F.col("__s") > F.col("__half")).cast("int"))
-    turned = ranged.withColumn("__was", F.lag("__on").over(in_order()))
-    return turned.groupBy("recording_id").agg(F.min(F.when(F.col("__on") != F.col("__was"), F.col("n"))).alias("onset_index"))
+    turned = ranged.withColumn("__next", F.lead("__on").over(in_order()))
+    return turned.groupBy("recording_id").agg(F.min(F.when(F.col("__on") != F.col("__next"), F.col("n"))).alias("onset_index"))
 
 
 def semisynthetic(signal: DataFrame, fs: float, tone_hz: float, onset_s: float, snr_db: float) -> DataFrame:

@@ -23,10 +23,11 @@ def supplier_signal(spark: SparkSession, sf_dir: str, fs: float = 100.0) -> Data
 
 
 def event_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One recording per event type: values by time, with their real, irregular timestamps in seconds."""
-    rows = read(spark, sf_dir, "events").select("event_type", "ts", "event_id", "value")
-    n = F.row_number().over(Window.partitionBy("event_type").orderBy("ts", "event_id")) - 1
-    return rows.select(F.col("event_type").alias("recording_id"), n.cast("long").alias("n"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t"), F.col("value").alias("x"))
+    """One recording per event type and user, so that none grows with the table: values by time, with their real, irregular timestamps in seconds."""
+    rows = read(spark, sf_dir, "events").select("event_type", "user_id", "ts", "event_id", "value")
+    n = F.row_number().over(Window.partitionBy("event_type", "user_id").orderBy("ts", "event_id")) - 1
+    name = F.concat("event_type", F.lit("-"), F.col("user_id").cast("string"))
+    return rows.select(name.alias("recording_id"), n.cast("long").alias("n"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t"), F.col("value").alias("x"))
 
 
 def user_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
