@@ -63,12 +63,58 @@ def test_welch_by_definition():
 def test_ensemble_modes_keep_the_signal():
     t = np.arange(600) / 1000
     x = np.sin(2 * np.pi * 100 * t) + np.sin(2 * np.pi * 5 * t)
-    a, b = K.ensemble_modes(x, seed=3), K.ensemble_modes(x, seed=3)
+    a, b = K.ensemble_modes(x, 20, seed=3), K.ensemble_modes(x, 20, seed=3)
     assert len(a) >= 2 and np.allclose(sum(a), x, rtol=1e-7, atol=1e-10)
     assert all((p == q).all() for p, q in zip(a, b, strict=True))
     assert len(K.ensemble_modes(np.ones(64))) == 1  # nothing oscillates: the residual alone
 
 
+def test_splines_of_many_rows_by_dense_systems():
+    rng = np.random.default_rng(4)
+    h = rng.normal(size=(7, 90)).cumsum(axis=1)
+    d = np.diff(h, axis=1)
+    mark = np.zeros(h.shape, dtype=bool)
+    mark[:, 1:-1] = (d[:, :-1] > 0) & (d[:, 1:] <= 0)
+    got = K._spline_rows(mark, h)
+    for row, marked, made in zip(h, mark, got, strict=True):
+        p = np.flatnonzero(marked)
+        at = np.concatenate([[-p[1], -p[0]], p, [2 * 89 - p[-1], 2 * 89 - p[-2]]]).astype(float)
+        v = row[np.concatenate([[p[1], p[0]], p, [p[-1], p[-2]]])]
+        g, m = np.diff(at), len(at)
+        a, r = np.eye(m), np.zeros(m)
+        for i in range(1, m - 1):
+            a[i, i - 1 : i + 2] = g[i - 1], 2 * (g[i - 1] + g[i]), g[i]
+            r[i] = 3 * ((v[i + 1] - v[i]) / g[i] - (v[i] - v[i - 1]) / g[i - 1])
+        c = np.linalg.solve(a, r)
+        for x in range(90):
+            k = max(j for j in range(m - 1) if at[j] <= x)
+            b = (v[k + 1] - v[k]) / g[k] - g[k] * (2 * c[k] + c[k + 1]) / 3
+            t = x - at[k]
+            assert abs(v[k] + t * (b + t * (c[k] + t * (c[k + 1] - c[k]) / (3 * g[k]))) - made[x]) < 1e-9
+
+
+def test_trials_go_in_batches(monkeypatch):
+    x = np.random.default_rng(2).normal(size=200).cumsum()
+    rows = np.stack([x, np.sin(np.arange(200)), np.ones(200)])
+    both, found = K.local_means(rows, 5)
+    assert found.tolist() == [True, True, False]
+    assert np.allclose(both[0], K.local_means(rows[:1], 5)[0][0], atol=1e-12)
+    monkeypatch.setattr(K, "BATCH", 1000)
+    assert np.allclose(sum(K.ensemble_modes(x, 12)), x)
+
+
+def test_filter_blocks_follow_the_recursion():
+    x = np.random.default_rng(3).normal(size=333)
+    for b0, b1, b2, a1, a2 in K.bandpass_sections(20, 200, 1000.0, 3):
+        gain = (b0 + b1 + b2) / (1 + a1 + a2)
+        z1, z2, out = (gain - b0) * x[0], (b2 - a2 * gain) * x[0], []
+        for v in x:
+            y = b0 * v + z1
+            z1, z2 = b1 * v - a1 * y + z2, b2 * v - a2 * y
+            out.append(y)
+        assert np.allclose(K._section(x, (b0, b1, b2, a1, a2), x[0]), out, atol=1e-10)
+
+
 def test_assignment_is_optimal():
     rng = np.random.default_rng(0)
     for _ in range(60):

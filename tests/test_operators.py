@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tremor.functions.expressions import safe_identifier, standard_label
+from tremor.functions.expressions import label_number, path_identifier, safe_identifier, standard_label
 from tremor.operators import detection as D
 from tremor.operators import learning as L
 from tremor.operators import metadata as J
@@ -53,20 +53,33 @@ def test_segments_and_windows(spark):
 
 
 def test_identifiers_and_labels(spark):
-    rows = spark.createDataFrame([("  odd/name... ",), ("folder/sample.mat",), ("___.mat",), ("a/b.mat",), ("a__b.mat",)], "s string")
-    assert [r[0] for r in rows.select(safe_identifier(F.col("s"))).collect()] == ["odd__name", "folder__sample", "recording", "a__b", "a__b"]
-    states = spark.createDataFrame([("No Chatter",), ("mild",), ("",), (None,), ("severe",)], "s string")
-    assert [r[0] for r in states.select(standard_label(F.col("s"))).collect()] == ["stable", "incipient", "chatter", "chatter", "chatter"]
+    rows = spark.createDataFrame([("  odd/name... ",), ("run-1_a",), ("a.b",), ("a//b",), ("a-/b",)], "s string")
+    assert [r[0] for r in rows.select(safe_identifier(F.col("s"))).collect()] == ["odd__name", "run-1_a", "a__b", "a__b", "a-__b"]
+    paths = spark.createDataFrame([("folder/sample.mat",), ("___.mat",), ("a/b.mat",), ("a__b.mat",), (".hidden",), ("x/run-1.2.mat",)], "s string")
+    assert [r[0] for r in paths.select(path_identifier(F.col("s"))).collect()] == ["folder__sample", "recording", "a__b", "a__b", "hidden", "x__run-1__2"]
+    states = spark.createDataFrame([("No chatter observed",), ("nochatter",), ("mild",), ("",), (None,), ("severe",), ("stable",)], "s string")
+    assert [r[0] for r in states.select(standard_label(F.col("s"))).collect()] == ["stable", "stable", "incipient", "chatter", "chatter", "chatter", "chatter"]
+    assert [r[0] for r in spark.createDataFrame([(" Chatter",), ("1",), (None,), ("stable",)], "s string").select(label_number(F.col("s"))).collect()] == [1, 1, 0, 0]
+
+
+def test_onset_and_paired_counts(spark):
+    step = signal(spark, [0.0] * 100 + [1.0] * 100)  # the distance from the mean is the same everywhere
+    assert W.onset(step).collect()[0].onset_index is not None  # but smoothing falls off at the ends
+    assert W.onset(signal(spark, [0.0] * 20 + [5.0] + [0.0] * 19)).collect()[0].onset_index == 19
+    rows = spark.createDataFrame([(1, 1, 0), (1, 0, 1)], "t int, a int, b int")
+    got = D.mcnemar(rows, "t", "a", "b").collect()[0]
+    assert (got.b, got.c, got.statistic) == (1, 1, 0.5) and abs(got.p_value - 0.4795001221869535) < 1e-12
+    assert D.mcnemar(rows.limit(0), "t", "a", "b").collect()[0].p_value == 1.0
 
 
 def test_gates_and_weights(spark):
     rows = [(1, 1, 0.5, 0.1, 0.9, 2.0, 0.3, 0.8), (1, 2, None, None, 0.0, 0.0, 0.0, 0.0)]
-    t = spark.createDataFrame(rows, "recording_id long, layer int, chatter_ratio double, forced_ratio double, correlation double, energy double, kurtosis_score double, proximity double")
+    t = spark.createDataFrame(rows, "recording_id long, layer int, chatter_ratio double, forced_ratio double, correlation double, energy double, kurtosis_score double, proximity double").withColumns({"kurtosis": F.col("kurtosis_score"), "dominant_proximity": F.col("proximity")})
     g = {r.layer: r.gate for r in M.gates(t).collect()}
     assert abs(g[1] - 1 / (1 + np.exp(-(2 + 1.8 + 0.3 + 0.8 - 0.5 - 1.5)))) < 1e-12 and abs(g[2] - 1 / (1 + np.exp(1.5))) < 1e-12
     w = {r.layer: r.weight for r in M.indicator_weights(t).collect()}
     assert w == {1: 1.0, 2: 0.0}
-    zero = t.withColumns({c: F.lit(0.0) for c in ("correlation", "energy", "kurtosis_score", "proximity")})
+    zero = t.withColumns({c: F.lit(0.0) for c in ("correlation", "energy", "kurtosis", "dominant_proximity")})
     assert [r.weight for r in M.indicator_weights(zero).collect()] == [0.5, 0.5]
     stable = spark.createDataFrame([(1, 1, 0.9), (1, 2, 0.1), (1, 3, 0.7), (1, 1, 0.8), (1, 2, 0.2), (1, 3, 0.6)], "recording_id long, layer int, gate double")
     got = M.gate_stability(stable, 0.5).orderBy("layer").collect()

@@ -8,8 +8,14 @@ from pyspark.sql import functions as F
 
 from tremor.functions.expressions import r6
 from tremor.operators import decompose as K
+from tremor.operators import modes as M
+from tremor.operators import search as R
+from tremor.operators import stage4 as S4
 from tremor.operators import wavelets as B
+from tremor.operators import windows as W
+from tremor.operators.tables import shared_folder
 from tremor.plans.registry import VECTORS, query
+from tremor.plans.spectra import _DFT, INDIC, MODES, PSD
 from tremor.sources import files as X
 from tremor.sources import signals as S
 from tremor.streaming import hysteresis_stream
@@ -35,6 +41,21 @@ tb AS (SELECT *, CASE WHEN ms > sigma * sigma THEN sigma * sigma / sqrt(ms - sig
 tt AS (SELECT *, 0.5 * overlap + 1.4 * (1 - overlap) AS scale, base * (0.5 * overlap + 1.4 * (1 - overlap)) AS threshold FROM tb)"""
 
 
+#: The columns of the feature table that the SQL below states.
+STATIC = [
+    *(f"time_{c}" for c in ("rms", "variance", "std", "peak_to_peak", "mean_absolute", "crest_factor", "kurtosis", "skewness", "impulse_factor", "shape_factor", "clearance_factor", "zero_crossing_rate")),
+    *(f"freq_{c}" for c in ("centroid", "spread", "entropy", "peak", "chatter_band_ratio", "spectral_kurtosis", "spindle_harmonic_ratio", "tooth_harmonic_ratio", "harmonics_ratio", "sideband_ratio")),
+    *(f"freq_band_energy_ratio_{c}" for c in ("below_chatter", "chatter", "above_chatter")),
+    *(f"physics_{c}" for c in ("chatter_band_energy", "frequency_proximity", "spindle_frequency_hz", "tooth_passing_frequency_hz", "peak_to_spindle_harmonic_distance_hz", "peak_to_tooth_harmonic_distance_hz")),
+    *(f"physics_{c}" for c in ("sideband_strength", "forced_vibration_energy", "chatter_to_harmonic_energy_ratio")),
+    *(f"imf_{c}" for c in ("count", "max_energy_ratio", "centre_freq_mean", "bandwidth_mean", "entropy_mean", "mode_mixing_index", "max_adjacent_correlation", "orthogonality_index", "frequency_ordering_score", "selected_count")),
+    "imf1_correlation", "wavelet_high_freq_ratio", "wavelet_entropy",
+]
+_DFT_PAIR = f"{_DFT.format(s='u', k='recording_id', t='av')}, av2 AS (SELECT recording_id, n, a1 AS x FROM av), {_DFT.format(s='v', k='recording_id', t='av2')}"
+#: The wavelet part of the SQL, under names of its own, to stand beside the others.
+_BANDS_SQL = _DWT[len(VECTORS) + 2 :].replace("en AS", "enw AS")
+
+
 def bands(spark, sf_dir):
     return B.coefficients(S.embedding_arrays(spark, sf_dir), "db2", 2)
 
@@ -94,34 +115,118 @@ def stft_ridge(spark, sf_dir):
 
 @query()
 def ensemble_mode_rows(spark, sf_dir):
+    """300 trials and 16 sifts, as many modes as there are."""
     return K.ensemble_modes(S.embedding_arrays(spark, sf_dir))
 
 
 @query()
 def seed_stability(spark, sf_dir):
-    return K.seed_stability(K.ensemble_modes(S.embedding_arrays(spark, sf_dir), [1, 2, 3]))
+    return K.seed_stability(S.embedding_arrays(spark, sf_dir), [42, 43, 44], FS, BAND)
+
+
+@query()
+def matched_gate_stability(spark, sf_dir):
+    return K.gate_stability(S.embedding_arrays(spark, sf_dir), [42, 43, 44], FS, BAND)
 
 
 @query()
 def cutoff_search(spark, sf_dir):
-    return K.cutoff_search(S.embedding_arrays(spark, sf_dir), [2.0, 4.0, 6.0], [1, 2], 24.0, FS)
+    """Four cutoffs, three seeds, 15 trials and 16 sifts."""
+    return R.cutoff_grid(S.embedding_arrays(spark, sf_dir), [2.0, 3.0, 4.0, 6.0], [42, 43, 44], 24.0, FS, BAND).drop("objective_by_seed")
+
+
+def _with_metadata(spark, sf_dir):
+    """The vectors with a spindle speed (3 to 5 Hz) and tooth count; every eleventh has none."""
+    k = F.col("recording_id")
+    teeth = F.when(F.pmod(k, F.lit(11)) != 0, F.pmod(k, F.lit(3)) + 1)
+    return S.embedding_arrays(spark, sf_dir).select("recording_id", (180.0 + 60 * F.pmod(k, F.lit(3))).alias("rpm"), teeth.cast("double").alias("tooth_count"), "x")
 
 
 @query()
 def full_pipeline_features(spark, sf_dir):
-    return K.features(S.embedding_arrays(spark, sf_dir), 2.0, 28.0, FS, BAND, 3.0, 32, 16)
+    """All four stages with the search's 15 trials: 54 static features of every window."""
+    return K.features(_with_metadata(spark, sf_dir), 2.0, 28.0, FS, BAND, 32, 16, "db2", 2, 4, 0.5, trials=15)
+
+
+@query()
+def dynamic_pipeline_features(spark, sf_dir):
+    return K.features(_with_metadata(spark, sf_dir), 2.0, 28.0, FS, BAND, 32, 16, "db2", 2, 4, 0.5, trials=15, dynamic=True)
+
+
+@query()
+def wavelet_selection(spark, sf_dir):
+    rows = S.embedding_arrays(spark, sf_dir).select("recording_id", "x", F.transform("x", lambda v, i: F.sin(2 * 3.141592653589793 * 12 * i / FS) * 0.3).alias("reference"))
+    noisy = rows.withColumn("x", F.zip_with("x", "reference", lambda a, b: 0.2 * a + b))
+    return R.wavelet_choices(noisy, [("db1", 2), ("db2", 2), ("db4", 2)], FS, BAND)
+
+
+_META = "md AS (SELECT vec_id AS recording_id, 3.0 + vec_id % 3 AS spindle, CASE WHEN vec_id % 11 <> 0 THEN CAST(vec_id % 3 + 1 AS DOUBLE) END AS teeth FROM embeddings)"
+_NEAR = lambda base, tol: "(" + " OR ".join(f"abs(freq - {k} * {base}) <= {tol}" for k in range(1, 5)) + ")"
+_SIDE = "(" + " OR ".join(f"({k} * spindle * teeth {s} spindle > 0 AND abs(freq - ({k} * spindle * teeth {s} spindle)) <= 0.5)" for k in range(1, 5) for s in "-+") + ")"
+
+
+@query(f"""WITH {INDIC}, {PSD}, {_BANDS_SQL}, {_META},
+ti AS (SELECT recording_id, sqrt(avg(x * x)) AS time_rms, var_pop(x) AS time_variance, stddev_pop(x) AS time_std, max(x) - min(x) AS time_peak_to_peak, avg(abs(x)) AS time_mean_absolute, max(abs(x)) / sqrt(avg(x * x)) AS time_crest_factor,
+ kurtosis(x) + 3 AS time_kurtosis, skewness(x) AS time_skewness, max(abs(x)) / avg(abs(x)) AS time_impulse_factor, sqrt(avg(x * x)) / avg(abs(x)) AS time_shape_factor, max(abs(x)) / avg(sqrt(abs(x))) ** 2 AS time_clearance_factor, avg(crossed) * 64 / 63 AS time_zero_crossing_rate
+ FROM (SELECT *, CASE WHEN (x < 0) <> (lag(x) OVER (PARTITION BY recording_id ORDER BY n) < 0) THEN 1.0 ELSE 0.0 END AS crossed FROM sig) GROUP BY 1),
+fr AS (SELECT recording_id, any_value(spindle) AS spindle, any_value(teeth) AS teeth, sum(p) AS total, sum(freq * p) / sum(p) AS freq_centroid, kurtosis(p * 1000) + 3 AS freq_spectral_kurtosis, arg_max(freq, p) AS peak, sum(CASE WHEN freq BETWEEN 8 AND 20 THEN p ELSE 0 END) AS ch, sum(CASE WHEN freq BETWEEN 0 AND 8 THEN p ELSE 0 END) AS lo, sum(CASE WHEN freq BETWEEN 20 AND 32 THEN p ELSE 0 END) AS hi,
+ sum(CASE WHEN {_NEAR('spindle', 0.5)} THEN p ELSE 0 END) AS sp, sum(CASE WHEN {_NEAR('spindle * teeth', 0.5)} THEN p ELSE 0 END) AS te, sum(CASE WHEN {_NEAR('spindle', 0.5)} OR {_NEAR('spindle * teeth', 0.5)} THEN p ELSE 0 END) AS fo, sum(CASE WHEN {_SIDE} THEN p ELSE 0 END) AS si FROM psd JOIN md USING (recording_id) GROUP BY 1),
+f2 AS (SELECT recording_id, sqrt(sum((freq - freq_centroid) ** 2 * p / total)) AS freq_spread, -sum(p / total * log2(p / total)) FILTER (WHERE p > 0) / log2(33) AS freq_entropy FROM psd JOIN fr USING (recording_id) GROUP BY 1),
+lm AS (SELECT recording_id, layer, sum(q * freq) AS c, -sum(q * log2(q)) FILTER (WHERE q > 0) / log2(33) AS h FROM shm GROUP BY 1, 2), lb AS (SELECT recording_id, layer, sqrt(sum((freq - c) ** 2 * q)) AS b FROM shm JOIN lm USING (recording_id, layer) GROUP BY 1, 2),
+im AS (SELECT recording_id, max(e) / sum(e) AS imf_max_energy_ratio, avg(c) AS imf_centre_freq_mean, avg(b) AS imf_bandwidth_mean, avg(h) AS imf_entropy_mean, avg(CASE WHEN nx IS NOT NULL THEN CASE WHEN nx <= c THEN 1.0 ELSE 0.0 END END) AS imf_frequency_ordering_score
+ FROM (SELECT *, lead(c) OVER (PARTITION BY recording_id ORDER BY layer) AS nx FROM lm JOIN lb USING (recording_id, layer) JOIN en USING (recording_id, layer)) GROUP BY 1),
+ad AS (SELECT recording_id, avg(r) AS imf_mode_mixing_index, max(r) AS imf_max_adjacent_correlation FROM (SELECT a.recording_id, a.layer, abs(corr(a.x, b.x)) AS r FROM lay a JOIN lay b ON a.recording_id = b.recording_id AND a.n = b.n AND a.layer + 1 = b.layer GROUP BY 1, 2) GROUP BY 1),
+og AS (SELECT recording_id, (sum(s * s) - sum(e)) / sum(e) AS imf_orthogonality_index FROM (SELECT recording_id, n, sum(x) AS s, sum(x * x) AS e FROM allay GROUP BY 1, 2) GROUP BY 1),
+gs AS (SELECT recording_id, CAST(count(*) AS DOUBLE) AS imf_count, CAST(sum(CASE WHEN g2 >= 0.5 THEN 1 ELSE 0 END) AS DOUBLE) AS imf_selected_count, max(CASE WHEN layer = 1 THEN corr END) AS imf1_correlation FROM (SELECT i.*, 1 / (1 + exp(-(4 * r_ch + 2 * corr + ks + prox - 5 * coalesce(r2, 0) - 1.5))) AS g2 FROM ind i
+ JOIN (SELECT recording_id, layer, sum(CASE WHEN {_NEAR('spindle', 0.5)} OR {_NEAR('spindle * teeth', 0.5)} THEN q ELSE 0 END) AS r2 FROM shm JOIN (SELECT recording_id, CASE WHEN teeth IS NULL THEN NULL ELSE spindle END AS spindle, teeth FROM md) USING (recording_id) GROUP BY 1, 2) USING (recording_id, layer)) GROUP BY 1),
+wa AS (SELECT recording_id, sum(CASE WHEN band <> 'cA2' THEN q ELSE 0 END) AS wavelet_high_freq_ratio, -sum(q * log2(q)) FILTER (WHERE q > 0) / log2(3) AS wavelet_entropy FROM (SELECT recording_id, band, energy / sum(energy) OVER (PARTITION BY recording_id) AS q FROM enw) GROUP BY 1),
+al AS (SELECT *, 0 AS window_index, peak AS freq_peak, ch / total AS freq_chatter_band_ratio, CASE WHEN teeth > 0 THEN sp / total END AS freq_spindle_harmonic_ratio, CASE WHEN teeth > 0 THEN te / total END AS freq_tooth_harmonic_ratio, CASE WHEN teeth > 0 THEN te / total END AS freq_harmonics_ratio, CASE WHEN teeth > 0 THEN si / nullif(te, 0) END AS freq_sideband_ratio,
+ lo / total AS freq_band_energy_ratio_below_chatter, ch / total AS freq_band_energy_ratio_chatter, hi / total AS freq_band_energy_ratio_above_chatter, ch AS physics_chatter_band_energy, exp(-0.5 * (CASE WHEN peak < 8 THEN 8 - peak WHEN peak > 20 THEN peak - 20 ELSE 0 END / 6.0) ** 2) AS physics_frequency_proximity,
+ CASE WHEN teeth > 0 THEN spindle END AS physics_spindle_frequency_hz, spindle * teeth AS physics_tooth_passing_frequency_hz, CASE WHEN teeth > 0 THEN least({', '.join(f'abs(peak - {k} * spindle)' for k in range(1, 5))}) END AS physics_peak_to_spindle_harmonic_distance_hz, CASE WHEN teeth > 0 THEN least({', '.join(f'abs(peak - {k} * spindle * teeth)' for k in range(1, 5))}) END AS physics_peak_to_tooth_harmonic_distance_hz,
+ CASE WHEN teeth > 0 THEN si END AS physics_sideband_strength, CASE WHEN teeth > 0 THEN fo END AS physics_forced_vibration_energy, CASE WHEN teeth > 0 THEN ch / nullif(fo, 0) END AS physics_chatter_to_harmonic_energy_ratio FROM ti JOIN fr USING (recording_id) JOIN f2 USING (recording_id) JOIN im USING (recording_id) JOIN ad USING (recording_id) JOIN og USING (recording_id) JOIN gs USING (recording_id) JOIN wa USING (recording_id))
+SELECT recording_id, window_index, {', '.join(f'round({c}, 6) AS {c}' for c in STATIC)} FROM al""")
+def stage4_features(spark, sf_dir):
+    """The features of whole recordings over the moving-average modes, but for those of envelopes and short-time spectra."""
+    layers = M.moving_average_modes(S.embedding_signal(spark, sf_dir)).groupBy("recording_id", "layer").agg(F.array_sort(F.collect_list(F.struct("n", "x"))).alias("z"))
+    layers = layers.groupBy("recording_id").agg(F.array_sort(F.collect_list(F.struct("layer", F.col("z.x").alias("x")))).alias("a")).select("recording_id", F.col("a.x").alias("layers"))
+    rows = _with_metadata(spark, sf_dir).join(layers, "recording_id").select("recording_id", "rpm", "tooth_count", F.col("x").alias("source"), F.col("x").alias("clean"), "layers")
+    gates = S4.layer_metrics(rows, FS, BAND, 4, 0.5).select("recording_id", M.gate_array(F.col("metrics"), BAND).alias("gates"))
+    made = S4.stage4_features(S4.window_rows(rows.join(gates, "recording_id"), 64, 64), FS, BAND, 4, 0.5, 0.5, "db2", 2)
+    return made.select("recording_id", "window_index", *(r6(F.col(c)).alias(c) for c in STATIC))
+
+
+@query(f"""WITH {MODES}, {_DFT_PAIR}, q AS (SELECT recording_id, quantile_cont(abs(x), 0.95) AS top FROM av GROUP BY 1),
+t AS (SELECT recording_id, sqrt(avg(x * x)) AS rms_before, sqrt(avg(a1 * a1)) AS rms_after, sum(x * x) AS energy_before, sum(a1 * a1) AS energy_after, abs(corr(x, a1)) AS correlation, sum(CASE WHEN abs(x) >= top THEN a1 * a1 ELSE 0 END) / sum(CASE WHEN abs(x) >= top THEN x * x ELSE 0 END) AS transient_preservation FROM av JOIN q USING (recording_id) GROUP BY 1),
+s AS (SELECT recording_id, sum(CASE WHEN freq BETWEEN 8 AND 20 THEN b ELSE 0 END) / sum(CASE WHEN freq BETWEEN 8 AND 20 THEN a ELSE 0 END) AS chatter_band_retention, 1 - sum(CASE WHEN freq BETWEEN 8 AND 20 THEN 0 ELSE b END) / sum(CASE WHEN freq BETWEEN 8 AND 20 THEN 0 ELSE a END) AS out_of_band_attenuation, sum(abs(qa - qb)) AS spectral_distortion
+ FROM (SELECT u.recording_id, u.freq, u.p AS a, v.p AS b, u.p / sum(u.p) OVER (PARTITION BY u.recording_id) AS qa, v.p / sum(v.p) OVER (PARTITION BY u.recording_id) AS qb FROM psdu u JOIN psdv v ON u.recording_id = v.recording_id AND u.k = v.k) GROUP BY 1)
+SELECT recording_id, {', '.join(f'round({c}, 6) AS {c}' for c in R.DENOISING)} FROM t JOIN s USING (recording_id)""")
+def denoising_metrics(spark, sf_dir):
+    """What a moving average over three samples does to each vector."""
+    smooth = S.to_arrays(S.embedding_signal(spark, sf_dir).withColumn("x", F.avg("x").over(W.in_order().rowsBetween(-1, 1)))).withColumnRenamed("x", "clean")
+    rows = S.embedding_arrays(spark, sf_dir).withColumnRenamed("x", "source").join(smooth, "recording_id")
+    made = R.denoising_metrics(rows, FS, BAND)
+    return made.select("recording_id", *(r6(F.col(c)).alias(c) for c in R.DENOISING))
+
+
+@query(f"SELECT vec_id AS recording_id, c.low AS cutoff, round(0.2 * least(1, abs(CAST(embedding[1] AS DOUBLE))) + 0.15 * least(1, abs(CAST(embedding[2] AS DOUBLE))) + 0.15 * least(1, abs(CAST(embedding[3] AS DOUBLE))) + 0.15 * greatest(0, least(1, 1 - abs(CAST(embedding[4] AS DOUBLE)))) + 0.2 * least(1, abs(CAST(embedding[5] AS DOUBLE))) + 0.15 * CASE WHEN raw > 0 THEN 1 - exp(-abs(ln(greatest(new, 2.2250738585072014e-308) / raw))) WHEN new > 0 THEN 1.0 ELSE 0.0 END, 6) AS objective FROM (SELECT *, greatest(CAST(embedding[6] AS DOUBLE), 0) AS raw, greatest(CAST(embedding[7] AS DOUBLE), 0) AS new FROM embeddings), (SELECT unnest([50.0, 100.0]) AS low) c")
+def objective_formula(spark, sf_dir):
+    """The six-part objective as a formula, its parts read from vector components."""
+    e = lambda k: F.abs(F.get(F.col("embedding"), F.lit(k - 1)).cast("double"))
+    raw, new = (F.greatest(F.get(F.col("embedding"), F.lit(k - 1)).cast("double"), F.lit(0.0)) for k in (6, 7))
+    parts = {"spectral_overlap": e(1), "maximum_adjacent_correlation": e(2), "absolute_orthogonality": e(3), "frequency_ordering": e(4), "seed_instability": e(5), "chatter_band_distortion": R.band_distortion(raw, new)}
+    rows = S.read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("recording_id"), *(v.alias(n) for n, v in parts.items()), F.explode(F.array(F.lit(50.0), F.lit(100.0))).alias("cutoff"))
+    return rows.select("recording_id", "cutoff", r6(R.objective()).alias("objective"))
 
 
 @query()
 def output_checksums(spark, sf_dir):
-    return X.digests(spark, f"{sf_dir}/region.parquet")
+    return X.digests(spark, f"{sf_dir}/*.parquet")
 
 
 @query()
 def stream_hysteresis(spark, sf_dir):
     """The score stream read from files, its states appended to a table in the shared folder, and that table."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "spark-warehouse/shared"
-    folder = f"{base}/hysteresis-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/hysteresis-{uuid.uuid4().hex}"
     S.user_scores(spark, sf_dir).write.parquet(f"{folder}/in")
     stream = spark.readStream.schema("recording_id long, n long, p double").parquet(f"{folder}/in")
     run = hysteresis_stream(stream).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()

@@ -24,7 +24,7 @@ def query(sql: str | None = None) -> Callable:
 SIGNAL = """s0 AS (SELECT l_suppkey AS recording_id, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_extendedprice) - 1 AS n,
   l_extendedprice / 10000.0 AS x0 FROM lineitem),
 sig AS (SELECT recording_id, n, n / 100.0 AS t, x0 - avg(x0) OVER (PARTITION BY recording_id) AS x FROM s0)"""
-EVENTS = """sig AS (SELECT event_type AS recording_id, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS n, epoch_us(ts) / 1e6 AS t, value AS x FROM events)"""
+EVENTS = """sig AS (SELECT event_type || '-' || user_id AS recording_id, row_number() OVER (PARTITION BY event_type, user_id ORDER BY ts, event_id) - 1 AS n, epoch_us(ts) / 1e6 AS t, value AS x FROM events)"""
 SCORES = """sig AS (SELECT user_id AS recording_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS n, value / 100.0 AS p FROM events)"""
 VECTORS = """sig AS (SELECT vec_id AS recording_id, CAST(i AS BIGINT) AS n, CAST(embedding[i + 1] AS DOUBLE) AS x FROM (SELECT vec_id, embedding, unnest(range(0, len(embedding))) AS i FROM embeddings))"""
 METADATA = """meta AS (SELECT s_suppkey AS recording_id, 300.0 + (s_suppkey % 7) * 60 AS rpm, CASE WHEN s_suppkey % 11 <> 0 THEN CAST(s_suppkey % 4 + 1 AS INTEGER) END AS tooth_count,

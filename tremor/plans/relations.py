@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tremor.functions.expressions import label_number, normalise_header, r6, safe_identifier, standard_label
+from tremor.functions.expressions import label_number, normalise_header, path_identifier, r6, safe_identifier, standard_label
 from tremor.operators import aggregates as A
 from tremor.operators import detection as D
 from tremor.operators import learning as L
@@ -89,9 +89,12 @@ def parse_condition_from_path(spark, sf_dir):
     return rows.select("page_id", "path", *[c.alias(n) for n, c in J.condition_of(F.col("path")).items()])
 
 
-@query("SELECT p_partkey, regexp_replace(lower(trim(p_name)), '[^a-z0-9]', '', 'g') AS header, regexp_replace(regexp_replace(regexp_replace(trim(p_name), '[^A-Za-z0-9]', '__', 'g'), '_{3,}', '__', 'g'), '^_+|_+$', '', 'g') AS identifier FROM part")
+@query(r"""WITH n AS (SELECT p_partkey, p_name, p_name || '/run-' || p_partkey || '_a  b.mat' AS path FROM part)
+SELECT p_partkey, regexp_replace(lower(trim(p_name)), '[^a-z0-9]', '', 'g') AS header, regexp_replace(regexp_replace(regexp_replace(path, '[^\p{L}\p{N}_-]', '__', 'g'), '__(__)+(_?)', '__\2', 'g'), '^_+|_+$', '', 'g') AS metadata_id,
+ regexp_replace(regexp_replace(regexp_replace(replace(path, '.mat', ''), '[^\p{L}\p{N}_-]', '__', 'g'), '__(__)+(_?)', '__\2', 'g'), '^_+|_+$', '', 'g') AS path_id FROM n""")
 def normalise_headers(spark, sf_dir):
-    return S.read(spark, sf_dir, "part").select("p_partkey", normalise_header(F.col("p_name")).alias("header"), safe_identifier(F.col("p_name")).alias("identifier"))
+    path = F.concat("p_name", F.lit("/run-"), F.col("p_partkey").cast("string"), F.lit("_a  b.mat"))
+    return S.read(spark, sf_dir, "part").select("p_partkey", normalise_header(F.col("p_name")).alias("header"), safe_identifier(path).alias("metadata_id"), path_identifier(path).alias("path_id"))
 
 
 @query("SELECT page_id, sha256(html) AS digest, length(html) AS characters FROM pages")
@@ -99,11 +102,16 @@ def content_sha256(spark, sf_dir):
     return S.read(spark, sf_dir, "pages").select("page_id", F.sha2("html", 256).alias("digest"), F.length("html").cast("long").alias("characters"))
 
 
-@query("""SELECT event_type, CASE WHEN lower(event_type) IN ('no chatter','stable','s','none') THEN 'stable' WHEN regexp_matches(lower(event_type), 'mild|incipient|intermittent') THEN 'incipient' ELSE 'chatter' END AS label,
- CASE WHEN lower(event_type) IN ('chatter','1','true','yes','unstable') THEN 1 ELSE 0 END AS number, count(*) AS n FROM events GROUP BY 1""")
+STATES = ["No chatter", " no chatter observed", "NOCHATTER", "mild chatter", "Incipient", "intermittent", "Chatter", "stable", "", None, "1", " TRUE ", "yes", "unstable", "0"]
+
+
+@query("""WITH s AS (SELECT event_type AS state, count(*) AS n FROM events GROUP BY 1 UNION ALL SELECT *, 0 FROM (VALUES ('No chatter'), (' no chatter observed'), ('NOCHATTER'), ('mild chatter'), ('Incipient'), ('intermittent'), ('Chatter'), ('stable'), (''), (NULL), ('1'), (' TRUE '), ('yes'), ('unstable'), ('0')))
+SELECT state, CASE WHEN lower(coalesce(state, '')) LIKE '%no chatter%' OR lower(coalesce(state, '')) LIKE '%nochatter%' THEN 'stable' WHEN regexp_matches(lower(coalesce(state, '')), 'mild|incipient|intermittent') THEN 'incipient' ELSE 'chatter' END AS label,
+ CASE WHEN lower(trim(state)) IN ('chatter','1','true','yes','unstable') THEN 1 ELSE 0 END AS number, CAST(n AS BIGINT) AS n FROM s""")
 def label_standardise(spark, sf_dir):
-    rows = S.read(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"))
-    return rows.select("event_type", standard_label(F.col("event_type")).alias("label"), label_number(F.col("event_type")).alias("number"), "n")
+    seen = S.read(spark, sf_dir, "events").groupBy(F.col("event_type").alias("state")).agg(F.count("*").alias("n"))
+    rows = seen.union(spark.createDataFrame([(x, 0) for x in STATES], "state string, n long"))
+    return rows.select("state", standard_label(F.col("state")).alias("label"), label_number(F.col("state")).alias("number"), "n")
 
 
 # --- feature tables ----------------------------------------------------------------------------------------------------
@@ -254,9 +262,9 @@ def roc_curve(spark, sf_dir):
     return _r(D.roc_curve(labelled(spark, sf_dir), "quality", "score"), "score")
 
 
-@query(f"WITH {_LABELLED}, c AS (SELECT count(*) FILTER (WHERE pa = quality AND pb <> quality) AS b, count(*) FILTER (WHERE pa <> quality AND pb = quality) AS c FROM lab) SELECT b, c, round(greatest(abs(b - c) - 1, 0) ** 2 / (b + c), 6) AS statistic FROM c")
+@query(f"WITH {_LABELLED}, c AS (SELECT count(*) FILTER (WHERE pa = quality AND pb <> quality) AS b, count(*) FILTER (WHERE pa <> quality AND pb = quality) AS c FROM lab) SELECT b, c, round((abs(b - c) - 1) ** 2 / (b + c), 6) AS statistic FROM c")
 def mcnemar_counts(spark, sf_dir):
-    return _r(D.mcnemar(labelled(spark, sf_dir), "quality", "pa", "pb"))
+    return _r(D.mcnemar(labelled(spark, sf_dir), "quality", "pa", "pb").drop("p_value"))
 
 
 @query("""WITH g AS (SELECT conv_id, CAST(max(CASE WHEN turn > 1 THEN 1 ELSE 0 END) AS INTEGER) AS class FROM conversations GROUP BY 1),

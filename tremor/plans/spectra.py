@@ -87,10 +87,11 @@ MSHARE = "shm AS (SELECT recording_id, layer, k, freq, p, p / sum(p) OVER (PARTI
 MCENTRE = "cen AS (SELECT recording_id, layer, sum(freq * q) AS c FROM shm GROUP BY 1, 2)"
 METRICS = f"""{MODES}, {MPSD}, {MSHARE}, {MCENTRE}, en AS (SELECT recording_id, layer, sum(x * x) AS e, sqrt(avg(x * x)) AS rms FROM lay GROUP BY 1, 2)"""
 INDIC = f"""{METRICS}, ba AS (SELECT recording_id, layer, sum(CASE WHEN freq BETWEEN 8 AND 20 THEN q ELSE 0 END) AS r_ch, sum(CASE WHEN {HARM(SPINDLE)} THEN q ELSE 0 END) AS r_f FROM shm GROUP BY 1, 2),
-mo AS (SELECT l.recording_id, layer, abs(covar_pop(l.x, s.x) / (stddev_pop(l.x) * stddev_pop(s.x))) AS corr, least(greatest((kurtosis(l.x) + 3 - 3) / 5.0, 0), 1) AS ks, sum(l.x * l.x) AS energy FROM lay l JOIN sig s ON l.recording_id = s.recording_id AND l.n = s.n GROUP BY 1, 2),
-ind AS (SELECT ba.recording_id, ba.layer, r_ch, r_f, c, corr, ks, energy, exp(-0.5 * ((c - 14) / 6.0) ** 2) AS prox FROM ba JOIN mo USING (recording_id, layer) JOIN cen USING (recording_id, layer)),
+mo AS (SELECT l.recording_id, layer, abs(covar_pop(l.x, s.x) / (stddev_pop(l.x) * stddev_pop(s.x))) AS corr, kurtosis(l.x) + 3 AS kurt, least(greatest((kurtosis(l.x) + 3 - 3) / 10.0, 0), 1) AS ks, sum(l.x * l.x) AS energy FROM lay l JOIN sig s ON l.recording_id = s.recording_id AND l.n = s.n GROUP BY 1, 2),
+dom AS (SELECT recording_id, layer, freq AS peak FROM (SELECT *, row_number() OVER (PARTITION BY recording_id, layer ORDER BY p DESC, freq) AS i FROM psdm) WHERE i = 1),
+ind AS (SELECT ba.recording_id, ba.layer, r_ch, r_f, c, corr, kurt, ks, energy, exp(-0.5 * ((c - 14) / 6.0) ** 2) AS prox, exp(-((peak - 14) ** 2) / (2 * 6.0 ** 2)) AS dprox FROM ba JOIN mo USING (recording_id, layer) JOIN cen USING (recording_id, layer) JOIN dom USING (recording_id, layer)),
 gt AS (SELECT *, 1 / (1 + exp(-(4 * r_ch + 2 * corr + ks + prox - 5 * r_f - 1.5))) AS gate FROM ind)"""
-WEIGHTS = """ws AS (SELECT *, 0.4 * corr / sum(corr) OVER r + 0.3 * energy / sum(energy) OVER r + 0.15 * coalesce(ks / nullif(sum(ks) OVER r, 0), 1.0 / 3) + 0.15 * prox / sum(prox) OVER r AS w FROM gt WINDOW r AS (PARTITION BY recording_id)),
+WEIGHTS = """ws AS (SELECT *, 0.25 * (corr / sum(corr) OVER r + energy / sum(energy) OVER r + kurt / sum(kurt) OVER r + CASE WHEN sum(dprox) OVER r > 0 THEN dprox / sum(dprox) OVER r ELSE 1.0 / 3 END) AS w FROM gt WINDOW r AS (PARTITION BY recording_id)),
 wt AS (SELECT *, w / sum(w) OVER (PARTITION BY recording_id) AS weight FROM ws)"""
 
 
@@ -177,10 +178,10 @@ def before_after_metrics(spark, sf_dir):
     return _r(M.compare_spectra(spectrum(spark, sf_dir), P.psd(S.to_arrays(made), FS, 64), CHATTER), "recording_id")
 
 
-@query(f"""WITH {VECTORS}, g AS (SELECT e.label AS recording_id, s.n + 1 AS layer, 1 / (1 + exp(-10 * s.x)) AS gate FROM sig s JOIN embeddings e ON e.vec_id = s.recording_id WHERE n < 4)
+@query(f"""WITH {VECTORS}, g AS (SELECT e.label AS recording_id, s.n + 1 AS layer, 1 / (1 + exp(-10 * s.x)) AS gate FROM sig s JOIN embeddings e ON e.vec_id = s.recording_id)
 SELECT recording_id, CAST(layer AS BIGINT) AS layer, round(avg(gate), 6) AS mean_gate, round(stddev_pop(gate), 6) AS std_gate, CAST(sum(CASE WHEN gate >= 0.5 THEN 1 ELSE 0 END) AS BIGINT) AS selected, count(DISTINCT gate >= 0.5) = 1 AS unanimous FROM g GROUP BY 1, 2""")
 def gate_stability(spark, sf_dir):
-    e = S.read(spark, sf_dir, "embeddings").select(F.col("label").alias("recording_id"), F.posexplode(F.slice("embedding", 1, 4)).alias("layer", "v"))
+    e = S.read(spark, sf_dir, "embeddings").select(F.col("label").alias("recording_id"), F.posexplode("embedding").alias("layer", "v"))
     g = e.select("recording_id", (F.col("layer") + 1).cast("long").alias("layer"), (1 / (1 + F.exp(-10 * F.col("v").cast("double")))).alias("gate"))
     return M.gate_stability(g, 0.5).select("recording_id", "layer", r6(F.col("mean_gate")).alias("mean_gate"), r6(F.col("std_gate")).alias("std_gate"), "selected", "unanimous")
 

@@ -123,9 +123,10 @@ def min_run_length(spark, sf_dir):
 
 
 @query(f"""WITH {SIGNAL}, d AS (SELECT recording_id, n, abs(x - avg(x) OVER (PARTITION BY recording_id)) AS d FROM sig),
-s AS (SELECT recording_id, n, sum(d) OVER (PARTITION BY recording_id ORDER BY n ROWS BETWEEN 25 PRECEDING AND 24 FOLLOWING) / 50 AS s FROM d),
-o AS (SELECT recording_id, n, s > (min(s) OVER (PARTITION BY recording_id) + max(s) OVER (PARTITION BY recording_id)) / 2 AS up FROM s),
-c AS (SELECT recording_id, n, up <> lag(up) OVER (PARTITION BY recording_id ORDER BY n) AS turned FROM o)
+s AS (SELECT recording_id, n, sum(d) OVER (PARTITION BY recording_id ORDER BY n ROWS BETWEEN 25 PRECEDING AND 24 FOLLOWING) / 50 AS t, count(*) OVER (PARTITION BY recording_id) AS size, d FROM d),
+s2 AS (SELECT recording_id, n, CASE WHEN size > 50 THEN t ELSE d END AS s FROM s),
+o AS (SELECT recording_id, n, s > (min(s) OVER (PARTITION BY recording_id) + max(s) OVER (PARTITION BY recording_id)) / 2 AS up FROM s2),
+c AS (SELECT recording_id, n, up <> lead(up) OVER (PARTITION BY recording_id ORDER BY n) AS turned FROM o)
 SELECT recording_id, min(CASE WHEN turned THEN n END) AS onset_index FROM c GROUP BY 1""")
 def onset_detection(spark, sf_dir):
     return W.onset(S.supplier_signal(spark, sf_dir))
