@@ -183,6 +183,24 @@ def test_language_profiles_by_hand():
     assert len(langid.gram_keys("12 !")) == 0
 
 
+def test_language_distances_by_a_plain_version():
+    words = {"x": ["alpha", "beta", "gamma", "delta"], "y": ["uno", "dos", "tres", "quatro"], "z": ["een", "twee", "drie", "vier"]}
+    rng = random.Random(8)
+    text_of = lambda lang, k: " ".join(rng.choice(words[lang]) for _ in range(k))
+    train = {lang: text_of(lang, 200) for lang in words}
+    n = 40
+    profiles = {lang: langid.top_grams(t, n).tolist() for lang, t in train.items()}
+    ranks = langid.Ranks(profiles, n)
+    for _ in range(60):
+        text = text_of(rng.choice("xyz"), rng.randrange(1, 6)) + rng.choice(["", " unknownword", " 12 !?"])
+        own = langid.top_grams(text, n).tolist()
+        far = {lang: sum(abs(p.index(g) - k) if g in p else n for k, g in enumerate(own)) for lang, p in profiles.items()}
+        order = sorted(far, key=lambda lang: (far[lang], lang))
+        best, second = order[:2]
+        lang, score = ranks.predict(text)
+        assert lang == best and abs(score - (far[second] - far[best]) / far[second]) < 1e-12
+
+
 def test_language_accuracy(spark, sf_dir, docs):
     d = table(spark, sf_dir, "documents")
     got = langid.language_report(d).join(d.select("doc_id", "lang"), "doc_id").filter("held_out").selectExpr("count(*) n", "avg(cast(lang = lang_pred as double)) share").collect()[0]

@@ -211,8 +211,11 @@ def encode_batch(texts: list[str], seeds: np.ndarray, vocabulary: Vocabulary, al
     ends = np.flatnonzero(np.diff(tail, prepend=-1))
     entry = np.zeros(at[-1], dtype=np.int32)
     entry[tail[ends]] = ends
-    run = np.cumsum(share)
-    upto = run - np.repeat(np.concatenate(([0.0], run))[ends], np.diff(np.append(ends, len(tail))))
+    count = np.diff(np.append(ends, len(tail)))
+    upto = share.copy()  # summed node by node, so that a draw doesn't depend on what else is in the chunk
+    for k in range(1, int(count.max(initial=0))):
+        on = ends[count > k] + k
+        upto[on] += upto[on - 1]
     upto[np.append(ends[1:], len(tail)) - 1] = 2.0
     head, offset = head.astype(np.int32), offset.astype(np.int32)
 
