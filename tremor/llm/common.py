@@ -46,6 +46,36 @@ def materialize(df: DataFrame, label: str = "t") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Shelf:
+    """Named tables in the shared folder for steps that go in rounds: a new table of a name replaces the old one, which is deleted once the new one is written.
+
+    A table's rows come from its files alone, so nothing that still runs reads a deleted one, and lost executors lose nothing.
+    """
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark = spark
+        self.paths: dict[str, str] = {}
+
+    def put(self, name: str, df: DataFrame) -> DataFrame:
+        """df written under name and read back."""
+        path = f"{shared_dir(self.spark)}/{name}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        self.drop(name)
+        self.paths[name] = path
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        """Deletes the tables of these names, as far as they are there."""
+        for name in names:
+            if path := self.paths.pop(name, None):
+                place = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+                place.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(place, True)
+
+    def drop_but(self, *names: str) -> None:
+        """Deletes all tables but those of these names."""
+        self.drop(*(set(self.paths) - set(names)))
+
+
 #: Share of all rows from which on a key is hot.
 HOT = 0.001
 

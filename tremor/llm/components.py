@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tremor.llm.common import materialize
+from tremor.llm.common import Shelf
 
 
 def _least(pairs: DataFrame) -> DataFrame:
@@ -13,9 +13,13 @@ def _least(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
 
 
-def components(edges: DataFrame, a: str, b: str) -> DataFrame:
-    """(node, root) for every node with an edge; root is the smallest node of its component. Ids are longs."""
-    e = materialize(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct(), "edges")
+def components(edges: DataFrame, a: str, b: str, shelf: Shelf | None = None) -> DataFrame:
+    """(node, root) for every node with an edge; root is the smallest node of its component. Ids are longs.
+
+    Only the last round's edges are kept, on shelf as "edges"; the caller deletes them once it has read the result.
+    """
+    shelf = shelf or Shelf(edges.sparkSession)
+    e = shelf.put("edges", edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct())
     while True:
         # done once no end of an edge is the start of another, and each start has one edge
         chained = e.join(e.select(F.col("v").alias("u")), "u", "left_semi").select("u")
@@ -26,6 +30,6 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         large = both.join(_least(both), "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = _least(large)
         small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
-        e = materialize(small, "edges")
+        e = shelf.put("edges", small)
     roots = e.select("v").distinct()
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots.select(F.col("v").alias("node"), F.col("v").alias("root")))

@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from tremor.llm.common import HOT, chunks, keyed_join, materialize, mix64, span_hashes, spans_of
+from tremor.llm.common import HOT, Shelf, chunks, keyed_join, mix64, span_hashes, spans_of
 from tremor.llm.components import components
 
 WORDS = 4
@@ -293,7 +293,7 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Da
     return dealt.mapInArrow(run, schema)
 
 
-def difference_lists(groups: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+def difference_lists(groups: DataFrame, percent: int, shelf: Shelf) -> tuple[DataFrame, DataFrame]:
     """Lists (__sig, __node, __n, __own, __group) of sets that may link, from groups of sets (__head, __far, __hn, __node, __n, __own) and their __delta.
 
     Also (__group, __node, __e, __counts): the size of each difference, and of the part that others of the group share the counts by BUCKETS.
@@ -306,7 +306,7 @@ def difference_lists(groups: DataFrame, percent: int) -> tuple[DataFrame, DataFr
     bucket = F.pmod("__t", F.lit(BUCKETS))
     lanes = [F.expr(f"sum(CASE __bucket WHEN {b} THEN 1L WHEN {b + 1} THEN {1 << 16}L WHEN {b + 2} THEN {1 << 32}L ELSE 0L END)") for b in range(0, BUCKETS, 3)]
     shared = ranked.withColumn("__bucket", bucket).groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("__df", "__t"))).alias("__shared"), F.array(*lanes).alias("__counts"))
-    rows = materialize(rows.drop("__delta").join(shared, key).withColumn("__group", F.xxhash64(*group)), "shared")
+    rows = shelf.put("shared", rows.drop("__delta").join(shared, key).withColumn("__group", F.xxhash64(*group)))
     step = np.log(100 / percent) / 4
     reach = F.expr(f"cast(floor(__n * {100 - percent} / {percent}) AS int)")  # most a partner may differ in: it has at most n / t shingles
     parts = rows.select("__group", "__node", "__e", F.when(F.size("__shared") <= _LOWEST, F.col("__counts")).alias("__counts"))
@@ -339,41 +339,51 @@ def small_pairs(lists: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
     return rows.select(F.explode(F.flatten(F.transform("__all", of_one))).alias("p")).select("p.__a", "p.__b").distinct()
 
 
-def _links(open_lists: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame | None:
-    """(__node, __label) of all classes that link with another one. open_lists: rows of with_heads over the index."""
+def _links(open_lists: DataFrame, texts: DataFrame, words: int, percent: int, shelf: Shelf) -> DataFrame | None:
+    """(__node, __label) of all classes that link with another one. open_lists: rows of with_heads over the index.
+
+    Every table of a round is deleted once those made from it are written.
+    """
     labels = parts = None
     while open_lists.count():
         stars = open_lists if parts is None else open_lists.filter(F.col("__c") > SMALL)
         pairs = stars.filter("__node <> __head").select(F.col("__head").alias("__a"), F.col("__node").alias("__b")).distinct().withColumn("__star", F.lit(True))
         if parts is not None:
             pairs = pairs.union(small_pairs(open_lists.filter(F.col("__c") <= SMALL), parts, percent).withColumn("__star", F.lit(False)))
-        done = materialize(verified(materialize(pairs, "pairs"), texts, words, percent), "verified")
-        labels = _relabelled(labels, done.filter("__link").select("__a", "__b"))
+        done = shelf.put("verified", verified(shelf.put("pairs", pairs), texts, words, percent))
+        shelf.drop("pairs", "shared")
+        labels = _relabelled(labels, done.filter("__link").select("__a", "__b"), shelf)
         if parts is not None and stars.isEmpty():
             break
         met = done.filter("__star").select(F.col("__a").alias("__head"), F.col("__b").alias("__node"), "__far", "__delta")
         sized = stars.select("__head", "__hn", "__node", "__n", "__own").distinct()
-        groups = materialize(_open_groups(sized.join(met, ["__head", "__node"]), labels, done.count()), "groups")
-        lists, parts = difference_lists(groups, percent)
-        lists = materialize(lists.join(labels, "__node", "left").withColumn("__label", F.coalesce("__label", "__node")), "lists")
-        open_lists = materialize(with_heads(lists), "open")
-        texts = materialize(texts.join(open_lists.select("__node").union(open_lists.select("__head")).distinct(), "__node", "left_semi"), "texts")
+        groups = shelf.put("groups", _open_groups(sized.join(met, ["__head", "__node"]), labels, done.count()))
+        shelf.drop("verified")
+        lists, parts = difference_lists(groups, percent, shelf)
+        shelf.drop("groups")
+        lists = shelf.put("lists", lists.join(labels, "__node", "left").withColumn("__label", F.coalesce("__label", "__node")))
+        open_lists = shelf.put("open", with_heads(lists))
+        shelf.drop("lists")
+        texts = shelf.put("texts", texts.join(open_lists.select("__node").union(open_lists.select("__head")).distinct(), "__node", "left_semi"))
     return labels
 
 
-def _relabelled(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+def _relabelled(labels: DataFrame | None, links: DataFrame, shelf: Shelf) -> DataFrame:
     """labels (__node, __label) with further links (__a, __b): only links between labels take part."""
     named = lambda df: df.select(F.col("node").alias("__node"), F.col("root").alias("__label"))
     if labels is None:
-        return materialize(named(components(links, "__a", "__b")), "labels")
+        labels = shelf.put("labels", named(components(links, "__a", "__b", shelf)))
+        shelf.drop("edges")
+        return labels
     for side in ("__a", "__b"):
         links = links.join(labels.withColumnRenamed("__node", side), side, "left").withColumn(side, F.coalesce("__label", side)).drop("__label")
-    links = materialize(links.filter("__a <> __b").distinct(), "links")
-    if links.isEmpty():
-        return labels
-    roots = named(components(links, "__a", "__b"))
-    moved = labels.join(roots.select(F.col("__node").alias("__label"), F.col("__label").alias("__root")), "__label", "left").select("__node", F.coalesce("__root", "__label").alias("__label"))
-    return materialize(moved.union(roots.join(labels, "__node", "left_anti")), "labels")
+    links = shelf.put("links", links.filter("__a <> __b").distinct())
+    if not links.isEmpty():
+        roots = named(components(links, "__a", "__b", shelf))
+        moved = labels.join(roots.select(F.col("__node").alias("__label"), F.col("__label").alias("__root")), "__label", "left").select("__node", F.coalesce("__root", "__label").alias("__label"))
+        labels = shelf.put("labels", moved.union(roots.join(labels, "__node", "left_anti")))
+    shelf.drop("links", "edges")
+    return labels
 
 
 def _open_groups(rows: DataFrame, labels: DataFrame, total: int) -> DataFrame:
@@ -385,13 +395,15 @@ def _open_groups(rows: DataFrame, labels: DataFrame, total: int) -> DataFrame:
 
 def jaccard_components(docs: DataFrame, percent: int = 85, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, __n (set size) and __component (smallest id reachable by links)."""
-    sets = materialize(set_table(docs, id_col, text_col, words), "sets")
+    shelf = Shelf(docs.sparkSession)
+    sets = shelf.put("sets", set_table(docs, id_col, text_col, words))
     members = sets.filter("__h IS NULL").drop("__h", "__c")
     sizes = members.agg(F.count("*").alias("n"), F.count_if(F.col("__id").isNull() & (F.col("__n") > 0)).alias("nulls")).collect()[0]
     if not sizes["n"]:
         return members.select(F.col("__id").alias(id_col), "__n", F.col("__id").alias("__component"))
-    entries = materialize(index_table(docs, id_col, text_col, words, percent, frequent_shingles(sets, sizes["n"])), "index")
-    lists = materialize(with_heads(entries.withColumns({"__label": F.col("__node"), "__group": F.lit(None).cast("long")})), "open")
+    entries = shelf.put("index", index_table(docs, id_col, text_col, words, percent, frequent_shingles(sets, sizes["n"])))
+    lists = shelf.put("open", with_heads(entries.withColumns({"__label": F.col("__node"), "__group": F.lit(None).cast("long")})))
+    shelf.drop("index")
     wanted = lists.select("__node").distinct()
     owners = members.join(wanted, "__node").groupBy("__node").agg(F.min(F.when(F.col("__id").isNotNull(), F.struct("__id"))).alias("s")).select("__node", F.col("s.__id").alias("__id"))
     rows = _rows(docs, id_col, text_col).filter(F.col("__text").isNotNull())
@@ -399,7 +411,8 @@ def jaccard_components(docs: DataFrame, percent: int = 85, words: int = WORDS, i
     if sizes["nulls"]:  # classes without any id find their text by its set
         nameless = owners.filter("__id IS NULL").select("__node")
         found = found.union(_keyed(rows.filter("__id IS NULL"), words).join(nameless, "__node").dropDuplicates(["__node"]))
-    labels = _links(lists, materialize(_of_set(found, words), "texts"), words, percent)
+    labels = _links(lists, shelf.put("texts", _of_set(found, words)), words, percent, shelf)
+    shelf.drop_but("sets", "labels")
     node = members.filter("__n > 0").groupBy("__node").agg(F.min("__id").alias("__least"))
     if labels is not None:
         node = node.join(labels, "__node", "left").withColumn("__label", F.coalesce("__label", "__node"))
