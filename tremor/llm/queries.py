@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tremor.llm import ann, centroids, fim, jaccard, langid, licenses, linededup, media, mixing, pieces, secrets, toxicity
+from tremor.llm import ann, centroids, extraction, fim, jaccard, langid, licenses, linededup, media, mixing, pieces, secrets, toxicity
 from tremor.llm.common import table
 
 
@@ -54,10 +54,14 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fim.fim_report(table(spark, sf_dir, "documents"))
 
 
+def op12_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.extraction_report(table(spark, sf_dir, "pages"))
+
+
 def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster_report(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op2_sentencepiece, op3_ngram_jaccard, op4_language_id, op5_nearest_neighbours, op6_license_scan, op7_source_mix, op8_media_columns, op9_line_dedup, op10_toxicity, op11_fill_in_middle, op13_centroid_clustering)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op2_sentencepiece, op3_ngram_jaccard, op4_language_id, op5_nearest_neighbours, op6_license_scan, op7_source_mix, op8_media_columns, op9_line_dedup, op10_toxicity, op11_fill_in_middle, op12_html_extraction, op13_centroid_clustering)}
 
-ORACLE_SQL: dict[str, str] = {"op11_fill_in_middle": fim.SQL, "op13_centroid_clustering": centroids.SQL}
+ORACLE_SQL: dict[str, str] = {"op11_fill_in_middle": fim.SQL, "op12_html_extraction": extraction.SQL, "op13_centroid_clustering": centroids.SQL}
