@@ -53,9 +53,9 @@ def condition_of(path):
     stick = F.regexp_extract(path, r"([0-9]+(?:p[0-9]+)?)inch", 1)
     stem = F.regexp_replace(basename(path), r"\.[A-Za-z0-9]+$", "")
     part = lambda k: F.get(F.split(stem, "_"), k)
-    number = lambda c: F.nullif(F.regexp_extract(c, "^([0-9]+)", 1), F.lit("")).cast("double")
+    number = lambda c: F.regexp_extract(c, "^([0-9]+)", 1).try_cast("double")  # noqa: E731  null where there is none
     return {
-        "stickout": F.nullif(F.replace(stick, F.lit("p"), F.lit(".")), F.lit("")).cast("double"),
+        "stickout": F.replace(stick, F.lit("p"), F.lit(".")).try_cast("double"),
         "label": part(0),
         "rpm": number(part(1)),
         "depth_of_cut": number(part(2)) / 1000,
