@@ -3,6 +3,7 @@
 import collections
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -64,10 +65,58 @@ def test_components_match_brute_force(docs, monkeypatch, seed):
     if seed == 2:  # make frequent shingles and many rounds happen on small data
         monkeypatch.setattr(jaccard, "frequent_shingles", lambda sets, n: _often(rows, 4))
         monkeypatch.setattr(jaccard, "SMALL", 2)
+        monkeypatch.setattr(jaccard, "BLOCK", 3)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_report(docs(rows, extra=True)).collect()}
     assert got == plain_components(rows)
 
 
+def test_blocks_connect_what_links_connect():
+    """Sets of all sizes with ties and labels: the links of a block give the same components as all pairs."""
+    rng = np.random.default_rng(4)
+    for percent in (80, 85):
+        base = rng.integers(0, 2**63, 3000, dtype=np.uint64)
+        sets = []
+        for i in range(300):
+            kept = base[: rng.choice([5, 40, 41, 300, 2000])] if i % 3 or not i else sets[rng.integers(len(sets))]
+            kept = kept[rng.random(len(kept)) > rng.choice([0, 0.03, 0.08])]
+            sets.append(np.unique(np.concatenate([kept, rng.integers(0, 2**63, rng.choice([1, 3, 9]), dtype=np.uint64)])))
+        labels = [i if i % 5 else 0 for i in range(300)]
+        nodes = [1000 + i for i in range(300)]
+        every = [(a, b) for a in range(300) for b in range(a) if 100 * len(np.intersect1d(sets[a], sets[b])) >= percent * len(np.union1d(sets[a], sets[b]))]
+        found = [(a - 1000, b - 1000) for a, b in jaccard.connecting_links(nodes, labels, list(sets), percent)]
+        assert {tuple(sorted(x)) for x in found} <= {tuple(sorted(x)) for x in every}
+
+        def classes(links):
+            label = list(labels)
+            for a, b in links:
+                old, new = max(label[a], label[b]), min(label[a], label[b])
+                label = [new if x == old else x for x in label]
+            return label
+
+        assert classes(found) == classes(every) and len(found) == len(set(labels)) - len(set(classes(every)))
+
+
+def test_many_edited_copies_of_copies(docs):
+    """Thousands of copies, each an edited copy of an earlier one, take few rounds."""
+    rng = random.Random(8)
+    copies = [[f"w{rng.randrange(5000)}" for _ in range(150)]]
+    while len(copies) < 3000:
+        words = list(copies[max(0, len(copies) - 1 - int(rng.expovariate(1 / 40)))])
+        for _ in range(rng.choice([1, 1, 2, 4])):
+            words[rng.randrange(150)] = f"new{rng.randrange(10**6)}"
+        copies.append(words)
+    began = time.time()
+    found = {r.doc_id: r["__component"] for r in jaccard.jaccard_components(docs([(i, " ".join(w)) for i, w in enumerate(copies)]), 80, 5).collect()}
+    assert time.time() - began < 60
+    sets = [jaccard.shingles_of(" ".join(w), 5) for w in copies]
+    links = jaccard.connecting_links(list(range(3000)), list(range(3000)), sets, 80)  # held against all pairs above
+    label = {i: i for i in range(3000)}
+    for a, b in links:
+        old, new = max(label[a], label[b]), min(label[a], label[b])
+        label = {i: new if x == old else x for i, x in label.items()} if old != new else label
+    assert found == label and len(set(label.values())) < 2500
+
+
 def _often(rows, words):
     counts = collections.Counter(h for _, t in rows for h in jaccard.shingles_of(t, words).tolist())
     return np.sort(np.array([h for h, n in counts.items() if n >= 12], dtype=np.uint64))

@@ -13,7 +13,10 @@ component. No link is lost:
   group are indexed, in families of neighbouring set sizes; a group of x promises x - 1. Prefixes are extended until they promise tau + 1.
 * Lists of an index entry are not expanded into pairs. Each list's likely original, its head (the class with the fewest shingles that nobody
   shares), meets the others of the list, and exact overlaps decide. Lists that lie in one component are closed.
-* What is left of a list is indexed again, by what each set differs in from the head. Let e be the size of such a difference. Two sets x and y
+* The sets that met one head, near or far, are its group. A group of at most BLOCK sets (nearly all are) is decided at once inside one task:
+  counts by parts of the hash range bound all overlaps, exact overlaps decide what the bounds leave, and sets that are known to be
+  connected don't meet again; only the links that connect go out.
+* What is left of a longer list is indexed again, by what each set differs in from the head. Let e be the size of such a difference. Two sets x and y
   link when the symmetric difference of theirs, e_x + e_y - 2 * shared, is at most D = (1 - t) / (1 + t) * (|x| + |y|). So their
   differences share at least (e_x + e_y - D) / 2 shingles; where that is 0 or less, both link with the head. A shingle in which
   one set of the head's alone differs is shared with nobody and uses up the prefix, so sets with changes of their own leave few
@@ -52,6 +55,8 @@ FREQUENT = 0.005
 SALT_ROWS = 64
 #: Rows of a list that meet pair by pair, without a head.
 SMALL = 64
+#: Sets, and shingles of all of them, up to which a head's group is decided at once inside a task.
+BLOCK, BLOCK_SHINGLES = 1024, 2_000_000
 #: Distance to a head up to which a set is indexed by its differences from it.
 NEAR = 0.5
 #: Parts of the hash range that bound an overlap, three counts of 16 bits to a long.
@@ -359,6 +364,13 @@ def _links(open_lists: DataFrame, texts: DataFrame, words: int, percent: int, sh
         sized = stars.select("__head", "__hn", "__node", "__n", "__own").distinct()
         groups = shelf.put("groups", _open_groups(sized.join(met, ["__head", "__node"]), labels, done.count()))
         shelf.drop("verified")
+        fits = (F.col("__size") <= BLOCK) & (F.col("__mass") <= BLOCK_SHINGLES)
+        inside = shelf.put("inside", block_links(groups.filter(fits), labels, texts, words, percent))
+        labels = _relabelled(labels, inside, shelf)
+        shelf.drop("inside")
+        groups = groups.filter(~fits).drop("__size", "__mass")
+        if groups.isEmpty():
+            break
         lists, parts = difference_lists(groups, percent, shelf)
         shelf.drop("groups")
         lists = shelf.put("lists", lists.join(labels, "__node", "left").withColumn("__label", F.coalesce("__label", "__node")))
@@ -387,10 +399,62 @@ def _relabelled(labels: DataFrame | None, links: DataFrame, shelf: Shelf) -> Dat
 
 
 def _open_groups(rows: DataFrame, labels: DataFrame, total: int) -> DataFrame:
-    """Rows of the groups (__head, __far) that hold several labels."""
+    """Rows of the groups (__head, __far) that hold several labels, with the group's number of sets __size and of their shingles __mass."""
     labelled = rows.drop("__delta").join(labels, "__node", "left").withColumn("l", F.coalesce("__label", "__node"))
-    mixed = labelled.groupBy("__head", "__far").agg(F.count("*").alias("__size"), F.min("l").alias("lo"), F.max("l").alias("hi")).filter("lo <> hi").select("__head", "__far", "__size")
-    return keyed_join(rows, mixed, ["__head", "__far"], "__size", total).drop("__size")
+    facts = labelled.groupBy("__head", "__far").agg(F.count("*").alias("__size"), F.sum("__n").alias("__mass"), F.min("l").alias("lo"), F.max("l").alias("hi"))
+    return keyed_join(rows, facts.filter("lo <> hi").select("__head", "__far", "__size", "__mass"), ["__head", "__far"], "__size", total)
+
+
+def connecting_links(nodes: list[int], labels: list[int], sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links that connect what the labels leave apart, as many as it takes and no more."""
+    order = sorted(range(len(sets)), key=lambda i: len(sets[i]))
+    sets, nodes = [sets[i] for i in order], [nodes[i] for i in order]
+    comp = np.unique(np.array([labels[i] for i in order]), return_inverse=True)[1]
+    n = np.array([len(h) for h in sets])
+    parts = np.uint64(1 << int(np.clip(int(np.median(n)) - 1, 63, 2047)).bit_length())
+    counts = np.stack([np.bincount((h & (parts - np.uint64(1))).astype(np.int64), minlength=int(parts)).astype(np.uint16) for h in sets])
+    most = np.searchsorted(n, n * 100 // percent, side="right")  # a partner has at most so many shingles
+    out = []
+    for i in range(len(sets) - 1):
+        j = np.arange(i + 1, most[i])
+        j = j[comp[j] != comp[i]]
+        if not len(j):
+            continue
+        bound = np.minimum(counts[i], counts[j]).sum(1, dtype=np.int64)
+        may = (100 + percent) * bound >= percent * (n[i] + n[j])
+        for k in j[may][np.argsort(-bound[may], kind="stable")].tolist():
+            if comp[k] != comp[i] and (100 + percent) * len(np.intersect1d(sets[i], sets[k], assume_unique=True)) >= percent * (n[i] + n[k]):
+                out.append((nodes[i], nodes[k]))
+                comp[comp == comp[k]] = comp[i]
+    return out
+
+
+def block_links(groups: DataFrame, labels: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """(__a, __b): links between labels inside groups of at most BLOCK sets."""
+    known = groups.select("__head", "__far", "__node").join(labels, "__node", "left").withColumn("__label", F.coalesce("__label", "__node"))
+    dealt = known.join(texts, "__node").select("__head", "__far", "__node", "__label", "__text").repartition("__head", "__far").sortWithinPartitions("__head", "__far")
+    schema = T.StructType([T.StructField("__a", T.LongType()), T.StructField("__b", T.LongType())])
+
+    def run(batches):
+        group, held = None, ([], [], [])
+
+        def links():
+            found = connecting_links(*held, percent) if len(held[0]) > 1 else []
+            for column in held:
+                column.clear()
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], type=pa.int64()) for k in (0, 1)], names=["__a", "__b"])
+
+        for batch in batches:
+            for heads, fars, nodes, labels, texts in chunks(batch, 4):
+                for key, node, label, t in zip(zip(heads, fars, strict=True), nodes, labels, texts, strict=True):
+                    if key != group:
+                        yield links()
+                        group = key
+                    for column, v in zip(held, (node, label, shingles_of(t, words)), strict=True):
+                        column.append(v)
+        yield links()
+
+    return dealt.mapInArrow(run, schema)
 
 
 def jaccard_components(docs: DataFrame, percent: int = 85, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
