@@ -1,12 +1,18 @@
 """Dataset index, workbooks and evaluation against plain versions."""
 
+import hashlib
 import io
 import random
 import zipfile
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from tremor.operators import aggregates as A
 from tremor.operators import dataset_index as X
+from tremor.operators import detection as D
+from tremor.operators import folds as L
 from tremor.sources import workbooks
 
 
@@ -93,3 +99,105 @@ def test_conditions_within_find_every_pair(spark, bands):
     want = {(x[0], y[0]) for x in left for y in right if all(agree(x[k + 1], y[k + 1], b) for k, b in enumerate(bands))}
     got = [(r.i, r.j) for r in pairs.select("i", "j").collect()]
     assert len(got) == len(set(got)) and set(got) == want and len(want) > 100
+
+
+def fold_rows(seed=1, n=900):
+    rng = np.random.default_rng(seed)
+    g = rng.choice(["a", "b", "c", "d", "e"], n, p=[0.4, 0.3, 0.2, 0.09, 0.01])
+    y = (rng.random(n) < 0.4).astype(int)
+    x = rng.normal(size=(n, 4)) * [1, 10, 1e-3, 1] + [1e6, 5, 0, 2]
+    x[:, 0] += 0.8 * y
+    x[:, 1] += 6 * y + 0.5 * (x[:, 0] - 1e6)
+    x[:, 3] = 2.0  # without spread
+    return g, y, x
+
+
+@pytest.mark.parametrize("model", ["full", "diagonal"])
+def test_left_out_groups_see_no_model_of_their_own(spark, model):
+    """Scores equal those of one fit for each group on the other groups' rows."""
+    g, y, x = fold_rows()
+    rows = spark.createDataFrame([(i, str(a), int(b), *map(float, v)) for i, (a, b, v) in enumerate(zip(g, y, x, strict=True))] + [(9000, None, 1, 1e6, 5.0, 0.0, 2.0), (9001, "a", None, 1.0, 1.0, 1.0, 1.0), (9002, "a", 1, float("nan"), 1.0, 1.0, 1.0)], "i int, g string, y int, f0 double, f1 double, f2 double, f3 double")
+    got = {r.i: r.score for r in L.leave_one_group_out(rows.repartition(7), ["f0", "f1", "f2", "f3"], "y", "g", model).collect()}
+    assert set(got) == {*range(len(g)), 9000}
+    g, y, x = np.append(g, "none"), np.append(y, 1), np.vstack([x, [1e6, 5.0, 0.0, 2.0]])
+    for name in set(g):
+        train, test = g != name, g == name
+        mean, sd = x[train].mean(0), x[train].std(0)
+        sd[sd < 1e-9] = 1
+        z = (x - mean) / sd
+        z0, z1 = z[train & (y == 0)], z[train & (y == 1)]
+        within = (z0 - z0.mean(0)).T @ (z0 - z0.mean(0)) + (z1 - z1.mean(0)).T @ (z1 - z1.mean(0))
+        within /= train.sum()
+        if model == "diagonal":
+            within = np.diag(np.diag(within))
+        w = np.linalg.solve(within + L.RIDGE * np.eye(4), z1.mean(0) - z0.mean(0))
+        p = 1 / (1 + np.exp(-(z[test] - (z0.mean(0) + z1.mean(0)) / 2) @ w))
+        ids = [9000 if i == len(g) - 1 else i for i in np.flatnonzero(test)]
+        assert np.allclose([got[i] for i in ids], p, atol=1e-6)
+
+
+def test_folds_without_two_classes_have_no_score(spark):
+    rows = spark.createDataFrame([(1, "a", 1, 0.5), (2, "a", 1, 0.7), (3, "b", 0, 0.1), (4, "b", 0, 0.2)], "i int, g string, y int, f double")
+    assert [r.score for r in L.leave_one_group_out(rows, ["f"], "y", "g").collect()] == [None] * 4
+    assert L.leave_one_group_out(rows.limit(0), ["f"], "y", "g").count() == 0
+
+
+def test_importance_falls_on_what_tells_the_classes_apart(spark):
+    g, y, x = fold_rows(2, 1500)
+    rows = spark.createDataFrame([(i, str(a), int(b), *map(float, v)) for i, (a, b, v) in enumerate(zip(g, y, x, strict=True))], "i int, g string, y int, f0 double, f1 double, f2 double, f3 double")
+    found = {r.feature: r.importance for r in L.permutation_importance(rows, ["f0", "f1", "f2", "f3"], "y", "g", ["i"], bucket=100).collect()}
+    assert found["f0"] > 0.03 and found["f1"] > 0.03 and abs(found["f2"]) < 0.02 and found["f3"] == 0
+    whole = L.pooled_metrics(L.leave_one_group_out(rows, ["f0", "f1", "f2", "f3"], "y", "g")).collect()[0]
+    cells = L.auc_by(L.leave_one_group_out(rows, ["f0", "f1", "f2", "f3"], "y", "g").withColumn("c", F.lit(1)), ["c"], "__y", "score").collect()[0]
+    assert whole.auc == pytest.approx(cells.auc, abs=1e-3) and whole.auc > 0.6
+
+
+@pytest.mark.parametrize("ranges", [1, 7, 256])
+def test_bootstrap_of_the_area_is_that_of_drawn_rows(spark, ranges):
+    rng = np.random.default_rng(3)
+    y = (rng.random(400) < 0.3).astype(int)
+    s = np.round(rng.normal(size=400) + 0.7 * y, 1)  # ties
+    rows = spark.createDataFrame([(int(a), float(b)) for a, b in zip(y, s, strict=True)] + [(None, 1.0), (1, None), (1, float("nan"))], "y int, s double")
+    got = D.bootstrap_auc(rows, "y", "s", ranges=ranges, block=8).collect()[0]
+    order = np.sort(np.unique(s))
+
+    def area(i):
+        at = np.searchsorted(order, s[i])
+        pos, neg = (np.bincount(at[y[i] == c], minlength=len(order)) for c in (1, 0))
+        return (pos * (np.cumsum(neg) - neg / 2)).sum() / (pos.sum() * neg.sum())
+
+    plain = np.quantile([area(rng.integers(0, 400, 400)) for _ in range(2000)], [0.025, 0.5, 0.975])
+    assert np.allclose([got.low, got.median, got.high], plain, atol=0.012) and got.resamples == 2000
+    one = D.bootstrap_auc(rows.filter("y = 1"), "y", "s", resamples=10).collect()[0]
+    assert one.low is None and one.resamples == 0
+    assert D.bootstrap_auc(rows.limit(0), "y", "s", resamples=10).collect()[0].resamples == 0
+
+
+@pytest.mark.parametrize("alone", [1, 7, 10_000])
+def test_exact_quantiles(spark, alone):
+    rng = np.random.default_rng(alone)
+    groups = {
+        "wide": [*rng.lognormal(0, 20, 3000), *(-rng.lognormal(0, 20, 3000))], "same": [4.0] * 500, "two": [1.0, 2.0], "one": [7.5], "hot": [*[3.0] * 4000, *rng.normal(3, 1e-9, 700)],
+        "ints": rng.integers(0, 5, 999).astype(float).tolist(), "ends": [float("-inf"), -1.0, 0.0, 5.0, float("inf")],
+    }
+    rows = [(g, float(v)) for g, values in groups.items() for v in values] + [("one", None), ("one", float("nan")), ("none", None), (None, 1.0)]
+    probabilities = [0.0, 0.25, 0.5, 0.731, 1.0]
+    got = {r.g: r.q for r in A.exact_quantiles(spark.createDataFrame(rows, "g string, v double").repartition(5), "g", "v", probabilities, alone).collect()}
+    assert set(got) == set(groups)
+    for g, values in groups.items():
+        with np.errstate(invalid="ignore"):
+            want = np.quantile(values, probabilities)
+        if g == "ends":
+            assert got[g][:1] + got[g][2:3] + got[g][4:] == [float("-inf"), 0.0, float("inf")]
+        else:
+            assert np.allclose(got[g], want, rtol=1e-12), g
+
+
+def test_split_ranks_like_one_list(spark):
+    rows = spark.createDataFrame([(i % 997, int(i % 997 % 5 == 0)) for i in range(5000)] + [(5000, None)], "g int, y int")
+    got = {r.g: (r["class"], r.part) for r in D.split_groups(rows, "g", "y").collect()}
+    for c in (0, 1, None):
+        ranked = sorted((g for g, (k, _) in got.items() if k == c), key=lambda g: (hashlib.md5(f"{g}:7".encode()).hexdigest(), g))
+        cut = [int(np.floor(len(ranked) * 0.2 + 0.5))] * 2
+        assert [got[g][1] for g in ranked] == ["test"] * cut[0] + ["validation"] * cut[1] + ["train"] * (len(ranked) - 2 * cut[0])
+    assert len(got) == 998

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tremor.functions.expressions import ratio
+from tremor.operators.tables import keep
 
 
 def confusion(rows: DataFrame, truth: str, predicted: str, by: list[str] = []) -> DataFrame:  # noqa: B006
@@ -29,6 +30,14 @@ def confusion(rows: DataFrame, truth: str, predicted: str, by: list[str] = []) -
 RANGES = 256
 
 
+def _cuts(rows: DataFrame, value: str, ranges: int) -> list[float]:
+    """Approximate quantiles that cut the values into ranges; none for no rows."""
+    if ranges < 2:
+        return []
+    found = rows.agg(F.percentile_approx(value, F.array(*[F.lit(k / ranges) for k in range(1, ranges)]), F.lit(2 * ranges))).collect()[0][0]
+    return sorted(set(found or []))
+
+
 def _cumulated(rows: DataFrame, truth: str, score: str) -> DataFrame:
     """(score, pos, neg) of each distinct score with pos_above and neg_above, the counts of higher scores.
 
@@ -37,7 +46,7 @@ def _cumulated(rows: DataFrame, truth: str, score: str) -> DataFrame:
     """
     known = rows.filter(F.col(truth).isNotNull() & F.col(score).isNotNull())
     per = known.groupBy(F.col(score).cast("double").alias("__v"), F.col(score)).agg(F.count_if(F.col(truth) == 1).alias("pos"), F.count_if(F.col(truth) != 1).alias("neg"))
-    cuts = sorted(set(per.approxQuantile("__v", [k / RANGES for k in range(1, RANGES)], 0.5 / RANGES)))
+    cuts = _cuts(per, "__v", RANGES)
     part = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col("__v"))) if cuts else F.lit(0)
     ranged = per.withColumn("__part", part)
     whole = Window.orderBy(F.desc("__part")).rowsBetween(Window.unboundedPreceding, -1)  # over RANGES rows
@@ -77,10 +86,16 @@ def _chi2_tail(x: pd.Series) -> pd.Series:
 
 
 def split_groups(rows: DataFrame, group: str, label: str, test: float = 0.2, validation: float = 0.2, seed: int = 7) -> DataFrame:
-    """Every group whole in train, validation or test, by class: groups are ranked by a hash and cut at rounded quotas."""
-    groups = rows.groupBy(group).agg(F.max(label).alias("class"))
-    w = Window.partitionBy("class")
-    ranked = groups.withColumn("k", F.row_number().over(w.orderBy(F.md5(F.concat_ws(":", F.col(group).cast("string"), F.lit(str(seed)))), group))).withColumn("n", F.count("*").over(w))
+    """Every group whole in train, validation or test, by class: groups are ranked by a hash and cut at rounded quotas.
+
+    Groups are numbered inside ranges of the hash (four digits, 65,536 at most), on top of the counts of the ranges before.
+    """
+    hashed = rows.groupBy(group).agg(F.max(label).alias("class")).withColumn("__h", F.md5(F.concat_ws(":", F.col(group).cast("string"), F.lit(str(seed))))).withColumn("__range", F.substring("__h", 1, 4))
+    counts = hashed.groupBy("class", "__range").agg(F.count("*").alias("__c"))
+    over = Window.partitionBy("class")
+    before = counts.select("class", "__range", F.coalesce(F.sum("__c").over(over.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"), F.sum("__c").over(over).alias("n"))
+    numbered = hashed.withColumn("__k", F.row_number().over(Window.partitionBy("class", "__range").orderBy("__h", group)))
+    ranked = numbered.join(before, (numbered["class"].eqNullSafe(before["class"])) & (numbered["__range"] == before["__range"])).drop(before["class"]).withColumn("k", F.col("__before") + F.col("__k"))
     n_test, n_val = F.floor(F.col("n") * test + 0.5), F.floor(F.col("n") * validation + 0.5)
     part = F.when(F.col("k") <= n_test, "test").when(F.col("k") <= n_test + n_val, "validation").otherwise("train")
     return ranked.select(group, "class", part.alias("part"))
@@ -106,3 +121,54 @@ def bootstrap_accuracy(rows: DataFrame, truth: str, predicted: str, resamples: i
 
     q = F.percentile("v", F.array(F.lit(0.025), F.lit(0.5), F.lit(0.975)))
     return draws.mapInPandas(draw, "v double").agg(q.alias("q"), F.count("v").alias("resamples")).select(F.col("q")[0].alias("low"), F.col("q")[1].alias("median"), F.col("q")[2].alias("high"), "resamples")
+
+
+def bootstrap_auc(rows: DataFrame, truth: str, score: str, resamples: int = 2000, seed: int = 11, ranges: int = RANGES, block: int = 256) -> DataFrame:
+    """2.5, 50 and 97.5 % points of the area under the curve over resamples of the rows with replacement (those with one class count for nothing).
+
+    A resample matters by how often each score and class is drawn, which is multinomial: rows are counted once by score. The draws of all resamples are first dealt to
+    ranges of scores (resamples x ranges numbers on the driver), then inside each range, a block of scores at a time, by what of the range is
+    left; so no task holds more than resamples x block draws. Each range sums its own part of the area, and the ranges are cumulated for all resamples together.
+    """
+    known = rows.filter(F.col(truth).isNotNull() & F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double")))
+    counted = keep(known.groupBy(F.col(score).cast("double").alias("v")).agg(F.count_if(F.col(truth) == 1).alias("pos"), F.count_if(F.col(truth) != 1).alias("neg")), "scores")
+    cuts = _cuts(counted, "v", ranges)
+    ranged = counted.withColumn("part", F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col("v"))) if cuts else F.lit(0))
+    sizes = {r["part"]: r["n"] for r in ranged.groupBy("part").agg(F.sum(F.col("pos") + F.col("neg")).alias("n")).collect()}
+    parts = sorted(sizes)
+    n = sum(sizes.values())
+    dealt = np.random.default_rng(seed).multinomial(n, [sizes[p] / n for p in parts], size=resamples) if n else np.zeros((resamples, 0), dtype=np.int64)
+    draws_of = {p: dealt[:, i] for i, p in enumerate(parts)}
+
+    def areas(frames):
+        now, rng, left, rest, pos, neg, won = None, None, None, 0, None, None, None
+
+        def out():
+            return pd.DataFrame({"part": [now], "p": [pos], "n": [neg], "w": [won]})
+
+        for pdf in frames:
+            for lo in range(0, len(pdf), block):
+                for part, chunk in pdf[lo : lo + block].groupby("part", sort=False):
+                    if part != now:
+                        if now is not None:
+                            yield out()
+                        now, rng, left, rest = part, np.random.default_rng((seed, int(part))), draws_of[part].copy(), sizes[part]
+                        pos, neg, won = np.zeros(resamples), np.zeros(resamples), np.zeros(resamples)
+                    cells = np.concatenate([chunk["pos"].to_numpy(), chunk["neg"].to_numpy()]).astype(float)
+                    here = left if cells.sum() >= rest else rng.binomial(left, cells.sum() / rest)
+                    left, rest = left - here, rest - int(cells.sum())
+                    drawn = rng.multinomial(here, cells / cells.sum())
+                    p, q = drawn[:, : len(chunk)], drawn[:, len(chunk) :]  # highest score first
+                    above = np.cumsum(p, axis=1) - p + pos[:, None]
+                    won += (q * (above + p / 2)).sum(1)
+                    pos, neg = pos + p.sum(1), neg + q.sum(1)
+        if now is not None:
+            yield out()
+
+    sorted_ = ranged.repartition("part").sortWithinPartitions("part", F.desc("v"))
+    made = sorted_.mapInPandas(areas, "part int, p array<double>, n array<double>, w array<double>")
+    each = made.select("part", F.posexplode(F.arrays_zip("p", "n", "w")).alias("b", "s")).select("part", "b", "s.p", "s.n", "s.w")
+    above = F.coalesce(F.sum("p").over(Window.partitionBy("b").orderBy(F.desc("part")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    auc = each.withColumn("w", F.col("w") + F.col("n") * above).groupBy("b").agg(ratio(F.sum("w"), F.sum("p") * F.sum("n")).alias("v"))
+    q = F.percentile("v", F.array(F.lit(0.025), F.lit(0.5), F.lit(0.975)))  # over the resamples
+    return auc.agg(q.alias("q"), F.count("v").alias("resamples")).select(F.col("q")[0].alias("low"), F.col("q")[1].alias("median"), F.col("q")[2].alias("high"), "resamples")

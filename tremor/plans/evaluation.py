@@ -4,8 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tremor.functions.expressions import r6
 from tremor.operators import dataset_index as X
-from tremor.plans.registry import query
+from tremor.operators import detection as D
+from tremor.operators import folds as L
+from tremor.operators import windows as W
+from tremor.operators.tables import keep
+from tremor.plans.registry import METADATA, query
+from tremor.plans.time_domain import FEATURES_SQL, features_of
 from tremor.sources import signals as S
 
 # --- dataset index: orders are recordings, parts the rows of a workbook --------------------------------------------------
@@ -46,3 +52,93 @@ FROM g LEFT JOIN m ON m.stickout = g.stickout AND m.rpm = g.rpm AND m.depth_of_c
 def dataset_index(spark, sf_dir):
     made = X.dataset_index(order_paths(spark, sf_dir), part_conditions(spark, sf_dir))
     return made.drop("tooth_count", "tool_id", "machine_id", "sensor_id", "chatter_onset_time")
+
+
+# --- leaving one group out: windows of suppliers' recordings, fast or slow spindles -------------------------------------
+
+TIME = ["time_rms", "time_variance", "time_std", "time_peak_to_peak", "time_mean_absolute", "time_crest_factor", "time_kurtosis", "time_skewness", "time_impulse_factor", "time_shape_factor", "time_clearance_factor", "time_zero_crossing_rate"]
+GROUPINGS = ["recording_id", "stickout", "rpm"]
+
+
+def labelled_windows(spark, sf_dir):
+    m = S.machining_metadata(spark, sf_dir).select("recording_id", "stickout", "rpm", (F.col("rpm") > 480).cast("int").alias("y"))
+    return keep(features_of(spark, sf_dir).join(m, "recording_id"), "windows")  # read several times
+
+
+def _out_of_fold(grouping: str) -> str:
+    """Scores of the diagonal discriminant by SQL; the fold's statistics are all groups' less its own."""
+    return f"""st_{grouping} AS (SELECT {grouping} AS g, f, sum(y) AS n1, count(*) - sum(y) AS n0, sum(x * y) AS s1, sum(x * (1 - y)) AS s0, sum(x * x) AS q FROM lg GROUP BY 1, 2),
+tr_{grouping} AS (SELECT g, f, sum(n1) OVER w - n1 AS n1, sum(n0) OVER w - n0 AS n0, sum(s1) OVER w - s1 AS s1, sum(s0) OVER w - s0 AS s0, sum(q) OVER w - q AS q FROM st_{grouping} WINDOW w AS (PARTITION BY f)),
+sc_{grouping} AS (SELECT g, f, n1, n0, (s0 + s1) / (n0 + n1) AS m, coalesce(nullif(sqrt(greatest(q / (n0 + n1) - pow((s0 + s1) / (n0 + n1), 2), 0)), 0), 1) AS sd, s1 / n1 AS m1, s0 / n0 AS m0, (q - s0 * s0 / n0 - s1 * s1 / n1) / (n0 + n1) AS v FROM tr_{grouping}),
+oof_{grouping} AS (SELECT recording_id, window_index, max(y) AS y, round(1 / (1 + exp(-sum((m1 - m0) / sd / (v / (sd * sd) + 0.001) * ((x - m) / sd - (m1 + m0 - 2 * m) / sd / 2)))), 9) AS score FROM lg JOIN sc_{grouping} s ON s.g = lg.{grouping} AND s.f = lg.f WHERE n1 > 0 AND n0 > 0 GROUP BY 1, 2)"""
+
+
+_LABELLED = f"""{METADATA}, w AS ({FEATURES_SQL}), c AS (SELECT * FROM w WHERE {" AND ".join(f"{n} IS NOT NULL" for n in TIME)}),
+cn AS ({" UNION ALL ".join(f"SELECT recording_id, window_index, '{n}' AS f, {n} - avg({n}) OVER () AS x FROM c" for n in TIME)}), lg AS (SELECT cn.*, stickout, rpm, CASE WHEN rpm > 480 THEN 1 ELSE 0 END AS y FROM cn JOIN meta USING (recording_id))"""
+
+
+def _metrics_sql(source: str, score: str = "score", predicted: str = "score >= 0.5") -> str:
+    return f"""(SELECT tp, fp, fn, tn, round((tp + tn) / (tp + fp + fn + tn), 6) AS accuracy, round(coalesce(tp / nullif(tp + fp, 0), 0), 6) AS precision, round(coalesce(tp / nullif(tp + fn, 0), 0), 6) AS recall,
+ round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0), 6) AS f1, round(coalesce((tp / nullif(tp + fn, 0) + tn / nullif(tn + fp, 0)) / 2, (tp + tn) / (tp + fp + fn + tn)), 6) AS balanced_accuracy, round(auc, 6) AS auc
+FROM (SELECT count(*) FILTER (WHERE y = 1 AND {predicted}) AS tp, count(*) FILTER (WHERE y = 0 AND {predicted}) AS fp, count(*) FILTER (WHERE y = 1 AND NOT ({predicted})) AS fn, count(*) FILTER (WHERE y = 0 AND NOT ({predicted})) AS tn FROM {source}),
+(SELECT sum(neg * (above + pos / 2)) / nullif(sum(pos) * sum(neg), 0) AS auc FROM (SELECT pos, neg, coalesce(sum(pos) OVER (ORDER BY s DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS above FROM (SELECT {score} AS s, sum(y) AS pos, count(*) - sum(y) AS neg FROM {source} GROUP BY 1))))"""
+
+
+def _rounded(df):
+    return df.select(*[(r6(F.col(c)) if t == "double" else F.col(c)).alias(c) for c, t in df.dtypes])
+
+
+@query(f"WITH {_LABELLED}, " + ", ".join(map(_out_of_fold, GROUPINGS)) + " " + " UNION ALL ".join(f"SELECT '{g}' AS grouping, * FROM {_metrics_sql(f'oof_{g}')}" for g in GROUPINGS))
+def leave_one_group_out(spark, sf_dir):
+    rows = labelled_windows(spark, sf_dir)
+    parts = [L.pooled_metrics(L.leave_one_group_out(rows, TIME, "y", g, "diagonal").withColumn("score", F.round("score", 9))).withColumn("grouping", F.lit(g)) for g in GROUPINGS]
+    return _rounded(parts[0].unionByName(parts[1]).unionByName(parts[2]))
+
+
+@query()
+def leave_one_group_out_full(spark, sf_dir):
+    """The discriminant with a pooled covariance, and the ablations of level and shape features."""
+    subsets = {"all": TIME, "level": TIME[:5], "shape": TIME[5:]}
+    return _rounded(L.ablation(labelled_windows(spark, sf_dir), subsets, "y", GROUPINGS))
+
+
+_SMOOTH = """m AS (SELECT recording_id, n, y, p, lag(p, 1) OVER w AS b1, lag(p, 2) OVER w AS b2, lead(p, 1) OVER w AS a1, lead(p, 2) OVER w AS a2, first_value(p) OVER (PARTITION BY recording_id ORDER BY n) AS f, last_value(p) OVER (PARTITION BY recording_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS e FROM sig WINDOW w AS (PARTITION BY recording_id ORDER BY n)),
+sm AS (SELECT recording_id, n, y, p, list_sort([coalesce(b2, f), coalesce(b1, f), p, coalesce(a1, e), coalesce(a2, e)])[3] AS smoothed FROM m)"""
+
+
+# --- temporal evaluation: out-of-fold sequences of each recording, smoothed ----------------------------------------------
+
+_TEMPORAL = f"""{_LABELLED}, {_out_of_fold("recording_id")}, sig AS (SELECT recording_id, window_index AS n, y, score AS p FROM oof_recording_id), {_SMOOTH},
+marks AS (SELECT *, CASE WHEN smoothed >= 0.75 THEN 1 WHEN smoothed < 0.4 THEN 0 END AS mark FROM sm),
+st AS (SELECT recording_id, n, y, p, smoothed, coalesce(last_value(mark IGNORE NULLS) OVER (PARTITION BY recording_id ORDER BY n ROWS UNBOUNDED PRECEDING), 0) AS state FROM marks),
+ch AS (SELECT *, CASE WHEN state <> coalesce(lag(state) OVER (PARTITION BY recording_id ORDER BY n), -1) THEN 1 ELSE 0 END AS new FROM st),
+ru AS (SELECT *, sum(new) OVER (PARTITION BY recording_id ORDER BY n) AS run FROM ch),
+lab AS (SELECT recording_id, n, y, p, smoothed, CASE WHEN state = 1 AND count(*) OVER (PARTITION BY recording_id, run) >= 3 THEN 1 ELSE 0 END AS label FROM ru)"""
+
+
+def temporal_sequences(spark, sf_dir):
+    """(recording_id, n, y, p, smoothed, label): each recording's out-of-fold probabilities in order, their running median of five, and labels by hysteresis and runs."""
+    scored = L.leave_one_group_out(labelled_windows(spark, sf_dir), TIME, "y", "recording_id", "diagonal").filter("score IS NOT NULL")
+    rows = scored.select("recording_id", F.col("window_index").alias("n"), F.col("__y").alias("y"), F.round("score", 9).alias("p"))
+    return W.smooth_labels(rows, 0.75, 0.40, 3, width=5).select("recording_id", "n", "y", "p", "smoothed", "label")
+
+
+@query(f"WITH {_TEMPORAL} SELECT recording_id, n, y, round(p, 6) AS p, round(smoothed, 6) AS smoothed, CAST(label AS INTEGER) AS label FROM lab")
+def temporal_labels(spark, sf_dir):
+    return temporal_sequences(spark, sf_dir).select("recording_id", "n", "y", r6(F.col("p")).alias("p"), r6(F.col("smoothed")).alias("smoothed"), "label")
+
+
+@query(f"WITH {_TEMPORAL} " + " UNION ALL ".join(f"SELECT '{name}' AS labels, * FROM {_metrics_sql('lab', score, predicted)}" for name, score, predicted in (("raw", "p", "p >= 0.5"), ("smoothed", "smoothed", "smoothed >= 0.5"), ("runs", "smoothed", "label = 1"))))
+def temporal_evaluation(spark, sf_dir):
+    """Metrics of the windows by their own probability, by the smoothed one, and by the labels of hysteresis and runs."""
+    rows = temporal_sequences(spark, sf_dir).withColumn("__y", F.col("y"))
+    raw = L.pooled_metrics(rows.withColumn("score", F.col("p")))
+    smooth = L.pooled_metrics(rows.withColumn("score", F.col("smoothed")))
+    runs = D.confusion(rows, "__y", "label").crossJoin(smooth.select("auc"))  # one row each
+    named = [df.withColumn("labels", F.lit(n)) for n, df in (("raw", raw), ("smoothed", smooth), ("runs", runs))]
+    return _rounded(named[0].unionByName(named[1]).unionByName(named[2]))
+
+
+@query()
+def permutation_importance(spark, sf_dir):
+    return L.permutation_importance(labelled_windows(spark, sf_dir), TIME, "y", "recording_id", ["recording_id", "window_index"])

@@ -280,6 +280,11 @@ def bootstrap_ci(spark, sf_dir):
     return D.bootstrap_accuracy(labelled(spark, sf_dir), "quality", "pa")
 
 
+@query()
+def bootstrap_auc(spark, sf_dir):
+    return D.bootstrap_auc(labelled(spark, sf_dir), "quality", "score")
+
+
 def _windows_with_label(spark, sf_dir):
     m = S.machining_metadata(spark, sf_dir).select("recording_id", (F.col("rpm") > 480).cast("int").alias("y"))
     return features_of(spark, sf_dir).join(m, "recording_id")
