@@ -164,3 +164,24 @@ def auc_by(rows: DataFrame, by: list[str], truth: str, score: str, bins: int = 4
     above = F.coalesce(F.sum("pos").over(Window.partitionBy(*by).orderBy(F.desc("__s")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     won = counted.withColumn("__won", F.col("neg") * (above + F.col("pos") / 2))
     return won.groupBy(*by).agg((F.sum("__won") / F.nullif(F.sum("pos") * F.sum("neg"), F.lit(0))).alias("auc"))
+
+
+def perturbation_stability(rows: DataFrame, features: list[str], label: str, group: str, keys: list[str], scale: float = 0.01, seeds: tuple[int, ...] = (42, 100, 500, 999, 1234), model: str = "full") -> DataFrame:
+    """(seeds, mean, std): accuracy out of fold when normal deviates of the given size are added to every feature, over seeds; keys tell rows apart.
+
+    A deviate comes from two hashes of keys, feature and seed, so it is the same in every run.
+    """
+    unit = lambda j, s, k: (F.pmod(F.xxhash64(*keys, F.lit(j), F.lit(s), F.lit(k)), F.lit(1 << 40)).cast("double") + 0.5) / float(1 << 40)
+    parts = []
+    for s in seeds:
+        noisy = rows.withColumns({f: F.col(f) + scale * F.sqrt(-2 * F.log(unit(j, s, 1))) * F.cos(2 * np.pi * unit(j, s, 2)) for j, f in enumerate(features)})
+        parts.append(pooled_accuracy(leave_one_group_out(noisy, features, label, group, model)).withColumn("seed", F.lit(s)))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.agg(F.count("*").alias("seeds"), F.avg("accuracy").alias("mean"), F.stddev_pop("accuracy").alias("std"))
+
+
+def pooled_accuracy(scored: DataFrame, threshold: float = 0.5) -> DataFrame:
+    known = scored.filter("score IS NOT NULL").withColumn("__p", (F.col("score") >= threshold).cast("int"))
+    return confusion(known, "__y", "__p").select("accuracy")

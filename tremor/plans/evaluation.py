@@ -142,3 +142,19 @@ def temporal_evaluation(spark, sf_dir):
 @query()
 def permutation_importance(spark, sf_dir):
     return L.permutation_importance(labelled_windows(spark, sf_dir), TIME, "y", "recording_id", ["recording_id", "window_index"])
+
+
+@query(f"""WITH {_TEMPORAL}, df AS (SELECT round(abs(p - y) - abs(smoothed - y), 6) AS d FROM lab), nz AS (SELECT d, abs(d) AS a FROM df WHERE d <> 0),
+rk AS (SELECT d, a, rank() OVER (ORDER BY a) + (count(*) OVER (PARTITION BY a) - 1) / 2 AS r FROM nz), ti AS (SELECT sum(c * c * c - c) AS ties FROM (SELECT CAST(count(*) AS DOUBLE) AS c FROM nz GROUP BY a)),
+rs AS (SELECT count(*) AS n, sum(CASE WHEN d > 0 THEN r ELSE 0 END) AS plus, sum(CASE WHEN d < 0 THEN r ELSE 0 END) AS minus FROM rk)
+SELECT n, round(plus, 3) AS plus, round(minus, 3) AS minus, round(plus, 3) AS statistic, round((plus - n * (n + 1) / 4) / sqrt(n * (n + 1) * (2 * n + 1) / 24 - ties / 48), 6) AS z FROM rs, ti""")
+def smoothing_wilcoxon(spark, sf_dir):
+    """Whether smoothed probabilities are nearer to the truth: signed ranks of the two errors of each window. The p-value has no SQL here."""
+    rows = temporal_sequences(spark, sf_dir).select(F.abs(F.col("p") - F.col("y")).alias("raw"), F.abs(F.col("smoothed") - F.col("y")).alias("smooth"))
+    made = D.wilcoxon(rows, "raw", "smooth", "greater", digits=6)
+    return made.select("n", *[F.round(c, 3).alias(c) for c in ("plus", "minus", "statistic")], r6(F.col("z")).alias("z"))
+
+
+@query()
+def perturbation_stability(spark, sf_dir):
+    return L.perturbation_stability(labelled_windows(spark, sf_dir), TIME, "y", "recording_id", ["recording_id", "window_index"])

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from tremor.functions.expressions import r6
+from tremor.operators import baselines as N
 from tremor.operators import decompose as K
 from tremor.operators import modes as M
 from tremor.operators import search as R
@@ -153,11 +154,43 @@ def dynamic_pipeline_features(spark, sf_dir):
     return K.features(_with_metadata(spark, sf_dir), 2.0, 28.0, FS, BAND, 32, 16, "db2", 2, 4, 0.5, trials=15, dynamic=True)
 
 
+_TONE = "(0.3 * sin(2 * pi() * 12.3 * n / 64) + 0.1 * cos(2 * pi() * 25.7 * n / 64))"
+#: The six measures of column b (denoised) against column a (known) of table ab(recording_id, n, a, b), 64 samples each.
+_QUALITY_SQL = """ga AS (SELECT recording_id, coalesce(sum(a * b) / nullif(sum(b * b), 0), 1) AS g FROM ab GROUP BY 1), al AS (SELECT ab.recording_id, n, a, g * b AS b FROM ab JOIN ga USING (recording_id)),
+er AS (SELECT recording_id, sqrt(avg(pow(a - b, 2))) AS rmse, 10 * log10(var_pop(a) / var_pop(a - b)) AS snr_db FROM al GROUP BY 1),
+sp AS (SELECT recording_id, k, sqrt(pow(sum(a * cos(2 * pi() * k * n / 64)), 2) + pow(sum(a * sin(2 * pi() * k * n / 64)), 2)) AS p, sqrt(pow(sum(b * cos(2 * pi() * k * n / 64)), 2) + pow(sum(b * sin(2 * pi() * k * n / 64)), 2)) AS q FROM al, (SELECT unnest(range(0, 32)) AS k) GROUP BY 1, 2),
+sq AS (SELECT recording_id, k, p / (sum(p) OVER w + 1e-12) AS p, q / (sum(q) OVER w + 1e-12) AS q FROM sp WINDOW w AS (PARTITION BY recording_id)),
+di AS (SELECT recording_id, sum(abs(p - q)) AS spectral_distortion, sum(q) FILTER (WHERE k BETWEEN 8 AND 20) / sum(p) FILTER (WHERE k BETWEEN 8 AND 20) AS chatter_band_retention, 1 - sum(q) FILTER (WHERE k NOT BETWEEN 8 AND 20) / sum(p) FILTER (WHERE k NOT BETWEEN 8 AND 20) AS noise_band_attenuation FROM sq GROUP BY 1),
+en1 AS (SELECT recording_id, n, abs(b - avg(b) OVER (PARTITION BY recording_id)) AS e FROM al), en2 AS (SELECT recording_id, n, sum(e) OVER (PARTITION BY recording_id ORDER BY n ROWS BETWEEN 25 PRECEDING AND 24 FOLLOWING) / 50 AS e FROM en1),
+on1 AS (SELECT recording_id, n, e > (min(e) OVER (PARTITION BY recording_id) + max(e) OVER (PARTITION BY recording_id)) / 2 AS up FROM en2), on2 AS (SELECT recording_id, n, up <> lead(up) OVER (PARTITION BY recording_id ORDER BY n) AS turned FROM on1),
+on3 AS (SELECT recording_id, abs(min(CASE WHEN turned THEN n END) / 64.0 - 0.25) AS onset_detection_error FROM on2 GROUP BY 1)"""
+
+
+def noisy_vectors(spark, sf_dir):
+    """(recording_id, x, reference): two tones as the known signal, and a fifth of the vector as its noise."""
+    turn = 2 * 3.141592653589793 / FS
+    tone = F.transform("x", lambda v, i: F.sin(turn * 12.3 * i) * 0.3 + F.cos(turn * 25.7 * i) * 0.1)
+    rows = S.embedding_arrays(spark, sf_dir).withColumn("reference", tone)
+    return rows.withColumn("x", F.zip_with("x", "reference", lambda a, b: 0.2 * a + b))
+
+
+@query(f"WITH {VECTORS}, ab AS (SELECT recording_id, n, {_TONE} AS a, 0.2 * x + {_TONE} AS b FROM sig), {_QUALITY_SQL} SELECT recording_id, " + ", ".join(f"round({c}, 6) AS {c}" for c in R.QUALITY) + " FROM er JOIN di USING (recording_id) JOIN on3 USING (recording_id)")
+def denoising_quality(spark, sf_dir):
+    """The six measures of the noisy signal itself."""
+    made = R.reference_quality(noisy_vectors(spark, sf_dir).withColumnRenamed("x", "clean"), FS, BAND, 0.25)
+    return made.select("recording_id", *(r6(F.col(c)).alias(c) for c in R.QUALITY))
+
+
 @query()
 def wavelet_selection(spark, sf_dir):
-    rows = S.embedding_arrays(spark, sf_dir).select("recording_id", "x", F.transform("x", lambda v, i: F.sin(2 * 3.141592653589793 * 12 * i / FS) * 0.3).alias("reference"))
-    noisy = rows.withColumn("x", F.zip_with("x", "reference", lambda a, b: 0.2 * a + b))
-    return R.wavelet_choices(noisy, [("db1", 2), ("db2", 2), ("db4", 2)], FS, BAND)
+    return R.wavelet_choices(noisy_vectors(spark, sf_dir), [("db1", 2), ("db2", 2), ("db4", 2)], FS, BAND)
+
+
+@query()
+def denoising_benchmark(spark, sf_dir):
+    """Eight methods at two levels of noise; each vector is the known signal of a recording."""
+    rows = S.embedding_arrays(spark, sf_dir).withColumnRenamed("x", "reference")
+    return N.benchmark(rows, [0.1, 0.5], FS, (2.0, 28.0), BAND, "db2", 2, ("db2", 2))
 
 
 _META = "md AS (SELECT vec_id AS recording_id, 3.0 + vec_id % 3 AS spindle, CASE WHEN vec_id % 11 <> 0 THEN CAST(vec_id % 3 + 1 AS DOUBLE) END AS teeth FROM embeddings)"
