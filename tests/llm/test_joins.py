@@ -245,31 +245,53 @@ def test_runs_of_window_words_are_always_found(docs):
         assert (got[1].n_deleted, got[2].n_deleted) == (0, len(passage))
 
 
-@pytest.mark.parametrize("slots", [{"a": 500, "b": 300, "c": 200}, {"a": 1, "b": 1}, {"a": 7, "b": 2, "c": 1}, {"a": 3}])
-def test_schedule_stays_within_a_block(slots):
-    plan = mixing.pfair_period(slots)
-    period, done = sum(slots.values()), dict.fromkeys(slots, 0)
-    assert [t for _, _, t in plan] == list(range(period))
-    for s, k, t in plan:
-        assert k == done[s] and k * period // slots[s] <= t < -(-(k + 1) * period // slots[s])
-        done[s] += 1
-        assert all(abs(done[x] - (t + 1) * slots[x] / period) < 1 for x in slots)
-    assert done == slots
+WEIGHTS = [{"a": 500, "b": 300, "c": 200}, {"a": 1, "b": 1}, {"a": 7, "b": 2, "c": 1}, {"a": 3}, {f"s{i}": (i + 2) ** 0.5 for i in range(8)}, {f"s{i}": 1.0 for i in range(30)}, {"a": 1e-4, "b": 1.0, "c": 0.01}, {f"s{i}": 3.0 ** -i for i in range(14)}]
+
+
+@pytest.mark.parametrize("weights", WEIGHTS)
+@pytest.mark.parametrize("segment", [1, 13, 500, 20_000])
+def test_schedule_stays_within_a_block(weights, segment):
+    """Every block in its window and every source within one block of its target at every slot, across the borders of segments."""
+    shares = list(mixing.integer_weights(weights).values())
+    whole, done, slots = sum(shares), [0] * len(shares), 20_000 if segment > 1 else 800
+    plan = [x for t in range(0, slots, segment) for x in mixing.pfair_segment(t, min(slots, t + segment), shares)]
+    assert len(plan) == slots
+    for t, (i, k) in enumerate(plan):
+        assert k == done[i] and k * whole // shares[i] <= t < -(-(k + 1) * whole // shares[i])
+        done[i] += 1
+        if t % 7 == 0 or t < 2000:
+            assert all(abs(d * whole - (t + 1) * m) < whole for d, m in zip(done, shares, strict=True))
+
+
+def test_deviation_does_not_grow():
+    """Square-root weights, 100,000 slots and a segment far behind: less than one block from the exact target."""
+    weights = {f"s{i}": (i + 2) ** 0.5 for i in range(8)}
+    shares = list(mixing.integer_weights(weights).values())
+    target = np.array(list(weights.values())) / sum(weights.values())
+    for first in (0, 10**9):
+        done = np.array(mixing.blocks_before(first, shares), dtype=float)
+        worst = 0.0
+        for at in range(first, first + 100_000, mixing.SEGMENT):
+            for t, (i, _) in enumerate(mixing.pfair_segment(at, min(first + 100_000, at + mixing.SEGMENT), shares), at + 1):
+                done[i] += 1
+                if t % 11 == 0:
+                    worst = max(worst, np.abs(done - t * target).max())
+        assert worst < 1 and done.sum() == first + 100_000
 
 
 def test_mix(spark, docs):
-    rows = [(i, f"t{i}", "en", ("big" if i % 3 else "small") if i % 10 else None) for i in range(500)] + [(7, "again", "en", "big")]
+    rows = [(i, f"t{i}", "en", ("big" if i % 3 else "small") if i % 10 else None) for i in range(500)] + [(7, "again", "en", "big")] + [(None, f"n{i}", "en", "big") for i in range(60)]
     df = docs(rows, extra=True)
     weights = mixing.tempered_weights(df)
     got = mixing.mix_sources(df, weights, block_docs=4, bucket_docs=50).collect()
-    assert len(got) == 501 and len({(r["__slot"], r["__place"]) for r in got}) == 501
-    slots = mixing.integer_weights(weights)
-    plan = {(s, k): t for s, k, t in mixing.pfair_period(slots)}
-    length = sum(slots.values())
+    assert len(got) == 561 and len({(r["__slot"], r["__place"]) for r in got}) == 561
+    shares = mixing.integer_weights(weights)
+    names = sorted(shares)
+    sizes = collections.Counter(r.source if r.source is not None else mixing.NO_SOURCE for r in got)
+    last = max(-(-(-(-sizes[n] // 4)) * sum(shares.values()) // shares[n]) for n in names)
+    plan = {x: t for t, x in enumerate(mixing.pfair_segment(0, last, [shares[n] for n in names]))}
     for r in got:
-        s = r.source if r.source is not None else mixing.NO_SOURCE
-        k = r["__block"]
-        assert r["__slot"] == k // slots[s] * length + plan[s, k % slots[s]]
+        assert r["__slot"] == plan[names.index(r.source if r.source is not None else mixing.NO_SOURCE), r["__block"]]
     for s in {r.source for r in got}:  # blocks are full but for the last
         sizes = collections.Counter(r["__block"] for r in got if r.source == s)
         assert sorted(sizes) == list(range(len(sizes))) and all(sizes[k] == 4 for k in range(len(sizes) - 1))
@@ -280,14 +302,24 @@ def test_mix(spark, docs):
         mixing.mix_sources(df, {"big": 1.0, mixing.NO_SOURCE: 1.0})
     with pytest.raises(ValueError):
         mixing.mix_sources(df, {})
-    assert mixing.mix_sources(df, {**weights, "absent": 3.0}).count() == 501
+    assert mixing.mix_sources(df, {**weights, "absent": 3.0}).count() == 561
+    with pytest.raises(ValueError, match="nearly empty"):
+        mixing.mix_sources(df, {"big": 1e-5, "small": 1.0, mixing.NO_SOURCE: 1.0})
     with pytest.raises(ValueError):
         mixing.integer_weights({"a": 0.0, "b": 1.0})
     with pytest.raises(ValueError):
-        mixing.integer_weights({"a": 1e-9, "b": 1.0})
+        mixing.integer_weights({"a": 1e-10, "b": 1.0})
     for weights in ({"a": 1e-4, "b": 1.0}, {f"s{i}": 1.0 + i % 7 for i in range(3000)}):
         got = mixing.integer_weights(weights)
-        assert all(abs(got[s] / sum(got.values()) / (w / sum(weights.values())) - 1) <= 0.05 for s, w in weights.items())
+        assert all(abs(got[s] / sum(got.values()) / (w / sum(weights.values())) - 1) <= 1e-6 for s, w in weights.items())
+
+
+def test_segments_make_one_schedule(spark):
+    names, shares = ["a", "b", "c"], list(mixing.integer_weights({"a": 5.0, "b": 2.0**0.5, "c": 0.3}).values())
+    whole = mixing.scheduled(spark, shares, [400, 90, 30], names, 10**6).collect()
+    parts = mixing.scheduled(spark, shares, [400, 90, 30], names, 64).collect()
+    assert len(whole) == len(parts) == 520 and collections.Counter(r["__source"] for r in parts) == {"a": 400, "b": 90, "c": 30}
+    assert len({r["__slot"] for r in parts}) == 520
 
 
 def test_neighbours(spark, sf_dir):
