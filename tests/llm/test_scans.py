@@ -5,6 +5,7 @@ import random
 import re
 import textwrap
 import time
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -221,3 +222,37 @@ def test_top_grams_are_ordered(text):
     n = dict(zip(keys.tolist(), counts.tolist(), strict=True))
     order = [(-n[k], k) for k in top.tolist()]
     assert order == sorted(order)
+
+
+@pytest.mark.parametrize("kind", ["query", "equals", "chain", "plus", "colon"])
+def test_long_texts_without_quotes_are_read_in_linear_time(kind):
+    rng = random.Random(kind)
+    value = lambda n: "".join(rng.choice("ABCDEFabcdef0123456789") for _ in range(n))
+    make = {
+        "query": lambda n: "&".join(f"{rng.choice(['token', 'user', 'q', 'id'])}{i}={value(12)}" for i in range(n // 20)),
+        "equals": lambda n: "=".join(value(6) for _ in range(n // 7)),
+        "chain": lambda n: " = ".join(f"n{i}" for i in range(n // 9)) + ' = "x"',
+        "plus": lambda n: "password = " + " + ".join(f'"{value(3)}"' for _ in range(n // 8)),
+        "colon": lambda n: ":".join(f"name{i}" for i in range(n // 10)),
+    }[kind]
+    times = []
+    for n in (125_000, 1_000_000):
+        text = make(n)
+        began = time.process_time()
+        tracemalloc.start()
+        spans, _ = secrets.scan_text(text)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        began = time.process_time()
+        secrets.scan_text(text)
+        times.append(time.process_time() - began)
+    assert times[1] < 16 * times[0] + 0.5 and times[1] < (6 if kind == "colon" else 3) and peak < 250_000_000
+    if kind == "query":
+        assert len(spans) > 9000
+
+
+def test_unquoted_values_end_where_the_next_pair_begins():
+    text = "token=Q9x7LmP0sTq2&user=bob;secret=Zk83hsQpw01x,api_key=abcDEF123456==&x=1"
+    assert {text[lo:hi] for lo, k, hi in secrets.scan_text(text)[0] if k == 3} == {"Q9x7LmP0sTq2", "Zk83hsQpw01x", "abcDEF123456=="}
+    text = 'a = b = "Q9x7LmP0sTq2"\npassword = a'
+    assert {text[lo:hi] for lo, k, hi in secrets.scan_text(text)[0] if k == 3} == {"Q9x7LmP0sTq2"}

@@ -37,7 +37,8 @@ _HINTS = ("passw", "secret", "token", "key")
 _PAIR = re.compile(r"""(?<![\w.$-])(["'`]?)([A-Za-z_$][\w$]*(?:[.-][\w$]+)*)\1\]?[ \t]*(:=|=>|==|=|:(?!//))[ \t]*""", re.ASCII)
 _TAG = re.compile(r"<([A-Za-z_][\w.-]*)>([^<>\s]{6,})</\1>", re.ASCII)
 _QUOTED = re.compile(r"""[rRbBuUfF]{0,2}("(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\\n]|\\.)*`)""")
-_BARE = re.compile(r"[A-Za-z0-9+/_.=$~!@#%^&*-]+", re.ASCII)
+#: An unquoted value ends at & ; , and at =, unless nothing but = is left of it.
+_BARE = re.compile(r"[A-Za-z0-9+/_.$~!@#%^*-]+(?:=+(?![A-Za-z0-9+/_.=$~!@#%^*-]))?", re.ASCII)
 _NAME = re.compile(r"[A-Za-z_$][\w$]*(?:\.[\w$]+)*", re.ASCII)
 _INNER = re.compile(r"\$\{([A-Za-z_][\w.]*)\}", re.ASCII)
 _BREAK = r"(?:\\?\r?\n[ \t]*)?"
@@ -134,7 +135,8 @@ def literal_spans(text: str, threshold: float = 0.5) -> tuple[set[tuple[int, int
             at = m.end()
             if m[3] != "==" and (terms := _expression(text, at)):
                 pairs.append((m[2], terms))
-                at = max(at, terms[-1][3]) if terms[0][0] == "lit" else at
+                if terms[0][0] == "lit" or not _PAIR.match(text, at):  # of a = b = "x", b is set as well
+                    at = terms[-1][3]
     if "</" in text:
         pairs += [(m[1], [("bare", m[2], m.start(2), m.end(2))]) for m in _TAG.finditer(text)]
     if not pairs:
