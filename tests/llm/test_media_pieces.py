@@ -2,6 +2,8 @@
 
 import collections
 import hashlib
+import random
+import time
 import zlib
 
 import numpy as np
@@ -113,3 +115,28 @@ def test_rows_decide_alone(spark, docs, vocabulary):
     other = pieces.encode_pieces(df, seed=2).filter("doc_id < 200").collect()
     assert any(a[r.doc_id].ids != r.ids for r in other)
     assert pieces.encode_pieces(docs([])).count() == 0
+
+
+def unbroken(rng, n):
+    words = ["".join(rng.choice("etaoinshrdlucmfwypvbgk") for _ in range(rng.randint(2, 9))) for _ in range(300)]
+    return "".join(rng.choice(words) for _ in range(n // 2))[:n]
+
+
+@pytest.mark.parametrize("alpha", [0.0, 0.8, 3.0])
+def test_long_parts_are_drawn_like_short_ones(vocabulary, monkeypatch, alpha):
+    """Parts that go node by node give the ids they would have beside all others."""
+    rng = random.Random(5)
+    texts = [unbroken(rng, 9000), unbroken(rng, 2001), "ordinary words " * 30, unbroken(rng, 2500) + " and " + unbroken(rng, 4000), "a" * 5000, "漢字" * 2000, unbroken(rng, 9000)]
+    keys = list(range(len(texts)))
+    apart = pieces.encode_texts(keys, texts, vocabulary, alpha, 1)
+    assert all(pieces.decode_ids(x.tolist(), vocabulary) == t for x, t in zip(apart, texts, strict=True))
+    monkeypatch.setattr(pieces, "LONG", 10**9)
+    together = pieces.encode_texts(keys, texts, vocabulary, alpha, 1)
+    assert all(np.array_equal(x, y) for x, y in zip(apart, together, strict=True))
+
+
+def test_an_unbroken_word_of_a_million_characters(vocabulary):
+    text = unbroken(random.Random(6), 1_000_000)
+    began = time.process_time()
+    ids = pieces.encode_texts([1], [text], vocabulary, 0.8, 1)[0]
+    assert time.process_time() - began < 12 and pieces.decode_ids(ids.tolist(), vocabulary) == text

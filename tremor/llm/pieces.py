@@ -32,6 +32,8 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = 0x2581
 OWN_MARK = 0x110000  # a mark that stood in the text
 CHUNK = 1_000_000
+#: Characters of a part from which on it is filtered and drawn by itself, node by node, not beside all others.
+LONG = 2000
 
 
 class HashIndex:
@@ -129,6 +131,67 @@ def _uniform(seed: np.ndarray, position: np.ndarray) -> np.ndarray:
     return (x >> np.uint64(11)).astype(np.float64) * 2.0**-53
 
 
+def _shares(head: np.ndarray, tail: np.ndarray, end: np.ndarray, logw: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Each edge's share of the forward sum at its end node, all parts side by side; end: the end nodes' places in their parts, ascending."""
+    forward = np.full(at[-1], -np.inf)
+    forward[at[:-1]] = 0.0
+    steps = np.concatenate(([0], np.cumsum(np.bincount(end)))) if len(end) else [0]
+    share = np.empty(len(head))
+    for k in range(1, len(steps) - 1):
+        lo, hi = steps[k], steps[k + 1]
+        if lo == hi:
+            continue
+        t = tail[lo:hi]
+        v = forward[head[lo:hi]] + logw[lo:hi]
+        new = np.flatnonzero(np.diff(t, prepend=-1))
+        top = np.maximum.reduceat(v, new)
+        group = np.cumsum(np.diff(t, prepend=t[0]) != 0)
+        e = np.exp(v - top[group])
+        total = np.add.reduceat(e, new)
+        forward[t[new]] = top + np.log(total)
+        share[lo:hi] = e / total[group]
+    return share
+
+
+def _long_shares(head: list[int], end: np.ndarray, w: list[float], longest: int) -> list[float]:
+    """The same for one part. Sums are kept as plain numbers and scaled together whenever they get small or large."""
+    n = int(end[-1])
+    bounds = np.searchsorted(end, np.arange(n + 2)).tolist()
+    forward = [0.0] * (n + 1)
+    forward[0] = 1.0
+    share = [1.0] * len(head)
+    for t in range(1, n + 1):
+        lo, hi = bounds[t], bounds[t + 1]
+        if hi - lo == 1:
+            total = forward[head[lo]] * w[lo]
+        else:
+            v = [forward[h] * x for h, x in zip(head[lo:hi], w[lo:hi], strict=True)]
+            total = sum(v)
+            share[lo:hi] = [x / total for x in v]
+        if not 1e-100 < total < 1e100:
+            scale = 1e100 if total < 1 else 1e-100
+            for j in range(max(0, t - longest), t):
+                forward[j] *= scale
+            total *= scale
+        forward[t] = total
+    return share
+
+
+def _draw_long(out: np.ndarray, u: np.ndarray, head: list[int], end: np.ndarray, upto: list[float], piece: list[int]) -> None:
+    """Draws one part from its end back; out and u: a place for each character, where a piece that ends with it is put, and its number."""
+    first = np.searchsorted(end, np.arange(len(u) + 1)).tolist()
+    numbers = u.tolist()
+    at, places, pieces = len(u), [], []
+    while at:
+        edge, x = first[at], numbers[at - 1]
+        while upto[edge] <= x:
+            edge += 1
+        places.append(at - 1)
+        pieces.append(piece[edge])
+        at = head[edge]
+    out[places] = pieces
+
+
 def encode_batch(texts: list[str], seeds: np.ndarray, vocabulary: Vocabulary, alpha: float) -> list[np.ndarray]:
     """Sampled ids of each text (none of them empty); seeds: 64 bits for each."""
     sizes = np.array([len(t) + 1 for t in texts], dtype=np.int64)
@@ -188,24 +251,13 @@ def encode_batch(texts: list[str], seeds: np.ndarray, vocabulary: Vocabulary, al
     order = np.lexsort((tail, offset[tail]))
     head, tail, piece = head[order], tail[order], piece[order]
     w = vocabulary.weight[piece] ** alpha
-    forward = np.full(at[-1], -np.inf)
-    forward[at[:-1]] = 0.0
-    steps = np.concatenate(([0], np.cumsum(np.bincount(offset[tail]))))
-    logw = np.log(w)
     share = np.empty(len(head))
-    for k in range(1, len(steps) - 1):
-        lo, hi = steps[k], steps[k + 1]
-        if lo == hi:
-            continue
-        t = tail[lo:hi]
-        v = forward[head[lo:hi]] + logw[lo:hi]
-        new = np.flatnonzero(np.diff(t, prepend=-1))
-        top = np.maximum.reduceat(v, new)
-        group = np.cumsum(np.diff(t, prepend=t[0]) != 0)
-        e = np.exp(v - top[group])
-        total = np.add.reduceat(e, new)
-        forward[t[new]] = top + np.log(total)
-        share[lo:hi] = e / total[group]
+    part = np.searchsorted(at, tail, side="right") - 1
+    by_part = {k: np.flatnonzero(part == k) for k in np.flatnonzero(length > LONG).tolist()}
+    for k, at_edge in by_part.items():
+        share[at_edge] = _long_shares((head[at_edge] - at[k]).tolist(), offset[tail[at_edge]], w[at_edge].tolist(), vocabulary.longest)
+    short = np.flatnonzero(length[part] <= LONG)
+    share[short] = _shares(head[short], tail[short], offset[tail[short]], np.log(w[short]), at)
 
     # cumulative shares within each end node, and where its edges begin
     ends = np.flatnonzero(np.diff(tail, prepend=-1))
@@ -225,6 +277,13 @@ def encode_batch(texts: list[str], seeds: np.ndarray, vocabulary: Vocabulary, al
     place = stop.copy()  # end of what is still to draw, in the joined text
     doc = np.repeat(np.arange(len(texts)), sizes)[start]
     seed, origin = seeds[doc], begin[doc]
+    for i in np.flatnonzero(length[which] > LONG).tolist():
+        k = int(which[i])
+        at_edge = by_part[k]
+        u = _uniform(np.full(length[k], seed[i]), np.arange(start[i] - origin[i] + 1, stop[i] - origin[i] + 1))
+        _draw_long(out[start[i] : stop[i]], u, (head[at_edge] - at[k]).tolist(), offset[tail[at_edge]], upto[at_edge].tolist(), piece[at_edge].tolist())
+    on = length[which] <= LONG
+    now, place, seed, origin = now[on], place[on], seed[on], origin[on]
     while len(now):
         u = _uniform(seed, place - origin)
         edge = entry[now]
