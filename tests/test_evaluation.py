@@ -13,6 +13,7 @@ from tremor.operators import aggregates as A
 from tremor.operators import dataset_index as X
 from tremor.operators import detection as D
 from tremor.operators import folds as L
+from tremor.operators import learning
 from tremor.sources import workbooks
 
 
@@ -201,3 +202,19 @@ def test_split_ranks_like_one_list(spark):
         cut = [int(np.floor(len(ranked) * 0.2 + 0.5))] * 2
         assert [got[g][1] for g in ranked] == ["test"] * cut[0] + ["validation"] * cut[1] + ["train"] * (len(ranked) - 2 * cut[0])
     assert len(got) == 998
+
+
+def test_radial_margins_tell_rings_apart(spark):
+    rng = np.random.default_rng(6)
+    y = rng.random(500) < 0.4
+    angle, radius = rng.uniform(0, 2 * np.pi, 500), np.where(y, 1.0, 2.5) + rng.normal(scale=0.2, size=500)
+    rows = spark.createDataFrame([(f"g{i % 20}", int(c), float(r * np.cos(a)), float(r * np.sin(a))) for i, (c, r, a) in enumerate(zip(y, radius, angle, strict=True))], "g string, y int, a double, b double")
+    auc = lambda made: D.roc_auc(made, "label", "score").collect()[0].auc
+    radial = learning.calibrated_margins(rows, ["a", "b"], "y", "g", folds=2, dims=64, iterations=10, most_inner=2).cache()
+    linear = learning.calibrated_margins(rows, ["a", "b"], "y", "g", folds=2, dims=0, iterations=5, most_inner=2)
+    assert auc(radial) > 0.98 > 0.75 > auc(linear)
+    assert radial.count() == 500 and radial.groupBy("group").agg(F.count_distinct("fold").alias("n")).filter("n > 1").isEmpty()
+    calibrated = radial.agg(F.avg("score").alias("p"), F.avg("label").alias("y")).collect()[0]
+    assert calibrated.p == pytest.approx(calibrated.y, abs=0.05)
+    with pytest.raises(ValueError):
+        learning.calibrated_margins(rows.filter("y = 1"), ["a", "b"], "y", "g", folds=2)

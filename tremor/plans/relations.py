@@ -295,6 +295,12 @@ def grouped_cross_validation(spark, sf_dir):
     return L.fold_metrics(L.grouped_predictions(_windows_with_label(spark, sf_dir), NAMES, "y", "recording_id", folds=3))
 
 
+@query()
+def radial_margins(spark, sf_dir):
+    """Metrics by fold of the radial margin classifier with calibrated probabilities."""
+    return L.fold_metrics(L.calibrated_margins(_windows_with_label(spark, sf_dir), NAMES, "y", "recording_id", folds=2, dims=128, iterations=20, most_inner=2))
+
+
 @query()
 def isotonic_calibration(spark, sf_dir):
     return L.calibration(labelled(spark, sf_dir), "quality", "score")
