@@ -124,3 +124,22 @@ def test_assignment_is_optimal():
         d = c if c.shape[0] <= c.shape[1] else c.T
         best = min(sum(d[i, p[i]] for i in range(short)) for p in itertools.permutations(range(long), short))
         assert len(pairs) == short and abs(sum(c[i, j] for i, j in pairs) - best) < 1e-12
+
+
+def test_preprocessing(spark):
+    from tremor.operators import decompose as C
+
+    t = np.arange(400) / 200
+    x = 3 + 2 * t + np.sin(2 * np.pi * 20 * t)
+    rows = spark.createDataFrame([(1, x.tolist()), (2, [0.0] * 400), (3, [float("nan")] + [1.0] * 399), (4, [1.0])], "recording_id int, x array<double>")
+    found = {r.recording_id: r for r in C.preprocess(rows, 5.0, 200.0).collect()}
+    assert C.automatic_low_pass(200.0) == 90.0 and C.automatic_low_pass(20_000.0) == 4000.0
+    want = K.detrend(K.bandpass(x, 5.0, 90.0, 200.0, 3))
+    assert np.allclose(found[1].physical, want) and found[1].scale_factor == pytest.approx(np.percentile(np.abs(want), 99.5)) and np.allclose(np.array(found[1].scaled) * found[1].scale_factor, want)
+    assert "amplitude" in found[2].error and "finite" in found[3].error and "short" in found[4].error and all(found[k].scaled is None for k in (2, 3, 4))
+    first = C.preprocess(rows.filter("recording_id = 1"), 5.0, 200.0, 50.0, trend="constant", trend_first=True, percentile=100.0).collect()[0]
+    want = K.bandpass(x - x.mean(), 5.0, 50.0, 200.0, 3)
+    assert np.allclose(first.physical, want) and np.abs(first.scaled).max() == pytest.approx(1)
+    for bad in ({"trend": "cubic"}, {"percentile": 0.0}, {"high": 100.0}):
+        with pytest.raises(ValueError):
+            C.preprocess(rows, 5.0, 200.0, **bad)

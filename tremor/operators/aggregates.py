@@ -109,6 +109,15 @@ def grouped_means(rows: DataFrame, groups: list[str], value: str) -> DataFrame:
     return named.join(F.broadcast(middle), "grouping").withColumn("z", (F.col("mean") - F.col("q")[0]) / spread).drop("q", "__s")  # a row for each grouping
 
 
+def means_by(rows: DataFrame, groupings: list[list[str]], value: str) -> DataFrame:
+    """Mean and count for each combination of each grouping's columns, in one pass; columns outside a grouping are NULL, and grouping names its columns."""
+    every = sorted({c for g in groupings for c in g})
+    known = rows.select(*every, value)
+    made = known.groupingSets([[F.col(c) for c in g] for g in groupings], *every).agg(F.avg(value).alias("mean"), F.count(value).alias("n"), F.grouping_id().alias("__g"))
+    name = F.coalesce(*[F.when(F.col("__g") == sum(1 << (len(every) - 1 - j) for j, c in enumerate(every) if c not in g), F.lit(",".join(g))) for g in groupings])
+    return made.select(name.alias("grouping"), *every, "mean", "n")
+
+
 def repeatability(reference: DataFrame, repeated: DataFrame, keys: list[str], tolerance: float = 1e-12) -> DataFrame:
     """Per feature: largest difference, comparisons, and whether values, gaps and reasons all agree (full outer by key)."""
     a = reference.select(*keys, "feature", F.col("value").alias("va"), F.col("reason").alias("ra"), F.lit(1).alias("ia"))
@@ -128,14 +137,6 @@ def selection_frequency(candidates: DataFrame, chosen: DataFrame, key: str) -> D
     return candidates.join(chosen.groupBy(key).agg(F.count("*").alias("n")), key, "left").select(key, F.coalesce("n", F.lit(0).cast("long")).alias("n"))
 
 
-def band_energy_trapezoid(spectrum: DataFrame, keys: list[str], lo: float, hi: float) -> DataFrame:
-    """Trapezoid integral of a spectrum over the bins of a closed band."""
-    w = Window.partitionBy(*keys).orderBy("freq")
-    inside = spectrum.filter(F.col("freq").between(lo, hi))
-    area = (F.col("p") + F.lead("p").over(w)) / 2 * (F.lead("freq").over(w) - F.col("freq"))
-    return inside.withColumn("__a", area).groupBy(*keys).agg(F.coalesce(F.sum("__a"), F.lit(0.0)).alias("energy"))
-
-
 def family_medians(long: DataFrame, catalogue: DataFrame) -> DataFrame:
     """Median magnitude of each feature family."""
     rows = long.join(F.broadcast(catalogue), "feature")  # the catalogue is a fixed list

@@ -70,6 +70,15 @@ def roc_curve(rows: DataFrame, truth: str, score: str) -> DataFrame:
     return made.crossJoin(total).select(score, rate("pos", "__p").alias("tpr"), rate("neg", "__n").alias("fpr"))
 
 
+def precision_recall(rows: DataFrame, truth: str, score: str) -> DataFrame:
+    """Precision and recall when all scores from this one up are positive, with the step that recall rises by here; the steps times the precisions sum to the average precision."""
+    made = _cumulated(rows, truth, score)
+    total = F.broadcast(made.agg(F.sum("pos").alias("__p")))  # one row
+    tp, fp = F.col("pos") + F.col("pos_above"), F.col("neg") + F.col("neg_above")
+    share = lambda a, b: ratio(a.cast("double"), b.cast("double"))
+    return made.crossJoin(total).select(score, share(tp, tp + fp).alias("precision"), share(tp, F.col("__p")).alias("recall"), share(F.col("pos"), F.col("__p")).alias("step"))
+
+
 def mcnemar(rows: DataFrame, truth: str, a: str, b: str) -> DataFrame:
     """Discordant counts, the continuity-corrected statistic (|b - c| - 1)^2 / (b + c), 0 where nothing is discordant, and its p-value."""
     right = lambda c: F.col(c) == F.col(truth)

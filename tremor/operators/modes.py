@@ -27,9 +27,9 @@ def moving_average_modes(signal: DataFrame, widths: tuple[int, ...] = (3, 9, 27)
     return named.select("recording_id", "n", F.explode(F.array(*layers)).alias("s")).select("recording_id", "s.layer", "s.is_residual", "n", "s.x")
 
 
-def mode_arrays(modes: DataFrame) -> DataFrame:
+def mode_arrays(modes: DataFrame, residual: bool = False) -> DataFrame:
     pairs = F.array_sort(F.collect_list(F.struct("n", "x")))
-    return modes.filter("NOT is_residual").groupBy("recording_id", "layer").agg(F.transform(pairs, lambda s: s["x"]).alias("x"))
+    return (modes if residual else modes.filter("NOT is_residual")).groupBy("recording_id", "layer").agg(F.transform(pairs, lambda s: s["x"]).alias("x"))
 
 
 def mode_psd(modes: DataFrame, fs: float, nperseg: int = 1024) -> DataFrame:
@@ -76,6 +76,21 @@ def orthogonality(modes: DataFrame) -> DataFrame:
     return total.groupBy("recording_id").agg(ratio(F.sum(F.col("s") * F.col("s")) - F.sum("e"), F.sum("e")).alias("orthogonality"))
 
 
+def orthogonality_forms(modes: DataFrame) -> DataFrame:
+    """Signed, absolute and pairwise absolute index over all layers, relative to their energy: one product of the layers with themselves per recording; NULL without energy."""
+    one = mode_arrays(modes, residual=True).groupBy("recording_id").agg(F.array_sort(F.collect_list(F.struct("layer", "x"))).alias("a"))
+    packed = one.select("recording_id", F.concat(F.array(F.size("a").cast("double")), F.flatten(F.transform("a", lambda m: m["x"]))).alias("x"))
+    names = ("signed", "absolute", "pairwise_absolute")
+
+    def kernel(v):
+        m = v[1:].reshape(int(v[0]), -1)
+        g = m @ m.T
+        energy, cross = float(np.trace(g)), g[np.triu_indices(len(g), 1)]
+        return (2 * float(cross.sum()) / energy, abs(2 * float(cross.sum()) / energy), 2 * float(np.abs(cross).sum()) / energy) if energy > 0 else (None,) * 3
+
+    return spectral.map_arrays(packed, kernel, [T.StructField(n, T.DoubleType()) for n in names])
+
+
 def frequency_ordering(metrics: DataFrame) -> DataFrame:
     """Share of neighbouring modes whose centre frequency does not rise; 1 with a single mode."""
     nxt = F.lead("centre_hz").over(Window.partitionBy("recording_id").orderBy("layer"))

@@ -232,6 +232,49 @@ def denoising_metrics(rows: DataFrame, fs: float, chatter: tuple[float, float],
     return map_arrays(rows.select(*kept, F.concat("source", "clean").alias("x")), kernel, [T.StructField(n, _D) for n in DENOISING])
 
 
+WEIGHTING = ("rms_before", "rms_after", "energy_before", "energy_after", "correlation", "chatter_band_retention", "spindle_harmonic_attenuation", "tooth_harmonic_attenuation", "out_of_band_attenuation", "spectral_distortion")
+
+
+def weighting_metrics(rows: DataFrame, fs: float, chatter: tuple[float, float], spindle: float, tooth: float, harmonics: int, tolerance: float, nperseg: int = 1024) -> DataFrame:
+    """rows (keys, source, clean) without the arrays, with the ten measures of what weighting did; a band without power before keeps 0 of it."""
+
+    def kernel(v):
+        a, b = v.reshape(2, -1)
+        freq = np.fft.rfftfreq(min(len(a), nperseg), 1 / fs)
+        p, q = P.welch(a, fs, nperseg), P.welch(b, fs, nperseg)
+        kept = lambda m: float(q[m].sum() / p[m].sum()) if p[m].sum() > 0 else 0.0
+        near = lambda f: (np.abs(freq[:, None] - f * np.arange(1, harmonics + 1)) <= tolerance).any(1)
+        inside = (freq >= chatter[0]) & (freq <= chatter[1])
+        energy = float(a @ a), float(b @ b)
+        moved = stage4.correlation_of(a - a.mean(), b - b.mean())
+        apart = float(np.abs(p / p.sum() - q / q.sum()).sum()) if p.sum() > 0 and q.sum() > 0 else 0.0
+        return (*(float(np.sqrt(e / len(a))) for e in energy), *energy, moved if moved is not None else 0.0, kept(inside), 1 - kept(near(spindle)), 1 - kept(near(tooth)), 1 - kept(~inside), apart)
+
+    kept = [c for c in rows.columns if c not in ("source", "clean")]
+    return map_arrays(rows.select(*kept, F.concat("source", "clean").alias("x")), kernel, [T.StructField(n, _D) for n in WEIGHTING])
+
+
+def cumulative_retention(rows: DataFrame, stages: list[str], fs: float, chatter: tuple[float, float], nperseg: int = 1024) -> DataFrame:
+    """rows without the arrays in the columns stages, with retention: the power of the band (trapezoids over its bins) at each stage over that of the first, whose own is 1.
+
+    Where the first stage has no power in the band the others' powers stand as they are.
+    """
+
+    def kernel(v):
+        freq = None
+        powers = []
+        for x in v.reshape(len(stages), -1):
+            freq = np.fft.rfftfreq(min(len(x), nperseg), 1 / fs)
+            inside = (freq >= chatter[0]) & (freq <= chatter[1])
+            p, f = P.welch(x, fs, nperseg)[inside], freq[inside]
+            powers.append(float(((p[1:] + p[:-1]) / 2 * np.diff(f)).sum()))
+        first = powers[0] if powers[0] > 0 else 1.0
+        return ([1.0, *(p / first for p in powers[1:])],)
+
+    kept = [c for c in rows.columns if c not in stages]
+    return map_arrays(rows.select(*kept, F.concat(*stages).alias("x")), kernel, [T.StructField("retention", _DS)])
+
+
 QUALITY = ("rmse", "snr_db", "spectral_distortion", "chatter_band_retention", "noise_band_attenuation", "onset_detection_error")
 
 

@@ -26,11 +26,16 @@ def energies(bands: DataFrame, keys: list[str]) -> DataFrame:
     return e.select(*keys, "band", "level", F.size("c").alias("count"), "energy", ratio(F.col("energy"), F.sum("energy").over(Window.partitionBy(*keys))).alias("energy_ratio"))
 
 
+def _middle(values):
+    """The median of an array column."""
+    ordered, n = F.array_sort(values), F.size(values)
+    return (F.get(ordered, F.floor((n - 1) / 2).cast("int")) + F.get(ordered, F.floor(n / 2).cast("int"))) / 2
+
+
 def noise_sigma(bands: DataFrame, keys: list[str], least: float = 1e-12) -> DataFrame:
-    """Median absolute deviation of the finest details over 0.6745."""
-    rows = bands.filter("band = 'cD1'").select(*keys, F.explode("c").alias("d"))
-    centred = rows.withColumn("m", F.median("d").over(Window.partitionBy(*keys)))
-    return centred.groupBy(*keys).agg(F.greatest(F.lit(least), F.median(F.abs(F.col("d") - F.col("m"))) / 0.6745).alias("sigma"))
+    """Median absolute deviation of the finest details over 0.6745, array by array."""
+    fine = bands.filter("band = 'cD1'").select(*keys, "c", _middle(F.col("c")).alias("m"))
+    return fine.select(*keys, F.greatest(F.lit(least), _middle(F.transform("c", lambda d: F.abs(d - F.col("m")))) / 0.6745).alias("sigma"))
 
 
 def thresholds(bands: DataFrame, keys: list[str], fs: float, band: tuple[float, float]) -> DataFrame:
@@ -46,6 +51,16 @@ def thresholds(bands: DataFrame, keys: list[str], fs: float, band: tuple[float,
     return made.withColumn("threshold", F.col("base_threshold") * F.col("scale"))
 
 
+def threshold_energies(bands: DataFrame, keys: list[str], fs: float, band: tuple[float, float]) -> DataFrame:
+    """Each band's energy before and after soft thresholding and their ratio (NULL without energy); the approximation passes as it is."""
+    cut = thresholds(bands, keys, fs, band).select(*keys, "band", "threshold")
+    both = bands.join(cut, [*keys, "band"], "left")
+    energy = lambda c: F.aggregate(c, F.lit(0.0), lambda s, v: s + v * v)
+    kept = F.when(F.col("threshold").isNull(), F.col("c")).otherwise(soft_threshold(F.col("c"), F.col("threshold")))
+    made = both.select(*keys, "band", energy("c").alias("energy_before"), energy(kept).alias("energy_after"))
+    return made.withColumn("energy_ratio", ratio(F.col("energy_after"), F.col("energy_before")))
+
+
 def soft_threshold(values, threshold):
     """sign(v) * max(|v| - t, 0) for an array column."""
     return F.transform(values, lambda v: F.signum(v) * F.greatest(F.abs(v) - threshold, F.lit(0.0)))

@@ -87,6 +87,12 @@ def threshold_rows(spark, sf_dir):
     return t.select("recording_id", "band", "low_hz", "high_hz", r6(F.col("overlap")).alias("overlap"), r6(F.col("scale")).alias("scale"), *five)
 
 
+@query(f"WITH {_THR} SELECT recording_id, band, round(sum(x * x), 5) AS energy_before, round(sum(CASE WHEN threshold IS NULL THEN x * x ELSE pow(greatest(abs(x) - threshold, 0), 2) END), 5) AS energy_after, round(sum(CASE WHEN threshold IS NULL THEN x * x ELSE pow(greatest(abs(x) - threshold, 0), 2) END) / sum(x * x), 5) AS energy_ratio FROM co LEFT JOIN tt USING (recording_id, band) GROUP BY 1, 2")
+def threshold_energies(spark, sf_dir):
+    made = B.threshold_energies(bands(spark, sf_dir), ["recording_id"], FS, BAND)
+    return made.select("recording_id", "band", *[F.round(c, 5).alias(c) for c in ("energy_before", "energy_after", "energy_ratio")])
+
+
 @query(f"WITH {_DWT}, {_SIG} SELECT recording_id, band, round(sum(pow(greatest(abs(x) - 0.5 * sigma, 0), 2)), 6) AS kept_energy, CAST(sum(CASE WHEN abs(x) > 0.5 * sigma THEN 1 ELSE 0 END) AS BIGINT) AS kept FROM co JOIN sg USING (recording_id) WHERE band <> 'cA2' GROUP BY 1, 2")
 def soft_threshold(spark, sf_dir):
     b = bands(spark, sf_dir)
@@ -104,6 +110,12 @@ def bandpass_filter(spark, sf_dir):
     return K.bandpass(S.embedding_arrays(spark, sf_dir), 4.0, 24.0, FS)
 
 
+@query()
+def preprocessed(spark, sf_dir):
+    """Band-passed, without constant trend, and scaled; the upper cutoff by the rule."""
+    return K.preprocess(S.embedding_arrays(spark, sf_dir), 4.0, FS, trend="constant").select("recording_id", "scaled", "scale_factor", "error")
+
+
 @query()
 def envelope_growth(spark, sf_dir):
     return K.envelope_features(S.embedding_arrays(spark, sf_dir), FS)

@@ -177,6 +177,14 @@ def grouped_means(spark, sf_dir):
     return made.select("grouping", "key", F.round("mean", 4).alias("mean"), "n", F.round("z", 4).alias("z"))
 
 
+@query(f"""WITH {METADATA}, w AS ({FEATURES_SQL}), j AS (SELECT rpm, stickout, label, time_rms FROM w JOIN meta USING (recording_id))
+SELECT CASE WHEN GROUPING(rpm) = 0 AND GROUPING(stickout) = 0 THEN 'rpm,stickout' WHEN GROUPING(stickout) = 0 THEN 'label,stickout' ELSE 'label' END AS grouping, label, rpm, stickout, round(avg(time_rms), 4) AS mean, count(time_rms) AS n FROM j GROUP BY GROUPING SETS ((rpm, stickout), (label, stickout), (label))""")
+def means_by_conditions(spark, sf_dir):
+    m = S.machining_metadata(spark, sf_dir).select("recording_id", "rpm", "stickout", "label")
+    made = A.means_by(features_of(spark, sf_dir).join(m, "recording_id"), [["rpm", "stickout"], ["label", "stickout"], ["label"]], "time_rms")
+    return made.withColumn("mean", F.round("mean", 4))
+
+
 @query(f"WITH {_LONG} SELECT feature, round(max(CASE WHEN feature = 'time_std' THEN 0.5 ELSE 0 END), 6) AS max_difference, CAST(count(value) AS BIGINT) AS comparisons, feature <> 'time_std' AS deterministic FROM lf GROUP BY feature")
 def repeatability(spark, sf_dir):
     a = long_features(spark, sf_dir)
@@ -280,6 +288,12 @@ def bootstrap_ci(spark, sf_dir):
     return D.bootstrap_accuracy(labelled(spark, sf_dir), "quality", "pa")
 
 
+@query(f"""WITH {_LABELLED}, g AS (SELECT score, count(*) FILTER (WHERE quality = 1) AS pos, count(*) AS c FROM lab GROUP BY 1), w AS (SELECT score, pos, sum(pos) OVER (ORDER BY score DESC) AS tp, sum(c) OVER (ORDER BY score DESC) AS n, sum(pos) OVER () AS p FROM g)
+SELECT score, round(tp / n, 6) AS precision, round(tp / p, 6) AS recall, round(pos / p, 6) AS step FROM w""")
+def precision_recall(spark, sf_dir):
+    return _r(D.precision_recall(labelled(spark, sf_dir), "quality", "score"), "score")
+
+
 @query()
 def bootstrap_auc(spark, sf_dir):
     return D.bootstrap_auc(labelled(spark, sf_dir), "quality", "score")

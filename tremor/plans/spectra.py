@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tremor.functions.expressions import clip, distance_to_band, gaussian, kurtosis_pearson, near_harmonic, near_sideband, r6, ratio
 from tremor.operators import modes as M
+from tremor.operators import search as R
 from tremor.operators import spectral as P
 from tremor.plans.registry import VECTORS, query
 from tremor.sources import signals as S
@@ -205,3 +206,37 @@ def topk_cutoff(spark, sf_dir):
     w = Window.partitionBy("recording_id").orderBy("objective", "layer")
     r = objectives(spark, sf_dir).withColumn("__i", F.row_number().over(w)).withColumn("__next", F.lead("objective").over(w)).filter("__i = 1")
     return r.select("recording_id", F.col("layer").alias("best"), r6(F.col("objective")).alias("objective"), r6(F.col("__next") - F.col("objective")).alias("gap"))
+
+
+@query(f"""WITH {MODES}, e AS (SELECT recording_id, sum(x * x) AS e FROM allay GROUP BY 1), p AS (SELECT a.recording_id, a.layer, b.layer AS other, sum(a.x * b.x) AS s FROM allay a JOIN allay b ON a.recording_id = b.recording_id AND a.n = b.n AND a.layer < b.layer GROUP BY 1, 2, 3)
+SELECT recording_id, round(2 * sum(s) / any_value(e), 6) AS signed, round(abs(2 * sum(s) / any_value(e)), 6) AS absolute, round(2 * sum(abs(s)) / any_value(e), 6) AS pairwise_absolute FROM e JOIN p USING (recording_id) GROUP BY 1""")
+def orthogonality_forms(spark, sf_dir):
+    return _r(M.orthogonality_forms(modes_of(spark, sf_dir)), "recording_id")
+
+
+@query(f"""WITH {INDIC}, rec AS (SELECT recording_id, n, sum(gate * x) AS x FROM lay JOIN gt USING (recording_id, layer) GROUP BY 1, 2), {PSD}, {_DFT.format(s='r', k='recording_id', t='rec')},
+j AS (SELECT psd.recording_id, psd.freq, psd.p AS a, psdr.p AS b, psd.p / sum(psd.p) OVER (PARTITION BY psd.recording_id) AS qa, psdr.p / sum(psdr.p) OVER (PARTITION BY psd.recording_id) AS qb FROM psd JOIN psdr ON psd.recording_id = psdr.recording_id AND psd.k = psdr.k),
+f AS (SELECT recording_id, sum(b) FILTER (WHERE freq BETWEEN 8 AND 20) / sum(a) FILTER (WHERE freq BETWEEN 8 AND 20) AS c, 1 - sum(b) FILTER (WHERE {HARM(SPINDLE)}) / sum(a) FILTER (WHERE {HARM(SPINDLE)}) AS sp, 1 - sum(b) FILTER (WHERE {HARM(TOOTH)}) / sum(a) FILTER (WHERE {HARM(TOOTH)}) AS te,
+ 1 - sum(b) FILTER (WHERE freq NOT BETWEEN 8 AND 20) / sum(a) FILTER (WHERE freq NOT BETWEEN 8 AND 20) AS o, sum(abs(qa - qb)) AS d FROM j GROUP BY 1),
+t AS (SELECT recording_id, sqrt(avg(s.x * s.x)) AS rb, sqrt(avg(r.x * r.x)) AS ra, sum(s.x * s.x) AS eb, sum(r.x * r.x) AS ea, covar_pop(s.x, r.x) / nullif(stddev_pop(s.x) * stddev_pop(r.x), 0) AS co FROM sig s JOIN rec r USING (recording_id, n) GROUP BY 1)
+SELECT recording_id, round(rb, 6) AS rms_before, round(ra, 6) AS rms_after, round(eb, 6) AS energy_before, round(ea, 6) AS energy_after, round(coalesce(co, 0), 6) AS correlation, round(c, 6) AS chatter_band_retention, round(sp, 6) AS spindle_harmonic_attenuation,
+ round(te, 6) AS tooth_harmonic_attenuation, round(o, 6) AS out_of_band_attenuation, round(d, 6) AS spectral_distortion FROM f JOIN t USING (recording_id)""")
+def weighting_metrics(spark, sf_dir):
+    made = S.to_arrays(M.reconstruct(modes_of(spark, sf_dir), M.gates(indicators_of(spark, sf_dir)), "gate")).withColumnRenamed("x", "clean")
+    rows = S.embedding_arrays(spark, sf_dir).withColumnRenamed("x", "source").join(made, "recording_id")
+    return _r(R.weighting_metrics(rows, FS, CHATTER, SPINDLE, TOOTH, HARMONICS, TOLERANCE), "recording_id")
+
+
+@query(f"""WITH {VECTORS}, w3 AS (SELECT recording_id, n, avg(x) OVER (PARTITION BY recording_id ORDER BY n ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS x FROM sig), w9 AS (SELECT recording_id, n, avg(x) OVER (PARTITION BY recording_id ORDER BY n ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING) AS x FROM sig),
+{PSD}, {_DFT.format(s='a', k='recording_id', t='w3')}, {_DFT.format(s='b', k='recording_id', t='w9')},
+e AS (SELECT recording_id, s, sum((p + nx) / 2) AS e FROM (SELECT recording_id, s, k, p, lead(p) OVER (PARTITION BY recording_id, s ORDER BY k) AS nx FROM (SELECT recording_id, 0 AS s, k, p FROM psd UNION ALL SELECT recording_id, 1, k, p FROM psda UNION ALL SELECT recording_id, 2, k, p FROM psdb) WHERE k BETWEEN 8 AND 20) GROUP BY 1, 2)
+SELECT a.recording_id, round(b.e / a.e, 6) AS smoothed, round(c.e / a.e, 6) AS smoother FROM e a JOIN e b ON a.recording_id = b.recording_id AND b.s = 1 JOIN e c ON a.recording_id = c.recording_id AND c.s = 2 WHERE a.s = 0""")
+def cumulative_retention(spark, sf_dir):
+    """What moving averages over 3 and 9 samples leave of the band."""
+    rows = S.embedding_signal(spark, sf_dir)
+    w = Window.partitionBy("recording_id").orderBy("n")
+    wide = rows.select("recording_id", "n", "x", F.avg("x").over(w.rowsBetween(-1, 1)).alias("a"), F.avg("x").over(w.rowsBetween(-4, 4)).alias("b"))
+    pairs = F.array_sort(F.collect_list(F.struct("n", "x", "a", "b")))
+    arrays = wide.groupBy("recording_id").agg(pairs.alias("s")).select("recording_id", "s.x", "s.a", "s.b")
+    made = R.cumulative_retention(arrays, ["x", "a", "b"], FS, CHATTER)
+    return made.select("recording_id", r6(F.col("retention")[1]).alias("smoothed"), r6(F.col("retention")[2]).alias("smoother"))
