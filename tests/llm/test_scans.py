@@ -6,6 +6,7 @@ import re
 import textwrap
 import time
 import tracemalloc
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -256,3 +257,23 @@ def test_unquoted_values_end_where_the_next_pair_begins():
     assert {text[lo:hi] for lo, k, hi in secrets.scan_text(text)[0] if k == 3} == {"Q9x7LmP0sTq2", "Zk83hsQpw01x", "abcDEF123456=="}
     text = 'a = b = "Q9x7LmP0sTq2"\npassword = a'
     assert {text[lo:hi] for lo, k, hi in secrets.scan_text(text)[0] if k == 3} == {"Q9x7LmP0sTq2"}
+
+
+def test_whole_licenses_are_found_in_comments_with_changes(docs):
+    """A whole text behind comment marks, wrapped, with a name and a year in it and a tenth of its words changed; half of it, or its words far apart, is no license."""
+    rng = random.Random(3)
+    rows, want = [], {}
+    for k, (label, text) in enumerate(licenses.WHOLE):
+        words = text.split()
+        changed = [w if rng.random() > 0.06 else "other" for w in words]
+        wrapped = "\n".join(f" * {line}" for line in textwrap.wrap(" ".join(changed), 70))
+        rows += [(4 * k, f"code before\n/* Copyright 2020 A. Person\n{wrapped}\n*/\nint x;"), (4 * k + 1, " ".join(words[: len(words) // 2])), (4 * k + 2, " filler word here".join(words)), (4 * k + 3, " ".join(reversed(words)))]
+        want[4 * k] = label
+    counts = Counter(w for _, t in rows for w in licenses.words_of(t))
+    index = licenses.TemplateIndex(licenses.WHOLE, counts, 0.85)
+    found = {i: {licenses.WHOLE[m[2]][0] for m in index.matches(licenses.words_of(t))} for i, t in rows}
+    for i, label in want.items():
+        assert label in found[i] and label not in found[i + 1] | found[i + 2]
+        assert label in found[i + 3]  # a block is a set of words
+    labels = {r.doc_id: r.labels.split(",") for r in licenses.license_digest(docs(rows)).collect()}
+    assert all(label in labels[i] for i, label in want.items())
