@@ -429,3 +429,49 @@ def test_pipeline_stages_on_odd_rows(spark, docs):
     empty = docs([])
     for name, stage in corpus_pipeline.STAGES[1:]:
         assert stage(spark, empty, "").count() == 0, name
+
+
+def test_toxic_documents_go_on_odd_rows(spark, docs, sf_dir):
+    """The first stage beside real documents and alone: odd rows stay as often as they came, columns and all; a toxic very long text goes."""
+    long = "a perfectly ordinary line of words about the weather\n" * 40_000
+    toxic = "you stupid idiot, you worthless moron! shut up you disgusting trash!!! " * 4000
+    rows = [(None, "no id here at all"), (-1, None), (-2, ""), (-3, " \n\n"), (-4, long), (-5, "twice the same row"), (-5, "twice the same row"), (-6, toxic)]
+    real = table(spark, sf_dir, "documents")
+    odd = docs(rows).select(*[F.col(f.name).cast(f.dataType) for f in real.schema]).withColumn("score", F.lit("x"))
+    kept = corpus_pipeline.drop_toxic(spark, real.withColumn("score", F.lit("y")).unionByName(odd), sf_dir)
+    assert kept.columns == [*real.columns, "score"]
+    found = collections.Counter(r.doc_id for r in kept.filter("score = 'x'").select("doc_id").collect())
+    assert found == {None: 1, -1: 1, -2: 1, -3: 1, -4: 1, -5: 2}
+    assert kept.filter("score = 'y'").count() > 0.8 * real.count()
+    alone = corpus_pipeline.drop_toxic(spark, odd, sf_dir)
+    assert alone.count() == 7 and corpus_pipeline.drop_toxic(spark, odd.limit(0), sf_dir).count() == 0
+
+
+def plain_toxicity_features(text, fixed, learned):
+    """The features that need no stems, one by one from their definitions."""
+    text = text or ""
+    words = [w for w in re.split(r"[^0-9a-z\x80-\U0010ffff]+", text.lower()) if w]
+    n = max(1, len(words))
+    hits = [i for i, w in enumerate(words) if w in fixed or w in learned]
+    second = {w.decode() for w in toxicity.SECOND_PERSON}
+    raw = text.encode()
+    letters = max(1, sum(chr(c).isascii() and chr(c).isalpha() or c >= 128 for c in raw))
+    known, taught = sum(w in fixed for w in words), sum(w in learned for w in words)
+    near = sum(any(words[j] in second for j in range(max(0, i - 5), min(len(words), i + 6))) for i in hits)
+    runs = sum(raw[i] == raw[i + 1] == raw[i + 2] and (raw[i] >= 128 or chr(raw[i]).isalpha()) for i in range(len(raw) - 2))
+    return {0: 100 * known / n, 1: np.log1p(known), 2: 100 * taught / n, 3: np.log1p(taught), 4: len({words[i] for i in hits}), 5: np.log1p(near), 6: 100 * sum(w in second for w in words) / n, 7: sum(65 <= c <= 90 for c in raw) / letters,
+            8: 100 * text.count("!") / n, 9: 100 * text.count("?") / n, 11: sum(48 <= c <= 57 for c in raw) / max(1, len(raw)), 14: 100 * runs / n, 15: np.log1p(len(words)), 16: letters / n}
+
+
+def test_toxicity_features_are_what_they_say():
+    rng = random.Random(4)
+    lexicon = toxicity.Lexicon(["grumf", "blarg"])
+    pool = ["you", "IDIOT", "moron!", "Grumf", "blarg", "your", "the", "weather?", "is", "soooo", "12", "été", "tú", "fine.", "!!!", "\n", "u"]
+    for _ in range(200):
+        text = " ".join(rng.choice(pool) for _ in range(rng.choice([0, 1, 5, 40, 200])))
+        got = toxicity.features_of(text, lexicon)
+        for k, v in plain_toxicity_features(text, set(toxicity.LEXICON), {"grumf", "blarg"}).items():
+            assert got[k] == pytest.approx(v), (k, text)
+    hidden = toxicity.features_of("you 1d1ot and m0r0n and a1b", lexicon)
+    assert hidden[13] > 0 and hidden[12] > 0 and toxicity.features_of("you idiot", lexicon)[13] == 0
+    assert toxicity.features_of(None, lexicon) == toxicity.features_of("", lexicon)
