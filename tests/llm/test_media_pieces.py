@@ -140,3 +140,30 @@ def test_an_unbroken_word_of_a_million_characters(vocabulary):
     began = time.process_time()
     ids = pieces.encode_texts([1], [text], vocabulary, 0.8, 1)[0]
     assert time.process_time() - began < 12 and pieces.decode_ids(ids.tolist(), vocabulary) == text
+
+
+@pytest.mark.parametrize(("sampling", "width", "height"), [([(2, 2), (1, 1), (1, 1)], 37, 29), ([(2, 1), (1, 1), (1, 1)], 20, 11), ([(1, 1), (1, 1), (1, 1)], 9, 9)])
+def test_colours_by_the_formula(sampling, width, height):
+    """Every pixel from its definition: the block's cosine sum, the chroma sample that covers the pixel, and the conversion from YCbCr."""
+    rng = np.random.default_rng(1)
+    frame = jpeg.Frame(width, height, sampling, [rng.integers(1, 9, 64), rng.integers(1, 9, 64), rng.integers(1, 9, 64)])
+    for c in frame.coef:
+        c[:] = np.where(rng.random(c.shape) < 0.15, rng.integers(-12, 12, c.shape), 0)
+        c[:, :, 0] = rng.integers(-60, 60, c.shape[:2])
+    turn = np.array([[np.sqrt((1 if u == 0 else 2) / 8) * np.cos((2 * x + 1) * u * np.pi / 16) for u in range(8)] for x in range(8)])
+    planes = []
+    for k, c in enumerate(frame.coef):
+        plane = np.zeros((c.shape[0] * 8, c.shape[1] * 8))
+        for i in range(c.shape[0]):
+            for j in range(c.shape[1]):
+                f = np.zeros(64)
+                f[jpeg.ZIGZAG] = c[i, j] * frame.quant[k]
+                plane[8 * i : 8 * i + 8, 8 * j : 8 * j + 8] = turn @ f.reshape(8, 8) @ turn.T + 128
+        planes.append(np.clip(plane, 0, 255))
+    rgb = jpeg.to_rgb(frame)
+    hmax, vmax = sampling[0]
+    for y in range(height):
+        for x in range(width):
+            lum, cb, cr = (planes[k][y * v // vmax, x * h // hmax] for k, (h, v) in enumerate(sampling))
+            want = (lum + 1.402 * (cr - 128), lum - 0.344136 * (cb - 128) - 0.714136 * (cr - 128), lum + 1.772 * (cb - 128))
+            assert all(abs(int(rgb[y, x, k]) - min(255, max(0, w))) <= 0.51 for k, w in enumerate(want))
