@@ -58,7 +58,7 @@ def test_fim_rows_and_restoring(spark, docs):
     assert fim.fim_report(docs([])).count() == 0
 
 
-@pytest.mark.parametrize("name", ["op11_fill_in_middle", "op13_centroid_clustering"])
+@pytest.mark.parametrize("name", ["op3_ngram_jaccard", "op11_fill_in_middle", "op13_centroid_clustering"])
 def test_matches_sql(spark, sf_dir, name):
     assert differences(queries.QUERIES[name](spark, sf_dir), queries.ORACLE_SQL[name], sf_dir) == ""
 
