@@ -170,3 +170,36 @@ def test_groups_stay_whole(spark):
     assert p.count() == 120 and p.filter("label = predicted").count() >= 115
     steps = [r.calibrated for r in L.calibration(p, "label", "score").orderBy("boundary").collect()]
     assert steps == sorted(steps) and 0 <= steps[0] and steps[-1] <= 1
+
+
+def test_small_expressions(spark):
+    from tremor.functions import expressions as E
+
+    rows = spark.createDataFrame([({"RPM": "5", "x": "1"}, "a,nan,b", "v 1.2.3-4.5.6"), ({"rpm2": "7"}, "nano,info", "1.2"), ({}, "1 -INF", None), ({"Rpm": None}, "+inf", "10.20.30")], "m map<string,string>, t string, v string")
+    got = rows.select(E.first_key(F.col("m"), "rpm", "Speed"), E.has_nonfinite_token(F.col("t")), E.version(F.col("v"))).collect()
+    assert [tuple(r) for r in got] == [("5", True, "1.2.3"), (None, False, None), (None, True, None), (None, True, "10.20.30")]
+    paths = spark.createDataFrame([("a/c_570_015s.mat",), ("s_3x2.5_.mat",), ("u.mat",)], "p string")
+    named = E.evaluation_name(F.col("p"))
+    assert [tuple(r) for r in paths.select(named["label"], named["rpm"], named["feed"]).collect()] == [("c", 570.0, 15.0), ("s", 32.5, None), ("u", None, None)]
+
+
+def test_rankings(spark):
+    from tremor.operators import aggregates as A
+
+    rows = spark.createDataFrame([("s1", "a", 0.9, 0.5), ("s1", "b", 0.9, 0.6), ("s2", "a", None, 0.4), ("s2", "b", 0.1, float("nan")), ("s3", "b", float("nan"), 1.0)], "s string, m string, auc double, f1 double")
+    assert {r.s: r.m for r in A.best_models(rows, "s", "m", "auc").collect()} == {"s1": "a", "s2": "b", "s3": "b"}
+    ranked = {r.m: r for r in A.model_ranking(rows.filter("s <> 's3'"), "s", "m", "auc", ["f1"]).collect()}
+    assert (ranked["a"].wins, ranked["a"].place, ranked["b"].wins, ranked["b"].place) == (1, 1, 1, 2) and np.isnan(ranked["b"].f1)
+
+
+def test_decomposition_validation(spark):
+    t = np.arange(64) / 64
+    tones = lambda fs: [(k, n, float(v), False) for k, f in enumerate(fs, 1) for n, v in enumerate(np.sin(2 * np.pi * f * t))]
+    make = lambda rows: M.decomposition_validation(spark.createDataFrame([(1, *r) for r in rows], "recording_id int, layer int, n int, x double, is_residual boolean"), 64.0).collect()[0]
+    down, up, one = make(tones([20, 9, 3])), make(tones([3, 9, 20])), make(tones([5]))
+    assert down.frequency_ordering_index > 0.97 and up.frequency_ordering_index < 0.03 and one.frequency_ordering_index == 1
+    assert abs(down.orthogonality_index) < 1e-12 and down.mode_mixing_index < 1e-12 and np.allclose(down.energy_percent, 100 / 3)
+    same = make(tones([4, 4]))
+    assert same.orthogonality_index == pytest.approx(1) and same.mode_mixing_index == pytest.approx(1) and same.frequency_ordering_index in (0, 1)
+    silent = make([(k, n, 0.0, False) for k in (1, 2) for n in range(64)])
+    assert (silent.orthogonality_index, silent.mode_mixing_index, silent.frequency_ordering_index) == (0, 0, 1) and silent.energy_percent == [0, 0]

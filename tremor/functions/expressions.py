@@ -95,3 +95,26 @@ def standard_label(s: Column) -> Column:
 def label_number(s: Column) -> Column:
     """1 for the words of chatter (fixed values), else 0, also for NULL."""
     return F.coalesce(F.lower(F.trim(s.cast("string"))).isin("chatter", "1", "true", "yes", "unstable"), F.lit(False)).cast("int")
+
+
+def first_key(m: Column, *names: str) -> Column:
+    """The value of the first entry of a map whose key is one of the names, whatever their case."""
+    wanted = F.array(*[F.lit(n.lower()) for n in names])
+    return F.get(F.map_values(F.map_filter(m, lambda k, _: F.array_contains(wanted, F.lower(k)))), F.lit(0))
+
+
+def has_nonfinite_token(text: Column) -> Column:
+    """Whether a line of comma- or blank-separated values holds nan or inf, whatever its case and sign."""
+    return F.lower(text).rlike(r"(^|[,\s])(nan|[-+]?inf)($|[,\s])")
+
+
+def version(text: Column) -> Column:
+    """The first version number of three parts; null without one."""
+    return F.nullif(F.regexp_extract(text, r"[0-9]+\.[0-9]+\.[0-9]+", 0), F.lit(""))
+
+
+def evaluation_name(path: Column) -> dict[str, Column]:
+    """Label letter, speed and feed of '<label>_<rpm>_<feed>..': other characters than digits and points are left out of the numbers; null where that gives none."""
+    part = F.split(F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"\.[A-Za-z]+$", ""), "_")
+    number = lambda k: F.regexp_replace(F.get(part, k), "[^0-9.]", "").try_cast("double")
+    return {"label": F.get(part, 0), "rpm": number(1), "feed": number(2)}

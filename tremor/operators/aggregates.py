@@ -151,6 +151,21 @@ def scalar_summary(values: DataFrame, group: str, value: str) -> DataFrame:
     return values.groupBy(group).agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), (F.avg(value) - half).alias("low"), (F.avg(value) + half).alias("high"))
 
 
+def best_models(scores: DataFrame, setting: str, model: str, score: str) -> DataFrame:
+    """The model with the highest score in each setting; a missing score counts as -1, ties go to the first name."""
+    rank = F.struct(F.when(F.col(score).isNotNull() & ~F.isnan(score), F.col(score)).otherwise(-1.0).alias("s"))
+    best = Window.partitionBy(setting).orderBy(rank.desc(), model)  # a row for each model
+    return scores.withColumn("__k", F.row_number().over(best)).filter("__k = 1").drop("__k")
+
+
+def model_ranking(scores: DataFrame, setting: str, model: str, score: str, others: list[str]) -> DataFrame:
+    """Each model's mean score and means of others over the settings (a NaN stays one), in how many settings it is best, and its place by the mean score."""
+    wins = best_models(scores, setting, model, score).groupBy(model).agg(F.count("*").alias("wins"))
+    means = scores.groupBy(model).agg(F.avg(score).alias(score), *[F.avg(c).alias(c) for c in others])
+    place = F.row_number().over(Window.orderBy(F.desc(score), model))  # a row for each model
+    return means.join(wins, model, "left").withColumn("wins", F.coalesce("wins", F.lit(0).cast("long"))).withColumn("place", place)
+
+
 def compare_runs(a: DataFrame, b: DataFrame, key: str, value: str) -> DataFrame:
     """Values of two runs side by side with their difference; keys of either run stay."""
     return a.select(key, F.col(value).alias("baseline")).join(b.select(key, F.col(value).alias("candidate")), key, "full_outer").withColumn("delta", F.col("candidate") - F.col("baseline"))

@@ -91,6 +91,32 @@ def orthogonality_forms(modes: DataFrame) -> DataFrame:
     return spectral.map_arrays(packed, kernel, [T.StructField(n, T.DoubleType()) for n in names])
 
 
+def decomposition_validation(modes: DataFrame, fs: float) -> DataFrame:
+    """Per recording, over all layers: orthogonality index, mean absolute correlation of neighbours, how far mean frequencies fall with the layer (1 falling, 0 rising; by correlation), and each layer's percentage of the energy.
+
+    Mean frequencies weigh magnitudes below half the rate. One layer is in order and mixes with nothing; equal frequencies count as falling.
+    """
+    one = mode_arrays(modes, residual=True).groupBy("recording_id").agg(F.array_sort(F.collect_list(F.struct("layer", "x"))).alias("a"))
+    packed = one.select("recording_id", F.concat(F.array(F.size("a").cast("double")), F.flatten(F.transform("a", lambda m: m["x"]))).alias("x"))
+
+    def kernel(v):
+        m = v[1:].reshape(int(v[0]), -1)
+        g = m @ m.T
+        energy = float(np.trace(g))
+        centred = m - m.mean(1, keepdims=True)
+        size = np.sqrt((centred * centred).sum(1))
+        near = [abs(float(a @ b / (p * q))) if p * q > 0 else 0.0 for a, b, p, q in zip(centred, centred[1:], size, size[1:], strict=False)]
+        half = (m.shape[1] + 1) // 2
+        spectrum = np.abs(np.fft.rfft(m, axis=1))[:, :half]
+        total = spectrum.sum(1)
+        mean = np.divide(spectrum @ (np.arange(half) * fs / m.shape[1]), total, out=np.zeros(len(m)), where=total > 0)
+        falling = 1.0 if len(m) < 2 else (1 - float(np.corrcoef(np.arange(len(m)), mean)[0, 1])) / 2 if mean.std() > 0 else float((np.diff(mean) <= 0).all())
+        return (float(g.sum()) - energy) / energy if energy > 0 else 0.0, float(np.mean(near)) if near else 0.0, falling, list(np.diag(g) / energy * 100) if energy > 0 else [0.0] * len(m)
+
+    fields = [*(T.StructField(n, T.DoubleType()) for n in ("orthogonality_index", "mode_mixing_index", "frequency_ordering_index")), T.StructField("energy_percent", T.ArrayType(T.DoubleType()))]
+    return spectral.map_arrays(packed, kernel, fields)
+
+
 def frequency_ordering(metrics: DataFrame) -> DataFrame:
     """Share of neighbouring modes whose centre frequency does not rise; 1 with a single mode."""
     nxt = F.lead("centre_hz").over(Window.partitionBy("recording_id").orderBy("layer"))

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tremor.functions import expressions as E
 from tremor.functions.expressions import r6
+from tremor.operators import aggregates as A
 from tremor.operators import dataset_index as X
 from tremor.operators import detection as D
 from tremor.operators import folds as L
@@ -65,12 +67,12 @@ def labelled_windows(spark, sf_dir):
     return keep(features_of(spark, sf_dir).join(m, "recording_id"), "windows")  # read several times
 
 
-def _out_of_fold(grouping: str) -> str:
+def _out_of_fold(grouping: str, rows: str = "lg", name: str = "") -> str:
     """Scores of the diagonal discriminant by SQL; the fold's statistics are all groups' less its own."""
-    return f"""st_{grouping} AS (SELECT {grouping} AS g, f, sum(y) AS n1, count(*) - sum(y) AS n0, sum(x * y) AS s1, sum(x * (1 - y)) AS s0, sum(x * x) AS q FROM lg GROUP BY 1, 2),
-tr_{grouping} AS (SELECT g, f, sum(n1) OVER w - n1 AS n1, sum(n0) OVER w - n0 AS n0, sum(s1) OVER w - s1 AS s1, sum(s0) OVER w - s0 AS s0, sum(q) OVER w - q AS q FROM st_{grouping} WINDOW w AS (PARTITION BY f)),
-sc_{grouping} AS (SELECT g, f, n1, n0, (s0 + s1) / (n0 + n1) AS m, coalesce(nullif(sqrt(greatest(q / (n0 + n1) - pow((s0 + s1) / (n0 + n1), 2), 0)), 0), 1) AS sd, s1 / n1 AS m1, s0 / n0 AS m0, (q - s0 * s0 / n0 - s1 * s1 / n1) / (n0 + n1) AS v FROM tr_{grouping}),
-oof_{grouping} AS (SELECT recording_id, window_index, max(y) AS y, round(1 / (1 + exp(-sum((m1 - m0) / sd / (v / (sd * sd) + 0.001) * ((x - m) / sd - (m1 + m0 - 2 * m) / sd / 2)))), 9) AS score FROM lg JOIN sc_{grouping} s ON s.g = lg.{grouping} AND s.f = lg.f WHERE n1 > 0 AND n0 > 0 GROUP BY 1, 2)"""
+    return f"""st_{name}{grouping} AS (SELECT {grouping} AS g, f, sum(y) AS n1, count(*) - sum(y) AS n0, sum(x * y) AS s1, sum(x * (1 - y)) AS s0, sum(x * x) AS q FROM {rows} GROUP BY 1, 2),
+tr_{name}{grouping} AS (SELECT g, f, sum(n1) OVER w - n1 AS n1, sum(n0) OVER w - n0 AS n0, sum(s1) OVER w - s1 AS s1, sum(s0) OVER w - s0 AS s0, sum(q) OVER w - q AS q FROM st_{name}{grouping} WINDOW w AS (PARTITION BY f)),
+sc_{name}{grouping} AS (SELECT g, f, n1, n0, (s0 + s1) / (n0 + n1) AS m, coalesce(nullif(sqrt(greatest(q / (n0 + n1) - pow((s0 + s1) / (n0 + n1), 2), 0)), 0), 1) AS sd, s1 / n1 AS m1, s0 / n0 AS m0, (q - s0 * s0 / n0 - s1 * s1 / n1) / (n0 + n1) AS v FROM tr_{name}{grouping}),
+oof_{name}{grouping} AS (SELECT recording_id, window_index, max(y) AS y, round(1 / (1 + exp(-sum((m1 - m0) / sd / (v / (sd * sd) + 0.001) * ((x - m) / sd - (m1 + m0 - 2 * m) / sd / 2)))), 9) AS score FROM {rows} r JOIN sc_{name}{grouping} s ON s.g = r.{grouping} AND s.f = r.f WHERE n1 > 0 AND n0 > 0 GROUP BY 1, 2)"""
 
 
 _LABELLED = f"""{METADATA}, w AS ({FEATURES_SQL}), c AS (SELECT * FROM w WHERE {" AND ".join(f"{n} IS NOT NULL" for n in TIME)}),
@@ -158,3 +160,46 @@ def smoothing_wilcoxon(spark, sf_dir):
 @query()
 def perturbation_stability(spark, sf_dir):
     return L.perturbation_stability(labelled_windows(spark, sf_dir), TIME, "y", "recording_id", ["recording_id", "window_index"])
+
+
+# --- models by setting ---------------------------------------------------------------------------------------------------
+
+SUBSETS = {"all": TIME, "level": TIME[:5], "shape": TIME[5:]}
+
+
+def _subset(name: str) -> str:
+    return f"r_{name} AS (SELECT * FROM lg WHERE f IN ({', '.join(repr(f) for f in SUBSETS[name])}))"
+
+
+@query(f"WITH {_LABELLED}, " + ", ".join(map(_subset, SUBSETS)) + ", " + ", ".join(_out_of_fold(g, f"r_{m}", f"{m}_") for m in SUBSETS for g in GROUPINGS) + ", sco AS (" + " UNION ALL ".join(f"SELECT '{g}' AS setting, '{m}' AS model, auc, f1 FROM {_metrics_sql(f'oof_{m}_{g}')}" for m in SUBSETS for g in GROUPINGS)
+ + "), be AS (SELECT model, count(*) AS wins FROM (SELECT *, row_number() OVER (PARTITION BY setting ORDER BY coalesce(auc, -1) DESC, model) AS k FROM sco) WHERE k = 1 GROUP BY 1) SELECT model, round(auc, 5) AS auc, round(f1, 5) AS f1, coalesce(wins, 0) AS wins, row_number() OVER (ORDER BY auc DESC, model) AS place FROM (SELECT model, avg(auc) AS auc, avg(f1) AS f1 FROM sco GROUP BY 1) LEFT JOIN be USING (model)")
+def model_ranking(spark, sf_dir):
+    """Feature subsets as models and groupings as settings: means, wins and places."""
+    rows, parts = labelled_windows(spark, sf_dir), []
+    for m, names in SUBSETS.items():
+        for g in GROUPINGS:
+            scored = L.leave_one_group_out(rows, names, "y", g, "diagonal").withColumn("score", F.round("score", 9))
+            parts.append(L.pooled_metrics(scored).select(F.lit(g).alias("setting"), F.lit(m).alias("model"), r6(F.col("auc")).alias("auc"), r6(F.col("f1")).alias("f1")))
+    scores = parts[0]
+    for p in parts[1:]:
+        scores = scores.unionByName(p)
+    made = A.model_ranking(keep(scores, "scores"), "setting", "model", "auc", ["f1"])
+    return made.select("model", F.round("auc", 5).alias("auc"), F.round("f1", 5).alias("f1"), "wins", F.col("place").cast("long").alias("place"))
+
+
+@query(f"""WITH {_ORDERS}, n AS (SELECT path, split_part(split_part(path, '/', 2), '.mat', 1) AS stem FROM files)
+SELECT path, split_part(stem, '_', 1) AS label, TRY_CAST(regexp_replace(split_part(stem, '_', 2), '[^0-9.]', '', 'g') AS DOUBLE) AS rpm, TRY_CAST(regexp_replace(split_part(stem, '_', 3), '[^0-9.]', '', 'g') AS DOUBLE) AS feed FROM n""")
+def evaluation_names(spark, sf_dir):
+    paths = order_paths(spark, sf_dir)
+    return paths.select("path", *[c.alias(n) for n, c in E.evaluation_name(F.col("path")).items()])
+
+
+@query("""WITH l AS (SELECT event_id, event_type || ',' || CASE event_id % 6 WHEN 0 THEN 'NaN' WHEN 1 THEN '-inf' WHEN 2 THEN 'nano' ELSE CAST(user_id AS VARCHAR) END || CASE WHEN event_id % 4 = 0 THEN ', v' || user_id || '.2.' || event_id ELSE '' END AS line FROM events)
+SELECT event_id, regexp_matches(lower(line), '(^|[,\s])(nan|[-+]?inf)($|[,\s])') AS nonfinite, nullif(regexp_extract(line, '[0-9]+\.[0-9]+\.[0-9]+', 0), '') AS version FROM l""")
+def scanned_lines(spark, sf_dir):
+    """Lines of events as separated values: tokens that are no numbers, and version numbers."""
+    e, u = F.col("event_id"), F.col("user_id").cast("string")
+    value = F.when(e % 6 == 0, "NaN").when(e % 6 == 1, "-inf").when(e % 6 == 2, "nano").otherwise(u)
+    tail = F.when(e % 4 == 0, F.concat(F.lit(", v"), u, F.lit(".2."), e.cast("string"))).otherwise("")
+    lines = S.read(spark, sf_dir, "events").select("event_id", F.concat("event_type", F.lit(","), value, tail).alias("line"))
+    return lines.select("event_id", E.has_nonfinite_token(F.col("line")).alias("nonfinite"), E.version(F.col("line")).alias("version"))

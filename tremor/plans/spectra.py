@@ -240,3 +240,13 @@ def cumulative_retention(spark, sf_dir):
     arrays = wide.groupBy("recording_id").agg(pairs.alias("s")).select("recording_id", "s.x", "s.a", "s.b")
     made = R.cumulative_retention(arrays, ["x", "a", "b"], FS, CHATTER)
     return made.select("recording_id", r6(F.col("retention")[1]).alias("smoothed"), r6(F.col("retention")[2]).alias("smoother"))
+
+
+@query(f"""WITH {MODES}, e AS (SELECT recording_id, sum(x * x) AS e FROM allay GROUP BY 1), p AS (SELECT a.recording_id, sum(a.x * b.x) AS s FROM allay a JOIN allay b ON a.recording_id = b.recording_id AND a.n = b.n AND a.layer < b.layer GROUP BY 1),
+c AS (SELECT a.recording_id, a.layer, abs(covar_pop(a.x, b.x) / (stddev_pop(a.x) * stddev_pop(b.x))) AS r FROM allay a JOIN allay b ON a.recording_id = b.recording_id AND a.n = b.n AND a.layer + 1 = b.layer GROUP BY 1, 2), mm AS (SELECT recording_id, avg(r) AS mm FROM c GROUP BY 1),
+sp AS (SELECT recording_id, layer, k, sqrt(pow(sum(x * cos(2 * pi() * k * n / 64)), 2) + pow(sum(x * sin(2 * pi() * k * n / 64)), 2)) AS m FROM allay, (SELECT unnest(range(0, 32)) AS k) GROUP BY 1, 2, 3),
+mf AS (SELECT recording_id, layer, sum(k * m) / sum(m) AS f FROM sp GROUP BY 1, 2), o AS (SELECT recording_id, (1 - corr(layer, f)) / 2 AS o FROM mf GROUP BY 1), f1 AS (SELECT recording_id, 100 * sum(x * x) AS first FROM allay WHERE layer = 1 GROUP BY 1)
+SELECT recording_id, round(2 * s / e, 6) AS orthogonality_index, round(mm, 6) AS mode_mixing_index, round(o, 6) AS frequency_ordering_index, round(first / e, 5) AS first_percent FROM e JOIN p USING (recording_id) JOIN mm USING (recording_id) JOIN o USING (recording_id) JOIN f1 USING (recording_id)""")
+def decomposition_validation(spark, sf_dir):
+    made = M.decomposition_validation(modes_of(spark, sf_dir), FS)
+    return made.select("recording_id", *[r6(F.col(c)).alias(c) for c in ("orthogonality_index", "mode_mixing_index", "frequency_ordering_index")], F.round(F.col("energy_percent")[0], 5).alias("first_percent"))
