@@ -277,3 +277,24 @@ def stream_hysteresis(spark, sf_dir):
     run = hysteresis_stream(stream).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     run.awaitTermination()
     return spark.read.parquet(f"{folder}/out")
+
+
+#: The envelope (by the analytic signal), its smoothed energy, and short-time energies of 32 samples, from sums of cosines and sines.
+_EARLY_SQL = f"""{VECTORS}, ks AS (SELECT unnest(range(0, 33)) AS k), ft AS (SELECT recording_id, k, sum(x * cos(2 * pi() * k * n / 64)) AS re, -sum(x * sin(2 * pi() * k * n / 64)) AS im FROM sig, ks GROUP BY 1, 2),
+an AS (SELECT recording_id, n, sum(g * (re * cos(2 * pi() * k * n / 64) - im * sin(2 * pi() * k * n / 64))) / 64 AS re, sum(g * (re * sin(2 * pi() * k * n / 64) + im * cos(2 * pi() * k * n / 64))) / 64 AS im FROM (SELECT *, CASE WHEN k IN (0, 32) THEN 1 ELSE 2 END AS g FROM ft), (SELECT unnest(range(0, 64)) AS n) GROUP BY 1, 2),
+ev AS (SELECT recording_id, n, sqrt(re * re + im * im) AS a, re * re + im * im AS e FROM an), sm AS (SELECT recording_id, n, sum(e) OVER (PARTITION BY recording_id ORDER BY n ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) / 3 AS s FROM ev),
+gr AS (SELECT recording_id, n, (lead(s) OVER w - lag(s) OVER w) * 32 AS d FROM sm WINDOW w AS (PARTITION BY recording_id ORDER BY n)), hg AS (SELECT recording_id, avg(greatest(d, 0)) AS hegr FROM gr WHERE n BETWEEN 1 AND 62 GROUP BY 1),
+ea AS (SELECT recording_id, avg(a) AS am, max(a) AS ax, avg(e) AS em, max(e) AS ex FROM ev GROUP BY 1), sl AS (SELECT recording_id, regr_slope(s, n / 64.0) AS g FROM sm GROUP BY 1),
+st AS (SELECT recording_id, f, k, (pow(sum(v * cos(2 * pi() * k * i / 32)), 2) + pow(sum(v * sin(2 * pi() * k * i / 32)), 2)) / 256 AS e FROM (SELECT recording_id, f, n - 16 * f AS i, x * (0.5 - 0.5 * cos(2 * pi() * (n - 16 * f) / 32)) AS v FROM sig, (SELECT unnest([0, 1, 2]) AS f) WHERE n >= 16 * f AND n < 16 * f + 32), (SELECT unnest(range(0, 17)) AS k) GROUP BY 1, 2, 3),
+fr AS (SELECT recording_id, f, sum(e) AS t, sum(CASE WHEN 2 * k BETWEEN 8 AND 20 THEN e ELSE 0 END) AS c, max(e) AS m, arg_max(2.0 * k, e) AS r FROM st GROUP BY 1, 2),
+sh AS (SELECT recording_id, max(m) / sum(t) AS conc, median(r) AS ridge, regr_slope(c, (16 * f + 16) / 64.0) AS cg, regr_slope(t, (16 * f + 16) / 64.0) AS tg FROM fr GROUP BY 1)"""
+
+
+@query(f"""WITH {_EARLY_SQL} SELECT recording_id, round(conc, 6) AS wavelet_time_frequency_concentration, ridge AS wavelet_dominant_ridge_hz, round(am, 6) AS early_instantaneous_amplitude_mean, round(ax, 6) AS early_instantaneous_amplitude_max, round(em, 6) AS early_instantaneous_energy_mean,
+ round(ex, 6) AS early_instantaneous_energy_max, round(g, 5) AS early_energy_growth_rate, round(hegr, 5) AS early_hegr, round(cg, 5) AS early_chatter_band_energy_growth, round(tg, 5) AS early_short_term_spectral_energy_growth FROM ea JOIN sl USING (recording_id) JOIN hg USING (recording_id) JOIN sh USING (recording_id)""")
+def early_features(spark, sf_dir):
+    """The envelope and short-time features of the vectors themselves, one window each."""
+    rows = S.embedding_arrays(spark, sf_dir).select("recording_id", F.lit(0).alias("window_index"), F.col("x").alias("clean"))
+    made = S4.early_features(rows, FS, BAND)
+    five = {"early_energy_growth_rate", "early_hegr", "early_chatter_band_energy_growth", "early_short_term_spectral_energy_growth"}
+    return made.select("recording_id", *[F.round(c, 5 if c in five else 6).alias(c) for c in S4.EARLY])
