@@ -89,6 +89,14 @@ def missingness(long: DataFrame) -> DataFrame:
     return made.select("feature", "missing", "total", ratio(F.col("missing").cast("double"), F.col("total").cast("double")).alias("fraction"), reasons.alias("reasons"))
 
 
+def finite_or_explained(long: DataFrame, keys: list[str]) -> DataFrame:
+    """Per group: values, those that are missing or not finite, those of them without a reason, and whether there are none of the last."""
+    odd = F.col("value").isNull() | F.isnan("value") | (F.abs("value") == float("inf"))
+    bare = odd & (F.coalesce(F.trim("reason"), F.lit("")) == "")
+    made = long.groupBy(*keys).agg(F.count("*").alias("values"), F.count_if(odd).alias("nonfinite"), F.count_if(bare).alias("unexplained"))
+    return made.withColumn("explained", F.col("unexplained") == 0)
+
+
 def correlations(long: DataFrame, keys: list[str]) -> DataFrame:
     """Pairwise-complete correlation of every two features (a <= b); NULL under two pairs or without spread."""
     rows = long.filter("value IS NOT NULL").select(*keys, "feature", "value")

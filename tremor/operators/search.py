@@ -232,6 +232,15 @@ def denoising_metrics(rows: DataFrame, fs: float, chatter: tuple[float, float],
     return map_arrays(rows.select(*kept, F.concat("source", "clean").alias("x")), kernel, [T.StructField(n, _D) for n in DENOISING])
 
 
+def composite_score(overlaps: DataFrame, neighbours: DataFrame, orthogonality: DataFrame) -> DataFrame:
+    """(recording_id, score), lower is better: 0.35 mean overlap + 0.35 largest correlation of neighbours + 0.3 |orthogonality| (fixed values); a single mode has neither of the first two."""
+    a = overlaps.groupBy("recording_id").agg(F.avg("overlap").alias("__a"))
+    b = neighbours.groupBy("recording_id").agg(F.max("correlation").alias("__b"))
+    zero = F.lit(0.0)
+    score = 0.35 * F.coalesce("__a", zero) + 0.35 * F.coalesce("__b", zero) + 0.30 * F.coalesce(F.abs("orthogonality"), zero)
+    return orthogonality.join(a, "recording_id", "left").join(b, "recording_id", "left").select("recording_id", score.alias("score"))
+
+
 WEIGHTING = ("rms_before", "rms_after", "energy_before", "energy_after", "correlation", "chatter_band_retention", "spindle_harmonic_attenuation", "tooth_harmonic_attenuation", "out_of_band_attenuation", "spectral_distortion")
 
 

@@ -194,7 +194,7 @@ def evaluation_names(spark, sf_dir):
     return paths.select("path", *[c.alias(n) for n, c in E.evaluation_name(F.col("path")).items()])
 
 
-@query("""WITH l AS (SELECT event_id, event_type || ',' || CASE event_id % 6 WHEN 0 THEN 'NaN' WHEN 1 THEN '-inf' WHEN 2 THEN 'nano' ELSE CAST(user_id AS VARCHAR) END || CASE WHEN event_id % 4 = 0 THEN ', v' || user_id || '.2.' || event_id ELSE '' END AS line FROM events)
+@query(r"""WITH l AS (SELECT event_id, event_type || ',' || CASE event_id % 6 WHEN 0 THEN 'NaN' WHEN 1 THEN '-inf' WHEN 2 THEN 'nano' ELSE CAST(user_id AS VARCHAR) END || CASE WHEN event_id % 4 = 0 THEN ', v' || user_id || '.2.' || event_id ELSE '' END AS line FROM events)
 SELECT event_id, regexp_matches(lower(line), '(^|[,\s])(nan|[-+]?inf)($|[,\s])') AS nonfinite, nullif(regexp_extract(line, '[0-9]+\.[0-9]+\.[0-9]+', 0), '') AS version FROM l""")
 def scanned_lines(spark, sf_dir):
     """Lines of events as separated values: tokens that are no numbers, and version numbers."""

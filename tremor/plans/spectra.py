@@ -250,3 +250,13 @@ SELECT recording_id, round(2 * s / e, 6) AS orthogonality_index, round(mm, 6) AS
 def decomposition_validation(spark, sf_dir):
     made = M.decomposition_validation(modes_of(spark, sf_dir), FS)
     return made.select("recording_id", *[r6(F.col(c)).alias(c) for c in ("orthogonality_index", "mode_mixing_index", "frequency_ordering_index")], F.round(F.col("energy_percent")[0], 5).alias("first_percent"))
+
+
+@query(f"""WITH {METRICS}, ov AS (SELECT a.recording_id, a.layer, least(1, sum(least(a.q, b.q))) AS o FROM shm a JOIN shm b ON a.recording_id = b.recording_id AND a.k = b.k AND a.layer + 1 = b.layer GROUP BY 1, 2), oa AS (SELECT recording_id, avg(o) AS o FROM ov GROUP BY 1),
+c AS (SELECT a.recording_id, a.layer, abs(covar_pop(a.x, b.x) / (stddev_pop(a.x) * stddev_pop(b.x))) AS r FROM lay a JOIN lay b ON a.recording_id = b.recording_id AND a.n = b.n AND a.layer + 1 = b.layer GROUP BY 1, 2), ca AS (SELECT recording_id, max(r) AS r FROM c GROUP BY 1),
+e AS (SELECT recording_id, sum(x * x) AS e FROM allay GROUP BY 1), p AS (SELECT a.recording_id, sum(a.x * b.x) AS s FROM allay a JOIN allay b ON a.recording_id = b.recording_id AND a.n = b.n AND a.layer < b.layer GROUP BY 1)
+SELECT recording_id, round(0.35 * o + 0.35 * r + 0.3 * abs(2 * s / e), 6) AS score FROM oa JOIN ca USING (recording_id) JOIN e USING (recording_id) JOIN p USING (recording_id)""".replace("en AS (SELECT recording_id, layer, sum(x * x) AS e", "enn AS (SELECT recording_id, layer, sum(x * x) AS e"))
+def composite_score(spark, sf_dir):
+    modes = modes_of(spark, sf_dir)
+    overlaps = P.overlap(M.mode_psd(modes, FS, 64), "recording_id", "layer")
+    return _r(R.composite_score(overlaps, M.adjacent_correlation(modes), M.orthogonality(modes)), "recording_id")
