@@ -48,7 +48,7 @@ c AS (SELECT DISTINCT stickout, rpm, depth_of_cut FROM n WHERE depth_of_cut IS N
 t AS (SELECT c.*, min(ord) AS ord, 'tight' AS match FROM c JOIN r ON abs(c.stickout - r.stickout) <= 1e-9 * greatest(1, c.stickout, r.stickout) AND abs(c.rpm - r.rpm) <= 1e-9 * greatest(1, c.rpm, r.rpm) AND abs(c.depth_of_cut - r.depth_of_cut) <= 5e-7 GROUP BY ALL),
 l AS (SELECT c.*, min(ord) AS ord, 'loose' AS match FROM c JOIN r ON abs(c.stickout - r.stickout) < 0.1 AND abs(c.rpm - r.rpm) <= 1e-9 * greatest(1, c.rpm, r.rpm) AND abs(c.depth_of_cut - r.depth_of_cut) < 0.001 WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.stickout = c.stickout AND t.rpm = c.rpm AND t.depth_of_cut = c.depth_of_cut) GROUP BY ALL),
 m AS (SELECT * FROM t UNION ALL SELECT * FROM l)
-SELECT recording_id, path, g.stickout AS stickout, g.rpm AS rpm, g.depth_of_cut AS depth_of_cut, coalesce(feed_rate, 0.002) AS feed_rate, coalesce(meta.label, CASE prefix WHEN 's' THEN 'stable' WHEN 'i' THEN 'incipient' ELSE 'chatter' END) AS label, run AS experiment_run_id,
+SELECT recording_id, path, g.stickout AS stickout, g.rpm AS rpm, g.depth_of_cut AS depth_of_cut, CAST(coalesce(feed_rate, 0.002) AS DOUBLE) AS feed_rate, coalesce(meta.label, CASE prefix WHEN 's' THEN 'stable' WHEN 'i' THEN 'incipient' ELSE 'chatter' END) AS label, run AS experiment_run_id,
  coalesce(match, 'name') AS match, m.ord AS ord, CASE WHEN g.depth_of_cut IS NULL THEN 'speed or depth can''t be read' WHEN recording_id IS NOT NULL AND copies > 1 THEN 'several paths have this id' END AS problem
 FROM g LEFT JOIN m ON m.stickout = g.stickout AND m.rpm = g.rpm AND m.depth_of_cut = g.depth_of_cut LEFT JOIN meta ON meta.ord = m.ord""")
 def dataset_index(spark, sf_dir):

@@ -290,7 +290,7 @@ fr AS (SELECT recording_id, f, sum(e) AS t, sum(CASE WHEN 2 * k BETWEEN 8 AND 20
 sh AS (SELECT recording_id, max(m) / sum(t) AS conc, median(r) AS ridge, regr_slope(c, (16 * f + 16) / 64.0) AS cg, regr_slope(t, (16 * f + 16) / 64.0) AS tg FROM fr GROUP BY 1)"""
 
 
-@query(f"""WITH {_EARLY_SQL} SELECT recording_id, round(conc, 6) AS wavelet_time_frequency_concentration, ridge AS wavelet_dominant_ridge_hz, round(am, 6) AS early_instantaneous_amplitude_mean, round(ax, 6) AS early_instantaneous_amplitude_max, round(em, 6) AS early_instantaneous_energy_mean,
+@query(f"""WITH {_EARLY_SQL} SELECT recording_id, round(conc, 6) AS wavelet_time_frequency_concentration, CAST(ridge AS DOUBLE) AS wavelet_dominant_ridge_hz, round(am, 6) AS early_instantaneous_amplitude_mean, round(ax, 6) AS early_instantaneous_amplitude_max, round(em, 6) AS early_instantaneous_energy_mean,
  round(ex, 6) AS early_instantaneous_energy_max, round(g, 5) AS early_energy_growth_rate, round(hegr, 5) AS early_hegr, round(cg, 5) AS early_chatter_band_energy_growth, round(tg, 5) AS early_short_term_spectral_energy_growth FROM ea JOIN sl USING (recording_id) JOIN hg USING (recording_id) JOIN sh USING (recording_id)""")
 def early_features(spark, sf_dir):
     """The envelope and short-time features of the vectors themselves, one window each."""

@@ -185,7 +185,7 @@ def grouped_means(spark, sf_dir):
     return made.select("grouping", "key", F.round("mean", 4).alias("mean"), "n", F.round("z", 4).alias("z"))
 
 
-@query(f"""WITH {METADATA}, w AS ({FEATURES_SQL}), j AS (SELECT rpm, stickout, label, time_rms FROM w JOIN meta USING (recording_id))
+@query(f"""WITH {METADATA}, w AS ({FEATURES_SQL}), j AS (SELECT CAST(rpm AS DOUBLE) AS rpm, CAST(stickout AS DOUBLE) AS stickout, label, time_rms FROM w JOIN meta USING (recording_id))
 SELECT CASE WHEN GROUPING(rpm) = 0 AND GROUPING(stickout) = 0 THEN 'rpm,stickout' WHEN GROUPING(stickout) = 0 THEN 'label,stickout' ELSE 'label' END AS grouping, label, rpm, stickout, round(avg(time_rms), 4) AS mean, count(time_rms) AS n FROM j GROUP BY GROUPING SETS ((rpm, stickout), (label, stickout), (label))""")
 def means_by_conditions(spark, sf_dir):
     m = S.machining_metadata(spark, sf_dir).select("recording_id", "rpm", "stickout", "label")
