@@ -16,7 +16,7 @@ from tremor.functions import kernels as K
 from tremor.functions.expressions import clip
 from tremor.operators import spectral as P
 from tremor.operators import stage4
-from tremor.operators.spectral import map_arrays
+from tremor.operators.spectral import map_arrays, map_many
 from tremor.operators.tables import keep
 
 _D, _DS = T.DoubleType(), T.ArrayType(T.DoubleType())
@@ -38,7 +38,18 @@ def decompose(rows: DataFrame, keys: list[str], trials: int = 300, sifts: int =
     kept = [c for c in rows.columns if c != "source"]
     number = F.col(seed).cast("double") if seed else F.lit(42.0)
     packed = spread(rows.select(*kept, "source", F.concat(F.array(number), "source").alias("x")), *keys)
-    return map_arrays(packed, lambda v: (list(K.ensemble_modes(v[1:], trials, epsilon, int(v[0]), sifts, max_modes)),), [T.StructField("layers", T.ArrayType(_DS))])
+
+    def kernel(values):
+        alike: dict = {}
+        for i, v in enumerate(values):
+            alike.setdefault((len(v), int(v[0])), []).append(i)
+        layers: list = [None] * len(values)
+        for (_, number), rows in alike.items():  # rows of one length and seed share noise, so their trials are sifted together
+            for i, modes in zip(rows, K.ensembles(np.stack([values[i][1:] for i in rows]), trials, epsilon, number, sifts, max_modes), strict=True):
+                layers[i] = (modes,)
+        return layers
+
+    return map_many(packed, kernel, [T.StructField("layers", T.ArrayType(_DS))])
 
 
 def objective_weights(configured: dict[str, float] | None = None) -> dict[str, float]:

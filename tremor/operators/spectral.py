@@ -12,8 +12,17 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from tremor.functions.expressions import ratio
 
 
+#: Samples whose rows a kernel's results are held for before they go on to Spark.
+PIECE = 100_000
+
+
 def map_arrays(arrays: DataFrame, kernel, fields: list, column: str = "x") -> DataFrame:
     """arrays with further columns from kernel(one array) -> tuple of values; an array that is NULL or empty gives NULLs."""
+    return map_many(arrays, lambda values: [kernel(v) for v in values], fields, column)
+
+
+def map_many(arrays: DataFrame, kernel, fields: list, column: str = "x") -> DataFrame:
+    """The same with kernel(list of arrays) -> list of tuples, for work that is cheaper on many arrays at once."""
     kept = [f for f in arrays.schema.fields if f.name != column]
     schema = T.StructType([*kept, *fields])
     arrow = to_arrow_schema(schema)
@@ -23,9 +32,15 @@ def map_arrays(arrays: DataFrame, kernel, fields: list, column: str = "x") -> Da
 
     def run(batches):
         for batch in batches:
-            rows = [kernel(v) if len(v) else (None,) * len(types) for v in list_values(batch.column(at))]
-            new = [pa.array([r[k] for r in rows], type=kind) for k, kind in enumerate(types)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i).cast(kind) for i, kind in rest), *new], schema=arrow)
+            values = list_values(batch.column(at))
+            step = max(1, PIECE * len(values) // max(1, sum(map(len, values))))
+            for start in range(0, len(values), step):
+                part = batch.slice(start, step)
+                some = [v for v in values[start : start + step] if len(v)]
+                made = iter(kernel(some))
+                rows = [next(made) if len(v) else (None,) * len(types) for v in values[start : start + step]]
+                new = [pa.array([r[k] for r in rows], type=kind) for k, kind in enumerate(types)]
+                yield pa.RecordBatch.from_arrays([*(part.column(i).cast(kind) for i, kind in rest), *new], schema=arrow)
 
     return arrays.mapInArrow(run, schema)
 
