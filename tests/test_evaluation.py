@@ -218,3 +218,17 @@ def test_radial_margins_tell_rings_apart(spark):
     assert calibrated.p == pytest.approx(calibrated.y, abs=0.05)
     with pytest.raises(ValueError):
         learning.calibrated_margins(rows.filter("y = 1"), ["a", "b"], "y", "g", folds=2)
+
+
+@pytest.mark.parametrize("fit", [lambda df: learning.grouped_predictions(df, ["a", "b"], "y", "g", folds=2), lambda df: learning.calibrated_margins(df, ["a", "b"], "y", "g", folds=2, dims=0, iterations=2, most_inner=2)])
+def test_folds_make_their_rows_once(spark, fit):
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for pdf in batches:
+            made.add(len(pdf))
+            yield pdf
+
+    rows = spark.range(200).select((F.col("id") % 20).alias("g"), (F.col("id") % 7).cast("double").alias("a"), (F.col("id") % 11).cast("double").alias("b"), (F.col("id") % 2).cast("int").alias("y"))
+    assert fit(rows.mapInPandas(counted, rows.schema)).count() == 200
+    assert made.value == 200

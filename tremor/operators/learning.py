@@ -30,8 +30,8 @@ def models(seed: int = 7) -> dict:
 
 
 def prepared(rows: DataFrame, features: list[str], label: str, group: str, folds: int) -> DataFrame:
-    """Complete rows with balanced class weights and a fold per group; a group never spans two folds."""
-    complete = rows.dropna(subset=[*features, label]).select(*features, F.col(label).cast("double").alias("label"), F.col(group).alias("group"))
+    """Complete rows with balanced class weights and a fold per group; a group never spans two folds. Every fold and step of a fit reads these rows, so they are made once."""
+    complete = keep(rows.dropna(subset=[*features, label]).select(*features, F.col(label).cast("double").alias("label"), F.col(group).alias("group")), "complete")
     counts = complete.groupBy("label").agg(F.count("*").alias("n"))
     total = counts.agg(F.sum("n").alias("total"), F.count("*").alias("classes"))
     weights = counts.crossJoin(total).select("label", (F.col("total") / (F.col("classes") * F.col("n"))).alias("weight"))  # a row per class
