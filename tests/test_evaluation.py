@@ -232,3 +232,14 @@ def test_folds_make_their_rows_once(spark, fit):
     rows = spark.range(200).select((F.col("id") % 20).alias("g"), (F.col("id") % 7).cast("double").alias("a"), (F.col("id") % 11).cast("double").alias("b"), (F.col("id") % 2).cast("int").alias("y"))
     assert fit(rows.mapInPandas(counted, rows.schema)).count() == 200
     assert made.value == 200
+
+
+def test_files_without_a_match_do_not_meet_in_one_task(spark):
+    """Facts are joined to distinct conditions, so no join or shuffle of all files has ord as its key."""
+    files = spark.range(40).select(F.concat(F.lit("2inch/s_320_"), F.lpad((F.col("id") % 20).cast("string"), 3, "0"), F.lit("_"), F.col("id").cast("string"), F.lit(".mat")).alias("path"))
+    metadata = spark.createDataFrame([(7, 2.0, 320.0, 0.001, 0.004, "stable")], "ord long, stickout double, rpm double, depth_of_cut double, feed_rate double, label string")
+    made = X.dataset_index(files, metadata)
+    assert sorted({(r.ord, r.match, r.feed_rate) for r in made.collect()}, key=repr) == [(7, "tight", 0.004), (None, "name", 0.002)]
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    left = [line for line in plan.splitlines() if "Join LeftOuter" in line]
+    assert len(left) == 2 and not any("ord#" in line for line in left)

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from tremor.functions.expressions import standard_label
 from tremor.operators.metadata import basename, condition_of
+from tremor.operators.tables import keep
 
 
 @dataclass(frozen=True)
@@ -69,11 +70,11 @@ def first_match(files: DataFrame, metadata: DataFrame, levels: list[tuple[str, l
     All levels have the same keys. Conditions are matched, not files: the metadata's first row of each distinct condition stands for all its copies.
     """
     keys = [b.key for b in levels[0][1]]
-    conditions = files.select(*keys).distinct()
-    rows = metadata.groupBy(*keys).agg(F.min(order).alias("__order"))
+    conditions = keep(files.select(*keys).distinct(), "conditions")
+    rows = keep(metadata.groupBy(*keys).agg(F.min(order).alias("__order")), "rows")
     found, open_ = [], conditions
     for name, bands in levels:
-        hit = conditions_within(open_, rows, bands).groupBy(*keys).agg(F.min("__order").alias(order)).withColumn("match", F.lit(name))
+        hit = keep(conditions_within(open_, rows, bands).groupBy(*keys).agg(F.min("__order").alias(order)).withColumn("match", F.lit(name)), "hit")
         found.append(hit)
         open_ = open_.join(hit, keys, "left_anti")
     matched = reduce(DataFrame.unionByName, found)
@@ -129,10 +130,13 @@ def dataset_index(files: DataFrame, metadata: DataFrame, levels: list[tuple[str,
     named = named.withColumn("problem", problem).withColumn("recording_id", F.when(F.col("problem").isNull(), ids))
     copies = named.filter("recording_id IS NOT NULL").groupBy("recording_id").agg(F.count("*").alias("__n")).filter("__n > 1")
     named = named.join(copies, "recording_id", "left").withColumn("problem", F.coalesce("problem", F.when(F.col("__n") > 1, "several paths have this id"))).drop("__n")
-    matched = first_match(named, metadata, levels or [TIGHT, LOOSE], "ord")
+    levels = levels or [TIGHT, LOOSE]
+    keys = [b.key for b in levels[0][1]]
+    matched = first_match(named.select(*keys).distinct(), metadata, levels, "ord")
     facts = metadata.select("ord", "feed_rate", F.col("label").alias("__label"))
+    found = matched.filter("ord IS NOT NULL").join(facts, "ord")  # facts go to conditions: files without a match, or of one that many share, would meet in one task
     by_name = F.when(F.col("prefix") == "s", "stable").when(F.col("prefix") == "i", "incipient").otherwise("chatter")
-    joined = matched.join(facts, "ord", "left")
+    joined = named.join(found, keys, "left")
     return joined.select(
         "recording_id", "path", "stickout", "rpm", "depth_of_cut", F.coalesce("feed_rate", F.lit(DEFAULTS["feed_rate"])).alias("feed_rate"),
         *[F.lit(DEFAULTS[n]).alias(n) for n in ("tooth_count", "tool_id", "machine_id", "sensor_id", "chatter_onset_time")],
