@@ -234,6 +234,20 @@ def test_folds_make_their_rows_once(spark, fit):
     assert made.value == 200
 
 
+def test_scores_are_made_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for pdf in batches:
+            made.add(len(pdf))
+            yield pdf
+
+    rows = spark.range(90).select((F.col("id") % 9).alias("g"), (F.col("id") % 2).cast("int").alias("__y"), (F.col("id") / 90.0).alias("score"))
+    got = L.pooled_metrics(rows.mapInPandas(counted, rows.schema)).collect()[0]
+    assert got.tp + got.fp + got.fn + got.tn == 90 and 0.4 < got.auc < 0.6
+    assert made.value == 90
+
+
 def test_files_without_a_match_do_not_meet_in_one_task(spark):
     """Facts are joined to distinct conditions, so no join or shuffle of all files has ord as its key."""
     files = spark.range(40).select(F.concat(F.lit("2inch/s_320_"), F.lpad((F.col("id") % 20).cast("string"), 3, "0"), F.lit("_"), F.col("id").cast("string"), F.lit(".mat")).alias("path"))

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tremor.operators.detection import confusion, roc_auc
+from tremor.operators.tables import keep
 
 RIDGE = 1e-3
 
@@ -85,7 +86,7 @@ def with_models(rows: DataFrame, features: list[str], label: str, group: str, mo
     data = complete_rows(rows, features, label)
     means = data.agg(*[F.avg(F.col("__x")[i]) for i in range(d)]).collect()[0]
     centre = np.array([m or 0.0 for m in means], dtype=float)
-    per = group_statistics(data, group, centre, full)
+    per = keep(group_statistics(data, group, centre, full), "statistics")  # a row per group, read for the sum and for the models
     sums = per.agg(*[F.sum(F.col("s")[i]) for i in range(2 + 2 * d + (d * (d + 1) // 2 if full else d))]).collect()[0]  # a few numbers
     total = np.array([v or 0.0 for v in sums], dtype=float)
 
@@ -112,7 +113,7 @@ def leave_one_group_out(rows: DataFrame, features: list[str], label: str, group:
 
 def pooled_metrics(scored: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The usual metrics over all out-of-fold rows together, with the area under the curve (both classes needed)."""
-    known = scored.filter("score IS NOT NULL").withColumn("__p", (F.col("score") >= threshold).cast("int"))
+    known = keep(scored.filter("score IS NOT NULL").select("__y", "score", (F.col("score") >= threshold).cast("int").alias("__p")), "scored")  # read four times
     return confusion(known, "__y", "__p").crossJoin(roc_auc(known, "__y", "score").select("auc"))  # one row each
 
 
