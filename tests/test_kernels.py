@@ -159,3 +159,25 @@ def test_preprocessing(spark):
     for bad in ({"trend": "cubic"}, {"percentile": 0.0}, {"high": 100.0}):
         with pytest.raises(ValueError):
             C.preprocess(rows, 5.0, 200.0, **bad)
+
+
+def test_results_go_on_in_pieces(spark):
+    from pyspark.sql import functions as F
+
+    from tremor.operators import spectral
+
+    rows = spark.range(0, 5000, 1, 1).select("id", F.when(F.col("id") != 7, F.array_repeat(F.col("id").cast("double"), 64)).alias("x"))
+    made = spectral.map_many(rows, lambda values: [(float(v[0]), len(values)) for v in values], [spectral.T.StructField("first", spectral.T.DoubleType()), spectral.T.StructField("together", spectral.T.IntegerType())]).collect()
+    assert all(r.first == (None if r.id == 7 else r.id) for r in made) and len(made) == 5000
+    assert max(r.together or 0 for r in made) * 64 <= spectral.PIECE * 1.01
+
+
+def test_metrics_of_odd_modes(spark):
+    from tremor.operators import stage4
+
+    flat, wave = [2.0] * 64, np.sin(np.arange(64) * 0.7).tolist()
+    rows = spark.createDataFrame([(1, wave, [wave, flat, wave]), (2, wave, [wave]), (3, wave, [wave, flat])], "recording_id int, source array<double>, layers array<array<double>>").selectExpr("*", "CAST(NULL AS DOUBLE) AS rpm", "CAST(NULL AS DOUBLE) AS tooth_count")
+    got = {r.recording_id: r for r in stage4.layer_metrics(rows, 64.0, (8.0, 20.0), 4, 0.5).collect()}
+    first, still = got[1].metrics
+    assert first.correlation == pytest.approx(1) and still.correlation is None and still.kurtosis is None and still.entropy is None and still.centre_hz == 0
+    assert got[1].adjacent_mean is None and got[2].metrics == [] and got[2].spectral_overlap == 0 and len(got[3].metrics) == 1

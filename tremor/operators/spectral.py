@@ -55,13 +55,18 @@ def list_values(column: pa.Array) -> list[np.ndarray]:
 
 def welch(x: np.ndarray, fs: float, nperseg: int) -> np.ndarray:
     """One-sided density: periodic Hann window, half overlap, mean removed from each segment."""
-    n = min(len(x), nperseg)
+    return welch_rows(x[None], fs, nperseg)[0]
+
+
+def welch_rows(x: np.ndarray, fs: float, nperseg: int) -> np.ndarray:
+    """The density of each row."""
+    n = min(x.shape[1], nperseg)
     step = n - n // 2
     w = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(n) / n)
-    segments = np.lib.stride_tricks.sliding_window_view(x, n)[::step]
-    power = np.abs(np.fft.rfft((segments - segments.mean(1, keepdims=True)) * w, axis=1)) ** 2 / (fs * (w * w).sum())
-    power[:, 1 : -1 if n % 2 == 0 else None] *= 2
-    return power.mean(0)
+    segments = np.lib.stride_tricks.sliding_window_view(x, n, axis=1)[:, ::step]
+    power = np.abs(np.fft.rfft((segments - segments.mean(2, keepdims=True)) * w, axis=2)) ** 2 / (fs * (w * w).sum())
+    power[:, :, 1 : -1 if n % 2 == 0 else None] *= 2
+    return power.mean(1)
 
 
 def psd(arrays: DataFrame, fs: float, nperseg: int = 1024, column: str = "x") -> DataFrame:

@@ -46,12 +46,18 @@ def correlation_of(a: np.ndarray, b: np.ndarray) -> float | None:
     return abs(float(a @ b)) / size if size > 0 else None
 
 
-def _kurtosis(x: np.ndarray) -> float | None:
-    n, d = len(x), x - x.mean()
-    spread = float((d * d).mean())
-    if n < 4 or spread <= 2.220446049250313e-16**2:
-        return None
-    return (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * (float((d**4).mean()) / spread**2 - 3) + 6) + 3
+def _kurtosis(centred: np.ndarray) -> list[float | None]:
+    """Of each centred row."""
+    n, squares = centred.shape[1], centred * centred
+    spread, fourth = squares.mean(1).tolist(), (squares * squares).mean(1).tolist()
+    if n < 4:
+        return [None] * len(spread)
+    return [None if s <= 2.220446049250313e-16**2 else (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * (f / s**2 - 3) + 6) + 3 for s, f in zip(spread, fourth, strict=True)]
+
+
+def _correlations(products: np.ndarray, a: np.ndarray, b) -> list[float | None]:
+    """Absolute correlations from sums of products and of squares; None where one side is constant."""
+    return [abs(p) / s if s > 0 else None for p, s in zip(products.tolist(), np.sqrt(a * b).tolist(), strict=True)]
 
 
 def layer_metrics(rows: DataFrame, fs: float, chatter: tuple[float, float], harmonics: int, tolerance: float, nperseg: int = 1024) -> DataFrame:
@@ -70,24 +76,26 @@ def layer_metrics(rows: DataFrame, fs: float, chatter: tuple[float, float], harm
         forced = np.zeros(len(freq), dtype=bool)
         for base in v[1:3][np.isfinite(v[1:3])]:
             forced |= (np.abs(freq[:, None] - base * np.arange(1, harmonics + 1)) <= tolerance).any(1)
-        made, centred, masses = [], [], []
-        for x in layers[:-1]:
-            p = P.welch(x, fs, nperseg)
-            total = float(p.sum())
-            q = p / total if total > 0 else p
-            masses.append(q)
-            centre = float(freq @ q)
-            known = q[q > 0]
-            centred.append(x - x.mean())
-            values = (float(x @ x), _kurtosis(x), correlation_of(centred[-1], source), centre, float(np.sqrt((freq - centre) ** 2 @ q)))
-            shape = (float(-(known * np.log2(known)).sum() / np.log2(len(q))), float(freq[p.argmax()]), float(q[inside].sum()), float(q[forced].sum())) if total > 0 else (None,) * 4
-            made.append(dict(zip(_LAYER, values + shape, strict=True)))
-        near = [r for a, b in zip(centred, centred[1:], strict=False) if (r := correlation_of(a, b)) is not None]
-        overlaps = [min(1.0, float(np.minimum(a, b).sum())) for a, b in zip(masses, masses[1:], strict=False)]
+        modes = layers[:-1]
+        centred = modes - modes.mean(1, keepdims=True)
+        squares = (centred * centred).sum(1)
+        p = P.welch_rows(modes, fs, nperseg)
+        total = p.sum(1)
+        some = total > 0
+        masses = np.divide(p, total[:, None], out=p.copy(), where=some[:, None])
+        centre = masses @ freq
+        log = np.log2(masses, out=np.zeros_like(masses), where=masses > 0)
+        columns = [
+            (modes * modes).sum(1).tolist(), _kurtosis(centred), _correlations(centred @ source, squares, source @ source), centre.tolist(), np.sqrt(((freq - centre[:, None]) ** 2 * masses).sum(1)).tolist(),
+            *([v if ok else None for v, ok in zip(c.tolist(), some, strict=True)] for c in (-(masses * log).sum(1) / np.log2(len(freq)), freq[p.argmax(1)], masses[:, inside].sum(1), masses[:, forced].sum(1))),
+        ]
+        made = [dict(zip(_LAYER, values, strict=True)) for values in zip(*columns, strict=True)]
+        near = [r for r in _correlations((centred[:-1] * centred[1:]).sum(1), squares[:-1], squares[1:]) if r is not None]
+        overlaps = np.minimum(1.0, np.minimum(masses[:-1], masses[1:]).sum(1)) if len(masses) > 1 else []
         energy = float((layers * layers).sum())
         total = layers.sum(0)
         cross = (float(total @ total) - energy) / energy if energy > 0 else None
-        return made, float(np.mean(near)) if near else None, max(near, default=None), cross, float(np.mean(overlaps)) if overlaps else 0.0
+        return made, float(np.mean(near)) if near else None, max(near, default=None), cross, float(np.mean(overlaps)) if len(overlaps) else 0.0
 
     return map_arrays(packed, kernel, fields)
 
