@@ -156,6 +156,28 @@ def test_components_of_chains(spark):
     assert got == {**dict.fromkeys(range(61), 0), 100: 100, 101: 100, **dict.fromkeys((200, 201, 203, 205), 200)}
 
 
+def test_components_in_rounds_and_at_once(spark, monkeypatch):
+    """A small edge table is solved in a few jobs instead of rounds; a table over the bound goes in rounds, with the same result."""
+    rng = random.Random(11)
+    edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(260)] + [(7, 7), (3, 5), (5, 3), (3, 5)] + [(1000 + i, 1001 + i) for i in range(40)]
+    root = {x: x for e in edges if e[0] != e[1] for x in e}
+    for _ in root:
+        for a, b in edges:
+            if a != b:
+                root[a] = root[b] = min(root[a], root[b])
+    table_of = materialize(spark.createDataFrame(edges, "a long, b long").repartition(9), "edges")
+    jobs = []
+    for bound in (100_000, 50, 0):
+        monkeypatch.setattr(components, "EDGES", bound, raising=False)
+        spark.sparkContext.setJobGroup(group := f"components-{bound}", "")
+        got = components.components(table_of, "a", "b").collect()
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(group)))
+        assert sorted((r.node, r.root) for r in got) == sorted(root.items())
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs[0] <= 6 < jobs[1], jobs
+    assert not components.components(table_of.filter("a < 0"), "a", "b").collect()
+
+
 def shared_runs(a, b, same):
     """All maximal runs of equal lines of a and b, as (lo, hi, shift) of a; of one text, with what comes before in it."""
     for shift in range(1 if same else -len(b) + 1, len(a)):

@@ -253,31 +253,40 @@ def with_heads(lists: DataFrame) -> DataFrame:
     return kept[0].union(kept[1]) if len(kept) > 1 else kept[0]
 
 
+#: What a pair of a head and another set carries along: the head's size, the other's, and how many counted shingles that shares with nobody.
+CARRIED = {"__hn": T.IntegerType(), "__n": T.IntegerType(), "__own": T.LongType()}
+
+
+def _nothing() -> list:
+    """CARRIED, for rows that have none of it."""
+    return [F.lit(None).cast(kind).alias(name) for name, kind in CARRIED.items()]
+
+
 def verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """pairs (__a, __b, __star) with __link, whether the sets of their texts reach the threshold; and of stars __delta.
+    """pairs (__a, __b, __star, and CARRIED) with __link, whether the sets of their texts reach the threshold; and of stars __delta.
 
     Where the two are near (__far false) that is what __b's set differs in, where they are far (__far true) its whole set; a pair on the border
     has a row for each.
     """
     border = NEAR - (100 - percent) / 100 - 1e-9
     salts = pairs.groupBy("__a").agg(F.count("*").alias("__c")).withColumn("__salts", F.ceil(F.col("__c") / SALT_ROWS).cast("int")).drop("__c")
-    members = pairs.join(salts, "__a").select("__a", F.pmod(F.xxhash64("__b"), F.col("__salts")).cast("int").alias("__salt"), "__b", "__star")
-    heads = salts.select("__a", F.explode(F.sequence(F.lit(0), F.col("__salts") - 1)).alias("__salt"), F.lit(None).cast("long").alias("__b"), F.lit(False).alias("__star"))
+    members = pairs.join(salts, "__a").select("__a", F.pmod(F.xxhash64("__b"), F.col("__salts")).cast("int").alias("__salt"), "__b", "__star", *CARRIED)
+    heads = salts.select("__a", F.explode(F.sequence(F.lit(0), F.col("__salts") - 1)).alias("__salt"), F.lit(None).cast("long").alias("__b"), F.lit(False).alias("__star"), *_nothing())
     asked = members.withColumn("__node", F.col("__b")).union(heads.withColumn("__node", F.col("__a")))
-    joined = texts.join(asked.hint("shuffle_hash"), "__node").select("__a", "__salt", "__b", "__star", "__text")
+    joined = texts.join(asked.hint("shuffle_hash"), "__node").select("__a", "__salt", "__b", "__star", "__text", *CARRIED)
     dealt = joined.repartition("__a", "__salt").sortWithinPartitions("__a", "__salt", F.col("__b").asc_nulls_first())
     schema = T.StructType([
         T.StructField("__a", T.LongType()), T.StructField("__b", T.LongType()), T.StructField("__star", T.BooleanType()), T.StructField("__link", T.BooleanType()),
-        T.StructField("__far", T.BooleanType()), T.StructField("__delta", T.ArrayType(T.LongType())),
+        T.StructField("__far", T.BooleanType()), T.StructField("__delta", T.ArrayType(T.LongType())), *(T.StructField(name, kind) for name, kind in CARRIED.items()),
     ])
     arrow = to_arrow_schema(schema)
 
     def run(batches):
         own = head = None
         for batch in batches:
-            for a, salts, b, stars, texts in chunks(batch, 4):
+            for a, salts, b, stars, texts, *carried in chunks(batch, 4):
                 got: list[tuple] = []
-                for x, salt, y, star, t in zip(a, salts, b, stars, texts, strict=True):
+                for x, salt, y, star, t, *more in zip(a, salts, b, stars, texts, *carried, strict=True):
                     h = shingles_of(t, words)
                     if y is None:
                         own, head = h, (x, salt)
@@ -289,9 +298,9 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Da
                     gap = len(delta) / (len(delta) + both)
                     link = 100 * both >= percent * (both + len(delta))
                     if gap <= NEAR or not star:
-                        got.append((x, y, star, link, False, delta.view(np.int64) if star else None))
+                        got.append((x, y, star, link, False, delta.view(np.int64) if star else None, *more))
                     if gap > border and star:
-                        got.append((x, y, star, link, True, h.view(np.int64)))
+                        got.append((x, y, star, link, True, h.view(np.int64), *more))
                 if got:
                     yield pa.RecordBatch.from_arrays([pa.array([g[k] for g in got], type=f.type) for k, f in enumerate(arrow)], schema=arrow)
 
@@ -352,18 +361,17 @@ def _links(open_lists: DataFrame, texts: DataFrame, words: int, percent: int, sh
     labels = parts = None
     while open_lists.count():
         stars = open_lists if parts is None else open_lists.filter(F.col("__c") > SMALL)
-        pairs = stars.filter("__node <> __head").select(F.col("__head").alias("__a"), F.col("__node").alias("__b")).distinct().withColumn("__star", F.lit(True))
+        pairs = stars.filter("__node <> __head").select(F.col("__head").alias("__a"), F.col("__node").alias("__b"), F.lit(True).alias("__star"), *CARRIED).distinct()
         if parts is not None:
-            pairs = pairs.union(small_pairs(open_lists.filter(F.col("__c") <= SMALL), parts, percent).withColumn("__star", F.lit(False)))
+            pairs = pairs.union(small_pairs(open_lists.filter(F.col("__c") <= SMALL), parts, percent).select("__a", "__b", F.lit(False).alias("__star"), *_nothing()))
         done = shelf.put("verified", verified(shelf.put("pairs", pairs), texts, words, percent))
         shelf.drop("pairs", "shared")
         labels = _relabelled(labels, done.filter("__link").select("__a", "__b"), shelf)
         if parts is not None and stars.isEmpty():
             break
-        met = done.filter("__star").select(F.col("__a").alias("__head"), F.col("__b").alias("__node"), "__far", "__delta")
-        sized = stars.select("__head", "__hn", "__node", "__n", "__own").distinct()
-        groups = shelf.put("groups", _open_groups(sized.join(met, ["__head", "__node"]), labels, done.count()))
-        shelf.drop("verified")
+        met = done.filter("__star").select(F.col("__a").alias("__head"), F.col("__b").alias("__node"), "__far", "__delta", *CARRIED)
+        groups = shelf.put("groups", _open_groups(met, labels, done.count(), shelf))
+        shelf.drop("verified", "facts")
         fits = (F.col("__size") <= BLOCK) & (F.col("__mass") <= BLOCK_SHINGLES)
         inside = shelf.put("inside", block_links(groups.filter(fits), labels, texts, words, percent))
         labels = _relabelled(labels, inside, shelf)
@@ -398,11 +406,12 @@ def _relabelled(labels: DataFrame | None, links: DataFrame, shelf: Shelf) -> Dat
     return labels
 
 
-def _open_groups(rows: DataFrame, labels: DataFrame, total: int) -> DataFrame:
+def _open_groups(rows: DataFrame, labels: DataFrame, total: int, shelf: Shelf) -> DataFrame:
     """Rows of the groups (__head, __far) that hold several labels, with the group's number of sets __size and of their shingles __mass."""
     labelled = rows.drop("__delta").join(labels, "__node", "left").withColumn("l", F.coalesce("__label", "__node"))
     facts = labelled.groupBy("__head", "__far").agg(F.count("*").alias("__size"), F.sum("__n").alias("__mass"), F.min("l").alias("lo"), F.max("l").alias("hi"))
-    return keyed_join(rows, facts.filter("lo <> hi").select("__head", "__far", "__size", "__mass"), ["__head", "__far"], "__size", total)
+    facts = shelf.put("facts", facts.filter("lo <> hi").select("__head", "__far", "__size", "__mass"))
+    return keyed_join(rows, facts, ["__head", "__far"], "__size", total)
 
 
 def connecting_links(nodes: list[int], labels: list[int], sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
