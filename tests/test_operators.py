@@ -1,5 +1,6 @@
 """Small exact cases of the operators, file sources and the streaming extension."""
 
+import hashlib
 import struct
 import zlib
 
@@ -203,3 +204,29 @@ def test_decomposition_validation(spark):
     assert same.orthogonality_index == pytest.approx(1) and same.mode_mixing_index == pytest.approx(1) and same.frequency_ordering_index in (0, 1)
     silent = make([(k, n, 0.0, False) for k in (1, 2) for n in range(64)])
     assert (silent.orthogonality_index, silent.mode_mixing_index, silent.frequency_ordering_index) == (0, 0, 1) and silent.energy_percent == [0, 0]
+
+
+def test_digests_of_files_too_large_for_a_row(spark, tmp_path, monkeypatch):
+    """Files beyond what one row may hold: bytes of all kinds, line ends at all places, a byte order mark, names that a packed file or a pattern has."""
+    monkeypatch.setattr(X, "WHOLE", 1000, raising=False)
+    rng = np.random.default_rng(7)
+    noise = rng.integers(0, 256, 300_000, dtype=np.uint8).tobytes()
+    mark = b"\xef\xbb\xbf"
+    contents = {
+        "noise.parquet": noise, "ended": noise + b"\n", "ended twice": noise + b"\n\n", "begun": b"\n\r\n" + noise, "marked": mark + noise, "mark [a]%20{b}": mark + noise + b"\n", "marks": mark + mark + noise,
+        "lines": b"\n" * 70_000, "returns": b"\r\n" * 40_000, "one line": b"x" * 200_000, "small": b"a\n", "packed.gz": zlib.compress(noise[:3000]), "deep/er/noise.bin": noise[::-1],
+    }
+    for name, content in contents.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(content)
+    settings = {"spark.sql.sources.binaryFile.maxLength": "5000", "spark.sql.files.maxPartitionBytes": "20000"}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        rows = X.digests(spark, str(tmp_path)).collect()
+    finally:
+        for k in settings:
+            spark.conf.unset(k)
+    assert sorted((r.sha256, r.length) for r in rows) == sorted((hashlib.sha256(c).hexdigest(), len(c)) for c in contents.values())
+    monkeypatch.setattr(X, "WHOLE", 1 << 29)
+    assert sorted(map(tuple, X.digests(spark, str(tmp_path)).collect())) == sorted(map(tuple, rows))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import io
 import struct
 import zlib
@@ -108,10 +109,89 @@ def metadata_template(files: DataFrame) -> DataFrame:
     return files.select(F.col("path").alias("relative_path"), name.alias("recording_id"), *blank)
 
 
+#: Bytes up to which a file is one row; larger ones go in pieces of PIECE bytes, as a row of 2 GB or more can't be read.
+WHOLE, PIECE = 1 << 30, 1 << 13
+#: Names of files that Spark's text source would unpack: always one row each.
+PACKED = ("bz2", "deflate", "gz", "lz4", "snappy", "zst")
+_MARK = b"\xef\xbb\xbf"
+
+
 def digests(spark: SparkSession, folder: str) -> DataFrame:
-    """SHA-256 and size of every file below a folder."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    return files.select("path", F.sha2("content", 256).alias("sha256"), "length")
+    """SHA-256 and size of every file below a folder (Spark lists no empty files).
+
+    Large files are read side by side, in ranges of bytes; their pieces then go in order through one task for each file, which holds a few of them at a
+    time: SHA-256 can't be worked out in any other order.
+    """
+    read = lambda kind, names="*": spark.read.format(kind).option("recursiveFileLookup", "true").option("pathGlobFilter", names).option("lineSep", "\n").load(folder)
+    of = lambda files: files.select("path", F.sha2("content", 256).alias("sha256"), "length")
+    files, large = read("binaryFile"), F.col("length") > WHOLE
+    names = files.filter(large).select("path", "length", F.col("_metadata.file_path").alias("__file"))
+    if names.isEmpty():
+        return of(files)
+    plain = ~F.col("_metadata.file_name").rlike(rf"\.({'|'.join(PACKED)})$")
+    ends = read("text").filter((F.col("_metadata.file_size") > WHOLE) & plain)
+    lines = ends.select(F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_size").alias("__size"), F.col("_metadata.file_block_start").alias("__block"), F.col("value").cast("binary").alias("__bytes"))
+    pieces = lines.mapInArrow(_pieces, "__file string, __size long, __block long, __at long, __bytes binary")
+    hashed = pieces.repartition("__file").sortWithinPartitions("__file", "__block", "__at").mapInArrow(_hashed, "__file string, sha256 string")
+    found = hashed.join(F.broadcast(names), "__file").select("path", "sha256", "length")
+    return of(files.filter(~large)).union(of(read("binaryFile", f"*.{{{','.join(PACKED)}}}").filter(large))).union(found)
+
+
+def _pieces(batches):
+    """Lines of a range of a file, each with its end, as pieces of at most PIECE bytes in their order."""
+    last, at, held = None, 0, bytearray()
+
+    def cut(rest: bool):
+        nonlocal at
+        stop = len(held) if rest else len(held) - len(held) % PIECE
+        parts = [bytes(held[i : min(i + PIECE, stop)]) for i in range(0, stop, PIECE)]
+        del held[:stop]
+        at += len(parts)
+        columns = [[x] * len(parts) for x in last] + [range(at - len(parts), at), parts]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["__file", "__size", "__block", "__at", "__bytes"])
+
+    for batch in batches:
+        for *key, line in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if key != last:
+                if last:
+                    yield cut(True)
+                last, at = key, 0
+            held += line
+            held += b"\n"
+            if len(held) >= 256 * PIECE:
+                yield cut(False)
+    if last:
+        yield cut(True)
+
+
+def _hashed(batches):
+    """SHA-256 of each file from its sorted pieces.
+
+    Whether the last line has an end, and whether the source left out a byte order mark before the first, is seen from the file's size; so the last
+    byte is held back, and a second digest begins with the mark.
+    """
+    last, n, digest, held = None, 0, (), b""
+
+    def done():
+        missing = last[1] - n
+        if missing not in (0, 1, 3, 4):
+            raise ValueError(f"{last[0]} has {last[1]} bytes, {n} were read")
+        made = digest[missing >= 3]
+        if missing % 3:
+            made.update(held)
+        return pa.RecordBatch.from_arrays([pa.array([last[0]]), pa.array([made.hexdigest()])], names=["__file", "sha256"])
+
+    for batch in batches:
+        for file, size, part in zip(*(batch.column(k).to_pylist() for k in (0, 1, 4)), strict=True):
+            if (file, size) != last:
+                if last:
+                    yield done()
+                last, n, digest, held = (file, size), -1, (hashlib.sha256(), hashlib.sha256(_MARK)), b""
+            for d in digest:
+                d.update(held + part[:-1])
+            n, held = n + len(part), part[-1:]
+    if last:
+        yield done()
 
 
 def without_nan(df: DataFrame) -> DataFrame:
