@@ -181,3 +181,20 @@ def test_metrics_of_odd_modes(spark):
     first, still = got[1].metrics
     assert first.correlation == pytest.approx(1) and still.correlation is None and still.kurtosis is None and still.entropy is None and still.centre_hz == 0
     assert got[1].adjacent_mean is None and got[2].metrics == [] and got[2].spectral_overlap == 0 and len(got[3].metrics) == 1
+
+
+@pytest.mark.parametrize("name", ["full_pipeline_features", "dynamic_pipeline_features"])
+def test_the_whole_chain_takes_all_trials(spark, monkeypatch, name):
+    import __spark_entry__ as entry
+    from tremor.operators import search as R
+
+    class Seen(Exception):
+        pass
+
+    def decompose(rows, keys, trials=300, sifts=16, **more):
+        raise Seen(trials, sifts, more)
+
+    monkeypatch.setattr(R, "decompose", decompose)
+    with pytest.raises(Seen) as seen:
+        entry.queries()[name](spark, "/root/testdata/sf0.001")
+    assert seen.value.args == (300, 16, {})

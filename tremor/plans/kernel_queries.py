@@ -157,13 +157,13 @@ def _with_metadata(spark, sf_dir):
 
 @query()
 def full_pipeline_features(spark, sf_dir):
-    """All four stages with the search's 15 trials: 54 static features of every window."""
-    return K.features(_with_metadata(spark, sf_dir), 2.0, 28.0, FS, BAND, 32, 16, "db2", 2, 4, 0.5, trials=15)
+    """All four stages with 300 trials and 16 sifts: 54 static features of every window."""
+    return K.features(_with_metadata(spark, sf_dir), 2.0, 28.0, FS, BAND, 32, 16, "db2", 2, 4, 0.5)
 
 
 @query()
 def dynamic_pipeline_features(spark, sf_dir):
-    return K.features(_with_metadata(spark, sf_dir), 2.0, 28.0, FS, BAND, 32, 16, "db2", 2, 4, 0.5, trials=15, dynamic=True)
+    return K.features(_with_metadata(spark, sf_dir), 2.0, 28.0, FS, BAND, 32, 16, "db2", 2, 4, 0.5, dynamic=True)
 
 
 _TONE = "(0.3 * sin(2 * pi() * 12.3 * n / 64) + 0.1 * cos(2 * pi() * 25.7 * n / 64))"
