@@ -183,6 +183,24 @@ def test_metrics_of_odd_modes(spark):
     assert got[1].adjacent_mean is None and got[2].metrics == [] and got[2].spectral_overlap == 0 and len(got[3].metrics) == 1
 
 
+def test_both_envelopes_are_solved_at_once(monkeypatch):
+    solve, asked = K._tridiagonal, []
+    monkeypatch.setattr(K, "_tridiagonal", lambda g, *rest: asked.append(g.shape[1]) or solve(g, *rest))
+    h = np.random.default_rng(5).normal(size=(64, 100))
+    assert K.sifted(h, 3).all() and asked == [200] * 3
+
+
+@pytest.mark.parametrize("columns", [1, 70])
+def test_one_sift_by_its_definition(columns):
+    h = np.random.default_rng(6).normal(size=(50, columns)).cumsum(axis=0)
+    want, d = h.T.copy(), np.diff(h.T, axis=1)
+    top, low = np.zeros((2, columns, 50), dtype=bool)
+    top[:, 1:-1], low[:, 1:-1] = (d[:, :-1] > 0) & (d[:, 1:] <= 0), (d[:, :-1] < 0) & (d[:, 1:] >= 0)
+    ok = (top.sum(1) >= 2) & (low.sum(1) >= 2)
+    want[ok] -= (K._spline_rows(top[ok], want[ok]) + K._spline_rows(low[ok], want[ok])) / 2
+    assert (K.sifted(h, 1) == ok).all() and np.allclose(h.T, want, atol=1e-12)
+
+
 @pytest.mark.parametrize("name", ["full_pipeline_features", "dynamic_pipeline_features"])
 def test_the_whole_chain_takes_all_trials(spark, monkeypatch, name):
     import __spark_entry__ as entry
