@@ -201,6 +201,15 @@ def test_one_sift_by_its_definition(columns):
     assert (K.sifted(h, 1) == ok).all() and np.allclose(h.T, want, atol=1e-12)
 
 
+def test_stability_of_the_grid_is_worked_out_once(spark):
+    from tremor.operators import search as R
+
+    rows = spark.createDataFrame([(k, np.random.default_rng(k).normal(size=64).tolist()) for k in range(2)], "recording_id int, x array<double>")
+    made = R.cutoff_grid(rows, [2.0, 4.0], [42, 43], 24.0, 64.0, (8.0, 20.0), trials=2, sifts=2)
+    assert "MapInArrow" not in made._jdf.queryExecution().toString()  # it is read twice: by seed and for the means
+    assert made.count() == 4
+
+
 @pytest.mark.parametrize("name", ["full_pipeline_features", "dynamic_pipeline_features"])
 def test_the_whole_chain_takes_all_trials(spark, monkeypatch, name):
     import __spark_entry__ as entry

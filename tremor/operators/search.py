@@ -205,7 +205,7 @@ def cutoff_grid(
     cells = keep(decompose(rated.select(*keys, "source", F.explode(F.array(*map(F.lit, seeds))).alias("seed")), [*keys, "seed"], trials, sifts, seed="seed"), "cells")
     metrics = keep(cell_metrics(cells, fs, chatter, nperseg), "metrics")
     packed = cells.select(*keys, "seed", "layers").join(metrics.select(*keys, "seed", "metrics"), [*keys, "seed"]).withColumn("gates", F.transform("metrics", lambda m: F.lit(0.0)))
-    stability = seed_stability(packed, keys, fs, metrics)
+    stability = keep(seed_stability(packed, keys, fs, metrics), "stability")
     shared = rated.select(*keys, "rank", band_distortion(F.col("before"), F.col("after")).alias("chatter_band_distortion")).join(stability, keys)
     own = ("spectral_overlap", "maximum_adjacent_correlation", "absolute_orthogonality", "frequency_ordering")
     by_seed = metrics.select(*keys, "seed", *own).join(shared, keys).withColumn("__o", objective(weights))
