@@ -230,3 +230,15 @@ def test_digests_of_files_too_large_for_a_row(spark, tmp_path, monkeypatch):
     assert sorted((r.sha256, r.length) for r in rows) == sorted((hashlib.sha256(c).hexdigest(), len(c)) for c in contents.values())
     monkeypatch.setattr(X, "WHOLE", 1 << 29)
     assert sorted(map(tuple, X.digests(spark, str(tmp_path)).collect())) == sorted(map(tuple, rows))
+
+
+def test_no_row_of_a_digest_is_large(spark, tmp_path):
+    """Executors read several files at once, so what a row may hold is far below their memory."""
+    content = np.random.default_rng(3).integers(0, 256, 80_000_000, dtype=np.uint8).tobytes()
+    (tmp_path / "a.parquet").write_bytes(content)
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", str(70_000_000))
+    try:
+        rows = X.digests(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
+    assert [(r.sha256, r.length) for r in rows] == [(hashlib.sha256(content).hexdigest(), len(content))]

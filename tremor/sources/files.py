@@ -109,8 +109,8 @@ def metadata_template(files: DataFrame) -> DataFrame:
     return files.select(F.col("path").alias("relative_path"), name.alias("recording_id"), *blank)
 
 
-#: Bytes up to which a file is one row; larger ones go in pieces of PIECE bytes, as a row of 2 GB or more can't be read.
-WHOLE, PIECE = 1 << 30, 1 << 13
+#: Bytes up to which a file is one row, which a task holds several times over; larger ones go in pieces of PIECE bytes.
+WHOLE, PIECE = 1 << 26, 1 << 13
 #: Names of files that Spark's text source would unpack: always one row each.
 PACKED = ("bz2", "deflate", "gz", "lz4", "snappy", "zst")
 _MARK = b"\xef\xbb\xbf"
