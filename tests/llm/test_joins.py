@@ -96,6 +96,27 @@ def test_blocks_connect_what_links_connect():
         assert classes(found) == classes(every) and len(found) == len(set(labels)) - len(set(classes(every)))
 
 
+def test_sets_of_unlike_sizes_do_not_meet(docs, monkeypatch):
+    """Beginnings of one text share all their shingles, but none is within a link's reach of another; a longer one than BLOCK allows is split by sizes, not indexed again."""
+    monkeypatch.setattr(jaccard, "BLOCK", 4)
+    monkeypatch.setattr(jaccard, "difference_lists", lambda *_: pytest.fail("indexed again"))
+    words = [f"w{k}" for k in range(4000)]
+    rows = [(2 * k + twin, " ".join(words[: int(20 * 1.3**k)] + ["end"] * twin)) for k in range(20) for twin in (0, 1)]
+    got = {r.doc_id: r.component_id for r in jaccard.jaccard_report(docs(rows)).collect()}
+    assert got == {i: i - i % 2 for i, _ in rows}
+
+
+def test_shingles_of_many_texts_at_once():
+    rng = np.random.default_rng(1)
+    texts = [None, "", " \n", "one", "Two words", "a b c", "a b c d", "é ü\ud800 x y z x y z", *(" ".join(rng.choice(["a", "B", "cc", "d\t"], n)) for n in (3, 4, 5, 50, 5000)), "x" * 200_000]
+    made = jaccard.shingle_sets(texts)
+    for text, h in zip(texts, made, strict=True):
+        words = (text or "").lower().split()
+        assert len(h) == len({tuple(words[i : i + 4]) for i in range(max(1, len(words) - 3))} if words else ()) and (np.diff(h.view(np.int64).astype(object)) != 0).all()
+        assert (h == jaccard.shingles_of(text)).all() and (np.sort(h) == h).all()
+    assert made[5].tolist() != made[6].tolist() and not set(made[3].tolist()) & set(made[4].tolist())
+
+
 def test_many_edited_copies_of_copies(docs):
     """Thousands of copies, each an edited copy of an earlier one, take few rounds."""
     rng = random.Random(8)

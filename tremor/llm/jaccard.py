@@ -13,7 +13,8 @@ component. No link is lost:
   group are indexed, in families of neighbouring set sizes; a group of x promises x - 1. Prefixes are extended until they promise tau + 1.
 * Lists of an index entry are not expanded into pairs. Each list's likely original, its head (the class with the fewest shingles that nobody
   shares), meets the others of the list, and exact overlaps decide. Lists that lie in one component are closed.
-* The sets that met one head, near or far, are its group. A group of at most BLOCK sets (nearly all are) is decided at once inside one task:
+* The sets that met one head, near or far, are its group; of a group of more than BLOCK sets, those of neighbouring sizes are groups of their
+  own, as others don't link. A group of at most BLOCK sets (nearly all are) is decided at once inside one task:
   counts by parts of the hash range bound all overlaps, exact overlaps decide what the bounds leave, and sets that are known to be
   connected don't meet again; only the links that connect go out.
 * What is left of a longer list is indexed again, by what each set differs in from the head. Let e be the size of such a difference. Two sets x and y
@@ -55,8 +56,10 @@ FREQUENT = 0.005
 SALT_ROWS = 64
 #: Rows of a list that meet pair by pair, without a head.
 SMALL = 64
-#: Sets, and shingles of all of them, up to which a head's group is decided at once inside a task.
-BLOCK, BLOCK_SHINGLES = 1024, 2_000_000
+#: Sets, and shingles of all of them, up to which a head's group, or its sets of neighbouring sizes, are decided at once inside a task.
+BLOCK, BLOCK_SHINGLES = 4096, 4_000_000
+#: Bytes of text that are hashed together.
+TOGETHER = 1 << 16
 #: Distance to a head up to which a set is indexed by its differences from it.
 NEAR = 0.5
 #: Parts of the hash range that bound an overlap, three counts of 16 bits to a long.
@@ -68,24 +71,52 @@ _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_STEP = mix64(np.arange(1, 65, dtype=np.uint64))  # one for each place in a shingle
+_STEP = mix64(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)  # one for each place in a shingle
 
 
 def shingles_of(text: str | None, words: int = WORDS) -> np.ndarray:
     """Sorted distinct shingle hashes of a text."""
-    if not text:
-        return np.empty(0, dtype=np.uint64)
-    data = _LOWER[np.frombuffer(text.encode("utf-8", "surrogatepass"), dtype=np.uint8)]
+    return shingle_sets([text], words)[0]
+
+
+def shingle_sets(texts: list[str | None], words: int = WORDS) -> list[np.ndarray]:
+    """shingles_of each text; short texts are hashed together."""
+    out: list[np.ndarray] = []
+    held: list[bytes] = []
+    size = 0
+    for t in texts:
+        held.append(t.encode("utf-8", "surrogatepass") if t else b"")
+        size += len(held[-1])
+        if size >= TOGETHER:
+            out += _shingles(held, words)
+            held, size = [], 0
+    return out + _shingles(held, words) if held else out
+
+
+def _shingles(texts: list[bytes], words: int) -> list[np.ndarray]:
+    data = _LOWER[np.frombuffer(b" ".join(texts), dtype=np.uint8)]  # no word crosses the space
     first, last = spans_of(~_SPACE[data])
-    if not len(first):
-        return np.empty(0, dtype=np.uint64)
     h = span_hashes(data, first, last)
-    k = min(words, len(h))
-    n = len(h) - k + 1
-    total = np.full(n, np.uint64(k), dtype=np.uint64)
-    for i in range(k):
-        total += mix64(h[i : i + n] + _STEP[i : i + 1])
-    return np.unique(mix64(total))
+
+    def shingles(lo: int, hi: int, k: int) -> np.ndarray:  # of k words each, among the words lo to hi
+        n = hi - lo - k + 1
+        total = h[lo : lo + n] * _STEP[0]
+        for i in range(1, k):
+            total += h[lo + i : lo + i + n] * _STEP[i]
+        return mix64(total + np.uint64(k))
+
+    every = shingles(0, len(h), words) if len(h) >= words else h[:0]
+    ends = np.searchsorted(first, np.cumsum([len(t) + 1 for t in texts])).tolist()
+    out = []
+    for lo, hi in zip([0, *ends], ends, strict=False):
+        v = np.sort(every[lo : hi - words + 1] if hi - lo >= words else shingles(lo, hi, hi - lo)) if hi > lo else h[:0]
+        if len(v) > 1:
+            new = np.empty(len(v), dtype=bool)
+            new[0] = True
+            np.not_equal(v[1:], v[:-1], out=new[1:])
+            v = v[new]
+        out.append(v)
+    return out
 
 
 def set_key(h: np.ndarray) -> int:
@@ -163,7 +194,7 @@ def set_table(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFr
         often = (np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64))
         for batch in batches:
             for ids, texts in chunks(batch):
-                sets = [shingles_of(t, words) for t in texts]
+                sets = shingle_sets(texts, words)
                 keys = [set_key(h) for h in sets]
                 yield batch_of(len(ids), {"__id": ids, "__n": [len(h) for h in sets], "__node": keys})
                 new = {k: h for k, h in zip(keys, sets, strict=True) if len(h) and k not in seen}
@@ -195,10 +226,8 @@ def index_table(docs: DataFrame, id_col: str, text_col: str, words: int, percent
     """(__sig, __node, __n, __own): index entries; __own: counted shingles that the class shares with nobody."""
     rows = _rows(docs, id_col, text_col)
     cut = np.uint64(int(COUNTED * 2.0**64))
-    schema = T.StructType([
-        T.StructField("__sig", T.LongType(), False), T.StructField("__node", T.LongType(), False), T.StructField("__n", T.IntegerType(), False),
-        T.StructField("__need", T.IntegerType(), False), T.StructField("__m", T.IntegerType(), False),
-    ])
+    # few and narrow columns, as this is the largest shuffle: __sizes holds the set's size above its counted shingles, __salt is 0 for entries that are counted
+    schema = T.StructType([T.StructField(c, kind, False) for c, kind in (("__sig", T.LongType()), ("__node", T.LongType()), ("__sizes", T.LongType()), ("__salt", T.IntegerType()))])
     arrow = to_arrow_schema(schema)
 
     def run(batches):
@@ -206,31 +235,31 @@ def index_table(docs: DataFrame, id_col: str, text_col: str, words: int, percent
         for batch in batches:
             for _, texts in chunks(batch):
                 parts: list[tuple] = []
-                for t in texts:
-                    h = shingles_of(t, words)
+                for h in shingle_sets(texts, words):
                     if not len(h) or (node := set_key(h)) in seen:
                         continue
                     seen.add(node)
-                    counted, need, direct = signatures(h, frequent, percent, cut)
-                    parts.append((np.concatenate([counted, direct]).view(np.int64), node, len(h), need, len(counted), len(direct)))
+                    counted, _, direct = signatures(h, frequent, percent, cut)
+                    salts = np.zeros(len(counted) + len(direct), dtype=np.int32)
+                    salts[len(counted) :] = 1 + node % 1024
+                    parts.append((np.concatenate([counted, direct]).view(np.int64), node, len(h) << 32 | len(counted), salts))
                 if not parts:
                     continue
                 sizes = [len(p[0]) for p in parts]
-                many = lambda k, kind: np.repeat(np.array([p[k] for p in parts], dtype=kind), sizes)  # noqa: B023, E731
-                need = many(3, np.int32)
-                place = np.arange(len(need)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-                need = np.where(place >= many(4, np.int32), -1, need)  # -1: in the index whatever its frequency
-                columns = [np.concatenate([p[0] for p in parts]), many(1, np.int64), many(2, np.int32), need.astype(np.int32), many(4, np.int32)]
+                many = lambda k: np.repeat(np.array([p[k] for p in parts], dtype=np.int64), sizes)  # noqa: B023, E731
+                columns = [np.concatenate([p[0] for p in parts]), many(1), many(2), np.concatenate([p[3] for p in parts])]
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
 
     found = rows.mapInArrow(run, schema)
     # entries of frequent shingles are dealt by class as well: their lists may be long, and they need no counting
-    dealt = found.withColumn("__salt", F.when(F.col("__need") < 0, F.pmod("__node", F.lit(1024))).otherwise(0)).repartition("__sig", "__salt")
-    counted = dealt.dropDuplicates(["__sig", "__salt", "__node"]).withColumn("__df", F.expr("count(*) OVER (PARTITION BY __sig, __salt)")).filter("__df > 1 OR __need < 0")
+    dealt = found.repartition("__sig", "__salt")
+    counted = dealt.dropDuplicates(["__sig", "__salt", "__node"]).withColumn("__df", F.expr("count(*) OVER (PARTITION BY __sig, __salt)")).filter("__df > 1 OR __salt > 0")
     # of a class's counted shingles those in one set only come first in the order, and meet nobody
-    rank = F.expr("row_number() OVER (PARTITION BY __node ORDER BY __need < 0, __df, __sig)")
-    ranked = counted.withColumn("__k", rank).withColumn("__shared", F.expr("count_if(__need >= 0) OVER (PARTITION BY __node)"))
-    return ranked.filter("__need < 0 OR __k <= __need - (__m - __shared)").select("__sig", "__node", "__n", (F.col("__m") - F.col("__shared")).alias("__own"))
+    rank = F.expr("row_number() OVER (PARTITION BY __node ORDER BY __salt > 0, __df, __sig)")
+    ranked = counted.withColumn("__k", rank).withColumn("__shared", F.expr("count_if(__salt = 0) OVER (PARTITION BY __node)"))
+    named = ranked.select("__sig", "__node", "__salt", "__k", F.expr("cast(shiftright(__sizes, 32) AS int)").alias("__n"), F.expr(f"(__sizes & {(1 << 32) - 1}L) - __shared").alias("__own"))
+    need = f"__n - (cast(__n AS long) * {percent} + 99) DIV 100 + 1"
+    return named.filter(f"__salt > 0 OR __k <= {need} - __own").select("__sig", "__node", "__n", "__own")
 
 
 def with_heads(lists: DataFrame) -> DataFrame:
@@ -262,51 +291,73 @@ def _nothing() -> list:
     return [F.lit(None).cast(kind).alias(name) for name, kind in CARRIED.items()]
 
 
-def verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """pairs (__a, __b, __star, and CARRIED) with __link, whether the sets of their texts reach the threshold; and of stars __delta.
-
-    Where the two are near (__far false) that is what __b's set differs in, where they are far (__far true) its whole set; a pair on the border
-    has a row for each.
-    """
-    border = NEAR - (100 - percent) / 100 - 1e-9
+def compared(pairs: DataFrame, texts: DataFrame, words: int, fields: list, rows_of) -> DataFrame:
+    """The rows (fields) that rows_of(set of __a, set of __b, values of the pair) makes of each of pairs (__a, __b, ..)."""
+    more = [f for f in pairs.schema.fields if f.name not in ("__a", "__b")]
+    names = [f.name for f in more]
     salts = pairs.groupBy("__a").agg(F.count("*").alias("__c")).withColumn("__salts", F.ceil(F.col("__c") / SALT_ROWS).cast("int")).drop("__c")
-    members = pairs.join(salts, "__a").select("__a", F.pmod(F.xxhash64("__b"), F.col("__salts")).cast("int").alias("__salt"), "__b", "__star", *CARRIED)
-    heads = salts.select("__a", F.explode(F.sequence(F.lit(0), F.col("__salts") - 1)).alias("__salt"), F.lit(None).cast("long").alias("__b"), F.lit(False).alias("__star"), *_nothing())
+    members = pairs.join(salts, "__a").select("__a", F.pmod(F.xxhash64("__b"), F.col("__salts")).cast("int").alias("__salt"), "__b", *names)
+    heads = salts.select("__a", F.explode(F.sequence(F.lit(0), F.col("__salts") - 1)).alias("__salt"), F.lit(None).cast("long").alias("__b"), *(F.lit(None).cast(f.dataType).alias(f.name) for f in more))
     asked = members.withColumn("__node", F.col("__b")).union(heads.withColumn("__node", F.col("__a")))
-    joined = texts.join(asked.hint("shuffle_hash"), "__node").select("__a", "__salt", "__b", "__star", "__text", *CARRIED)
+    joined = texts.join(asked.hint("shuffle_hash"), "__node").select("__a", "__salt", "__b", "__text", *names)
     dealt = joined.repartition("__a", "__salt").sortWithinPartitions("__a", "__salt", F.col("__b").asc_nulls_first())
-    schema = T.StructType([
-        T.StructField("__a", T.LongType()), T.StructField("__b", T.LongType()), T.StructField("__star", T.BooleanType()), T.StructField("__link", T.BooleanType()),
-        T.StructField("__far", T.BooleanType()), T.StructField("__delta", T.ArrayType(T.LongType())), *(T.StructField(name, kind) for name, kind in CARRIED.items()),
-    ])
+    schema = T.StructType(fields)
     arrow = to_arrow_schema(schema)
 
     def run(batches):
         own = head = None
         for batch in batches:
-            for a, salts, b, stars, texts, *carried in chunks(batch, 4):
+            for a, salts, b, texts, *carried in chunks(batch, 3):
                 got: list[tuple] = []
-                for x, salt, y, star, t, *more in zip(a, salts, b, stars, texts, *carried, strict=True):
-                    h = shingles_of(t, words)
+                for x, salt, y, h, *values in zip(a, salts, b, shingle_sets(texts, words), *carried, strict=True):
                     if y is None:
                         own, head = h, (x, salt)
                         continue
                     if head != (x, salt):
                         raise ValueError(f"no text for the set {x}")
-                    delta = np.setxor1d(own, h, assume_unique=True)
-                    both = (len(own) + len(h) - len(delta)) // 2
-                    gap = len(delta) / (len(delta) + both)
-                    link = 100 * both >= percent * (both + len(delta))
-                    if gap <= NEAR or not star:
-                        got.append((x, y, star, link, False, delta.view(np.int64) if star else None, *more))
-                    if gap > border and star:
-                        got.append((x, y, star, link, True, h.view(np.int64), *more))
+                    got += rows_of(own, h, x, y, *values)
                 if got:
                     yield pa.RecordBatch.from_arrays([pa.array([g[k] for g in got], type=f.type) for k, f in enumerate(arrow)], schema=arrow)
 
     return dealt.mapInArrow(run, schema)
 
 
+def _fields(**kinds) -> list:
+    return [T.StructField(name, kind) for name, kind in kinds.items()]
+
+
+def verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """pairs (__a, __b, __star, and CARRIED) with __link, whether the sets of their texts reach the threshold, and __far.
+
+    A star's set is near its head or far from it; a star on the border has a row for each. Stars of very unlike sizes are far, whatever their texts.
+    """
+    border = NEAR - (100 - percent) / 100 - 1e-9
+    less, more = F.least("__hn", "__n"), F.greatest("__hn", "__n")
+    apart = F.coalesce(F.col("__star") & (less < (1 - NEAR) * more) & (100 * less.cast("long") < percent * more.cast("long")), F.lit(False))
+
+    def rows_of(own, h, a, b, star, *carried):
+        unlike = len(np.setxor1d(own, h, assume_unique=True))
+        both = (len(own) + len(h) - unlike) // 2
+        gap = unlike / (unlike + both)
+        link = 100 * both >= percent * (both + unlike)
+        near = [(a, b, star, link, False, *carried)] if gap <= NEAR or not star else []
+        return near + ([(a, b, star, link, True, *carried)] if gap > border and star else [])
+
+    fields = _fields(__a=T.LongType(), __b=T.LongType(), __star=T.BooleanType(), __link=T.BooleanType(), __far=T.BooleanType(), **CARRIED)
+    told = pairs.filter(apart).select("__a", "__b", "__star", F.lit(False).alias("__link"), F.lit(True).alias("__far"), *CARRIED)
+    return compared(pairs.filter(~apart), texts, words, fields, rows_of).union(told)
+
+
+def differences(groups: DataFrame, texts: DataFrame, words: int) -> DataFrame:
+    """groups (__head, __far, __node, and CARRIED) with __delta: what a near set differs in from the head, or a far one's whole set."""
+
+    def rows_of(own, h, a, b, far, *carried):
+        return [(a, b, far, *carried, (h if far else np.setxor1d(own, h, assume_unique=True)).view(np.int64))]
+
+    fields = _fields(__head=T.LongType(), __node=T.LongType(), __far=T.BooleanType(), **CARRIED, __delta=T.ArrayType(T.LongType()))
+    return compared(groups.select(F.col("__head").alias("__a"), F.col("__node").alias("__b"), "__far", *CARRIED), texts, words, fields, rows_of)
+
+
 def difference_lists(groups: DataFrame, percent: int, shelf: Shelf) -> tuple[DataFrame, DataFrame]:
     """Lists (__sig, __node, __n, __own, __group) of sets that may link, from groups of sets (__head, __far, __hn, __node, __n, __own) and their __delta.
 
@@ -369,18 +420,27 @@ def _links(open_lists: DataFrame, texts: DataFrame, words: int, percent: int, sh
         labels = _relabelled(labels, done.filter("__link").select("__a", "__b"), shelf)
         if parts is not None and stars.isEmpty():
             break
-        met = done.filter("__star").select(F.col("__a").alias("__head"), F.col("__b").alias("__node"), "__far", "__delta", *CARRIED)
+        met = done.filter("__star").select(F.col("__a").alias("__head"), F.col("__b").alias("__node"), "__far", F.lit(0).alias("__band"), *CARRIED)
         groups = shelf.put("groups", _open_groups(met, labels, done.count(), shelf))
         shelf.drop("verified", "facts")
         fits = (F.col("__size") <= BLOCK) & (F.col("__mass") <= BLOCK_SHINGLES)
-        inside = shelf.put("inside", block_links(groups.filter(fits), labels, texts, words, percent))
+        inside, rest = groups.filter(fits), groups.filter(~fits).drop("__size", "__mass")
+        if large := rest.count():  # sets that link lie in one family of sizes or in neighbouring ones, so they share a band
+            family = F.floor(F.ln("__n") / (np.log(100 / percent) * (1 + 1e-9))).cast("int") + 1
+            rest = rest.withColumn("__band", F.explode(F.array(family, family + 1)))
+            bands = shelf.put("bands", _open_groups(rest, labels, 2 * large, shelf))
+            shelf.drop("facts")
+            inside, rest = inside.unionByName(bands.filter(fits)), bands.filter(~fits).drop("__size", "__mass")
+        inside = shelf.put("inside", block_links(inside, labels, texts, words, percent))
         labels = _relabelled(labels, inside, shelf)
-        shelf.drop("inside")
-        groups = groups.filter(~fits).drop("__size", "__mass")
-        if groups.isEmpty():
+        shelf.drop("inside", "groups")
+        if not large or rest.isEmpty():
+            shelf.drop("bands")
             break
+        groups = shelf.put("differences", differences(rest.drop("__band").distinct(), texts, words))
+        shelf.drop("bands")
         lists, parts = difference_lists(groups, percent, shelf)
-        shelf.drop("groups")
+        shelf.drop("differences")
         lists = shelf.put("lists", lists.join(labels, "__node", "left").withColumn("__label", F.coalesce("__label", "__node")))
         open_lists = shelf.put("open", with_heads(lists))
         shelf.drop("lists")
@@ -407,11 +467,12 @@ def _relabelled(labels: DataFrame | None, links: DataFrame, shelf: Shelf) -> Dat
 
 
 def _open_groups(rows: DataFrame, labels: DataFrame, total: int, shelf: Shelf) -> DataFrame:
-    """Rows of the groups (__head, __far) that hold several labels, with the group's number of sets __size and of their shingles __mass."""
-    labelled = rows.drop("__delta").join(labels, "__node", "left").withColumn("l", F.coalesce("__label", "__node"))
-    facts = labelled.groupBy("__head", "__far").agg(F.count("*").alias("__size"), F.sum("__n").alias("__mass"), F.min("l").alias("lo"), F.max("l").alias("hi"))
-    facts = shelf.put("facts", facts.filter("lo <> hi").select("__head", "__far", "__size", "__mass"))
-    return keyed_join(rows, facts, ["__head", "__far"], "__size", total)
+    """Rows of the groups (__head, __far, __band) that hold several labels, with the group's number of sets __size and of their shingles __mass."""
+    key = ["__head", "__far", "__band"]
+    labelled = rows.join(labels, "__node", "left").withColumn("l", F.coalesce("__label", "__node"))
+    facts = labelled.groupBy(*key).agg(F.count("*").alias("__size"), F.sum("__n").alias("__mass"), F.min("l").alias("lo"), F.max("l").alias("hi"))
+    facts = shelf.put("facts", facts.filter("lo <> hi").select(*key, "__size", "__mass"))
+    return keyed_join(rows, facts, key, "__size", total)
 
 
 def connecting_links(nodes: list[int], labels: list[int], sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
@@ -440,8 +501,9 @@ def connecting_links(nodes: list[int], labels: list[int], sets: list[np.ndarray]
 
 def block_links(groups: DataFrame, labels: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """(__a, __b): links between labels inside groups of at most BLOCK sets."""
-    known = groups.select("__head", "__far", "__node").join(labels, "__node", "left").withColumn("__label", F.coalesce("__label", "__node"))
-    dealt = known.join(texts, "__node").select("__head", "__far", "__node", "__label", "__text").repartition("__head", "__far").sortWithinPartitions("__head", "__far")
+    key = ["__head", "__far", "__band"]
+    known = groups.select(*key, "__node").join(labels, "__node", "left").withColumn("__label", F.coalesce("__label", "__node"))
+    dealt = known.join(texts, "__node").select(*key, "__node", "__label", "__text").repartition(*key).sortWithinPartitions(*key)
     schema = T.StructType([T.StructField("__a", T.LongType()), T.StructField("__b", T.LongType())])
 
     def run(batches):
@@ -454,12 +516,12 @@ def block_links(groups: DataFrame, labels: DataFrame, texts: DataFrame, words: i
             return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], type=pa.int64()) for k in (0, 1)], names=["__a", "__b"])
 
         for batch in batches:
-            for heads, fars, nodes, labels, texts in chunks(batch, 4):
-                for key, node, label, t in zip(zip(heads, fars, strict=True), nodes, labels, texts, strict=True):
+            for heads, fars, bands, nodes, labels, texts in chunks(batch, 5):
+                for key, node, label, h in zip(zip(heads, fars, bands, strict=True), nodes, labels, shingle_sets(texts, words), strict=True):
                     if key != group:
                         yield links()
                         group = key
-                    for column, v in zip(held, (node, label, shingles_of(t, words)), strict=True):
+                    for column, v in zip(held, (node, label, h), strict=True):
                         column.append(v)
         yield links()
 
@@ -508,8 +570,7 @@ def _keyed(rows: DataFrame, words: int) -> DataFrame:
         for batch in batches:
             for _, texts in chunks(batch):
                 kept = []
-                for t in texts:
-                    h = shingles_of(t, words)
+                for t, h in zip(texts, shingle_sets(texts, words), strict=True):
                     if len(h) and (node := set_key(h)) not in seen:
                         seen.add(node)
                         kept.append((node, t))
@@ -529,10 +590,10 @@ def _of_set(found: DataFrame, words: int) -> DataFrame:
         for batch in batches:
             for nodes, texts in chunks(batch):
                 kept = []
-                for node, t in zip(nodes, texts, strict=True):
+                for node, t, h in zip(nodes, texts, shingle_sets(texts, words), strict=True):
                     if node in seen:
                         continue
-                    if set_key(shingles_of(t, words)) == node:
+                    if set_key(h) == node:
                         seen.add(node)
                         kept.append((node, t))
                 if kept:
