@@ -106,6 +106,17 @@ def test_sets_of_unlike_sizes_do_not_meet(docs, monkeypatch):
     assert got == {i: i - i % 2 for i, _ in rows}
 
 
+def test_pairs_are_written_without_their_differences(docs, monkeypatch):
+    """Whole sets beside each pair took more disk than the texts; only groups that are indexed again need them."""
+    put, tables = jaccard.Shelf.put, []
+    monkeypatch.setattr(jaccard.Shelf, "put", lambda self, name, df: tables.append((name, df.columns)) or put(self, name, df))
+    words = [f"w{k}" for k in range(300)]
+    rows = [(k, " ".join([*words, f"own{k}"])) for k in range(12)]
+    got = jaccard.jaccard_components(docs(rows), percent=80, words=5).collect()
+    assert {r["__component"] for r in got} == {0} and "verified" in dict(tables)
+    assert not [name for name, columns in tables if "__delta" in columns]
+
+
 def test_shingles_of_many_texts_at_once():
     rng = np.random.default_rng(1)
     texts = [None, "", " \n", "one", "Two words", "a b c", "a b c d", "é ü\ud800 x y z x y z", *(" ".join(rng.choice(["a", "B", "cc", "d\t"], n)) for n in (3, 4, 5, 50, 5000)), "x" * 200_000]
